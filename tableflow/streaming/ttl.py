@@ -1,0 +1,83 @@
+"""Running aggregates whose state is forgotten when it was not touched for a while."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from tableflow.operators.aggregates import Aggs, check
+from tableflow.operators.windows import session, window_agg
+
+
+def lifetime_agg(df: DataFrame, time: str, keys: Sequence[str], aggs: Aggs, ttl: str) -> DataFrame:
+    """Aggregates per key that start again after ``ttl`` of event time without a row.
+
+    One row per lifetime of a key's state: ``window_start`` is its first row,
+    ``window_end`` the moment it is forgotten. Repeatable, on tables and streams.
+    """
+    return window_agg(df, time, session(ttl), keys, aggs, watermark=ttl if df.isStreaming else None)
+
+
+class _Running(StatefulProcessor):
+    """Count, sum, minimum and maximum per value column, kept as one state row per key."""
+
+    def __init__(self, keys: list[str], aggs: dict[str, tuple[str, str]], ttl_millis: int):
+        self.keys, self.aggs, self.ttl_millis = keys, aggs, ttl_millis
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        fields = []
+        for alias in self.aggs:
+            fields.append(T.StructField(f"{alias}_n", T.LongType()))
+            fields.append(T.StructField(f"{alias}_v", T.DoubleType()))
+        self.state = handle.getValueState("running", T.StructType(fields), ttlDurationMs=self.ttl_millis)
+
+    def handleInputRows(self, key, rows, timerValues):
+        held = list(self.state.get()) if self.state.exists() else [0, None] * len(self.aggs)
+        for part in rows:
+            for i, (name, column) in enumerate(self.aggs.values()):
+                n, v = held[2 * i], held[2 * i + 1]
+                if column == "*":
+                    held[2 * i] = n + len(part)
+                    continue
+                values = part[column].dropna()
+                held[2 * i] = n + len(values)
+                if name == "count" or values.empty:
+                    continue
+                if name in ("sum", "avg"):
+                    held[2 * i + 1] = float(values.sum()) + (v or 0.0)
+                elif name == "min":
+                    held[2 * i + 1] = float(values.min()) if v is None else min(v, float(values.min()))
+                else:
+                    held[2 * i + 1] = float(values.max()) if v is None else max(v, float(values.max()))
+        self.state.update(tuple(held))
+        out = dict(zip(self.keys, [[k] for k in key], strict=True))
+        for i, (alias, (name, _)) in enumerate(self.aggs.items()):
+            n, v = held[2 * i], held[2 * i + 1]
+            out[alias] = [n if name == "count" else v / n if name == "avg" and n else v]
+        yield pd.DataFrame(out)
+
+    def close(self) -> None:
+        pass
+
+
+def running_agg(stream: DataFrame, keys: Sequence[str], aggs: Aggs, ttl_millis: int) -> DataFrame:
+    """Running aggregates per key with a state lifetime on the wall clock.
+
+    Emits the new values of every key of a micro-batch. Needs the RocksDB state store
+    (``tableflow.session.SETTINGS``). Rows of a key arrive in Arrow batches, so a hot key
+    is folded piece by piece.
+    """
+    check(aggs)
+    fields = [stream.schema[k] for k in keys]
+    for alias, (name, _) in aggs.items():
+        fields.append(T.StructField(alias, T.LongType() if name == "count" else T.DoubleType()))
+    return stream.groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=_Running(list(keys), dict(aggs), ttl_millis),
+        outputStructType=T.StructType(fields),
+        outputMode="update",
+        timeMode="processingTime",
+    )
