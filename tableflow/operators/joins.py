@@ -49,10 +49,10 @@ def join(
 ) -> DataFrame:
     """Join on picked columns and keep the picked columns of each side.
 
-    The physical form is left to Spark: it broadcasts by measured size, and adaptive
-    execution splits the partitions of hot keys in inner, left and right joins. ``salt``
-    spreads hot keys of the *left* side by hand, for full joins (which adaptive
-    execution does not split) and for streams.
+    The side with many rows per key goes left. Adaptive execution splits a hot key of the
+    left side in inner and left joins, but not in right and full joins: these are run as
+    an inner or left join and the right rows without partner. ``salt`` spreads hot left
+    keys over that many tasks by hand, where adaptive execution is off.
     """
     check_kind(how)
     left_columns = list(left.columns if left_columns is None else left_columns)
@@ -60,12 +60,7 @@ def join(
     left = left.select(*dict.fromkeys([*left_columns, *[a for a, _ in on]]))
     right = right.select(*dict.fromkeys([*right_columns, *[b for _, b in on]]))
     picked = [F.col(f"l.`{c}`") for c in left_columns] + [F.col(f"r.`{c}`") for c in right_columns]
-    if salt <= 1:
-        return left.alias("l").join(right.alias("r"), condition(on), how).select(*picked)
-
-    # Repeated right rows would show up once per copy when unmatched: join the preserved
-    # left side first, then add the right rows without partner from the plain tables.
-    spread, copies, keys = salted(left, right, on, salt)
+    spread, copies, keys = (left, right, on) if salt <= 1 else salted(left, right, on, salt)
     kind = "inner" if how in ("inner", "right") else "left"
     matched = spread.alias("l").join(copies.alias("r"), condition(keys), kind).select(*picked)
     if how in ("inner", "left"):

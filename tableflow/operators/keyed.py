@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tableflow.session import cut_lineage
 
@@ -26,16 +27,33 @@ def first_filled(*columns: str | Column) -> Column:
     return F.coalesce(*[F.nullif(_column(c).cast("string"), F.lit("")) for c in columns])
 
 
+def _orderable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return all(_orderable(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _orderable(kind.elementType)
+    return not isinstance(kind, (T.MapType, T.VariantType))
+
+
 def latest_per(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """The row with the greatest ``order`` of every key; nulls order lowest.
 
-    ``max_by`` keeps one row per key in every map task, so a key that holds a third of
-    the table still sends one row per task. ``order`` must be unique within a key for
-    a repeatable result.
+    Rows of a key that tie are told apart by their other columns, so the result is
+    repeatable. One row per key leaves every map task, so a key that holds a third of
+    the table still sends one row per task.
     """
     rest = [c for c in df.columns if c not in keys]
-    newest = F.max_by(F.struct(*[_column(c) for c in rest]), F.struct(*[_column(c) for c in order]))
-    return df.groupBy(*keys).agg(newest.alias("_row")).select(*keys, "_row.*")
+    by = [F.col(f"`{c}`") if isinstance(c, str) else c for c in order]
+    if all(_orderable(df.schema[c].dataType) for c in rest):
+        # Order first, then what is not in it yet: the row is held once.
+        named = {c: f"_order{i}" for i, c in enumerate(order) if isinstance(c, str) and c in rest}
+        ranked = [c.alias(f"_order{i}") for i, c in enumerate(by)]
+        row = F.max(F.struct(*ranked, *[F.col(f"`{c}`") for c in rest if c not in named]))
+        back = [F.col(f"_row.`{named.get(c, c)}`").alias(c) for c in rest]
+    else:
+        row = F.max_by(F.struct(*[F.col(f"`{c}`") for c in rest]), F.struct(*by))
+        back = [F.col(f"_row.`{c}`") for c in rest]
+    return df.groupBy(*keys).agg(row.alias("_row")).select(*keys, *back)
 
 
 def prune_to_latest(df: DataFrame, key: str | Sequence[str], order: Sequence[str | Column]) -> DataFrame:
@@ -45,11 +63,7 @@ def prune_to_latest(df: DataFrame, key: str | Sequence[str], order: Sequence[str
 
 
 def prune_by_name(
-    children: DataFrame,
-    parents: DataFrame,
-    on: tuple[str, str],
-    name: str,
-    order: Sequence[str | Column],
+    children: DataFrame, parents: DataFrame, on: tuple[str, str], name: str, order: Sequence[str]
 ) -> DataFrame:
     """Retention over a join: per parent *name* the newest child of all ids that carry it.
 
@@ -58,12 +72,11 @@ def prune_by_name(
     meets the raw rows.
     """
     child_id, parent_id = on
-    ranked = children.withColumn("_order", F.struct(*[_column(c) for c in order]))
-    newest = latest_per(ranked, [child_id], ["_order"])
+    newest = latest_per(children, [child_id], [c for c in order if c != child_id])
     names = parents.select(F.col(parent_id).alias("_id"), F.col(name).cast("string").alias("_name"))
     joined = newest.join(names, newest[child_id] == names["_id"], "left")
-    named = joined.withColumn("name", F.coalesce("_name", F.lit(UNKNOWN_NAME)))
-    return latest_per(named.select("name", *ranked.columns), ["name"], ["_order"]).select("name", *children.columns)
+    named = joined.select(F.coalesce("_name", F.lit(UNKNOWN_NAME)).alias("name"), *children.columns)
+    return latest_per(named, ["name"], order)
 
 
 def with_latest_child(
@@ -95,11 +108,11 @@ def newest_entry(df: DataFrame, history: str, keys: Sequence[str], paths: Sequen
             best
         ),
     )
-    entry = df.select(*keys, newest.alias("_entry"))
-    path = F.coalesce(*[F.nullif(F.col(f"_entry.`{p}`"), F.lit("")) for p in paths])
-    bare = F.col("_entry").dropFields(*paths)
-    found = entry.where(path.isNotNull()).select(*keys, bare.alias("_bare"), path.alias("path"))
-    return found.select(*keys, "_bare.*", "path")
+    # Generating the fields as columns computes the entry once, not once per use.
+    entry = df.select(*keys, F.inline(F.array(newest)))
+    path = F.coalesce(*[F.nullif(F.col(f"`{p}`"), F.lit("")) for p in paths])
+    others = [c for c in entry.columns if c not in keys and c not in paths]
+    return entry.select(*keys, *others, path.alias("path")).where(F.col("path").isNotNull())
 
 
 def reconcile(recorded: DataFrame, observed: DataFrame, key: str, status: str = "status", start: str = "start") -> DataFrame:

@@ -8,6 +8,7 @@ from tableflow.operators.changelog import changelog_join
 from tableflow.plans.inputs import change_feed, halves, order_feed, table
 from tableflow.plans.registry import query
 from tableflow.session import work_dir
+from tableflow.sinks.keyed_table import buckets_for
 from tableflow.sources.changes import (
     cdc_decode,
     cdc_encode,
@@ -109,7 +110,9 @@ def aggregated(spark, sf):
         "lo": ("min", "value"),
         "hi": ("max", "value"),
     }
-    target = ChangelogAggregate(work_dir(spark, "changelog-agg"), ["user_id"], ["event_id"], ["event_type"], aggs)
+    target = ChangelogAggregate(
+        work_dir(spark, "changelog-agg"), ["user_id"], ["event_id"], ["event_type"], aggs, buckets=buckets_for(changes)
+    )
     _in_batches(spark, halves(changes, "ts"), "changelog-agg-feed", changes.schema, target)
     return target.result(spark).withColumns({"s": F.round("s", 2), "mean": F.round("mean", 4)})
 
@@ -140,6 +143,7 @@ def joined(spark, sf):
         ["o_custkey"],
         ["event_id"],
         ["o_orderdate", "o_orderkey"],
+        buckets=max(buckets_for(left), buckets_for(right)),
     )
     cut = F.col("o_orderdate") < F.to_timestamp_ntz(F.lit("1998-01-01"))
     first, second = halves(left, "ts")

@@ -13,6 +13,7 @@ from tableflow.operators.aggregates import Aggs, aggregate
 from tableflow.operators.project import map_fields
 from tableflow.sinks.bulk import bulk_load
 from tableflow.sinks.jdbc import sink_jdbc
+from tableflow.sinks.keyed_table import DEFAULT_BUCKETS
 from tableflow.sinks.upsert import sink_upsert
 from tableflow.sources.decode import decode
 from tableflow.sources.logs import read_log, scan_log
@@ -63,7 +64,8 @@ def sync_tables(
         if spec.get("keys"):
 
             def each_batch(batch: DataFrame, batch_id: int, spec=spec, target=target) -> None:
-                sink_upsert(batch, target, spec["keys"], spec["seq"], spec.get("op"), batch_id)
+                buckets = spec.get("buckets", DEFAULT_BUCKETS)
+                sink_upsert(batch, target, spec["keys"], spec["seq"], spec.get("op"), batch_id, buckets)
 
             running[name] = start(stream, checkpoint, each_batch=each_batch)
         else:
@@ -76,7 +78,8 @@ def sync_tables(
 def _write(target: Mapping[str, object], rows: DataFrame, batch_id: int) -> None:
     kind = target.get("type", "files")
     if kind == "upsert":
-        sink_upsert(rows, target["path"], target["keys"], target["seq"], target.get("op"), batch_id)
+        buckets = target.get("buckets", DEFAULT_BUCKETS)
+        sink_upsert(rows, target["path"], target["keys"], target["seq"], target.get("op"), batch_id, buckets)
     elif kind == "bulk":
         bulk_load(rows, batch_id, target["path"], target["fields"], target.get("label_prefix", "load"))
     elif kind == "jdbc":
@@ -104,7 +107,13 @@ def run_job(spark: SparkSession, spec: Mapping[str, object], messages: DataFrame
 
 
 def aggregate_to_sink(
-    df: DataFrame, path: str, by: Sequence[str], aggs: Aggs, checkpoint: str | None = None, **filters
+    df: DataFrame,
+    path: str,
+    by: Sequence[str],
+    aggs: Aggs,
+    checkpoint: str | None = None,
+    buckets: int = DEFAULT_BUCKETS,
+    **filters,
 ) -> None:
     """GROUP BY into a keyed target: the group columns are its key, the aliases its columns.
 
@@ -113,7 +122,8 @@ def aggregate_to_sink(
     grouped = aggregate(df, by, aggs, **filters)
 
     def write(rows: DataFrame, batch_id: int) -> None:
-        sink_upsert(rows.withColumn("_batch", F.lit(batch_id).cast("long")), path, by, ["_batch"], batch_id=batch_id)
+        stamped = rows.withColumn("_batch", F.lit(batch_id).cast("long"))
+        sink_upsert(stamped, path, by, ["_batch"], batch_id=batch_id, buckets=buckets)
 
     if df.isStreaming:
         drain(grouped, checkpoint, each_batch=write, mode="update")

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tableflow.session import apply_settings
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -19,11 +21,11 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
         if name in QUERIES:
             raise ValueError(f"{name} is registered twice")
 
-        def in_utc(spark: SparkSession, sf_dir: str) -> DataFrame:
-            spark.conf.set("spark.sql.session.timeZone", "UTC")
+        def with_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+            apply_settings(spark)
             return run(spark, sf_dir)
 
-        QUERIES[name] = in_utc
+        QUERIES[name] = with_settings
         if oracle:
             ORACLES[name] = oracle
         return run

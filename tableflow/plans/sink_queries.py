@@ -6,7 +6,6 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tableflow.operators.aggregates import aggregate
 from tableflow.plans.feed_queries import FEED, LIVE
 from tableflow.plans.inputs import LOG_SCHEMA, change_feed, halves, log, table
 from tableflow.plans.jobs import aggregate_to_sink, run_job, run_statement_set, sync_tables
@@ -14,13 +13,13 @@ from tableflow.plans.registry import query
 from tableflow.session import work_dir
 from tableflow.sinks.bulk import bulk_load, read_loaded
 from tableflow.sinks.catalog import ensure_table
+from tableflow.sinks.keyed_table import KeyedTable, buckets_for
 from tableflow.sinks.models import load_aggregate, load_duplicate, load_unique
 from tableflow.sinks.upsert import read_upserted, sink_upsert
 from tableflow.sinks.writers import BUCKET, sink_append, sink_files, sink_hash_buckets, sink_print
 from tableflow.sources.decode import decode, encode
 from tableflow.sources.tables import stream_table
 from tableflow.streaming.changelog import ChangelogJoin
-from tableflow.streaming.runner import read_output
 
 UPSERTED = f"with {FEED}, {LIVE} select user_id, event_type, value from live where op <> 'd'"
 
@@ -40,7 +39,7 @@ def upsert(spark, sf):
     path = work_dir(spark, "upsert")
     changes = change_feed(table(spark, sf, "events"))
     for part in reversed(halves(changes, "ts")):
-        sink_upsert(part.drop("ts"), path, ["user_id"], ["event_id"], "op")
+        sink_upsert(part.drop("ts"), path, ["user_id"], ["event_id"], "op", buckets=buckets_for(changes))
     return read_upserted(spark, path).drop("event_id")
 
 
@@ -75,7 +74,8 @@ def aggregate_model(spark, sf):
         "user_id", "ts", F.lit(1).cast("long").alias("n"), F.col("value").alias("total"), F.col("value").alias("top")
     )
     for i, part in enumerate(halves(rows, "ts")):
-        loaded = load_aggregate(part.drop("ts"), path, ["user_id"], {"n": "sum", "total": "sum", "top": "max"}, i)
+        folds = {"n": "sum", "total": "sum", "top": "max"}
+        loaded = load_aggregate(part.drop("ts"), path, ["user_id"], folds, i, buckets_for(rows))
     return loaded.read().withColumn("total", F.round("total", 2))
 
 
@@ -89,9 +89,9 @@ def duplicate(spark, sf):
 
 @query("sink_hash_buckets", "select count(*) n, count(distinct o_custkey) keys, count(distinct o_custkey) places from orders")
 def hash_buckets(spark, sf):
-    """All rows of a key are in one bucket, also when several files share the bucket."""
+    """All rows of a key are in one bucket."""
     path = work_dir(spark, "buckets")
-    sink_hash_buckets(table(spark, sf, "orders"), path, ["o_custkey"], n=10, files=2)
+    sink_hash_buckets(table(spark, sf, "orders"), path, ["o_custkey"], n=10)
     places = spark.read.parquet(path).groupBy("o_custkey", BUCKET).agg(F.count("*").alias("n"))
     per_key = places.groupBy("o_custkey").agg(F.sum("n").alias("n"), F.count("*").alias("places"))
     return per_key.agg(F.sum("n").alias("n"), F.count("*").alias("keys"), F.sum("places").alias("places"))
@@ -153,8 +153,16 @@ def auto_create(spark, sf):
 def multi_sink(spark, sf):
     """Counts, a copy and a join as one job over two streams."""
     base = work_dir(spark, "multi-sink")
+    buckets = buckets_for(table(spark, sf, "orders"))
     join = ChangelogJoin(
-        f"{base}/join", [("o_custkey", "c_custkey")], "inner", ["o_orderkey"], ["c_custkey"], ["o_orderkey"], ["c_custkey"]
+        f"{base}/join",
+        [("o_custkey", "c_custkey")],
+        "inner",
+        ["o_orderkey"],
+        ["c_custkey"],
+        ["o_orderkey"],
+        ["c_custkey"],
+        buckets=buckets,
     )
 
     def upserts(df):
@@ -171,15 +179,16 @@ def multi_sink(spark, sf):
             ["c_mktsegment"],
             {"n": "sum"},
             i,
+            buckets,
         ),
         "copy": lambda parts, i: sink_upsert(
-            parts["customer"], f"{base}/copy", ["c_custkey"], ["c_custkey"], batch_id=i
+            parts["customer"], f"{base}/copy", ["c_custkey"], ["c_custkey"], batch_id=i, buckets=buckets
         ),
         "join": lambda parts, i: join.apply({"l": upserts(parts["orders"]), "r": upserts(parts["customer"])}, i),
     }
     run_statement_set(sources, sinks, f"{base}/checkpoint")
     frames = {
-        "seg": load_aggregate_read(spark, f"{base}/seg"),
+        "seg": KeyedTable(spark, f"{base}/seg").read(),
         "copy": read_upserted(spark, f"{base}/copy"),
         "join": join.result(spark),
     }
@@ -187,12 +196,6 @@ def multi_sink(spark, sf):
     return counts[0].unionAll(counts[1]).unionAll(counts[2])
 
 
-def load_aggregate_read(spark, path):
-    from tableflow.sinks.keyed_table import KeyedTable
-
-    return KeyedTable(spark, path).read()
-
-
 @query(
     "sync_tables",
     "select 'customer' t, count(*) n from customer union all select 'supplier', count(*) from supplier"
@@ -200,7 +203,8 @@ def load_aggregate_read(spark, path):
 )
 def sync(spark, sf):
     base = work_dir(spark, "sync")
-    keyed = {"name": "orders", "keys": ["o_orderkey"], "seq": ["o_orderdate"]}
+    buckets = buckets_for(table(spark, sf, "orders"))
+    keyed = {"name": "orders", "keys": ["o_orderkey"], "seq": ["o_orderdate"], "buckets": buckets}
     sync_tables(
         spark,
         ["customer", "supplier", keyed],
@@ -220,7 +224,8 @@ def sync(spark, sf):
 def keyed_sink(spark, sf):
     path = work_dir(spark, "agg-sink")
     aggs = {"n": ("count", "*"), "total": ("sum", "o_totalprice")}
-    aggregate_to_sink(table(spark, sf, "orders"), path, ["o_custkey"], aggs)
+    orders = table(spark, sf, "orders")
+    aggregate_to_sink(orders, path, ["o_custkey"], aggs, buckets=buckets_for(orders))
     return read_upserted(spark, path).select("o_custkey", "n", F.round("total", 2).alias("total"))
 
 
@@ -241,5 +246,3 @@ def job(spark, sf):
     run_job(spark, spec, messages)
     return spark.read.schema("id bigint, amount double").parquet(f"{base}/out")
 
-
-__all__ = ["aggregate", "read_output"]

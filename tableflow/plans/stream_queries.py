@@ -11,6 +11,7 @@ from tableflow.plans.inputs import halves, heartbeat, naive, table, zoned
 from tableflow.plans.jobs import aggregate_to_sink
 from tableflow.plans.registry import query
 from tableflow.session import work_dir
+from tableflow.sinks.keyed_table import buckets_for
 from tableflow.sinks.upsert import read_upserted, sink_upsert
 from tableflow.sources.tables import stream_slices, stream_table
 from tableflow.streaming.joins import dedup, stream_join
@@ -35,7 +36,8 @@ def _totals(spark, path):
 @query("stream_agg", TOTALS_SQL)
 def running(spark, sf):
     base = work_dir(spark, "stream-agg")
-    aggregate_to_sink(_events(spark, sf), f"{base}/out", ["user_id"], TOTALS, f"{base}/checkpoint")
+    buckets = buckets_for(table(spark, sf, "events"))
+    aggregate_to_sink(_events(spark, sf), f"{base}/out", ["user_id"], TOTALS, f"{base}/checkpoint", buckets)
     return _totals(spark, f"{base}/out")
 
 
@@ -169,9 +171,10 @@ def state_ttl(spark, sf):
     return closed.withColumn("mean", F.round("mean", 6))
 
 
-def _upsert_totals(path):
+def _upsert_totals(path, buckets):
     def write(rows, batch_id):
-        sink_upsert(rows.withColumn("_batch", F.lit(batch_id).cast("long")), path, ["user_id"], ["_batch"], batch_id=batch_id)
+        stamped = rows.withColumn("_batch", F.lit(batch_id).cast("long"))
+        sink_upsert(stamped, path, ["user_id"], ["_batch"], batch_id=batch_id, buckets=buckets)
 
     return write
 
@@ -185,7 +188,7 @@ def exactly_once(spark, sf):
     """A batch that fails after its sink has committed is run again and counts once."""
     base = work_dir(spark, "exactly-once")
     totals = aggregate(_events(spark, sf), ["user_id"], TOTALS)
-    write = _upsert_totals(f"{base}/out")
+    write = _upsert_totals(f"{base}/out", buckets_for(table(spark, sf, "events")))
 
     def write_and_fail(rows, batch_id):
         write(rows, batch_id)
@@ -212,7 +215,7 @@ def _two_runs(spark, sf, name):
 @query("resume", TOTALS_SQL)
 def resumed(spark, sf):
     base, totals, first, second = _two_runs(spark, sf, "resume")
-    write = _upsert_totals(f"{base}/out")
+    write = _upsert_totals(f"{base}/out", buckets_for(table(spark, sf, "events")))
     first.write.parquet(f"{base}/in/part=0")
     drain(totals, f"{base}/checkpoint", each_batch=write, mode="update")
     second.write.parquet(f"{base}/in/part=1")
@@ -223,7 +226,7 @@ def resumed(spark, sf):
 @query("restore_from_copy", TOTALS_SQL)
 def restored(spark, sf):
     base, totals, first, second = _two_runs(spark, sf, "restore")
-    write = _upsert_totals(f"{base}/out")
+    write = _upsert_totals(f"{base}/out", buckets_for(table(spark, sf, "events")))
     first.write.parquet(f"{base}/in/part=0")
     drain(totals, f"{base}/checkpoint", each_batch=write, mode="update")
     save_state(spark, f"{base}/checkpoint", f"{base}/saved")

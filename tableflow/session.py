@@ -9,17 +9,24 @@ from pyspark.sql import SparkSession
 
 SHARED_DIR = "spark.checkpoint.dir"
 
-SETTINGS = {
+# What the operators count on, in any session.
+SQL_SETTINGS = {
+    # Watermarks need instants; naive times are read as UTC.
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    # Splits oversized sort-merge partitions, so one hot join key does not sit in one task.
+    # Splits oversized sort-merge partitions, so one hot join key does not sit in one task,
+    # also where that costs another shuffle further up.
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Also worth an extra shuffle when the split would break an output partitioning.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Splits the hot bucket of a rebalanced write.
+    "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     # Merges the sessions of a key inside each map task before the shuffle.
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
-    # Join and window state larger than the heap of one executor.
+}
+
+# Join and window state larger than the heap of an executor.
+STATE_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     ),
@@ -27,12 +34,18 @@ SETTINGS = {
 }
 
 
+def apply_settings(spark: SparkSession) -> None:
+    """Bring a session that was made elsewhere to the settings the operators count on."""
+    for key, value in SQL_SETTINGS.items():
+        spark.conf.set(key, value)
+
+
 def build_session(app: str = "tableflow", master: str | None = None, **options: object) -> SparkSession:
     """A session with the settings the operators are designed for; ``options`` win."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**SETTINGS, **options}.items():
+    for key, value in {**SQL_SETTINGS, **STATE_SETTINGS, **options}.items():
         builder = builder.config(key, str(value))
     return builder.getOrCreate()
 

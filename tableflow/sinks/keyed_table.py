@@ -16,13 +16,26 @@ import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tableflow.sinks.files import Files
 
 BUCKET = "_bucket"
+
+# Buckets of a table whose size nobody named, the span a size may ask for, and the size
+# of a bucket when it does.
+DEFAULT_BUCKETS = 16
+FEWEST, MOST = 8, 20_000
+BUCKET_BYTES = 256 * 1024 * 1024
+
+
+def buckets_for(df: DataFrame) -> int:
+    """Number of buckets for a keyed copy of a table, by the size Spark has of it."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(FEWEST, min(MOST, size // BUCKET_BYTES))
+
 Fold = Callable[[DataFrame, list[str]], DataFrame]
 
 
@@ -38,12 +51,12 @@ class KeyedTable:
 
     @classmethod
     def create(
-        cls, spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str], buckets: int = 64
+        cls, spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str], buckets: int = DEFAULT_BUCKETS
     ) -> KeyedTable:
         """Open the table at ``path``, making it first if there is none.
 
-        ``buckets`` fixes how finely later writes can be limited; aim at files of
-        some hundred MB for the full table.
+        ``buckets`` fixes how finely later writes can be limited and how many tasks share
+        a full one; ``buckets_for`` derives it from the size of a source table.
         """
         files = Files(spark)
         described = f"{path.rstrip('/')}/_table.json"
@@ -58,8 +71,9 @@ class KeyedTable:
             raise ValueError(f"{path} is keyed by {table.keys}, not by {list(keys)}")
         return table
 
-    def bucket_of(self, keys: Sequence[str] | None = None):
-        return F.pmod(F.xxhash64(*[F.col(k) for k in keys or self.keys]), F.lit(self.buckets)).cast("int")
+    def bucket_of(self) -> Column:
+        """Bucket of a row that has the table's columns."""
+        return F.pmod(F.xxhash64(*[F.col(k) for k in self.keys]), F.lit(self.buckets)).cast("int")
 
     def last_batch(self) -> int:
         commits = self.files.names(f"{self.path}/_commits")
@@ -85,15 +99,25 @@ class KeyedTable:
 
     def buckets_of(self, rows: DataFrame, keys: Sequence[str] | None = None) -> list[int]:
         """Buckets the keys of ``rows`` fall into: at most as many as the table has."""
-        found = rows.select(self.bucket_of(keys).alias(BUCKET)).distinct().collect()
+        typed = [F.col(c).cast(self.schema[k].dataType) for c, k in zip(keys or self.keys, self.keys, strict=True)]
+        bucket = F.pmod(F.xxhash64(*typed), F.lit(self.buckets)).cast("int")
+        found = rows.select(bucket.alias(BUCKET)).distinct().collect()
         return sorted(row[BUCKET] for row in found)
 
-    def merge(self, rows: DataFrame, fold: Fold, batch_id: int | None = None, folded: bool = False) -> list[int]:
+    def merge(
+        self,
+        rows: DataFrame,
+        fold: Fold,
+        batch_id: int | None = None,
+        folded: bool = False,
+        touched: list[int] | None = None,
+    ) -> list[int]:
         """Fold ``rows`` into the table and commit; returns the buckets it touched.
 
         ``fold(frame, keys)`` leaves one row per key. It first runs on the batch
         alone, where Spark combines before the shuffle, so a hot key costs one row
-        per task from there on. ``folded`` says the batch has one row per key already.
+        per task from there on. ``folded`` says the batch has one row per key already
+        and is cheap to read twice; ``touched`` names its buckets where they are known.
         """
         last = self.last_batch()
         if batch_id is None:
@@ -103,30 +127,41 @@ class KeyedTable:
         # Equal keys of another integer width would hash to another bucket: take the table's types.
         typed = rows.select(*[F.col(f.name).cast(f.dataType) for f in self.schema.fields])
         fresh = typed if folded else fold(typed, self.keys).select(*self.schema.names)
-        fresh = fresh.persist(StorageLevel.MEMORY_AND_DISK)
+        _, held = self._commit(before=batch_id)
+        if not held:
+            # Nothing to fold in yet: the folders the write makes tell the buckets.
+            return self._publish(fresh.withColumn(BUCKET, self.bucket_of()).repartition(self.buckets, BUCKET), {}, batch_id)
+        keep = not folded and touched is None
+        if keep:
+            fresh = fresh.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            touched = self.buckets_of(fresh)
-            if touched:
-                self._rewrite(fresh, fold, batch_id, touched)
+            if touched is None:
+                touched = self.buckets_of(fresh)
+            if not touched:
+                return []
+            kept = self.read(before=batch_id, buckets=touched)
+            both = kept.unionByName(fresh).withColumn(BUCKET, self.bucket_of())
+            # Hash partitioning by bucket also clusters (bucket, key): the fold adds no
+            # shuffle, and each task writes whole buckets.
+            placed = both.repartition(len(touched), BUCKET)
+            return self._publish(fold(placed, [BUCKET, *self.keys]), held, batch_id)
         finally:
-            fresh.unpersist()
-        return touched
+            if keep:
+                fresh.unpersist()
 
-    def _rewrite(self, fresh: DataFrame, fold: Fold, batch_id: int, touched: list[int]) -> None:
-        _, held = self._commit(before=batch_id)
-        kept = self.read(before=batch_id, buckets=touched)
-        # Hash partitioning by bucket also clusters (bucket, key): the fold adds no shuffle,
-        # and each task writes whole buckets.
-        both = kept.unionByName(fresh).withColumn(BUCKET, self.bucket_of())
-        merged = fold(both.repartition(BUCKET), [BUCKET, *self.keys])
+    def _publish(self, rows: DataFrame, held: dict[str, str], batch_id: int) -> list[int]:
+        """Write whole buckets, then the commit that points to them."""
         directory = f"data/{batch_id:020d}-{uuid.uuid4().hex}"
-        merged.write.partitionBy(BUCKET).parquet(f"{self.path}/{directory}")
-        for bucket in touched:
-            held[str(bucket)] = f"{directory}/{BUCKET}={bucket}"
-        replays = [n for n in self.files.names(f"{self.path}/_commits") if n.startswith(f"{batch_id:020d}.")]
-        name = f"{batch_id:020d}.{len(replays):04d}.json"
-        if not self.files.publish(f"{self.path}/_commits/{name}", json.dumps(held)):
-            raise RuntimeError(f"another writer published {name} of {self.path}")
+        rows.write.partitionBy(BUCKET).parquet(f"{self.path}/{directory}")
+        marks = [n for n in self.files.names(f"{self.path}/{directory}") if n.startswith(f"{BUCKET}=")]
+        written = sorted(int(name.split("=")[1]) for name in marks)
+        tries = [n for n in self.files.names(f"{self.path}/_commits") if n.startswith(f"{batch_id:020d}.")]
+        if written or tries:
+            held = held | {str(bucket): f"{directory}/{BUCKET}={bucket}" for bucket in written}
+            name = f"{batch_id:020d}.{len(tries):04d}.json"
+            if not self.files.publish(f"{self.path}/_commits/{name}", json.dumps(held)):
+                raise RuntimeError(f"another writer published {name} of {self.path}")
+        return written
 
     def vacuum(self, keep: int = 2) -> int:
         """Remove directories that the newest ``keep`` commits do not use; returns how many."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tableflow.operators.keyed import latest_per
-from tableflow.sinks.keyed_table import KeyedTable
+from tableflow.sinks.keyed_table import DEFAULT_BUCKETS, KeyedTable
 from tableflow.sources.changes import DELETE
 
 SEQ = "_seq"
@@ -27,13 +27,16 @@ def sink_upsert(
     seq: Sequence[str],
     op: str | None = None,
     batch_id: int | None = None,
-    buckets: int = 64,
+    buckets: int = DEFAULT_BUCKETS,
+    folded: bool = False,
+    touched: list[int] | None = None,
 ) -> KeyedTable:
     """Merge a batch into the keyed target at ``path``.
 
     ``seq`` orders the writes of a key, across batches too: a row that comes late loses
     against the newer one it meets. A delete stays as a marker for the same reason.
-    Merging a batch twice changes nothing.
+    Merging a batch twice changes nothing. ``folded`` and ``touched`` as in
+    ``KeyedTable.merge``.
     """
     values = [c for c in batch.columns if c != op]
     gone = F.lit(False) if op is None else F.col(op).eqNullSafe(DELETE)
@@ -41,7 +44,7 @@ def sink_upsert(
     # Nullability differs between batches; the stored schema takes none for granted.
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema.fields])
     table = KeyedTable.create(batch.sparkSession, path, schema, keys, buckets)
-    table.merge(rows, newest, batch_id)
+    table.merge(rows, newest, batch_id, folded, touched)
     return table
 
 

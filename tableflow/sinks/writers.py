@@ -42,14 +42,11 @@ def bucketed(df: DataFrame, keys: Sequence[str] = (), n: int = DEFAULT_BUCKETS)
     return df.withColumn(BUCKET, F.pmod(F.hash(*chosen), F.lit(n)))
 
 
-def sink_hash_buckets(
-    df: DataFrame, path: str, keys: Sequence[str] = (), n: int = DEFAULT_BUCKETS, files: int = 1
-) -> None:
+def sink_hash_buckets(df: DataFrame, path: str, keys: Sequence[str] = (), n: int = DEFAULT_BUCKETS) -> None:
     """Write one folder per hash bucket of the key.
 
-    ``files`` tasks share the writing of a bucket, split by a hash of the row, so a
-    bucket with a hot key is not left to one task.
+    The rows are drawn together per bucket; adaptive execution splits a bucket that a hot
+    key makes too large over several tasks, which then write a file each.
     """
-    part = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(files))
-    spread = bucketed(df, keys, n).repartition(n * files, F.col(BUCKET), part)
-    spread.write.mode("append").partitionBy(BUCKET).parquet(path)
+    placed = bucketed(df, keys, n).hint("rebalance", F.col(BUCKET))
+    placed.write.mode("append").partitionBy(BUCKET).parquet(path)

@@ -40,13 +40,12 @@ def cdc_decode(df: DataFrame, schema: Schema, value: str = "value", keep: Sequen
     image = as_schema(schema).simpleString()
     shape = f"struct<op:string,before:{image},after:{image},ts_ms:bigint>"
     body = F.from_json(F.col(value).cast("string"), f"struct<{shape[len('struct<'):-1]},payload:{shape}>")
-    parsed = df.select(*keep, body.alias("_b"))
-    change = parsed.select(*keep, F.when(F.col("_b.op").isNotNull(), F.col("_b").dropFields("payload")).otherwise(F.col("_b.payload")).alias("_c"))
-    known = change.where(F.col("_c.op").isNotNull())
-    row = F.coalesce("_c.after", "_c.before")
-    return known.select(*keep, F.col("_c.op").alias(_OP), F.col("_c.ts_ms").alias("ts_ms"), row.alias("_row")).select(
-        *keep, _OP, "ts_ms", "_row.*"
-    )
+    # Generating the fields as columns parses a message once, not once per use.
+    parsed = df.select(*keep, F.inline(F.array(body)))
+    part = {c: F.coalesce(F.col(c), F.col(f"payload.{c}")) for c in ("op", "ts_ms")}
+    row = F.coalesce("after", "before", "payload.after", "payload.before")
+    change = parsed.select(*keep, part["op"].alias(_OP), part["ts_ms"].alias("ts_ms"), row.alias("_row"))
+    return change.where(F.col(_OP).isNotNull()).select(*keep, _OP, "ts_ms", "_row.*")
 
 
 def live(changes: DataFrame, keys: Sequence[str], seq: Sequence[str], op: str = _OP) -> DataFrame:

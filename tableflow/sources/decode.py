@@ -15,7 +15,6 @@ RAW_COLUMN = "data"
 # Inferred type names, from narrow to wide. Any two numbers meet at the
 # wider one; every other mix is a STRING.
 INFERRED = ("BOOLEAN", "INT", "BIGINT", "DOUBLE", "ARRAY", "MAP", "STRING")
-NUMBERS = ("INT", "BIGINT", "DOUBLE")
 
 Schema = str | T.StructType | Sequence[Mapping[str, object]]
 
@@ -49,16 +48,13 @@ def decode(
     return df.select(*keep, parsed.alias("_body")).select(*keep, "_body.*")
 
 
-def _kind(value: Column) -> Column:
-    """Type name of one JSON value; null has none."""
-    shape = F.schema_of_variant(value)
-    whole = F.try_variant_get(value, "$", "bigint")
-    written = value.cast("string")
+def _kind(shape: Column, whole: Column, digits: Column) -> Column:
+    """Type name of a JSON value by its variant type, value as a whole number and length; null has none."""
     return (
         F.when(shape == "VOID", F.lit(None))
         .when(shape == "BOOLEAN", "BOOLEAN")
         .when(shape == "BIGINT", F.when(whole.between(-2147483648, 2147483647), "INT").otherwise("BIGINT"))
-        .when(shape.startswith("DECIMAL") & shape.endswith(",0)") & (F.length(written) > 18), "BIGINT")
+        .when(shape.startswith("DECIMAL") & shape.endswith(",0)") & (digits > 18), "BIGINT")
         .when(shape.startswith("DECIMAL") | shape.isin("DOUBLE", "FLOAT"), "DOUBLE")
         .when(shape.startswith("ARRAY"), "ARRAY")
         .when(shape.startswith("OBJECT"), "MAP")
@@ -73,13 +69,19 @@ def infer_schema(df: DataFrame, value: str = "value", sample: int | None = None)
     carries one row per key and task. Bodies that are no JSON object are skipped.
     With ``sample`` only that many messages are read, as a form preview does.
     """
-    bodies = df.select(F.try_parse_json(F.col(value).cast("string")).alias("_v"))
+    bodies = df.select(F.col(value).cast("string").alias("_body"))
     if sample is not None:
         bodies = bodies.limit(sample)
-    objects = bodies.where(F.schema_of_variant("_v").startswith("OBJECT"))
-    values = objects.lateralJoin(
-        objects.sparkSession.tvf.variant_explode(F.col("_v").outer())
-    ).select(F.col("key").alias("name"), _kind(F.col("value")).alias("kind"))
+    explode = bodies.sparkSession.tvf.variant_explode(F.try_parse_json(F.col("_body").outer()))
+    # Elements of an array have no key. Generating the facts computes each once per value.
+    fields = bodies.lateralJoin(explode).where(F.col("key").isNotNull())
+    facts = F.struct(
+        F.schema_of_variant("value").alias("shape"),
+        F.try_variant_get("value", "$", "bigint").alias("whole"),
+        F.length(F.col("value").cast("string")).alias("digits"),
+    )
+    found = fields.select("key", F.inline(F.array(facts)))
+    values = found.select(F.col("key").alias("name"), _kind(F.col("shape"), F.col("whole"), F.col("digits")).alias("kind"))
     seen = values.groupBy("name").agg(*[F.bool_or(F.col("kind") == k).alias(k) for k in INFERRED])
     has = {k: F.coalesce(F.col(k), F.lit(False)) for k in INFERRED}
     number = has["INT"] | has["BIGINT"] | has["DOUBLE"]

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from tableflow.operators.aggregates import Aggs, check
 from tableflow.operators.joins import Pairs, check_kind, join
-from tableflow.sinks.keyed_table import KeyedTable
+from tableflow.sinks.keyed_table import DEFAULT_BUCKETS, KeyedTable
 from tableflow.sinks.upsert import GONE, SEQ, newest, read_upserted, sink_upsert
 from tableflow.sources.changes import DELETE
 
@@ -94,7 +94,7 @@ class ChangelogAggregate:
         by: Sequence[str],
         aggs: Aggs,
         op: str = "op",
-        buckets: int = 64,
+        buckets: int = DEFAULT_BUCKETS,
     ):
         check(aggs)
         self.rows = _Snapshot(f"{path}/rows", keys, seq, op, buckets)
@@ -114,7 +114,7 @@ class ChangelogAggregate:
         changes = self._changes(table.read(before=batch_id, buckets=touched), folded)
         delta = changes.groupBy(*self.by).agg(*self._delta()).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            held = self._held(delta, batch_id)
+            held, groups = self._held(delta, batch_id)
             states = delta.join(held, _same(delta, held, [(c, f"_held_{c}") for c in self.by]), "left")
             merged = states.select(*[delta[c] for c in self.by], *self._merged(), self._dirty().alias("_dirty"))
             if any(name in ("min", "max") for name, _ in self.aggs.values()):
@@ -122,7 +122,7 @@ class ChangelogAggregate:
             out = merged.drop("_dirty").withColumn(BATCH, F.lit(batch_id).cast("long")).withColumn(
                 OP, F.when(F.col(ROWS) <= 0, DELETE).otherwise("u")
             )
-            sink_upsert(out, self.groups, self.by, [BATCH], OP, batch_id, self.buckets)
+            sink_upsert(out, self.groups, self.by, [BATCH], OP, batch_id, self.buckets, folded=True, touched=groups)
         finally:
             delta.unpersist()
 
@@ -161,8 +161,8 @@ class ChangelogAggregate:
                 out.append(extreme(F.when(F.col(SIGN) < 0, value)).alias(f"{alias}__out"))
         return out
 
-    def _held(self, delta: DataFrame, batch_id: int) -> DataFrame:
-        """Group states before the batch, from the buckets of the changed groups."""
+    def _held(self, delta: DataFrame, batch_id: int) -> tuple[DataFrame, list[int]]:
+        """Group states before the batch, from the buckets of the changed groups, and these buckets."""
         spark = delta.sparkSession
         kinds = {f.name: f.dataType for f in delta.schema.fields}
         columns = [*self.by, ROWS, *self._state()]
@@ -172,8 +172,9 @@ class ChangelogAggregate:
             [*schema.fields, T.StructField(BATCH, T.LongType()), T.StructField(SEQ, sequence), T.StructField(GONE, T.BooleanType())]
         )
         table = KeyedTable.create(spark, self.groups, full, self.by, self.buckets)
-        held = _live(table.read(before=batch_id, buckets=table.buckets_of(delta)))
-        return held.select(*[F.col(c).alias(f"_held_{c}") for c in columns])
+        groups = table.buckets_of(delta)
+        held = _live(table.read(before=batch_id, buckets=groups))
+        return held.select(*[F.col(c).alias(f"_held_{c}") for c in columns]), groups
 
     def _state(self) -> list[str]:
         out = []
@@ -246,7 +247,8 @@ class ChangelogJoin:
     """``foreachBatch`` target over ``tagged({"l": ..., "r": ...})`` that keeps a join of two feeds.
 
     Only join values that a changed row has, or had before, are joined again. Result
-    rows are keyed by the keys of both sides.
+    rows are keyed by the keys of both sides. ``salt`` as in ``join``, for many left
+    rows per join value.
     """
 
     def __init__(
@@ -259,10 +261,11 @@ class ChangelogJoin:
         left_seq: Sequence[str],
         right_seq: Sequence[str],
         op: str = "op",
-        buckets: int = 64,
+        buckets: int = DEFAULT_BUCKETS,
+        salt: int = 1,
     ):
         check_kind(how)
-        self.on, self.how, self.buckets = list(on), how, buckets
+        self.on, self.how, self.buckets, self.salt = list(on), how, buckets, salt
         self.sides = {
             "l": _Snapshot(f"{path}/left", left_keys, left_seq, op, buckets),
             "r": _Snapshot(f"{path}/right", right_keys, right_seq, op, buckets),
@@ -301,29 +304,33 @@ class ChangelogJoin:
             for frame in held_frames:
                 frame.unpersist()
 
-    def _side(self, name: str, table: KeyedTable, affected: DataFrame, before: int | None) -> DataFrame:
+    def _near(self, name: str, table: KeyedTable, affected: DataFrame) -> list[int] | None:
+        """Buckets that hold the affected join values, where a side is joined by its own key."""
+        on = self._on(name)
+        return table.buckets_of(affected, [f"_on{i}" for i in range(len(on))]) if on == table.keys else None
+
+    def _side(
+        self, name: str, table: KeyedTable, buckets: list[int] | None, affected: DataFrame, before: int | None
+    ) -> DataFrame:
         """Live rows with an affected join value, under a prefix per side."""
         on = self._on(name)
-        buckets = None
-        if on == table.keys:
-            # Joined by its own key: the values name the buckets to read.
-            kinds = table.schema
-            keys = affected.select(*[F.col(f"_on{i}").cast(kinds[c].dataType).alias(c) for i, c in enumerate(on)])
-            buckets = table.buckets_of(keys)
         rows = _live(table.read(before=before, buckets=buckets))
         pairs = [(c, f"_on{i}") for i, c in enumerate(on)]
         near = rows.join(affected, _same(rows, affected, pairs), "left_semi")
         return near.select(*[F.col(c).alias(f"{name}_{c}") for c in near.columns])
 
-    def _joined(self, tables: dict[str, KeyedTable], affected: DataFrame, before: int | None) -> DataFrame:
-        left = self._side("l", tables["l"], affected, before)
-        right = self._side("r", tables["r"], affected, before)
-        return join(left, right, [(f"l_{a}", f"r_{b}") for a, b in self.on], self.how)
+    def _joined(
+        self, tables: dict[str, KeyedTable], near: dict[str, list[int] | None], affected: DataFrame, before: int | None
+    ) -> DataFrame:
+        left = self._side("l", tables["l"], near["l"], affected, before)
+        right = self._side("r", tables["r"], near["r"], affected, before)
+        return join(left, right, [(f"l_{a}", f"r_{b}") for a, b in self.on], self.how, salt=self.salt)
 
     def _apply(self, tables: dict[str, KeyedTable], affected: DataFrame, batch_id: int) -> None:
         keys = [f"{name}_{k}" for name, side in self.sides.items() for k in side.keys]
-        new = self._joined(tables, affected, None)
-        old = self._joined(tables, affected, batch_id)
+        near = {name: self._near(name, table, affected) for name, table in tables.items()}
+        new = self._joined(tables, near, affected, None)
+        old = self._joined(tables, near, affected, batch_id)
         dropped = old.join(new.select(*keys), _same(old, new, [(k, k) for k in keys]), "left_anti")
         out = new.withColumn(OP, F.lit("u")).unionByName(dropped.withColumn(OP, F.lit(DELETE)))
         sink_upsert(out.withColumn(BATCH, F.lit(batch_id).cast("long")), self.out, keys, [BATCH], OP, batch_id, self.buckets)

@@ -68,7 +68,7 @@ def running_agg(stream: DataFrame, keys: Sequence[str], aggs: Aggs, ttl_millis:
     """Running aggregates per key with a state lifetime on the wall clock.
 
     Emits the new values of every key of a micro-batch. Needs the RocksDB state store
-    (``tableflow.session.SETTINGS``). Rows of a key arrive in Arrow batches, so a hot key
+    (``tableflow.session.STATE_SETTINGS``). Rows of a key arrive in Arrow batches, so a hot key
     is folded piece by piece.
     """
     check(aggs)
