@@ -48,13 +48,14 @@ def decode(
     return df.select(*keep, parsed.alias("_body")).select(*keep, "_body.*")
 
 
-def _kind(shape: Column, whole: Column, digits: Column) -> Column:
-    """Type name of a JSON value by its variant type, value as a whole number and length; null has none."""
+def _kind(shape: Column, number: Column) -> Column:
+    """Type name of a JSON value by its variant type and, for a number, its text; null has none."""
+    whole = number.try_cast("bigint")
     return (
         F.when(shape == "VOID", F.lit(None))
         .when(shape == "BOOLEAN", "BOOLEAN")
         .when(shape == "BIGINT", F.when(whole.between(-2147483648, 2147483647), "INT").otherwise("BIGINT"))
-        .when(shape.startswith("DECIMAL") & shape.endswith(",0)") & (digits > 18), "BIGINT")
+        .when(shape.startswith("DECIMAL") & shape.endswith(",0)") & (F.length(number) > 18), "BIGINT")
         .when(shape.startswith("DECIMAL") | shape.isin("DOUBLE", "FLOAT"), "DOUBLE")
         .when(shape.startswith("ARRAY"), "ARRAY")
         .when(shape.startswith("OBJECT"), "MAP")
@@ -75,13 +76,10 @@ def infer_schema(df: DataFrame, value: str = "value", sample: int | None = None)
     explode = bodies.sparkSession.tvf.variant_explode(F.try_parse_json(F.col("_body").outer()))
     # Elements of an array have no key. Generating the facts computes each once per value.
     fields = bodies.lateralJoin(explode).where(F.col("key").isNotNull())
-    facts = F.struct(
-        F.schema_of_variant("value").alias("shape"),
-        F.try_variant_get("value", "$", "bigint").alias("whole"),
-        F.length(F.col("value").cast("string")).alias("digits"),
-    )
-    found = fields.select("key", F.inline(F.array(facts)))
-    values = found.select(F.col("key").alias("name"), _kind(F.col("shape"), F.col("whole"), F.col("digits")).alias("kind"))
+    shape = F.schema_of_variant("value")
+    number = F.when(shape.startswith("BIGINT") | shape.startswith("DECIMAL"), F.col("value").cast("string"))
+    found = fields.select("key", F.inline(F.array(F.struct(shape.alias("shape"), number.alias("number")))))
+    values = found.select(F.col("key").alias("name"), _kind(F.col("shape"), F.col("number")).alias("kind"))
     seen = values.groupBy("name").agg(*[F.bool_or(F.col("kind") == k).alias(k) for k in INFERRED])
     has = {k: F.coalesce(F.col(k), F.lit(False)) for k in INFERRED}
     number = has["INT"] | has["BIGINT"] | has["DOUBLE"]

@@ -30,17 +30,17 @@ def start_mode(name: str | None) -> str:
 
 
 def positions(df: DataFrame) -> DataFrame:
-    """A ``topic, partition, offset`` list pulled into the plan as literal rows.
+    """A ``topic, partition, offset`` list, counted and marked for broadcast.
 
-    Its size is known from then on, so Spark broadcasts it by its own threshold
-    instead of shuffling the log. More rows than a broker can have partitions is an error.
+    It has one row per log partition, so the log itself need not be shuffled to meet it.
+    More rows than a broker can have partitions is an error.
     """
-    rows = df.select("topic", F.col("partition").cast("int"), F.col("offset").cast("long")).limit(MAX_PARTITIONS + 1).collect()
+    typed = df.select("topic", F.col("partition").cast("int"), F.col("offset").cast("long"))
+    rows = typed.limit(MAX_PARTITIONS + 1).collect()
     if len(rows) > MAX_PARTITIONS:
         raise ValueError("more positions than log partitions: aggregate to one row per topic and partition")
-    return df.sparkSession.createDataFrame(
-        [(r[0], r[1], r[2]) for r in rows], "_topic string, _partition int, _from long"
-    )
+    listed = [(r["topic"], r["partition"], r["offset"]) for r in rows]
+    return F.broadcast(df.sparkSession.createDataFrame(listed, "_topic string, _partition int, _from long"))
 
 
 def end_positions(df: DataFrame) -> DataFrame:

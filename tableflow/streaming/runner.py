@@ -47,6 +47,15 @@ def drain(stream: DataFrame, checkpoint: str, **target) -> StreamingQuery:
     return query
 
 
+def batch_folders(path: str) -> EachBatch:
+    """Files in one folder per batch; a batch that runs again replaces its folder."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return write
+
+
 def read_output(spark: SparkSession, path: str, stream: DataFrame) -> DataFrame:
     """What a query has written to its file target, in the stream's schema."""
     Files(spark).make_dirs(path)
@@ -72,15 +81,19 @@ def save_state(spark: SparkSession, checkpoint: str, saved: str) -> None:
     Files(spark).copy(checkpoint, saved)
 
 
-def restore(stream: DataFrame, saved: str, checkpoint: str, **target) -> StreamingQuery:
-    """Start a new run from a saved state; the saved copy stays as it is."""
+def restore(stream: DataFrame, saved: str, checkpoint: str, each_batch: EachBatch, mode: str = "append") -> StreamingQuery:
+    """Start a new run from a saved state; the saved copy stays as it is.
+
+    The file target of a stream keeps a log of its own that only fits the run it was
+    written by, so a restored run writes through ``each_batch`` (``batch_folders``).
+    """
     spark = stream.sparkSession
     if not has_state(spark, saved):
         raise ValueError(f"no saved state at {saved}")
     if has_state(spark, checkpoint):
         raise ValueError(f"{checkpoint} already holds a run")
     Files(spark).copy(saved, checkpoint)
-    return drain(stream, checkpoint, **target)
+    return drain(stream, checkpoint, each_batch=each_batch, mode=mode)
 
 
 def dropped_late(query: StreamingQuery) -> int:
