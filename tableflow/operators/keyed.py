@@ -27,6 +27,11 @@ def first_filled(*columns: str | Column) -> Column:
     return F.coalesce(*[F.nullif(_column(c).cast("string"), F.lit("")) for c in columns])
 
 
+def sort_time(*columns: str) -> Column:
+    """The first time that is there, neither null nor 0, as a number; else 0."""
+    return F.coalesce(*[F.nullif(F.col(c).cast("long"), F.lit(0)) for c in columns], F.lit(0))
+
+
 def _orderable(kind: T.DataType) -> bool:
     if isinstance(kind, T.StructType):
         return all(_orderable(f.dataType) for f in kind.fields)
@@ -119,23 +124,22 @@ def reconcile(recorded: DataFrame, observed: DataFrame, key: str, status: str =
     """Recorded rows (``state``, ``start``) brought in line with what is observed.
 
     An observed known status wins; a recorded RUNNING that nobody observes has FAILED;
-    a missing start time is taken from the observed side.
+    a missing (null or 0) start time is taken from the observed side.
     """
     seen = observed.select(
         F.col(key).alias("_key"), F.col(status).alias("_status"), F.col(start).alias("_start"), F.lit(True).alias("_seen")
     )
     joined = recorded.join(seen, recorded[key] == seen["_key"], "left")
+    began = F.when(
+        F.col("start").isNull() | (F.col("start") == 0), F.coalesce(F.nullif("_start", F.lit(0)), "start")
+    ).otherwise(F.col("start"))
     state = (
         F.when(F.col("_status").isin(*OBSERVED_STATES), F.col("_status"))
         .when(F.col("_seen").isNull() & (F.col("state") == "RUNNING"), F.lit("FAILED"))
         .otherwise(F.col("state"))
     )
-    return joined.select(
-        *[
-            state.alias(c) if c == "state" else F.coalesce(F.col("start"), F.col("_start")).alias(c) if c == "start" else recorded[c]
-            for c in recorded.columns
-        ]
-    )
+    changed = {"state": state, "start": began}
+    return joined.select(*[changed.get(c, recorded[c]).alias(c) for c in recorded.columns])
 
 
 def status_counts(df: DataFrame, state: str, statuses: Mapping[str, str]) -> DataFrame:

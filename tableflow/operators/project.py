@@ -79,7 +79,7 @@ def conform_to_sink(df: DataFrame, fields: Sequence[Mapping[str, object]]) -> tu
 
 
 def text_preview(df: DataFrame, column: str, length: int = 500) -> DataFrame:
-    """Listing form of a long text: its first characters and ``...``, with the full size."""
+    """Listing form of a long text: its first characters and ``...``, with its full size in bytes."""
     text = F.col(f"`{column}`")
     short = F.when(F.length(text) > length, F.concat(F.substring(text, 1, length), F.lit("..."))).otherwise(text)
-    return df.select(*[c for c in df.columns if c != column], short.alias("preview"), F.length(text).alias("size"))
+    return df.select(*[c for c in df.columns if c != column], short.alias("preview"), F.octet_length(text).alias("size"))

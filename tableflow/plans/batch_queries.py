@@ -48,7 +48,7 @@ def filtered(spark, sf):
 @query(
     "text_preview",
     "select doc_id, case when length(text) > 500 then substring(text, 1, 500) || '...' else text end preview,"
-    " cast(length(text) as int) size from documents",
+    " cast(strlen(text) as int) size from documents",
 )
 def preview(spark, sf):
     return text_preview(table(spark, sf, "documents").select("doc_id", "text"), "text")

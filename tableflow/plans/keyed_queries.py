@@ -17,6 +17,7 @@ from tableflow.operators.keyed import (
     prune_to_latest,
     read_operations,
     reconcile,
+    sort_time,
     status_counts,
     with_elapsed,
     with_latest_child,
@@ -36,10 +37,10 @@ LINES = ["l_linenumber", "l_shipdate", "l_partkey"]
 
 @query(
     "latest_per_name",
-    f"with {RUNS}, named as (select coalesce(nullif(nullif(c_name, ''), 'none'), nullif(cast(o_custkey as varchar), ''),"
-    " cast(o_orderkey as varchar)) as name, o_orderkey, state, start from runs join customer on o_custkey = c_custkey)"
-    " select name, o_orderkey, state, start from named"
-    " qualify row_number() over (partition by name order by coalesce(start, 0) desc, o_orderkey desc) = 1",
+    f"with {RUNS}, named as (select coalesce(nullif(c_name, ''), nullif(cast(o_custkey as varchar), ''),"
+    " cast(o_orderkey as varchar)) as name, o_orderkey, state, start, case when state = 'FINISHED' then start + 1000 end as \"end\""
+    " from runs join customer on o_custkey = c_custkey) select name, o_orderkey, state, start, \"end\" from named"
+    " qualify row_number() over (partition by name order by coalesce(\"end\", start, 0) desc, o_orderkey desc) = 1",
 )
 def latest_per_name(spark, sf):
     orders = runs(table(spark, sf, "orders"))
@@ -47,8 +48,9 @@ def latest_per_name(spark, sf):
     named = orders.join(customer, orders.o_custkey == customer.c_custkey).withColumn(
         "name", first_filled("c_name", "o_custkey", "o_orderkey")
     )
-    newest = F.coalesce(F.col("start"), F.lit(0))
-    return latest_per(named.select("name", "o_orderkey", "state", "start"), ["name"], [newest, "o_orderkey"])
+    ended = F.when(F.col("state") == "FINISHED", F.col("start") + 1000)
+    rows = named.select("name", "o_orderkey", "state", "start", ended.alias("end"))
+    return latest_per(rows, ["name"], [sort_time("end", "start"), "o_orderkey"])
 
 
 @query(

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from pyarrow import fs as filesystem
 from pyspark.sql import SparkSession
 
+# Files one task copies, and the most tasks that share a folder.
+FILES_PER_TASK = 32
+COPY_TASKS = 256
+
 
 class Files:
     """Lists, reads, publishes and copies on whatever store a path lives on."""
@@ -62,7 +67,33 @@ class Files:
         fs, at = self._at(path)
         fs.delete(at, True)
 
-    def copy(self, source: str, target: str) -> None:
-        fs, src = self._at(source)
-        target_fs, dst = self._at(target)
-        self._fs.FileUtil.copy(fs, src, target_fs, dst, False, self._conf)
+    def copy_tree(self, source: str, target: str) -> None:
+        """Copy all files below a folder, shared out over tasks; only their names pass the driver."""
+        fs, at = self._at(source)
+        root = fs.makeQualified(at).toUri().getPath()
+        found = fs.listFiles(at, True)
+        names = []
+        while found.hasNext():
+            names.append(found.next().getPath().toUri().getPath()[len(root) + 1 :])
+        if not names:
+            return
+        copied_from, copied_to = self._address(source), self._address(target)
+
+        def copy(parts):
+            for part in parts:
+                for name in part["name"]:
+                    (reader, start), (writer, end) = (filesystem.FileSystem.from_uri(a) for a in (copied_from, copied_to))
+                    if isinstance(writer, filesystem.LocalFileSystem):
+                        writer.create_dir(f"{end}/{name}".rsplit("/", 1)[0], recursive=True)
+                    filesystem.copy_files(f"{start}/{name}", f"{end}/{name}", reader, writer)
+                yield part
+
+        listed = self.spark.createDataFrame([(n,) for n in names], "name string")
+        tasks = listed.repartition(min(COPY_TASKS, 1 + len(names) // FILES_PER_TASK))
+        tasks.mapInPandas(copy, "name string").write.format("noop").mode("overwrite").save()
+
+    def _address(self, path: str) -> str:
+        """A path as tasks address it: plain for a mounted folder, else with scheme and host."""
+        fs, at = self._at(path)
+        uri = fs.makeQualified(at).toUri()
+        return uri.getPath() if uri.getScheme() == "file" else uri.toString()

@@ -25,6 +25,7 @@ BATCH = "_batch"
 OP = "_op"
 ROWS = "_rows"
 SIGN = "_sign"
+STEP = "_step"
 
 
 def tagged(sources: dict[str, DataFrame]) -> DataFrame:
@@ -327,14 +328,19 @@ class ChangelogJoin:
         return join(left, right, [(f"l_{a}", f"r_{b}") for a, b in self.on], self.how, salt=self.salt)
 
     def _apply(self, tables: dict[str, KeyedTable], affected: DataFrame, batch_id: int) -> None:
+        """Take back the old result rows and write the new ones: of a key that has both, the new one stays."""
         keys = [f"{name}_{k}" for name, side in self.sides.items() for k in side.keys]
         near = {name: self._near(name, table, affected) for name, table in tables.items()}
         new = self._joined(tables, near, affected, None)
         old = self._joined(tables, near, affected, batch_id)
-        dropped = old.join(new.select(*keys), _same(old, new, [(k, k) for k in keys]), "left_anti")
-        out = new.withColumn(OP, F.lit("u")).unionByName(dropped.withColumn(OP, F.lit(DELETE)))
-        sink_upsert(out.withColumn(BATCH, F.lit(batch_id).cast("long")), self.out, keys, [BATCH], OP, batch_id, self.buckets)
+        back = old.select(*[old[f.name] if f.name in keys else F.lit(None).cast(f.dataType).alias(f.name) for f in new.schema])
+        stamped = [
+            frame.withColumns({BATCH: F.lit(batch_id).cast("long"), STEP: F.lit(step), OP: F.lit(op)})
+            for frame, step, op in ((back, 0, DELETE), (new, 1, "u"))
+        ]
+        out = stamped[0].unionByName(stamped[1])
+        sink_upsert(out, self.out, keys, [BATCH, STEP], OP, batch_id, self.buckets)
 
     def result(self, spark: SparkSession) -> DataFrame:
         """The join as it stands; columns carry ``l_`` or ``r_``."""
-        return read_upserted(spark, self.out).drop(BATCH)
+        return read_upserted(spark, self.out).drop(BATCH, STEP)

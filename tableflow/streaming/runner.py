@@ -78,7 +78,7 @@ def save_state(spark: SparkSession, checkpoint: str, saved: str) -> None:
     query_id = json.loads(Files(spark).read(f"{checkpoint}/metadata"))["id"]
     if spark.streams.get(query_id) is not None:
         raise ValueError("stop the query before its state is copied")
-    Files(spark).copy(checkpoint, saved)
+    Files(spark).copy_tree(checkpoint, saved)
 
 
 def restore(stream: DataFrame, saved: str, checkpoint: str, each_batch: EachBatch, mode: str = "append") -> StreamingQuery:
@@ -92,7 +92,7 @@ def restore(stream: DataFrame, saved: str, checkpoint: str, each_batch: EachBatc
         raise ValueError(f"no saved state at {saved}")
     if has_state(spark, checkpoint):
         raise ValueError(f"{checkpoint} already holds a run")
-    Files(spark).copy(saved, checkpoint)
+    Files(spark).copy_tree(saved, checkpoint)
     return drain(stream, checkpoint, each_batch=each_batch, mode=mode)
 
 

@@ -22,62 +22,80 @@ def lifetime_agg(df: DataFrame, time: str, keys: Sequence[str], aggs: Aggs, ttl:
     return window_agg(df, time, session(ttl), keys, aggs, watermark=ttl if df.isStreaming else None)
 
 
+def _folded(part: pd.DataFrame, keys: list[str], aggs: dict[str, tuple[str, str]]) -> pd.DataFrame:
+    """One row per key with, per aggregate, a count and a total or extreme."""
+    groups = part.groupby(keys, dropna=False, sort=False)
+    out = {}
+    for alias, (name, column) in aggs.items():
+        out[f"{alias}_n"] = groups.size() if column == "*" else groups[column].count()
+        if name == "count":
+            out[f"{alias}_v"] = float("nan")
+        elif name in ("sum", "avg"):
+            out[f"{alias}_v"] = groups[column].sum(min_count=1)
+        else:
+            out[f"{alias}_v"] = getattr(groups[column], name)()
+    return pd.DataFrame(out, index=groups.size().index).reset_index()
+
+
 class _Running(StatefulProcessor):
-    """Count, sum, minimum and maximum per value column, kept as one state row per key."""
+    """Folds pieces into one state row per key: a count and a value per aggregate."""
 
     def __init__(self, keys: list[str], aggs: dict[str, tuple[str, str]], ttl_millis: int):
         self.keys, self.aggs, self.ttl_millis = keys, aggs, ttl_millis
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        fields = []
-        for alias in self.aggs:
-            fields.append(T.StructField(f"{alias}_n", T.LongType()))
-            fields.append(T.StructField(f"{alias}_v", T.DoubleType()))
-        self.state = handle.getValueState("running", T.StructType(fields), ttlDurationMs=self.ttl_millis)
+        self.state = handle.getValueState("running", _pieces(self.aggs), ttlDurationMs=self.ttl_millis)
 
     def handleInputRows(self, key, rows, timerValues):
-        held = list(self.state.get()) if self.state.exists() else [0, None] * len(self.aggs)
-        for part in rows:
-            for i, (name, column) in enumerate(self.aggs.values()):
-                n, v = held[2 * i], held[2 * i + 1]
-                if column == "*":
-                    held[2 * i] = n + len(part)
-                    continue
-                values = part[column].dropna()
-                held[2 * i] = n + len(values)
-                if name == "count" or values.empty:
-                    continue
-                if name in ("sum", "avg"):
-                    held[2 * i + 1] = float(values.sum()) + (v or 0.0)
-                elif name == "min":
-                    held[2 * i + 1] = float(values.min()) if v is None else min(v, float(values.min()))
-                else:
-                    held[2 * i + 1] = float(values.max()) if v is None else max(v, float(values.max()))
+        names = [field.name for field in _pieces(self.aggs).fields]
+        parts = [pd.DataFrame([self.state.get()], columns=names)] if self.state.exists() else []
+        parts += [part[names] for part in rows]
+        # The pieces are few: each task has folded its rows already.
+        pieces = pd.concat(parts).astype({name: float for name in names if name.endswith("_v")})
+        held, out = [], dict(zip(self.keys, [[k] for k in key], strict=True))
+        for alias, (name, _) in self.aggs.items():
+            n, values = int(pieces[f"{alias}_n"].sum()), pieces[f"{alias}_v"].dropna()
+            value = None
+            if len(values):
+                value = float(values.sum() if name in ("sum", "avg") else getattr(values, name)())
+            held += [n, value]
+            out[alias] = [n if name == "count" else value / n if name == "avg" and n else value]
         self.state.update(tuple(held))
-        out = dict(zip(self.keys, [[k] for k in key], strict=True))
-        for i, (alias, (name, _)) in enumerate(self.aggs.items()):
-            n, v = held[2 * i], held[2 * i + 1]
-            out[alias] = [n if name == "count" else v / n if name == "avg" and n else v]
         yield pd.DataFrame(out)
 
     def close(self) -> None:
         pass
 
 
+def _pieces(aggs: dict[str, tuple[str, str]]) -> T.StructType:
+    fields = []
+    for alias in aggs:
+        fields += [T.StructField(f"{alias}_n", T.LongType()), T.StructField(f"{alias}_v", T.DoubleType())]
+    return T.StructType(fields)
+
+
 def running_agg(stream: DataFrame, keys: Sequence[str], aggs: Aggs, ttl_millis: int) -> DataFrame:
     """Running aggregates per key with a state lifetime on the wall clock.
 
     Emits the new values of every key of a micro-batch. Needs the RocksDB state store
-    (``tableflow.session.STATE_SETTINGS``). Rows of a key arrive in Arrow batches, so a hot key
-    is folded piece by piece.
+    (``tableflow.session.STATE_SETTINGS``). Rows are folded per Arrow batch before the
+    shuffle, so a hot key costs a few rows per task.
     """
     check(aggs)
-    fields = [stream.schema[k] for k in keys]
-    for alias, (name, _) in aggs.items():
-        fields.append(T.StructField(alias, T.LongType() if name == "count" else T.DoubleType()))
-    return stream.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=_Running(list(keys), dict(aggs), ttl_millis),
-        outputStructType=T.StructType(fields),
+    keys, aggs = list(keys), dict(aggs)
+    by = [stream.schema[k] for k in keys]
+    columns = {column for _, column in aggs.values() if column != "*"}
+
+    def fold(parts):
+        for part in parts:
+            if len(part):
+                yield _folded(part, keys, aggs)
+
+    pieces = stream.select(*keys, *sorted(columns - set(keys))).mapInPandas(fold, T.StructType([*by, *_pieces(aggs).fields]))
+    results = [T.StructField(a, T.LongType() if name == "count" else T.DoubleType()) for a, (name, _) in aggs.items()]
+    return pieces.groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=_Running(keys, aggs, ttl_millis),
+        outputStructType=T.StructType([*by, *results]),
         outputMode="update",
         timeMode="processingTime",
     )

@@ -12,6 +12,7 @@ from tableflow.operators.keyed import (
     page,
     prune_by_name,
     reconcile,
+    sort_time,
     with_elapsed,
     with_latest_child,
 )
@@ -33,6 +34,11 @@ def test_name_falls_through_null_and_empty(spark):
     assert rows(df.select(first_filled("x", "y", "id"))) == [("7",), ("a",), ("b",)]
 
 
+def test_sort_time_skips_null_and_zero(spark):
+    df = spark.createDataFrame([(None, None), (0, 3), (9, 3)], "e long, s long")
+    assert [r[0] for r in df.select(sort_time("e", "s")).collect()] == [0, 3, 9]
+
+
 def test_children_of_parents_without_any(spark):
     parent = spark.createDataFrame([(1,), (2,)], "id int")
     child = spark.createDataFrame([(1, 10, "old"), (1, 20, "new")], "parent int, t int, path string")
@@ -63,7 +69,7 @@ def test_newest_entry_skips_rows_without_path(spark):
 
 def test_reconcile(spark):
     recorded = spark.createDataFrame(
-        [(1, "RUNNING", None), (2, "RUNNING", 5), (3, "FINISHED", 6), (4, "CREATED", None)], "id int, state string, start long"
+        [(1, "RUNNING", None), (2, "RUNNING", 5), (3, "FINISHED", 6), (4, "CREATED", 0)], "id int, state string, start long"
     )
     observed = spark.createDataFrame([(1, "RUNNING", 11), (4, "CREATED", 12), (3, "FAILED", 1)], "id int, status string, start long")
     assert rows(reconcile(recorded, observed, "id")) == [

@@ -76,8 +76,8 @@ def test_mapping_without_list_keeps_all(spark):
 
 
 def test_preview_marks_only_cut_texts(spark):
-    df = spark.createDataFrame([("x" * 500,), ("y" * 501,)], "t string")
-    assert rows(text_preview(df, "t")) == [("x" * 500, 500), ("y" * 500 + "...", 501)]
+    df = spark.createDataFrame([("x" * 500,), ("é" * 501,)], "t string")
+    assert rows(text_preview(df, "t")) == [("x" * 500, 500), ("é" * 500 + "...", 1002)]
 
 
 JSON = [
