@@ -116,13 +116,13 @@ RIGHT = [event(11, "a", "00:30:00"), event(12, "b", "03:30:00"), event(13, "d",
 BEAT = [event(-1, "zz", "23:00:00")]
 
 
-@pytest.mark.parametrize("salt", [1, 3])
-@pytest.mark.parametrize("how", ["inner", "left", "right", "full"])
-def test_outer_stream_joins(spark, folder, how, salt):
-    if salt > 1 and how in ("right", "full"):
-        pytest.skip("salt goes with inner and left")
+@pytest.mark.parametrize(
+    "how, salt, hot", [("inner", 3, None), ("left", 1, None), ("left", 3, "a"), ("right", 1, None), ("full", 1, None)]
+)
+def test_outer_stream_joins(spark, folder, how, salt, hot):
+    hot = hot and spark.createDataFrame([(hot,)], "k string")
     left, right = (Feed(spark, folder, n, EVENT) for n in ("l", "r"))
-    out = stream_join(left.stream, right.stream, [("k", "k")], how, ["id"], ["id"], times=("ts", "ts"), within="1 hour", salt=salt)
+    out = stream_join(left.stream, right.stream, [("k", "k")], how, ["id"], ["id"], times=("ts", "ts"), within="1 hour", salt=salt, hot=hot)
     out = out.toDF("l", "r")
     for l, r in ((LEFT, RIGHT), (BEAT, BEAT)):
         left.add(frame(spark, l))
