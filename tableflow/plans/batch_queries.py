@@ -216,13 +216,13 @@ WINDOW_AGGS = {"n": ("count", "*"), "mean": ("avg", "value"), "top": ("max", "va
 
 
 def _rounded(df):
-    return df.withColumn("mean", F.round("mean", 6))
+    return df.withColumn("mean", F.round("mean", 8))
 
 
 @query(
     "window_tumble",
     "select time_bucket(interval 1 hour, ts) window_start, time_bucket(interval 1 hour, ts) + interval 1 hour window_end,"
-    " event_type, count(*) n, round(avg(value), 6) mean, max(value) top from events group by 1, 2, 3",
+    " event_type, count(*) n, round(avg(value), 8) mean, max(value) top from events group by 1, 2, 3",
 )
 def window_tumble(spark, sf):
     return _rounded(window_agg(table(spark, sf, "events"), "ts", tumble("1 hour"), ["event_type"], WINDOW_AGGS))
@@ -230,7 +230,7 @@ def window_tumble(spark, sf):
 
 @query(
     "window_hop",
-    "select ws window_start, ws + interval 2 hour window_end, event_type, count(*) n, round(avg(value), 6) mean,"
+    "select ws window_start, ws + interval 2 hour window_end, event_type, count(*) n, round(avg(value), 8) mean,"
     " max(value) top from (select time_bucket(interval 1 hour, ts) - to_hours(k) ws, event_type, value"
     " from events, (select unnest([0, 1]) k)) group by 1, 2, 3",
 )
@@ -243,7 +243,7 @@ SESSIONS = (
     " from events window w as (partition by user_id order by ts)),"
     " b as (select *, sum(f) over (partition by user_id order by ts rows unbounded preceding) s from a)"
     " select min(ts) window_start, max(ts) + interval {gap} window_end, user_id, count(*) n,"
-    " round(avg(value), 6) mean, max(value) top from b group by user_id, s"
+    " round(avg(value), 8) mean, max(value) top from b group by user_id, s"
 )
 
 

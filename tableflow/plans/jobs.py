@@ -14,6 +14,7 @@ from tableflow.operators.project import map_fields
 from tableflow.sinks.bulk import bulk_load
 from tableflow.sinks.jdbc import sink_jdbc
 from tableflow.sinks.keyed_table import DEFAULT_BUCKETS
+from tableflow.sinks.models import load_unique
 from tableflow.sinks.upsert import sink_upsert
 from tableflow.sources.decode import decode
 from tableflow.sources.logs import read_log, scan_log
@@ -83,7 +84,9 @@ def _write(target: Mapping[str, object], rows: DataFrame, batch_id: int) -> None
     elif kind == "bulk":
         bulk_load(rows, batch_id, target["path"], target["fields"], target.get("label_prefix", "load"))
     elif kind == "jdbc":
-        sink_jdbc(rows, target["url"], target["table"], target.get("keys"), **target.get("options", {}))
+        keys, options = target.get("keys"), target.get("options", {})
+        newest = load_unique(rows, keys, target["seq"]) if keys else rows
+        sink_jdbc(newest, target["url"], target["table"], keys, target.get("op"), target.get("fields"), **options)
     else:
         raise ValueError(f"target type {kind!r}, expected files, upsert, bulk or jdbc")
 

@@ -50,16 +50,16 @@ def _windows(spark, sf, name, spec, by):
     out = window_agg(zoned(_events(spark, sf), "ts"), "ts", spec, by, WINDOW_AGGS, watermark="1 hour")
     drain(out, f"{base}/checkpoint", path=f"{base}/out")
     closed = naive(read_output(spark, f"{base}/out", out), "window_start", "window_end")
-    return closed.withColumn("mean", F.round("mean", 6))
+    return closed.withColumn("mean", F.round("mean", 8))
 
 
 CLOSED = "select * from ({}) where window_end <= (select max(ts) - interval 1 hour from events)"
 TUMBLE = (
     "select time_bucket(interval 1 hour, ts) window_start, time_bucket(interval 1 hour, ts) + interval 1 hour window_end,"
-    " event_type, count(*) n, round(avg(value), 6) mean, max(value) top from events group by 1, 2, 3"
+    " event_type, count(*) n, round(avg(value), 8) mean, max(value) top from events group by 1, 2, 3"
 )
 HOP = (
-    "select ws window_start, ws + interval 2 hour window_end, event_type, count(*) n, round(avg(value), 6) mean,"
+    "select ws window_start, ws + interval 2 hour window_end, event_type, count(*) n, round(avg(value), 8) mean,"
     " max(value) top from (select time_bucket(interval 1 hour, ts) - to_hours(k) ws, event_type, value"
     " from events, (select unnest([0, 1]) k)) group by 1, 2, 3"
 )
@@ -92,7 +92,7 @@ def late_data(spark, sf):
     events.where("event_type = 'error'").write.parquet(f"{base}/again/part=0")
     resume(out, f"{base}/checkpoint", path=f"{base}/out")
     closed = naive(read_output(spark, f"{base}/out", out), "window_start", "window_end")
-    return closed.withColumn("mean", F.round("mean", 6))
+    return closed.withColumn("mean", F.round("mean", 8))
 
 
 # Joins
@@ -175,7 +175,7 @@ def state_ttl(spark, sf):
     out = lifetime_agg(zoned(_events(spark, sf), "ts"), "ts", ["user_id"], WINDOW_AGGS, "12 hours")
     drain(out, f"{base}/checkpoint", path=f"{base}/out")
     closed = naive(read_output(spark, f"{base}/out", out), "window_start", "window_end")
-    return closed.withColumn("mean", F.round("mean", 6))
+    return closed.withColumn("mean", F.round("mean", 8))
 
 
 def _upsert_totals(path, buckets):

@@ -20,6 +20,11 @@ def _column(field: Mapping[str, object]) -> str:
     return f"`{field['name']}` {kind}"
 
 
+def column_types(fields: Sequence[Mapping[str, object]]) -> str:
+    """Column list of a form's fields with the types a target is created with."""
+    return ", ".join(map(_column, fields))
+
+
 def create_statement(
     name: str,
     fields: Sequence[Mapping[str, object]],
@@ -45,7 +50,7 @@ def create_statement(
     listed = ", ".join(f"'{k}' = '{v}'" for k, v in properties.items())
     place = f" LOCATION '{location}'" if location else ""
     return (
-        f"CREATE TABLE IF NOT EXISTS {name} ({', '.join(map(_column, fields))}) USING parquet"
+        f"CREATE TABLE IF NOT EXISTS {name} ({column_types(fields)}) USING parquet"
         f" CLUSTERED BY ({cluster}) INTO {buckets} BUCKETS{place} TBLPROPERTIES ({listed})"
     )
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tableflow.sinks.catalog import column_types
 from tableflow.sources.changes import DELETE
 
 # Rows per batch and tries of a JDBC target.
@@ -73,6 +74,7 @@ def sink_jdbc(
     table: str,
     keys: Sequence[str] | None = None,
     op: str | None = None,
+    fields: Sequence[Mapping[str, object]] | None = None,
     batch_rows: int = BATCH_ROWS,
     retries: int = RETRIES,
     connections: int = 16,
@@ -83,11 +85,17 @@ def sink_jdbc(
     Without keys rows are appended and a failed write is not tried again as a whole,
     since part of it may be in the table. With keys the batch, one row per key
     (``load_unique``), replaces staging tables, which can be repeated; the target then
-    takes over upserts and, where ``op`` says so, deletes in one transaction.
+    takes over upserts and, where ``op`` says so, deletes in one transaction. ``fields``
+    gives the text lengths and decimal digits of a table that is created; other types follow
+    Spark's dialect for the database.
     """
 
     def writer(rows: DataFrame, name: str):
         out = rows.write.format("jdbc").options(**options).option("url", url).option("dbtable", name)
+        if fields:
+            # Text lengths and decimal digits only: names of other types differ between databases.
+            sized = [f for f in fields if f["name"] in rows.columns and str(f["type"]).upper() in ("STRING", "DECIMAL")]
+            out = out.option("createTableColumnTypes", column_types(sized))
         return out.option("batchsize", batch_rows).option("numPartitions", connections)
 
     if not keys:

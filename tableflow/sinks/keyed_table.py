@@ -79,23 +79,29 @@ class KeyedTable:
         commits = self.files.names(f"{self.path}/_commits")
         return int(commits[-1].split(".")[0]) if commits else -1
 
-    def _commit(self, before: int | None) -> tuple[int, dict[str, str]]:
-        """Batch id and bucket directories of the newest commit, of a batch below ``before``."""
+    def _commit(self, before: int | None) -> dict[str, dict]:
+        """The newest commit, of a batch below ``before``: the folder of every bucket, and
+        how many buckets each folder was written with."""
         for name in reversed(self.files.names(f"{self.path}/_commits")):
-            batch = int(name.split(".")[0])
-            if before is None or batch < before:
-                return batch, json.loads(self.files.read(f"{self.path}/_commits/{name}"))
-        return -1, {}
+            if before is None or int(name.split(".")[0]) < before:
+                return json.loads(self.files.read(f"{self.path}/_commits/{name}"))
+        return {"held": {}, "written": {}}
 
     def read(self, before: int | None = None, buckets: Sequence[int] | None = None) -> DataFrame:
         """The rows as committed, optionally as of before a batch and for some buckets only."""
-        _, held = self._commit(before)
-        if buckets is not None:
-            held = {b: held[str(b)] for b in buckets if str(b) in held}
-        if not held:
+        commit = self._commit(before)
+        wanted = commit["held"] if buckets is None else {str(b) for b in buckets} & set(commit["held"])
+        folders: dict[str, list[str]] = {}
+        for bucket in wanted:
+            folders.setdefault(commit["held"][bucket], []).append(bucket)
+        paths = []
+        for folder, members in folders.items():
+            whole = len(members) == commit["written"][folder]
+            paths += [f"{self.path}/{folder}"] if whole else [f"{self.path}/{folder}/{BUCKET}={b}" for b in members]
+        if not paths:
             return self.spark.createDataFrame([], self.schema)
-        paths = [f"{self.path}/{directory}" for directory in held.values()]
-        return self.spark.read.schema(self.schema).parquet(*paths)
+        reader = self.spark.read.schema(self.schema).option("basePath", f"{self.path}/data")
+        return reader.parquet(*paths).select(*self.schema.names)
 
     def buckets_of(self, rows: DataFrame, keys: Sequence[str] | None = None) -> list[int]:
         """Buckets the keys of ``rows`` fall into: at most as many as the table has."""
@@ -127,10 +133,11 @@ class KeyedTable:
         # Equal keys of another integer width would hash to another bucket: take the table's types.
         typed = rows.select(*[F.col(f.name).cast(f.dataType) for f in self.schema.fields])
         fresh = typed if folded else fold(typed, self.keys).select(*self.schema.names)
-        _, held = self._commit(before=batch_id)
-        if not held:
+        commit = self._commit(before=batch_id)
+        if not commit["held"]:
             # Nothing to fold in yet: the folders the write makes tell the buckets.
-            return self._publish(fresh.withColumn(BUCKET, self.bucket_of()).repartition(self.buckets, BUCKET), {}, batch_id)
+            placed = fresh.withColumn(BUCKET, self.bucket_of()).repartition(self.buckets, BUCKET)
+            return self._publish(placed, commit, batch_id)
         keep = not folded and touched is None
         if keep:
             fresh = fresh.persist(StorageLevel.MEMORY_AND_DISK)
@@ -144,35 +151,36 @@ class KeyedTable:
             # Hash partitioning by bucket also clusters (bucket, key): the fold adds no
             # shuffle, and each task writes whole buckets.
             placed = both.repartition(len(touched), BUCKET)
-            return self._publish(fold(placed, [BUCKET, *self.keys]), held, batch_id)
+            return self._publish(fold(placed, [BUCKET, *self.keys]), commit, batch_id)
         finally:
             if keep:
                 fresh.unpersist()
 
-    def _publish(self, rows: DataFrame, held: dict[str, str], batch_id: int) -> list[int]:
+    def _publish(self, rows: DataFrame, commit: dict[str, dict], batch_id: int) -> list[int]:
         """Write whole buckets, then the commit that points to them."""
-        directory = f"data/{batch_id:020d}-{uuid.uuid4().hex}"
-        rows.write.partitionBy(BUCKET).parquet(f"{self.path}/{directory}")
-        marks = [n for n in self.files.names(f"{self.path}/{directory}") if n.startswith(f"{BUCKET}=")]
-        written = sorted(int(name.split("=")[1]) for name in marks)
+        folder = f"data/commit={batch_id:020d}-{uuid.uuid4().hex}"
+        rows.write.partitionBy(BUCKET).parquet(f"{self.path}/{folder}")
+        marks = [n for n in self.files.names(f"{self.path}/{folder}") if n.startswith(f"{BUCKET}=")]
+        touched = sorted(int(name.split("=")[1]) for name in marks)
         tries = [n for n in self.files.names(f"{self.path}/_commits") if n.startswith(f"{batch_id:020d}.")]
-        if written or tries:
-            held = held | {str(bucket): f"{directory}/{BUCKET}={bucket}" for bucket in written}
+        if touched or tries:
+            held = commit["held"] | {str(bucket): folder for bucket in touched}
+            sizes = commit["written"] | {folder: len(touched)}
+            new = {"held": held, "written": {f: sizes[f] for f in set(held.values())}}
             name = f"{batch_id:020d}.{len(tries):04d}.json"
-            if not self.files.publish(f"{self.path}/_commits/{name}", json.dumps(held)):
+            if not self.files.publish(f"{self.path}/_commits/{name}", json.dumps(new)):
                 raise RuntimeError(f"another writer published {name} of {self.path}")
-        return written
+        return touched
 
     def vacuum(self, keep: int = 2) -> int:
-        """Remove directories that the newest ``keep`` commits do not use; returns how many."""
+        """Remove folders that the newest ``keep`` commits do not use; returns how many."""
         commits = self.files.names(f"{self.path}/_commits")
         used = set()
         for name in commits[-keep:]:
-            held = json.loads(self.files.read(f"{self.path}/_commits/{name}"))
-            used |= {directory.split("/")[1] for directory in held.values()}
+            used |= set(json.loads(self.files.read(f"{self.path}/_commits/{name}"))["written"])
         for name in commits[:-keep]:
             self.files.delete(f"{self.path}/_commits/{name}")
-        stale = [d for d in self.files.names(f"{self.path}/data") if d not in used]
-        for directory in stale:
-            self.files.delete(f"{self.path}/data/{directory}")
+        stale = [f"data/{name}" for name in self.files.names(f"{self.path}/data") if f"data/{name}" not in used]
+        for folder in stale:
+            self.files.delete(f"{self.path}/{folder}")
         return len(stale)

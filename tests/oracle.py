@@ -42,7 +42,7 @@ def kinds(table):
 def compare(con, frame, sql):
     """None when equal, else what differs."""
     got = frame.toArrow()
-    want = con.execute(sql).to_arrow_table() if hasattr(con.execute("select 1"), "to_arrow_table") else con.execute(sql).fetch_arrow_table()
+    want = con.sql(sql).to_arrow_table()
     if kinds(got) != kinds(want):
         return f"types {kinds(got)} != {kinds(want)}"
     names, a = rows_of(got)

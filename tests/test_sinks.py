@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tableflow.sinks import jdbc
 from tableflow.sinks.bulk import LoadRejected, bulk_load, read_loaded, read_rejected
-from tableflow.sinks.catalog import create_statement
+from tableflow.sinks.catalog import column_types, create_statement
 from tableflow.sinks.files import Files
 from tableflow.sinks.keyed_table import FEWEST, KeyedTable, buckets_for
 from tableflow.sinks.models import load_aggregate
@@ -45,10 +45,11 @@ def test_upsert_equals_a_dict_in_any_order(spark, changes, seed, batches):
 def test_untouched_buckets_are_not_written_again(spark, folder):
     df = spark.range(100).selectExpr("cast(id as int) k", "0 v", "0 seq")
     table = sink_upsert(df, f"{folder}/t", ["k"], ["seq"], buckets=10)
-    _, before = table._commit(None)
+    before = table._commit(None)["held"]
     sink_upsert(df.where("k = 7").withColumn("v", F.lit(1)).withColumn("seq", F.lit(1)), f"{folder}/t", ["k"], ["seq"])
-    _, after = table._commit(None)
+    after = table._commit(None)["held"]
     assert sum(before[b] != after[b] for b in before) == 1
+    assert len(table.read().inputFiles()) == len(after)
     assert read_upserted(spark, f"{folder}/t").where("v = 1").count() == 1
     assert read_upserted(spark, f"{folder}/t").count() == 100
 
@@ -157,6 +158,11 @@ def test_merge_statements():
     assert jdbc.delete_statement("t", "r", ["a", "b"]) == "DELETE FROM t WHERE EXISTS (SELECT 1 FROM r WHERE r.a = t.a AND r.b = t.b)"
 
 
+def test_target_column_types():
+    fields = [{"name": "s", "type": "STRING"}, {"name": "d", "type": "DECIMAL", "precision": 8, "scale": 2}]
+    assert column_types(fields) == "`s` VARCHAR(255), `d` decimal(8,2)"
+
+
 def test_retries_stop():
     calls = []
 
