@@ -10,11 +10,11 @@ from tableflow.plans.registry import query
 from tableflow.session import work_dir
 from tableflow.sinks.keyed_table import buckets_for
 from tableflow.sources.changes import (
+    by_chunk,
     cdc_decode,
     cdc_encode,
     cdc_incremental_snapshot,
     cdc_initial,
-    chunk_of,
     key_splits,
     with_server_zone,
 )
@@ -66,9 +66,7 @@ def incremental(spark, sf):
     splits = key_splits(snapshot, "user_id", chunks)
     last = changes.agg(F.max("event_id").alias("last")).first()["last"]
     marks = {i: (last * (i + 1) // (chunks + 1),) for i in range(chunks)}
-    mark = F.lit(None).cast("long")
-    for i, (position,) in marks.items():
-        mark = F.when(chunk_of(F.col("user_id"), splits) == i, F.lit(position)).otherwise(mark)
+    mark = by_chunk(F.col("user_id"), splits, [F.lit(marks[i][0]) for i in range(len(splits) + 1)])
     as_read = cdc_initial(snapshot, changes.where(F.col("event_id") <= mark), ["user_id"], ["event_id"])
     return cdc_incremental_snapshot(as_read, changes, ["user_id"], ["event_id"], splits, marks)
 

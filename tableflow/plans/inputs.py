@@ -74,12 +74,8 @@ def heartbeat(spark: SparkSession, df: DataFrame, time: str, key: str) -> DataFr
     It moves the watermark past all real rows, so that a join gives out what it holds back.
     """
     late = F.max(time) + F.expr("interval 10 years")
-    row = df.agg(late.alias(time)).select(
-        *[
-            F.col(time) if f.name == time else F.lit(-1).cast(f.dataType).alias(f.name) if f.name == key else F.lit(None).cast(f.dataType).alias(f.name)
-            for f in df.schema.fields
-        ]
-    )
+    rest = [F.lit(-1 if f.name == key else None).cast(f.dataType).alias(f.name) for f in df.schema.fields if f.name != time]
+    row = df.agg(late.alias(time)).select(time, *rest).select(*df.columns)
     path = work_dir(spark, "heartbeat")
     row.write.parquet(path)
     return spark.readStream.schema(df.schema).parquet(path)

@@ -36,6 +36,9 @@ def buckets_for(df: DataFrame) -> int:
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return max(FEWEST, min(MOST, size // BUCKET_BYTES))
 
+# Commits that stay readable; older ones are removed once there are twice as many.
+KEPT_COMMITS = 10
+
 Fold = Callable[[DataFrame, list[str]], DataFrame]
 
 
@@ -170,6 +173,8 @@ class KeyedTable:
             name = f"{batch_id:020d}.{len(tries):04d}.json"
             if not self.files.publish(f"{self.path}/_commits/{name}", json.dumps(new)):
                 raise RuntimeError(f"another writer published {name} of {self.path}")
+            if len(self.files.names(f"{self.path}/_commits")) > 2 * KEPT_COMMITS:
+                self.vacuum(KEPT_COMMITS)
         return touched
 
     def vacuum(self, keep: int = 2) -> int:

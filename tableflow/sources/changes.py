@@ -78,12 +78,19 @@ def key_splits(df: DataFrame, key: str, chunks: int) -> list[object]:
     return sorted(set(found or []))
 
 
+def by_chunk(key: Column, splits: Sequence[object], values: Sequence[Column]) -> Column:
+    """The value of the chunk a key falls into, one value more than splits; found by halving."""
+    if not splits:
+        return values[0]
+    middle = len(splits) // 2
+    low = by_chunk(key, splits[:middle], values[: middle + 1])
+    high = by_chunk(key, splits[middle + 1 :], values[middle + 1 :])
+    return F.when(key <= F.lit(splits[middle]), low).otherwise(high)
+
+
 def chunk_of(key: Column, splits: Sequence[object]) -> Column:
     """Number of the chunk a key falls into."""
-    out = F.lit(0)
-    for i, split in enumerate(splits):
-        out = F.when(key > F.lit(split), F.lit(i + 1)).otherwise(out)
-    return out
+    return by_chunk(key, splits, [F.lit(i) for i in range(len(splits) + 1)])
 
 
 def cdc_incremental_snapshot(
@@ -103,14 +110,17 @@ def cdc_incremental_snapshot(
     when its row was deleted before the chunk was read; a later one wins.
     """
     marks = marks or {}
-    chunk = chunk_of(F.col(keys[0]), splits)
     position = F.struct(*[F.col(s) for s in seq])
     kind = changes.select(position.alias("p")).schema["p"].dataType
-    mark = F.lit(None).cast(kind)
-    for number, values in marks.items():
-        given = F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(values, kind.fields, strict=True)])
-        mark = F.when(chunk == number, given).otherwise(mark)
-    later = changes.where(mark.isNull() | (position > mark))
+
+    def mark(number: int) -> Column:
+        if number not in marks:
+            return F.lit(None).cast(kind)
+        given = zip(marks[number], kind.fields, strict=True)
+        return F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in given])
+
+    read_to = by_chunk(F.col(keys[0]), splits, [mark(i) for i in range(len(splits) + 1)])
+    later = changes.where(read_to.isNull() | (position > read_to))
     return cdc_initial(snapshot, later, keys, seq, op)
 
 

@@ -102,10 +102,9 @@ def scan_log(
         raise ValueError("specific-offsets needs an offset per partition")
     if isinstance(offsets, DataFrame):
         return _from_positions(df, offsets, "earliest")
-    first = F.lit(0)
-    for partition, offset in offsets.items():
-        first = F.when(F.col("partition") == partition, F.lit(offset)).otherwise(first)
-    return df.where(F.col("offset") >= first)
+    pairs = [F.lit(v) for pair in offsets.items() for v in pair]
+    first = F.try_element_at(F.create_map(*pairs), F.col("partition"))
+    return df.where(F.col("offset") >= F.coalesce(first, F.lit(0)))
 
 
 def topic_list(df: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@ import pytest
 from tests.conftest import rows
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tableflow.operators.changelog import changelog_agg, changelog_join
 from tableflow.session import work_dir
-from tableflow.sources.changes import cdc_decode, cdc_incremental_snapshot, cdc_initial, key_splits
+from tableflow.sources.changes import cdc_decode, cdc_incremental_snapshot, cdc_initial, chunk_of, key_splits
 from tableflow.streaming.changelog import ChangelogAggregate, ChangelogJoin
 
 SLOW = settings(max_examples=3, deadline=None, suppress_health_check=list(HealthCheck))
@@ -72,7 +73,10 @@ def test_aggregate_follows_every_batch(spark, batches):
 
 
 @SLOW
-@given(batches=st.lists(st.tuples(st.lists(CHANGE, max_size=5), st.lists(CHANGE, max_size=5)), min_size=1, max_size=3), how=st.sampled_from(["inner", "left", "right", "full"]))
+@given(
+    batches=st.lists(st.tuples(st.lists(CHANGE, max_size=5), st.lists(CHANGE, max_size=5)), min_size=1, max_size=3),
+    how=st.sampled_from(["inner", "left", "right", "full"]),
+)
 def test_join_follows_every_batch(spark, batches, how):
     """Left rows point to right keys through ``v``, so many may share one partner."""
     lefts = numbered([b[0] for b in batches])
@@ -119,6 +123,12 @@ def test_initial_snapshot_loses_against_changes(spark, changes, held):
     assert rows(cdc_incremental_snapshot(chunked, feed, ["k"], ["seq"], splits, marks)) == want
 
 
+def test_chunks_by_halving(spark):
+    splits = list(range(0, 3000, 3))
+    got = spark.range(-5, 3010).select("id", chunk_of(F.col("id"), splits).alias("c")).collect()
+    assert all(r["c"] == sum(s < r["id"] for s in splits) for r in got)
+
+
 def test_splits_are_bounded(spark):
     df = spark.range(1000)
     assert len(key_splits(df, "id", 4)) == 3 and key_splits(df, "id", 1) == []

@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tableflow.sinks import jdbc
+from tableflow.sinks import jdbc, keyed_table
 from tableflow.sinks.bulk import LoadRejected, bulk_load, read_loaded, read_rejected
 from tableflow.sinks.catalog import column_types, create_statement
 from tableflow.sinks.files import Files
@@ -73,6 +73,14 @@ def test_vacuum_keeps_what_commits_use(spark, folder):
     assert read_upserted(spark, f"{folder}/t").count() == 20
 
 
+def test_old_commits_go_by_themselves(spark, folder, monkeypatch):
+    monkeypatch.setattr(keyed_table, "KEPT_COMMITS", 2)
+    for i in range(6):
+        table = sink_upsert(spark.createDataFrame([(1, i)], "k int, seq int"), f"{folder}/t", ["k"], ["seq"], buckets=1)
+    assert len(table.files.names(f"{folder}/t/_commits")) <= 4
+    assert rows(read_upserted(spark, f"{folder}/t")) == [(1, 5)]
+
+
 def test_key_is_checked(spark, folder):
     df = spark.createDataFrame([(1, 2, 3)], "a int, b int, seq int")
     sink_upsert(df, f"{folder}/t", ["a"], ["seq"])
