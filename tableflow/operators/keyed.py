@@ -14,6 +14,9 @@ from tableflow.session import cut_lineage
 OBSERVED_STATES = ("RUNNING", "FINISHED", "FAILED", "CANCELED", "RESTARTING")
 UNKNOWN_NAME = "unknown"
 
+# Rows up to which a page is cut from the front of every task.
+DEEP_PAGE = 100_000
+
 # Rounds of link doubling before links count as a cycle.
 LONGEST_CHAIN_LOG2 = 30
 
@@ -164,10 +167,23 @@ def live_rows(observed: DataFrame, recorded: DataFrame, on: tuple[str, str], sta
 def page(df: DataFrame, order: Sequence[Column], offset: int, limit: int) -> DataFrame:
     """One page in the given order, with ``total`` counted over all rows.
 
-    The sort keeps ``offset + limit`` rows per task; the total is a scalar subquery.
+    A page near the front takes ``offset + limit`` rows per task. For one further back the
+    rows are sorted over all tasks and written once; the row counts of the sorted parts
+    tell which of them hold the page, and only these are read.
     """
-    total = df.agg(F.count(F.lit(1))).scalar()
-    return df.orderBy(*order).offset(offset).limit(limit).withColumn("total", total)
+    if offset + limit <= DEEP_PAGE:
+        total = df.agg(F.count(F.lit(1))).scalar()
+        return df.orderBy(*order).offset(offset).limit(limit).withColumn("total", total)
+    parts = cut_lineage(df.orderBy(*order).withColumn("_part", F.spark_partition_id()))
+    counts = sorted((row["_part"], row["count"]) for row in parts.groupBy("_part").count().collect())
+    picked, before, skip = [], 0, 0
+    for part, n in counts:
+        if before < offset + limit and before + n > offset:
+            skip = skip if picked else offset - before
+            picked.append(part)
+        before += n
+    rows = parts.where(F.col("_part").isin(picked)).orderBy(*order).offset(skip).limit(limit)
+    return rows.drop("_part").withColumn("total", F.lit(before).cast("long"))
 
 
 def lineage(df: DataFrame, id: str, parent: str) -> DataFrame:

@@ -2,6 +2,7 @@ import pytest
 from tests.conftest import rows
 from pyspark.sql import functions as F
 
+from tableflow.operators import keyed
 from tableflow.operators.keyed import (
     first_filled,
     latest_per,
@@ -99,6 +100,15 @@ def test_page_counts_before_it_cuts(spark):
     assert [tuple(r) for r in out.collect()] == [(i, 25) for i in (4, 3, 2, 1, 0)]
 
 
+@pytest.mark.parametrize("offset, limit", [(0, 7), (93, 15), (490, 20), (500, 5), (0, 600)])
+def test_a_page_far_back_equals_a_slice(spark, monkeypatch, offset, limit):
+    monkeypatch.setattr(keyed, "DEEP_PAGE", 1)
+    df = spark.range(500).selectExpr("id", "id % 7 g").repartition(5)
+    got = page(df, [F.col("g").desc(), F.col("id")], offset, limit).collect()
+    want = sorted(((i % 7, i) for i in range(500)), key=lambda x: (-x[0], x[1]))[offset : offset + limit]
+    assert [(r["g"], r["id"], r["total"]) for r in got] == [(g, i, 500) for g, i in want]
+
+
 def test_lineage_against_walking(spark):
     parents = {1: None, 2: 1, 3: 2, 4: 3, 5: 4, 6: 5, 7: None, 8: 7, 9: 99, 10: 8, 11: 8}
     df = spark.createDataFrame(list(parents.items()), "id int, parent int")
@@ -113,8 +123,6 @@ def test_lineage_against_walking(spark):
 
 
 def test_lineage_refuses_a_cycle(spark, monkeypatch):
-    from tableflow.operators import keyed
-
     monkeypatch.setattr(keyed, "LONGEST_CHAIN_LOG2", 3)
     df = spark.createDataFrame([(1, 2), (2, 1)], "id int, parent int")
     with pytest.raises(ValueError, match="cycle"):
