@@ -32,4 +32,6 @@ def changelog_join(
     op: str = "op",
 ) -> DataFrame:
     """Join of the rows two change feeds leave behind."""
-    return join(live(left, left_keys, left_seq, op), live(right, right_keys, right_seq, op), on, how, left_columns, right_columns)
+    rows = live(left, left_keys, left_seq, op), live(right, right_keys, right_seq, op)
+    unique = set(left_keys) <= {a for a, _ in on}
+    return join(*rows, on, how, left_columns, right_columns, unique=unique)

@@ -77,6 +77,7 @@ def join(
     right_columns: Sequence[str] | None = None,
     salt: int = 1,
     hot: DataFrame | None = None,
+    unique: bool = False,
 ) -> DataFrame:
     """Join on picked columns and keep the picked columns of each side.
 
@@ -84,7 +85,8 @@ def join(
     left side in inner and left joins, but not in right and full joins: these are run as
     an inner or left join and the right rows without partner. ``salt`` spreads left keys
     over that many tasks by hand, where adaptive execution is off; ``hot`` (``hot_keys``)
-    limits this to the keys that need it.
+    limits this to the keys that need it. ``unique`` says a key has one left row at most,
+    so that there is nothing to split.
     """
     check_kind(how)
     left_columns = list(left.columns if left_columns is None else left_columns)
@@ -92,6 +94,8 @@ def join(
     left = left.select(*dict.fromkeys([*left_columns, *[a for a, _ in on]]))
     right = right.select(*dict.fromkeys([*right_columns, *[b for _, b in on]]))
     picked = [F.col(f"l.`{c}`") for c in left_columns] + [F.col(f"r.`{c}`") for c in right_columns]
+    if unique:
+        return left.alias("l").join(right.alias("r"), condition(on), how).select(*picked)
     spread, copies, keys = (left, right, on) if salt <= 1 else salted(left, right, on, salt, hot)
     kind = "inner" if how in ("inner", "right") else "left"
     matched = spread.alias("l").join(copies.alias("r"), condition(keys), kind).select(*picked)

@@ -325,7 +325,8 @@ class ChangelogJoin:
     ) -> DataFrame:
         left = self._side("l", tables["l"], near["l"], affected, before)
         right = self._side("r", tables["r"], near["r"], affected, before)
-        return join(left, right, [(f"l_{a}", f"r_{b}") for a, b in self.on], self.how, salt=self.salt)
+        unique = set(self.sides["l"].keys) <= set(self._on("l"))
+        return join(left, right, [(f"l_{a}", f"r_{b}") for a, b in self.on], self.how, salt=self.salt, unique=unique)
 
     def _apply(self, tables: dict[str, KeyedTable], affected: DataFrame, batch_id: int) -> None:
         """Take back the old result rows and write the new ones: of a key that has both, the new one stays."""

@@ -59,6 +59,7 @@ def test_filters_and_columns_reach_the_scan(spark):
         ("reconcile_status", 2),
         ("merge_nonnull", 3),
         ("changelog_join_inner", 2),
+        ("changelog_join_right", 2),
         ("prune_by_name", 3),
     ],
 )
@@ -87,6 +88,15 @@ def test_salt_changes_nothing(spark, no_broadcast, how):
         assert rows(join(left, right, [("k", "k")], how, ["id"], ["name"], **choice)) == rows(native)
 
 
+@pytest.mark.parametrize("how", ["right", "full"])
+def test_unique_left_keys_join_in_one_go(spark, no_broadcast, how):
+    left = spark.createDataFrame([(1, "x"), (3, "y"), (None, "z")], "k int, a string")
+    right = spark.createDataFrame([(1, "p"), (1, "q"), (2, "r")], "k int, b string")
+    once = join(left, right, [("k", "k")], how, ["a"], ["b"], unique=True)
+    assert shuffles(once) == 2
+    assert rows(once) == rows(join(left, right, [("k", "k")], how, ["a"], ["b"]))
+
+
 def test_hot_keys_are_few(spark):
     df = spark.range(1000).selectExpr("if(id < 400, 0, id) k")
     assert rows(hot_keys(df, ["k"], least=10)) == [(0,)]
