@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as registered
+from tableflow.plans import registry
 from tests.conftest import SF
 from tests.oracle import compare, connect
 
@@ -21,7 +22,7 @@ def test_query_equals_sql(spark, con, name):
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLES)
+    assert set(registry.QUERIES) == set(registry.ORACLES)
 
 
 def test_entry(spark):
