@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tableflow.llm import mixing, quality
-from tableflow.session import apply_settings, work_dir
+from tableflow.llm import mixing, quality, simhash
+from tableflow.llm.store import prepare, stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -17,12 +17,17 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs)
 
 
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return simhash.keep_first(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
     return mixing.mixed(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("quality rules", good), ("mixing", mix)]
+STAGES: list[tuple[str, Stage]] = [("quality rules", good), ("near copies", distinct), ("mixing", mix)]
 
 # Language models and simulated draws of this kind are beyond SQL.
 ORACLE_SQL = None
@@ -30,10 +35,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on ``documents``, each written and read again."""
-    apply_settings(spark)
+    prepare(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (_, stage) in enumerate(STAGES):
-        path = work_dir(spark, f"pipeline-{number}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{number}")
     return docs

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableflow.llm import mixing, quality, sharding
-from tableflow.session import apply_settings
+from tableflow.llm import mixing, quality, sharding, simhash
+from tableflow.llm.store import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,7 +19,7 @@ ORACLES: dict[str, str] = {}
 def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     def add(run: Query) -> Query:
         def with_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
-            apply_settings(spark)
+            prepare(spark)
             return run(spark, sf_dir)
 
         QUERIES[name] = with_settings
@@ -79,6 +79,11 @@ def hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", unset)
 
 
+@query("op9_simhash_near_copies")
+def simhash_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_copies(documents(spark, sf_dir))
+
+
 @query("op10_quality_rules")
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir))
