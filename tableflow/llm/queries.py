@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableflow.llm import mixing, quality, sharding, simhash
+from tableflow.llm import mixing, quality, sharding, simhash, sketch
 from tableflow.llm.store import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,6 +79,11 @@ def hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", unset)
 
 
+@query("op3_bottom_k_fingerprints")
+def bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.edited_likeness(documents(spark, sf_dir))
+
+
 @query("op9_simhash_near_copies")
 def simhash_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_copies(documents(spark, sf_dir))
