@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tableflow.llm import mixing, quality, simhash
+from tableflow.llm import mixing, packing, quality, simhash
 from tableflow.llm.store import prepare, stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -27,7 +27,12 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("quality rules", good), ("near copies", distinct), ("mixing", mix)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as pieces of token sequences."""
+    return packing.pack(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [("quality rules", good), ("near copies", distinct), ("mixing", mix), ("packing", pack)]
 
 # Language models and simulated draws of this kind are beyond SQL.
 ORACLE_SQL = None

@@ -1,7 +1,8 @@
-"""Hilbert index of points on a grid, as a column."""
+"""Hilbert index of points on a grid, as a column and in numpy."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,3 +62,27 @@ def hilbert_index(axes: list[Column], bits: int) -> Column:
 
     nothing = F.greatest(*[a.isNull().cast("int") for a in axes]) == 1 if n > 1 else axes[0].isNull()
     return F.when(nothing, F.lit(None).cast("long")).otherwise(chain(point, gray, fixed, woven))
+
+
+def hilbert_numbers(points: np.ndarray, bits: int) -> np.ndarray:
+    """The same index for an array with one grid point per row."""
+    axes = [column.astype(np.int64) for column in points.T]
+    n = len(axes)
+    for b in range(bits - 1, -1, -1):
+        mask, below = 1 << b, (1 << b) - 1
+        for i in range(n):
+            here = (axes[i] & mask) != 0
+            swap = np.where(here, 0, (axes[0] ^ axes[i]) & below)
+            axes[0] = axes[0] ^ np.where(here, below, swap)
+            if i:
+                axes[i] = axes[i] ^ swap
+    for i in range(1, n):
+        axes[i] = axes[i] ^ axes[i - 1]
+    turn = np.zeros_like(axes[0])
+    for b in range(bits - 1, 0, -1):
+        turn ^= np.where(axes[-1] & (1 << b), (1 << b) - 1, 0)
+    out = np.zeros_like(axes[0])
+    for b in range(bits - 1, -1, -1):
+        for axis in axes:
+            out = (out << 1) | (((axis ^ turn) >> b) & 1)
+    return out

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableflow.llm import mixing, quality, sharding, simhash, sketch
+from tableflow.llm import mixing, packing, quality, sharding, simhash, sketch
 from tableflow.llm.store import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,6 +84,17 @@ def bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.edited_likeness(documents(spark, sf_dir))
 
 
+def pieces_digest(pieces: DataFrame) -> DataFrame:
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+@query("op4_pack_along_curve")
+def pack_along_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces_digest(packing.pack(documents(spark, sf_dir)))
+
+
 @query("op9_simhash_near_copies")
 def simhash_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_copies(documents(spark, sf_dir))
