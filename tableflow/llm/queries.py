@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableflow.llm import mixing, packing, quality, sharding, simhash, sketch
+from tableflow.llm import mixing, packing, quality, sharding, simhash, sketch, warc
 from tableflow.llm.store import prepare
+from tableflow.session import work_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -95,6 +96,33 @@ def pack_along_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces_digest(packing.pack(documents(spark, sf_dir)))
 
 
+WARC_SQL = """
+with sized as (
+  select page_id, coalesce(html, '') as payload, strlen(coalesce(html, ''))::bigint as payload_bytes from pages
+), firsts as (
+  select *, min(page_id) over (partition by payload) as first_id from sized
+)
+select page_id, payload_bytes, sha256(payload) as payload_digest,
+  case when payload_bytes >= 100 and page_id <> first_id then 'revisit' else 'response' end as record_type,
+  case when payload_bytes >= 100 and page_id <> first_id then first_id end as refers_to
+from firsts
+"""
+
+
+@query("op5_warc_transactions", WARC_SQL)
+def warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = work_dir(spark, "archives")
+    warc.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
+    found = warc.captures(warc.read_archives(spark, path))
+    return found.select(
+        "page_id",
+        F.col("main.payload_bytes").alias("payload_bytes"),
+        F.col("main.payload_sha256").alias("payload_digest"),
+        F.col("kind").alias("record_type"),
+        F.when(F.col("kind") == "revisit", F.col("answer_page")).alias("refers_to"),
+    )
+
+
 @query("op9_simhash_near_copies")
 def simhash_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_copies(documents(spark, sf_dir))
