@@ -34,6 +34,9 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 END = 0
 LENGTH = 1024
 
+# Bytes of an id on its way to the sequences, which hold four.
+WIDTH = 2
+
 DIMENSIONS = 4
 BITS = 12
 
@@ -63,22 +66,24 @@ def places(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def tokenised(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """``key``, ``place`` on the curve, and ``ids`` (little-endian unsigned 32 bit each, the end id last)."""
+    """``key``, ``place`` on the curve, and ``ids`` (little-endian unsigned, ``WIDTH`` bytes each, the end id last)."""
     path = vocabulary or public_tokenizers.path(VOCABULARY)
+    if tokenizer(path).n_vocab > 1 << (8 * WIDTH):
+        raise ValueError(f"{path} has ids of more than {WIDTH} bytes")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = tokenizer(path)
-        end = np.array([END], "<u4")
+        end = np.array([END], np.uint32)
         for part in spans.chunked(batches, text):
             found = []
             for t in part.column(text).to_pylist():
-                found.append(np.concatenate((encoding.encode_to_numpy(t or "", disallowed_special=()), end)).astype("<u4"))
+                found.append(np.concatenate((encoding.encode_to_numpy(t or "", disallowed_special=()), end)))
             bounds = np.concatenate(([0], np.cumsum([len(x) for x in found])))
             yield pa.RecordBatch.from_pydict(
                 {
                     key: part.column(key),
                     "place": pa.array(places(np.concatenate(found), bounds)),
-                    "ids": pa.array([x.tobytes() for x in found], pa.binary()),
+                    "ids": pa.array([x.astype(f"<u{WIDTH}").tobytes() for x in found], pa.binary()),
                 }
             )
 
@@ -87,7 +92,7 @@ def tokenised(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabula
 
 
 def packed(tokens: DataFrame, key: str = "doc_id", length: int = LENGTH) -> DataFrame:
-    """Pieces of documents: ``start`` in the document, ``ids``, ``doc_tokens``, and ``sequence_id`` and ``offset`` where they lie.
+    """Pieces of documents: ``start`` in the document, ``ids`` (little-endian unsigned 32 bit each), ``doc_tokens``, and ``sequence_id`` and ``offset`` where they lie.
 
     Sequence ids hold the number of the part of the sort and the number in it.
     """
@@ -104,13 +109,14 @@ def packed(tokens: DataFrame, key: str = "doc_id", length: int = LENGTH) -> Data
         for batch in batches:
             row, start, ids, size, sequence, offset = [], [], [], [], [], []
             for number, data in enumerate(batch.column("ids").to_pylist()):
-                n, done = len(data) // 4, 0
+                data = np.frombuffer(data, f"<u{WIDTH}").astype("<u4")
+                n, done = len(data), 0
                 while done < n:
                     place = at % length
                     take = min(n - done, length - place)
                     row.append(number)
                     start.append(done)
-                    ids.append(data[4 * done : 4 * (done + take)])
+                    ids.append(data[done : done + take].tobytes())
                     size.append(n)
                     sequence.append(base + at // length)
                     offset.append(place)
