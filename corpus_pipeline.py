@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tableflow.llm import mixing, packing, quality, simhash
+from tableflow.llm import language, mixing, packing, quality, simhash
 from tableflow.llm.store import prepare, stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def known(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the labelled ones teach."""
+    return language.keep_known(docs, language.learn(docs))
+
+
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
     return quality.keep_good(docs)
@@ -32,7 +37,13 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("quality rules", good), ("near copies", distinct), ("mixing", mix), ("packing", pack)]
+STAGES: list[tuple[str, Stage]] = [
+    ("language ID", known),
+    ("quality rules", good),
+    ("near copies", distinct),
+    ("mixing", mix),
+    ("packing", pack),
+]
 
 # Language models and simulated draws of this kind are beyond SQL.
 ORACLE_SQL = None

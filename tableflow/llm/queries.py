@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableflow.llm import mixing, packing, quality, sharding, simhash, sketch, warc
+from tableflow.llm import language, mixing, packing, quality, sharding, simhash, sketch, warc
 from tableflow.llm.store import prepare
 from tableflow.session import work_dir
 
@@ -123,6 +123,18 @@ def warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def fold(folds: int) -> Column:
+    """Remainder of the id's checksum."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
+
+
+@query("op6_language_id")
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    models = language.learn(docs.where(fold(3) != 1))
+    return language.predicted(docs, models).select("doc_id", (fold(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 @query("op9_simhash_near_copies")
 def simhash_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_copies(documents(spark, sf_dir))

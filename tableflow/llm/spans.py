@@ -56,19 +56,23 @@ def chunked(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHUNK_B
             at = to
 
 
-def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word, and the number of the first word of each text (one more at the end)."""
-    if not len(buf):
+def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each run of True within a text, and the number of each text's first run (one more at the end)."""
+    if not len(inside):
         empty = np.zeros(0, np.int64)
         return empty, empty, np.zeros(len(offsets), np.int64)
-    space = SPACE[buf]
-    cut = np.zeros(len(buf) + 1, bool)
+    cut = np.zeros(len(inside) + 1, bool)
     cut[offsets] = True
     before, after = cut[:-1].copy(), cut[1:].copy()
-    before[1:] |= space[:-1]
-    after[:-1] |= space[1:]
-    starts = np.flatnonzero(before & ~space)
-    return starts, np.flatnonzero(after & ~space) + 1, np.searchsorted(starts, offsets)
+    before[1:] |= ~inside[:-1]
+    after[:-1] |= ~inside[1:]
+    starts = np.flatnonzero(before & inside)
+    return starts, np.flatnonzero(after & inside) + 1, np.searchsorted(starts, offsets)
+
+
+def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word, and the number of the first word of each text (one more at the end)."""
+    return runs(~SPACE[buf], offsets)
 
 
 @lru_cache(maxsize=1)
