@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableflow.llm import language, mixing, packing, pages, quality, sharding, simhash, sketch, warc
+from tableflow.llm import bloom_lm, language, mixing, packing, pages, quality, sharding, simhash, sketch, warc
 from tableflow.llm.store import prepare
 from tableflow.session import work_dir
 
@@ -135,6 +135,13 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predicted(docs, models).select("doc_id", (fold(3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+@query("op7_bloom_lm_scores")
+def bloom_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bloom_lm.scored(documents(spark, sf_dir), fold(5) != 1)
+    held_out = (~F.col("train")).alias("held_out")
+    return found.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query("op8_main_text")
 def main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = spark.read.parquet(f"{sf_dir}/pages.parquet")
