@@ -40,8 +40,9 @@ LEAST_PAIR = 2
 PAIR_WEIGHT = 0.3
 
 HOT = 20_000
-# Tokens that a task gathers before it passes them on.
-FLUSH = 1 << 21
+# Tokens that a task gathers before it passes their counts on, and words of texts before it asks for theirs.
+FLUSH = 1 << 20
+ASK = 1 << 19
 
 END = np.uint64(0x5851F42D4C957F2D)
 ONE, PAIR = 1, 2
@@ -290,8 +291,8 @@ def scored(texts: DataFrame, train: Column, key: str = "doc_id", text: str = "te
                             "part": pa.array([p], pa.int32()),
                             "hashes": pa.array([planes(values[a:b])], pa.binary()),
                             "per_hash": pa.array([planes(size[a:b].astype(np.uint32))], pa.binary()),
-                            "places": pa.array([planes(of[own].astype(np.uint32))], pa.binary()),
-                            "times": pa.array([planes(times[own].astype(np.uint32))], pa.binary()),
+                            "places": pa.array([planes(of[own])], pa.binary()),
+                            "times": pa.array([planes(times[own])], pa.binary()),
                         }
                     )
 
@@ -327,10 +328,11 @@ def scored(texts: DataFrame, train: Column, key: str = "doc_id", text: str = "te
             order = np.lexsort((of, rare))
             rare, of = rare[order], of[order]
             new = np.flatnonzero(np.concatenate(([True], (rare[1:] != rare[:-1]) | (of[1:] != of[:-1])))) if len(rare) else np.zeros(0, np.int64)
-            held.append((rare[new], of[new] + n_texts, np.diff(np.concatenate((new, [len(rare)])))))
+            times = np.diff(np.concatenate((new, [len(rare)]))).astype(np.uint32)
+            held.append((rare[new], (of[new] + n_texts).astype(np.uint32), times))
             n_texts += len(chunk)
             n_rows += len(new)
-            if n_rows >= FLUSH:
+            if n_rows >= ASK:
                 yield from (whole(b, kinds) for b in asked())
                 held, n_texts, n_rows = [], 0, 0
                 number += 1
