@@ -25,8 +25,8 @@ from tableflow.llm import spans
 
 ORDER = 5
 # Labelled texts per language, about: so many train, so many calibrate.
-TRAIN = 1000
-CALIBRATE = 300
+TRAIN = 400
+CALIBRATE = 200
 UNKNOWN = "und"
 
 # Rejected is what lies this far above the usual cross-entropy of its language, in bits and deviations. Texts in two
