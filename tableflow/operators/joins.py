@@ -28,44 +28,15 @@ def condition(on: Pairs) -> Column:
     return out
 
 
-def hot_keys(df: DataFrame, columns: Sequence[str], share: float = 0.001, least: int = 100_000) -> DataFrame | None:
-    """Keys that hold more than a share of the rows, and more than ``least``; None when there is none.
+def salted(left: DataFrame, right: DataFrame, on: Pairs, salt: int) -> tuple[DataFrame, DataFrame, list]:
+    """Spread every key of ``left`` over ``salt`` tasks and repeat its ``right`` rows for each of them.
 
-    There can be no more than ``1 / share`` of them, whatever the table holds: they are
-    pulled together and handed on as a small frame. Counting combines before the shuffle.
-    """
-    counts = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
-    total = df.agg(F.count(F.lit(1)).alias("_t")).first()["_t"]
-    found = counts.where(F.col("_n") > max(least, total * share)).select(*columns)
-    rows = [tuple(row) for row in found.collect()]
-    return df.sparkSession.createDataFrame(rows, found.schema) if rows else None
-
-
-def salted(
-    left: DataFrame, right: DataFrame, on: Pairs, salt: int, hot: DataFrame | None = None
-) -> tuple[DataFrame, DataFrame, list]:
-    """Spread keys of ``left`` over ``salt`` tasks and repeat their ``right`` rows for each of them.
-
-    ``hot`` lists the keys (columns named as on the left) this is done for; without it
-    every key is spread. The salt is a hash of the row, so a task that runs again yields
-    the same rows.
+    The salt is a hash of the row, so a task that runs again yields the same rows, and it
+    depends on no other row, so the state of a stream fits whatever comes later.
     """
     part = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(salt))
     every = F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long"))
-    keys = [*on, (SALT, SALT)]
-    if hot is None:
-        return left.withColumn(SALT, part), right.withColumn(SALT, F.explode(every)), keys
-    # hot_keys bounds the list.
-    listed = F.broadcast(hot.select(*[F.col(a).alias(f"_hot_{i}") for i, (a, _) in enumerate(on)], F.lit(True).alias("_hot")))
-
-    def marked(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-        same = [df[c] == listed[f"_hot_{i}"] for i, c in enumerate(columns)]
-        return df.join(listed, same, "left").select(*[df[c] for c in df.columns], "_hot")
-
-    spread = marked(left, [a for a, _ in on]).withColumn(SALT, F.when(F.col("_hot"), part).otherwise(0))
-    where = F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0).cast("long")))
-    copies = marked(right, [b for _, b in on]).withColumn(SALT, F.explode(where))
-    return spread.drop("_hot"), copies.drop("_hot"), keys
+    return left.withColumn(SALT, part), right.withColumn(SALT, F.explode(every)), [*on, (SALT, SALT)]
 
 
 def join(
@@ -76,7 +47,6 @@ def join(
     left_columns: Sequence[str] | None = None,
     right_columns: Sequence[str] | None = None,
     salt: int = 1,
-    hot: DataFrame | None = None,
     unique: bool = False,
 ) -> DataFrame:
     """Join on picked columns and keep the picked columns of each side.
@@ -84,8 +54,8 @@ def join(
     The side with many rows per key goes left. Adaptive execution splits a hot key of the
     left side in inner and left joins, but not in right and full joins: these are run as
     an inner or left join and the right rows without partner. ``salt`` spreads left keys
-    over that many tasks by hand, where adaptive execution is off; ``hot`` (``hot_keys``)
-    limits this to the keys that need it. ``unique`` says a key has one left row at most,
+    over that many tasks by hand, where adaptive execution is off, at the price of as many
+    copies of the right side. ``unique`` says a key has one left row at most,
     so that there is nothing to split.
     """
     check_kind(how)
@@ -96,7 +66,7 @@ def join(
     picked = [F.col(f"l.`{c}`") for c in left_columns] + [F.col(f"r.`{c}`") for c in right_columns]
     if unique:
         return left.alias("l").join(right.alias("r"), condition(on), how).select(*picked)
-    spread, copies, keys = (left, right, on) if salt <= 1 else salted(left, right, on, salt, hot)
+    spread, copies, keys = (left, right, on) if salt <= 1 else salted(left, right, on, salt)
     kind = "inner" if how in ("inner", "right") else "left"
     matched = spread.alias("l").join(copies.alias("r"), condition(keys), kind).select(*picked)
     if how in ("inner", "left"):

@@ -8,18 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tableflow.session import cut_lineage
+from tableflow.session import cut_lineage, work_dir
 
 # Job states a run list takes over from the observed side.
 OBSERVED_STATES = ("RUNNING", "FINISHED", "FAILED", "CANCELED", "RESTARTING")
 UNKNOWN_NAME = "unknown"
 
-# Rows up to which a page is cut from the front of every task.
-DEEP_PAGE = 100_000
-
-# Rounds of link doubling before links count as a cycle.
-LONGEST_CHAIN_LOG2 = 30
-
 
 def _column(c: str | Column) -> Column:
     return F.col(f"`{c}`") if isinstance(c, str) else c
@@ -158,23 +152,22 @@ def with_elapsed(df: DataFrame, now: int, state: str = "state", start: str = "st
 
 
 def live_rows(observed: DataFrame, recorded: DataFrame, on: tuple[str, str], state: str, start: str) -> DataFrame:
-    """RUNNING rows with what is recorded for them, newest first, rows without a start last."""
+    """RUNNING rows with what is recorded for them, newest first, rows without a start last, by id where starts are equal."""
     running = observed.where(F.col(state) == "RUNNING")
     joined = running.join(recorded, running[on[0]] == recorded[on[1]], "left")
-    return joined.orderBy(F.col(start).desc_nulls_last())
+    return joined.orderBy(F.col(start).desc_nulls_last(), running[on[0]])
 
 
 def page(df: DataFrame, order: Sequence[Column], offset: int, limit: int) -> DataFrame:
     """One page in the given order, with ``total`` counted over all rows.
 
-    A page near the front takes ``offset + limit`` rows per task. For one further back the
-    rows are sorted over all tasks and written once; the row counts of the sorted parts
-    tell which of them hold the page, and only these are read.
+    The rows are sorted over all tasks and written once, a folder per part; the row counts of
+    the parts tell which of them hold the page, and only these folders are read.
     """
-    if offset + limit <= DEEP_PAGE:
-        total = df.agg(F.count(F.lit(1))).scalar()
-        return df.orderBy(*order).offset(offset).limit(limit).withColumn("total", total)
-    parts = cut_lineage(df.orderBy(*order).withColumn("_part", F.spark_partition_id()))
+    path = work_dir(df.sparkSession, "page")
+    sorted_rows = df.orderBy(*order).withColumn("_part", F.spark_partition_id())
+    sorted_rows.write.partitionBy("_part").parquet(path)
+    parts = df.sparkSession.read.schema(sorted_rows.schema).parquet(path)
     counts = sorted((row["_part"], row["count"]) for row in parts.groupBy("_part").count().collect())
     picked, before, skip = [], 0, 0
     for part, n in counts:
@@ -192,7 +185,7 @@ def lineage(df: DataFrame, id: str, parent: str) -> DataFrame:
     Each round replaces a link by the link of its target, so a chain of n rows takes
     log2(n) joins. Rows that reached their root leave the open set; every round is
     written to the shared folder. A link to an id that is not there ends at the row
-    itself. A cycle is an error.
+    itself. A cycle is an error: no chain takes more rounds than log2 of the number of rows.
     """
     nodes = df.select(F.col(id).alias("id"), F.col(parent).alias("_up"))
     known = nodes.select(F.col("id").alias("_known"))
@@ -206,7 +199,7 @@ def lineage(df: DataFrame, id: str, parent: str) -> DataFrame:
     )
     done = start.where("depth = 0")
     waiting = start.where("depth > 0")
-    for _ in range(LONGEST_CHAIN_LOG2):
+    for _ in range(start.count().bit_length() + 1):
         if waiting.isEmpty():
             return done
         target = done.union(waiting).select(

@@ -11,7 +11,7 @@ from tableflow.plans.registry import query
 from tableflow.sources.changes import key_splits
 from tableflow.sources.decode import decode, encode_csv, infer_schema
 from tableflow.sources.logs import end_positions, scan_log, topic_list
-from tableflow.sources.tables import datagen, key_ranges
+from tableflow.sources.tables import key_ranges
 
 LOG = (
     "log as (select event_type topic, cast(user_id % 3 as int) part, event_id off, ts, event_id, user_id, event_type,"
@@ -117,17 +117,6 @@ def infer_json_schema(spark, sf):
     return infer_schema(_log(spark, sf))
 
 
-@query(
-    "datagen",
-    "select cast(row_number() over () - 1 as bigint) id, 100 name_length, true in_range from events",
-)
-def generated(spark, sf):
-    """As many rows as there are events."""
-    rows = table(spark, sf, "events").count()
-    made = datagen(spark, "id bigint, name string, share double", rows, sequences={"id": 0})
-    return made.select("id", F.length("name").alias("name_length"), F.col("share").between(0, 1).alias("in_range"))
-
-
 @query("jdbc_key_ranges", "select o_orderkey, o_custkey from orders")
 def ranges(spark, sf):
     """The ranges a partitioned table read is cut into, put together again."""

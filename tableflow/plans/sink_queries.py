@@ -122,9 +122,9 @@ def to_log(spark, sf):
     return decode(spark.read.schema(messages.schema).parquet(path), rows.schema)
 
 
-@query("sink_print", "select s_suppkey, s_name from supplier order by s_suppkey limit 20")
+@query("sink_print", "select s_suppkey, s_name from supplier")
 def printed(spark, sf):
-    return sink_print(table(spark, sf, "supplier").select("s_suppkey", "s_name").orderBy("s_suppkey"), 20)
+    return sink_print(table(spark, sf, "supplier").select("s_suppkey", "s_name"))
 
 
 @query("auto_create_table", "select s_suppkey, s_name, s_nationkey, cast(s_acctbal as decimal(12, 2)) s_acctbal from supplier")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tableflow.operators.aggregates import aggregate
-from tableflow.operators.joins import hot_keys
 from tableflow.operators.windows import hop, session, tumble, window_agg
 from tableflow.plans.batch_queries import SESSIONS, WINDOW_AGGS
 from tableflow.plans.inputs import halves, heartbeat, naive, table, zoned
@@ -20,7 +19,7 @@ from tableflow.streaming.runner import drain, read_output, restore, resume, save
 from tableflow.streaming.ttl import lifetime_agg
 
 # Tasks that share the rows of a hot join key.
-SALT = 256
+SALT = 4
 
 TOTALS = {"n": ("count", "*"), "s": ("sum", "value")}
 TOTALS_SQL = "select user_id, count(*) n, round(sum(value), 2) s from events group by 1"
@@ -98,12 +97,6 @@ def late_data(spark, sf):
 # Joins
 
 
-def _spread(df, key):
-    """Salt for the keys of a stream's left side that its table form shows to be hot."""
-    hot = hot_keys(df, [key])
-    return {"salt": SALT, "hot": hot} if hot is not None else {}
-
-
 @query("stream_join_inner", "select o_orderkey, c_name from orders join customer on o_custkey = c_custkey")
 def stream_inner(spark, sf):
     base = work_dir(spark, "stream-inner")
@@ -114,7 +107,7 @@ def stream_inner(spark, sf):
         "inner",
         ["o_orderkey"],
         ["c_name"],
-        **_spread(table(spark, sf, "orders"), "o_custkey"),
+        salt=SALT,
     )
     drain(out, f"{base}/checkpoint", path=f"{base}/out")
     return read_output(spark, f"{base}/out", out)
@@ -144,7 +137,7 @@ def _shipments(spark, sf, how, beat):
         ["o_orderkey", "o_orderdate"],
         times=("l_shipdate", "o_orderdate"),
         ttl="168 hours",
-        **_spread(table(spark, sf, "lineitem"), "l_orderkey"),
+        salt=SALT,
     )
 
 

@@ -36,7 +36,7 @@ STATE_SETTINGS = {
 
 def apply_settings(spark: SparkSession) -> None:
     """Bring a session that was made elsewhere to the settings the operators count on."""
-    for key, value in SQL_SETTINGS.items():
+    for key, value in {**SQL_SETTINGS, **STATE_SETTINGS}.items():
         spark.conf.set(key, value)
 
 
@@ -59,7 +59,8 @@ def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get(SHARED_DIR, None)
     if base:
         return base
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
         raise ValueError(f"set {SHARED_DIR} to a folder all executors can reach")
     base = tempfile.mkdtemp(prefix="tableflow-")
     spark.conf.set("tableflow.local.dir", base)

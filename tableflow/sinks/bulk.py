@@ -63,7 +63,8 @@ def bulk_load(
         files.delete(f"{root}/{folder}")
         raise LoadRejected(f"{label}: {rejected} of {total} rows rejected, tolerated share {max_reject}")
     record = {"label": label, "folder": folder, "loaded": loaded, "rejected": rejected, "status": "loaded"}
-    files.publish(ledger, json.dumps(record))
+    if not files.publish(ledger, json.dumps(record)):
+        raise RuntimeError(f"{ledger} could not be published: another load has this label")
     return record
 
 

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyarrow import fs as filesystem
 from pyspark.sql import SparkSession
 
-# Files one task copies, and the most tasks that share a folder.
+# Files one task copies.
 FILES_PER_TASK = 32
-COPY_TASKS = 256
 
 
 class Files:
@@ -89,7 +88,7 @@ class Files:
                 yield part
 
         listed = self.spark.createDataFrame([(n,) for n in names], "name string")
-        tasks = listed.repartition(min(COPY_TASKS, 1 + len(names) // FILES_PER_TASK))
+        tasks = listed.repartition(1 + len(names) // FILES_PER_TASK)
         tasks.mapInPandas(copy, "name string").write.format("noop").mode("overwrite").save()
 
     def _address(self, path: str) -> str:

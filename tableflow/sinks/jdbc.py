@@ -16,8 +16,18 @@ BATCH_ROWS = 100
 RETRIES = 3
 
 
+QUOTES = {"mysql": "``", "sqlserver": "[]"}
+
+
+def quoted(dialect: str, name: str) -> str:
+    """A column name as the database takes any name, reserved words included."""
+    begin, end = QUOTES.get(dialect, '""')
+    return begin + name.replace(end, end * 2) + end
+
+
 def merge_statement(dialect: str, table: str, staging: str, columns: Sequence[str], keys: Sequence[str]) -> str:
     """Statement that merges a staging table into a keyed table."""
+    columns, keys = ([quoted(dialect, c) for c in names] for names in (columns, keys))
     listed = ", ".join(columns)
     values = [c for c in columns if c not in keys]
     if dialect == "mysql":
@@ -33,8 +43,9 @@ def merge_statement(dialect: str, table: str, staging: str, columns: Sequence[st
     return text + ";" if dialect == "sqlserver" else text
 
 
-def delete_statement(table: str, staging: str, keys: Sequence[str]) -> str:
+def delete_statement(dialect: str, table: str, staging: str, keys: Sequence[str]) -> str:
     """Statement that removes the rows of a keyed table that a staging table lists."""
+    keys = [quoted(dialect, k) for k in keys]
     same = " AND ".join(f"{staging}.{k} = {table}.{k}" for k in keys)
     return f"DELETE FROM {table} WHERE EXISTS (SELECT 1 FROM {staging} WHERE {same})"
 
@@ -91,7 +102,8 @@ def sink_jdbc(
     """
 
     def writer(rows: DataFrame, name: str):
-        out = rows.write.format("jdbc").options(**options).option("url", url).option("dbtable", name)
+        # A partition per connection; without a shuffle all that made the rows would run in so few tasks.
+        out = rows.repartition(connections).write.format("jdbc").options(**options).option("url", url).option("dbtable", name)
         if fields:
             # Text lengths and decimal digits only: names of other types differ between databases.
             sized = [f for f in fields if f["name"] in rows.columns and str(f["type"]).upper() in ("STRING", "DECIMAL")]
@@ -113,7 +125,7 @@ def sink_jdbc(
         statements = [merge_statement(dialect, table, staging, upserts.columns, keys)]
         if gone is not None:
             writer(gone, removed).option("truncate", True).mode("overwrite").save()
-            statements.append(delete_statement(table, removed, keys))
+            statements.append(delete_statement(dialect, table, removed, keys))
         _execute(batch.sparkSession, url, statements, options)
 
     retried(write, retries)

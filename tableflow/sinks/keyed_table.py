@@ -68,7 +68,8 @@ class KeyedTable:
             if missing:
                 raise ValueError(f"key columns not in the schema: {sorted(missing)}")
             spec = {"schema": schema.jsonValue(), "keys": list(keys), "buckets": buckets}
-            files.publish(described, json.dumps(spec))
+            if not files.publish(described, json.dumps(spec)) and not files.exists(described):
+                raise RuntimeError(f"{described} could not be written")
         table = cls(spark, path)
         if table.keys != list(keys):
             raise ValueError(f"{path} is keyed by {table.keys}, not by {list(keys)}")
@@ -139,7 +140,7 @@ class KeyedTable:
         commit = self._commit(before=batch_id)
         if not commit["held"]:
             # Nothing to fold in yet: the folders the write makes tell the buckets.
-            placed = fresh.withColumn(BUCKET, self.bucket_of()).repartition(self.buckets, BUCKET)
+            placed = fresh.withColumn(BUCKET, self.bucket_of()).repartitionById(self.buckets, F.col(BUCKET))
             return self._publish(placed, commit, batch_id)
         keep = not folded and touched is None
         if keep:

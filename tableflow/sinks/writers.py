@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -29,11 +30,16 @@ def sink_append(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     sink_files(df, path, fmt, mode="append")
 
 
-def sink_print(df: DataFrame, n: int = 20) -> DataFrame:
-    """The first rows a print target shows, printed; returns them."""
-    shown = df.limit(n)
-    shown.show(n, truncate=False)
-    return shown
+def sink_print(df: DataFrame) -> DataFrame:
+    """Every row, printed to the log of the task that has it when the result is used."""
+
+    def show(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                print(row, file=sys.stderr)
+            yield batch
+
+    return df.mapInArrow(show, df.schema)
 
 
 def bucketed(df: DataFrame, keys: Sequence[str] = (), n: int = DEFAULT_BUCKETS) -> DataFrame:

@@ -12,6 +12,7 @@ from tableflow.sources.decode import Schema, as_schema
 
 # Operation codes of a change envelope.
 SNAPSHOT, CREATE, UPDATE, DELETE = "r", "c", "u", "d"
+TRUNCATE, MESSAGE = "t", "m"
 
 _SEQ = "_seq"
 _OP = "op"
@@ -30,27 +31,39 @@ def cdc_encode(df: DataFrame, op: str, images: Sequence[str], ts_millis: Column)
     return df.select(F.to_json(envelope).alias("value"))
 
 
-def cdc_decode(df: DataFrame, schema: Schema, value: str = "value", keep: Sequence[str] = ()) -> DataFrame:
+def cdc_decode(df: DataFrame, schema: Schema, value: str = "value", keep: Sequence[str] = (), position: Sequence[str] = ()) -> DataFrame:
     """Changes from envelopes: the row image, ``op`` and the source time ``ts_ms``.
 
+    The source time is that of the change in the source; where an envelope has none, the
+    connector's. ``position`` names numeric fields of the source block (``pos``, ``lsn``) that order
+    changes of one millisecond; they come out as columns of these names.
+
     A delete carries its last image in ``before``; bodies wrapped in a ``payload``
     field, as connectors with embedded schemas send them, are read the same way.
-    Messages without an operation (tombstones, heartbeats) are dropped.
+    Messages without an operation (tombstones, heartbeats) and logical messages are dropped.
+    A truncate names no row: it fails the job, since the keyed targets cannot follow it.
     """
     image = as_schema(schema).simpleString()
-    shape = f"struct<op:string,before:{image},after:{image},ts_ms:bigint>"
+    block = "struct<" + ",".join(f"{c}:bigint" for c in ("ts_ms", *position)) + ">"
+    shape = f"struct<op:string,before:{image},after:{image},ts_ms:bigint,source:{block}>"
     body = F.from_json(F.col(value).cast("string"), f"struct<{shape[len('struct<'):-1]},payload:{shape}>")
     # Generating the fields as columns parses a message once, not once per use.
     parsed = df.select(*keep, F.inline(F.array(body)))
-    part = {c: F.coalesce(F.col(c), F.col(f"payload.{c}")) for c in ("op", "ts_ms")}
+    op = F.coalesce("op", "payload.op")
+    cleared = F.raise_error(F.lit("the feed truncates its table: load a new snapshot")).cast("string")
+    time = F.coalesce("source.ts_ms", "payload.source.ts_ms", "ts_ms", "payload.ts_ms")
+    places = [F.coalesce(f"source.{c}", f"payload.source.{c}").alias(c) for c in position]
     row = F.coalesce("after", "before", "payload.after", "payload.before")
-    change = parsed.select(*keep, part["op"].alias(_OP), part["ts_ms"].alias("ts_ms"), row.alias("_row"))
-    return change.where(F.col(_OP).isNotNull()).select(*keep, _OP, "ts_ms", "_row.*")
+    change = parsed.select(
+        *keep, F.when(op == TRUNCATE, cleared).otherwise(op).alias(_OP), time.alias("ts_ms"), *places, row.alias("_row")
+    )
+    known = F.col(_OP).isNotNull() & (F.col(_OP) != MESSAGE)
+    return change.where(known).select(*keep, _OP, "ts_ms", *position, "_row.*")
 
 
 def live(changes: DataFrame, keys: Sequence[str], seq: Sequence[str], op: str = _OP) -> DataFrame:
-    """Rows that exist after all changes: the newest of every key, unless it is a delete."""
-    return latest_per(changes, keys, seq).where(F.col(op) != DELETE).drop(op)
+    """Rows that exist after all changes: the newest of every key, unless it is a delete. A null operation writes."""
+    return latest_per(changes, keys, seq).where(~F.col(op).eqNullSafe(F.lit(DELETE))).drop(op)
 
 
 def cdc_initial(

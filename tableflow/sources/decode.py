@@ -63,16 +63,13 @@ def _kind(shape: Column, number: Column) -> Column:
     )
 
 
-def infer_schema(df: DataFrame, value: str = "value", sample: int | None = None) -> DataFrame:
+def infer_schema(df: DataFrame, value: str = "value") -> DataFrame:
     """``name, type, primaryKey`` of the top-level keys of a JSON log.
 
     Looks at all messages: one pass that keeps a few flags per key, so the shuffle
     carries one row per key and task. Bodies that are no JSON object are skipped.
-    With ``sample`` only that many messages are read, as a form preview does.
     """
     bodies = df.select(F.col(value).cast("string").alias("_body"))
-    if sample is not None:
-        bodies = bodies.limit(sample)
     explode = bodies.sparkSession.tvf.variant_explode(F.try_parse_json(F.col("_body").outer()))
     # Elements of an array have no key. Generating the facts computes each once per value.
     fields = bodies.lateralJoin(explode).where(F.col("key").isNotNull())

@@ -18,9 +18,6 @@ SHORT_MODES = {"earliest": "earliest-offset", "latest": "latest-offset"}
 DEFAULT_START = "latest-offset"
 INTERNAL_PREFIX = "__"
 
-# A position list has one row per log partition, whatever the log holds.
-MAX_PARTITIONS = 1_000_000
-
 
 def start_mode(name: str | None) -> str:
     mode = SHORT_MODES.get(name or DEFAULT_START, name or DEFAULT_START)
@@ -30,17 +27,16 @@ def start_mode(name: str | None) -> str:
 
 
 def positions(df: DataFrame) -> DataFrame:
-    """A ``topic, partition, offset`` list, counted and marked for broadcast.
+    """A ``topic, partition, offset`` list in the form that logs join with.
 
-    It has one row per log partition, so the log itself need not be shuffled to meet it.
-    More rows than a broker can have partitions is an error.
+    It has one row per log partition. Spark measures it when the job runs and sends it to
+    the log where it is small, as it always should be.
     """
-    typed = df.select("topic", F.col("partition").cast("int"), F.col("offset").cast("long"))
-    rows = typed.limit(MAX_PARTITIONS + 1).collect()
-    if len(rows) > MAX_PARTITIONS:
-        raise ValueError("more positions than log partitions: aggregate to one row per topic and partition")
-    listed = [(r["topic"], r["partition"], r["offset"]) for r in rows]
-    return F.broadcast(df.sparkSession.createDataFrame(listed, "_topic string, _partition int, _from long"))
+    return df.select(
+        F.col("topic").alias("_topic"),
+        F.col("partition").cast("int").alias("_partition"),
+        F.col("offset").cast("long").alias("_from"),
+    )
 
 
 def end_positions(df: DataFrame) -> DataFrame:

@@ -82,9 +82,10 @@ def _live(rows: DataFrame) -> DataFrame:
 class ChangelogAggregate:
     """``foreachBatch`` target that keeps ``GROUP BY by`` over a change feed.
 
-    Counts, sums and averages take the signed difference of old and new row images.
-    A minimum or maximum is read again from the rows of its group only when the value
-    that went away was the extreme itself.
+    Counts, and sums and averages of exact types, take the signed difference of old and new row
+    images. A minimum or maximum is read again from the rows of its group only when the value
+    that went away was the extreme itself; a sum of floating numbers, where taking a value away does
+    not undo adding it, whenever a value went away.
     """
 
     def __init__(
@@ -101,6 +102,7 @@ class ChangelogAggregate:
         self.rows = _Snapshot(f"{path}/rows", keys, seq, op, buckets)
         self.groups = f"{path}/groups"
         self.by, self.aggs, self.buckets = list(by), dict(aggs), buckets
+        self.inexact: set[str] = set()
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         folded = self.rows.fold(batch).persist(StorageLevel.MEMORY_AND_DISK)
@@ -112,14 +114,16 @@ class ChangelogAggregate:
             folded.unpersist()
 
     def _apply(self, table: KeyedTable, folded: DataFrame, touched: list[int], batch_id: int) -> None:
+        floating = (T.FloatType, T.DoubleType)
+        self.inexact = {f.name for f in folded.schema.fields if isinstance(f.dataType, floating)}
         changes = self._changes(table.read(before=batch_id, buckets=touched), folded)
         delta = changes.groupBy(*self.by).agg(*self._delta()).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             held, groups = self._held(delta, batch_id)
             states = delta.join(held, _same(delta, held, [(c, f"_held_{c}") for c in self.by]), "left")
             merged = states.select(*[delta[c] for c in self.by], *self._merged(), self._dirty().alias("_dirty"))
-            if any(name in ("min", "max") for name, _ in self.aggs.values()):
-                merged = self._extremes(merged, _live(table.read()))
+            if self._reread():
+                merged = self._afresh(merged, _live(table.read()))
             out = merged.drop("_dirty").withColumn(BATCH, F.lit(batch_id).cast("long")).withColumn(
                 OP, F.when(F.col(ROWS) <= 0, DELETE).otherwise("u")
             )
@@ -156,6 +160,8 @@ class ChangelogAggregate:
             out.append(F.sum(F.when(value.isNotNull(), F.col(SIGN)).otherwise(0)).alias(f"{alias}__n"))
             if name in ("sum", "avg"):
                 out.append(F.coalesce(F.sum(value * F.col(SIGN)), F.lit(0)).alias(f"{alias}__sum"))
+                if column in self.inexact:
+                    out.append(F.coalesce(F.max((F.col(SIGN) < 0) & value.isNotNull()), F.lit(False)).alias(f"{alias}__gone"))
             elif name in ("min", "max"):
                 extreme = F.min if name == "min" else F.max
                 out.append(extreme(F.when(F.col(SIGN) > 0, value)).alias(f"{alias}__in"))
@@ -202,26 +208,38 @@ class ChangelogAggregate:
         return out
 
     def _dirty(self) -> Column:
-        """Whether a value that went away may have been the extreme of its group."""
+        """Whether what went away cannot be taken out of the state: an extreme, or part of a floating sum."""
         out = F.lit(False)
-        for alias, (name, _) in self.aggs.items():
-            if name in ("min", "max"):
+        for alias, (name, column) in self.aggs.items():
+            if name in ("sum", "avg") and column in self.inexact:
+                out = out | F.col(f"{alias}__gone")
+            elif name in ("min", "max"):
                 gone, held = F.col(f"{alias}__out"), F.col(f"_held_{alias}__best")
                 out = out | F.coalesce(gone <= held if name == "min" else gone >= held, F.lit(False))
         return out
 
-    def _extremes(self, merged: DataFrame, rows: DataFrame) -> DataFrame:
-        best = {a: spec for a, spec in self.aggs.items() if spec[0] in ("min", "max")}
+    def _reread(self) -> dict[str, Column]:
+        """State columns that groups may need afresh, from their rows."""
+        out = {}
+        for alias, (name, column) in self.aggs.items():
+            if name in ("min", "max"):
+                out[f"{alias}__best"] = (F.min if name == "min" else F.max)(column)
+            elif name in ("sum", "avg") and column in self.inexact:
+                out[f"{alias}__sum"] = F.coalesce(F.sum(column), F.lit(0.0))
+        return out
+
+    def _afresh(self, merged: DataFrame, rows: DataFrame) -> DataFrame:
+        again_from = self._reread()
         again = merged.where("_dirty").select(*[F.col(c).alias(f"_again_{c}") for c in self.by])
         pairs = [(c, f"_again_{c}") for c in self.by]
         fresh = rows.join(again, _same(rows, again, pairs), "left_semi").groupBy(
             *[F.col(c).alias(f"_fresh_{c}") for c in self.by]
-        ).agg(*[(F.min if n == "min" else F.max)(c).alias(f"_fresh_{a}") for a, (n, c) in best.items()])
+        ).agg(*[value.alias(f"_fresh_{c}") for c, value in again_from.items()])
         joined = merged.join(fresh, _same(merged, fresh, [(c, f"_fresh_{c}") for c in self.by]), "left")
         return joined.select(
             *[
-                F.when(F.col("_dirty"), F.col(f"_fresh_{c.removesuffix('__best')}")).otherwise(F.col(c)).alias(c)
-                if c.endswith("__best")
+                F.when(F.col("_dirty"), F.col(f"_fresh_{c}")).otherwise(F.col(c)).alias(c)
+                if c in again_from
                 else merged[c]
                 for c in merged.columns
             ]

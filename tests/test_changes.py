@@ -145,3 +145,31 @@ def test_envelopes_in_both_forms(spark):
 def test_join_kind_is_checked(spark):
     with pytest.raises(ValueError):
         ChangelogJoin("x", [("a", "a")], "cross", ["a"], ["a"], ["s"], ["s"])
+
+
+def test_a_null_operation_writes(spark):
+    feed = spark.createDataFrame([(1, 5, 1, None), (2, 6, 1, "d"), (3, 7, 1, "c")], "k int, v int, seq int, op string")
+    empty = spark.createDataFrame([], "k int, v int, seq int")
+    assert rows(cdc_initial(empty, feed, ["k"], ["seq"]).select("k", "v")) == [(1, 5), (3, 7)]
+
+
+def test_source_time_position_and_truncate(spark):
+    body = '{"op": "%s", "before": null, "after": {"id": 1}, "ts_ms": 9, "source": {"ts_ms": 4, "lsn": 77}}'
+    feed = spark.createDataFrame([(body % "u",), (body % "m",)], "value string")
+    got = cdc_decode(feed, "id int", position=["lsn"]).collect()
+    assert [(r["op"], r["ts_ms"], r["lsn"], r["id"]) for r in got] == [("u", 4, 77, 1)]
+    with pytest.raises(Exception, match="truncates"):
+        cdc_decode(spark.createDataFrame([(body % "t",)], "value string"), "id int").collect()
+
+
+def test_floating_sums_forget_what_went_away(spark):
+    nan, inf = float("nan"), float("inf")
+    batches = [
+        [(1, "g", nan, 1, "c"), (2, "g", 6.0, 1, "c"), (3, "h", 1e17, 1, "c"), (4, "h", 1.0, 1, "c"), (5, "i", inf, 1, "c")],
+        [(1, "g", None, 2, "d"), (3, "h", 2.0, 2, "u"), (5, "i", 1.0, 2, "u")],
+    ]
+    aggs = {"s": ("sum", "v"), "a": ("avg", "v")}
+    target = ChangelogAggregate(work_dir(spark, "floating"), ["k"], ["seq"], ["g"], aggs, buckets=2)
+    for number, batch in enumerate(batches):
+        target(spark.createDataFrame(batch, "k int, g string, v double, seq int, op string"), number)
+    assert rows(target.result(spark)) == [("g", 6.0, 6.0), ("h", 3.0, 1.5), ("i", 1.0, 1.0)]

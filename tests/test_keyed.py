@@ -2,7 +2,6 @@ import pytest
 from tests.conftest import rows
 from pyspark.sql import functions as F
 
-from tableflow.operators import keyed
 from tableflow.operators.keyed import (
     first_filled,
     latest_per,
@@ -101,8 +100,7 @@ def test_page_counts_before_it_cuts(spark):
 
 
 @pytest.mark.parametrize("offset, limit", [(0, 7), (93, 15), (490, 20), (500, 5), (0, 600)])
-def test_a_page_far_back_equals_a_slice(spark, monkeypatch, offset, limit):
-    monkeypatch.setattr(keyed, "DEEP_PAGE", 1)
+def test_a_page_far_back_equals_a_slice(spark, offset, limit):
     df = spark.range(500).selectExpr("id", "id % 7 g").repartition(5)
     got = page(df, [F.col("g").desc(), F.col("id")], offset, limit).collect()
     want = sorted(((i % 7, i) for i in range(500)), key=lambda x: (-x[0], x[1]))[offset : offset + limit]
@@ -122,8 +120,7 @@ def test_lineage_against_walking(spark):
     assert rows(lineage(df, "id", "parent")) == sorted(((i, *walk(i)) for i in parents), key=repr)
 
 
-def test_lineage_refuses_a_cycle(spark, monkeypatch):
-    monkeypatch.setattr(keyed, "LONGEST_CHAIN_LOG2", 3)
+def test_lineage_refuses_a_cycle(spark):
     df = spark.createDataFrame([(1, 2), (2, 1)], "id int, parent int")
     with pytest.raises(ValueError, match="cycle"):
         lineage(df, "id", "parent").collect()

@@ -6,7 +6,7 @@ import pytest
 from tests.conftest import SF, rows
 
 import __spark_entry__ as registered
-from tableflow.operators.joins import hot_keys, join
+from tableflow.operators.joins import join
 from tableflow.plans.inputs import table
 
 QUERIES = registered.queries()
@@ -83,8 +83,7 @@ def test_salt_changes_nothing(spark, no_broadcast, how):
     left = spark.createDataFrame([(i, i % 4 if i % 5 else None) for i in range(40)], "id int, k int")
     right = spark.createDataFrame([(1, "a"), (2, "b"), (9, "c"), (None, "d")], "k int, name string")
     native = left.alias("l").join(right.alias("r"), left.k == right.k, how).select("l.id", "r.name")
-    hot = spark.createDataFrame([(1,), (7,)], "k int")
-    for choice in ({}, {"salt": 5}, {"salt": 5, "hot": hot}):
+    for choice in ({}, {"salt": 5}):
         assert rows(join(left, right, [("k", "k")], how, ["id"], ["name"], **choice)) == rows(native)
 
 
@@ -97,13 +96,6 @@ def test_unique_left_keys_join_in_one_go(spark, no_broadcast, how):
     assert rows(once) == rows(join(left, right, [("k", "k")], how, ["a"], ["b"]))
 
 
-def test_hot_keys_are_few(spark):
-    df = spark.range(1000).selectExpr("if(id < 400, 0, id) k")
-    assert rows(hot_keys(df, ["k"], least=10)) == [(0,)]
-    assert hot_keys(df, ["k"]) is None
-    assert len(hot_keys(spark.range(1000).selectExpr("id % 50 k"), ["k"], share=0.01, least=0).collect()) <= 100
-
-
 def test_hot_key_is_split(spark, no_broadcast):
     """Adaptive execution cuts the partition of a key that holds most rows, also in a full join."""
     spark.conf.set("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "20KB")

@@ -156,14 +156,14 @@ def test_create_statement():
 
 
 def test_merge_statements():
-    args = ("t", "t_staging", ["id", "v"], ["id"])
-    assert jdbc.merge_statement("mysql", *args).endswith("ON DUPLICATE KEY UPDATE v = VALUES(v)")
-    assert jdbc.merge_statement("postgresql", *args).endswith("ON CONFLICT (id) DO UPDATE SET v = EXCLUDED.v")
+    args = ("t", "t_staging", ["id", "order"], ["id"])
+    assert jdbc.merge_statement("mysql", *args).endswith("ON DUPLICATE KEY UPDATE `order` = VALUES(`order`)")
+    assert jdbc.merge_statement("postgresql", *args).endswith('ON CONFLICT ("id") DO UPDATE SET "order" = EXCLUDED."order"')
     assert jdbc.merge_statement("sqlserver", *args).endswith(";")
     oracle = jdbc.merge_statement("oracle", *args)
-    assert oracle.startswith("MERGE INTO t t USING t_staging s ON (t.id = s.id)") and not oracle.endswith(";")
+    assert oracle.startswith('MERGE INTO t t USING t_staging s ON (t."id" = s."id")') and not oracle.endswith(";")
     assert "DO NOTHING" in jdbc.merge_statement("postgresql", "t", "s", ["id"], ["id"])
-    assert jdbc.delete_statement("t", "r", ["a", "b"]) == "DELETE FROM t WHERE EXISTS (SELECT 1 FROM r WHERE r.a = t.a AND r.b = t.b)"
+    assert jdbc.delete_statement("sqlserver", "t", "r", ["a", "b"]).endswith("WHERE r.[a] = t.[a] AND r.[b] = t.[b])")
 
 
 def test_target_column_types():
