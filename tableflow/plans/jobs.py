@@ -13,20 +13,27 @@ from tableflow.operators.aggregates import Aggs, aggregate
 from tableflow.operators.project import map_fields
 from tableflow.sinks.bulk import bulk_load
 from tableflow.sinks.jdbc import sink_jdbc
-from tableflow.sinks.keyed_table import DEFAULT_BUCKETS
 from tableflow.sinks.models import load_unique
 from tableflow.sinks.upsert import sink_upsert
+from tableflow.sources.changes import cdc_decode
 from tableflow.sources.decode import decode
 from tableflow.sources.logs import read_log, scan_log
 from tableflow.sources.tables import stream_table
-from tableflow.streaming.changelog import tagged, untagged
+from tableflow.streaming.changelog import ChangelogAggregate, tagged, untagged
 from tableflow.streaming.runner import drain, start
 
 Sink = Callable[[dict[str, DataFrame], int], None]
 
 
-def run_statement_set(sources: Mapping[str, DataFrame], sinks: Mapping[str, Sink], checkpoint: str) -> StreamingQuery:
-    """Several INSERTs as one job: every source is read once per batch, for all sinks.
+def _launch(stream: DataFrame, checkpoint: str, every: str | None, **target) -> StreamingQuery:
+    """With a trigger interval a job goes on until it is stopped; without one it takes what is there and ends."""
+    return start(stream, checkpoint, every=every, **target) if every else drain(stream, checkpoint, **target)
+
+
+def run_statement_set(
+    sources: Mapping[str, DataFrame], sinks: Mapping[str, Sink], checkpoint: str, every: str | None = None
+) -> StreamingQuery:
+    """Several INSERTs as one job: every source is read once per batch, for all sinks. ``every`` as in ``run_job``.
 
     A sink gets the batch as ``{source: frame}`` with its batch id. Sinks that need more
     than the batch, such as joins, keep a snapshot of their own (``ChangelogJoin``).
@@ -41,7 +48,7 @@ def run_statement_set(sources: Mapping[str, DataFrame], sinks: Mapping[str, Sink
         finally:
             batch.unpersist()
 
-    return drain(tagged(dict(sources)), checkpoint, each_batch=each_batch)
+    return _launch(tagged(dict(sources)), checkpoint, every, each_batch=each_batch)
 
 
 def sync_tables(
@@ -53,8 +60,10 @@ def sync_tables(
     """Copy tables with one common source and sink setting, one query each, side by side.
 
     ``source`` names the folder of the tables and reader options; ``sink`` the target and
-    checkpoint folders. A table given as ``{"name", "keys", "seq"}`` is kept by key.
+    checkpoint folders, and with ``every`` the trigger interval at which the queries go on until
+    they are stopped. A table given as ``{"name", "keys", "seq"}`` is kept by key.
     """
+    every = sink.get("every")
     running = {}
     for entry in tables:
         spec = {"name": entry} if isinstance(entry, str) else dict(entry)
@@ -65,22 +74,23 @@ def sync_tables(
         if spec.get("keys"):
 
             def each_batch(batch: DataFrame, batch_id: int, spec=spec, target=target) -> None:
-                buckets = spec.get("buckets", DEFAULT_BUCKETS)
-                sink_upsert(batch, target, spec["keys"], spec["seq"], spec.get("op"), batch_id, buckets)
+                sink_upsert(batch, target, spec["keys"], spec["seq"], spec.get("op"), batch_id, spec.get("buckets"))
 
-            running[name] = start(stream, checkpoint, each_batch=each_batch)
+            running[name] = start(stream, checkpoint, each_batch=each_batch, every=every)
         else:
-            running[name] = start(stream, checkpoint, path=target)
-    for query in running.values():
-        query.awaitTermination()
+            running[name] = start(stream, checkpoint, path=target, every=every)
+    if not every:
+        for query in running.values():
+            query.awaitTermination()
     return running
 
 
 def _write(target: Mapping[str, object], rows: DataFrame, batch_id: int) -> None:
     kind = target.get("type", "files")
     if kind == "upsert":
-        buckets = target.get("buckets", DEFAULT_BUCKETS)
-        sink_upsert(rows, target["path"], target["keys"], target["seq"], target.get("op"), batch_id, buckets)
+        sink_upsert(
+            rows, target["path"], target["keys"], target["seq"], target.get("op"), batch_id, target.get("buckets")
+        )
     elif kind == "bulk":
         bulk_load(rows, batch_id, target["path"], target["fields"], target.get("label_prefix", "load"))
     elif kind == "jdbc":
@@ -91,22 +101,65 @@ def _write(target: Mapping[str, object], rows: DataFrame, batch_id: int) -> None
         raise ValueError(f"target type {kind!r}, expected files, upsert, bulk or jdbc")
 
 
+# What a change carries beside its row.
+CHANGE = ("op", "ts_ms")
+
+
+def _changes(messages: DataFrame, spec: Mapping[str, object]) -> DataFrame:
+    """Mapped rows of change envelopes with their operation, source time and position."""
+    position = list(spec.get("position", ()))
+    rows = cdc_decode(messages, spec["schema"], position=position)
+    beside = [{"source": c, "target": c} for c in (*CHANGE, *position)]
+    return map_fields(rows, [*spec["mappings"], *beside] if spec.get("mappings") else None)
+
+
+def _grouped(spec: Mapping[str, object]) -> ChangelogAggregate:
+    """The keyed aggregate of a change form: ``result`` of the same object, in any session, reads it."""
+    target, group = spec["target"], spec["aggregate"]
+    return ChangelogAggregate(
+        target["path"], target["keys"], target["seq"], group["by"], group["aggs"], CHANGE[0], target.get("buckets")
+    )
+
+
 def run_job(spark: SparkSession, spec: Mapping[str, object], messages: DataFrame | None = None) -> StreamingQuery:
     """Run a form: log, schema, field mapping and target, as one query.
 
     ``messages`` stands in for the live broker named by ``spec["servers"]``. The target is
-    ``{"type": "files" | "upsert" | "bulk" | "jdbc", ...}``.
+    ``{"type": "files" | "upsert" | "bulk" | "jdbc", ...}``. ``group`` is the reader's group id.
+
+    ``source: "changes"`` reads change envelopes instead of plain rows. Its target is keyed: updates
+    replace and deletes remove rows; ``seq`` is the source time and the fields of ``position``
+    unless the target says otherwise. With ``aggregate: {"by", "aggs"}`` the target keeps these groups up to date.
+
+    With ``every`` (a trigger interval) the job goes on until it is stopped, and this returns the running query.
     """
+    given = dict(spec.get("start", {}))
     if messages is None:
-        messages = read_log(spark, spec["servers"], spec["topics"], spec.get("start_mode"), **spec.get("start", {}))
+        if spec.get("group"):
+            given["group"] = spec["group"]
+        messages = read_log(spark, spec["servers"], spec["topics"], spec.get("start_mode"), **given)
     else:
-        messages = scan_log(messages, spec.get("start_mode"), spec.get("topics"), **spec.get("start", {}))
-    rows = decode(messages, spec.get("schema"), spec.get("format", "json"))
-    rows = map_fields(rows, spec.get("mappings"))
-    target = spec["target"]
+        messages = scan_log(messages, spec.get("start_mode"), spec.get("topics"), **given)
+    checkpoint, every, target = spec["checkpoint"], spec.get("every"), spec["target"]
+    if spec.get("source", "log") == "changes":
+        if target.get("type") not in ("upsert", "jdbc"):
+            raise ValueError("a change feed needs a keyed target: upsert or jdbc")
+        target = {"op": CHANGE[0], "seq": [CHANGE[1], *spec.get("position", ())], **target}
+        rows = _changes(messages, spec)
+        if spec.get("aggregate"):
+            return _launch(rows, checkpoint, every, each_batch=_grouped({**spec, "target": target}))
+    else:
+        rows = decode(messages, spec.get("schema"), spec.get("format", "json"))
+        rows = map_fields(rows, spec.get("mappings"))
     if target.get("type", "files") == "files":
-        return drain(rows, spec["checkpoint"], path=target["path"])
-    return drain(rows, spec["checkpoint"], each_batch=lambda batch, batch_id: _write(target, batch, batch_id))
+        return _launch(rows, checkpoint, every, path=target["path"])
+    return _launch(rows, checkpoint, every, each_batch=lambda batch, batch_id: _write(target, batch, batch_id))
+
+
+def job_groups(spark: SparkSession, spec: Mapping[str, object]) -> DataFrame:
+    """The groups that a change form with ``aggregate`` keeps."""
+    target = {"seq": [CHANGE[1], *spec.get("position", ())], **spec["target"]}
+    return _grouped({**spec, "target": target}).result(spark)
 
 
 def aggregate_to_sink(
@@ -115,7 +168,7 @@ def aggregate_to_sink(
     by: Sequence[str],
     aggs: Aggs,
     checkpoint: str | None = None,
-    buckets: int = DEFAULT_BUCKETS,
+    buckets: int | None = None,
     **filters,
 ) -> None:
     """GROUP BY into a keyed target: the group columns are its key, the aliases its columns.

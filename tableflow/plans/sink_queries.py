@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tableflow.plans.feed_queries import FEED, LIVE
 from tableflow.plans.inputs import LOG_SCHEMA, change_feed, halves, log, table
-from tableflow.plans.jobs import aggregate_to_sink, run_job, run_statement_set, sync_tables
+from tableflow.plans.jobs import aggregate_to_sink, job_groups, run_job, run_statement_set, sync_tables
 from tableflow.plans.registry import query
 from tableflow.session import work_dir
 from tableflow.sinks.bulk import bulk_load, read_loaded
@@ -17,6 +17,7 @@ from tableflow.sinks.keyed_table import KeyedTable, buckets_for
 from tableflow.sinks.models import load_aggregate, load_duplicate, load_unique
 from tableflow.sinks.upsert import read_upserted, sink_upsert
 from tableflow.sinks.writers import BUCKET, sink_append, sink_files, sink_hash_buckets, sink_print
+from tableflow.sources.changes import cdc_encode
 from tableflow.sources.decode import decode, encode
 from tableflow.sources.tables import stream_table
 from tableflow.streaming.changelog import ChangelogJoin
@@ -87,14 +88,17 @@ def duplicate(spark, sf):
     return spark.read.schema(rows.schema).parquet(path)
 
 
-@query("sink_hash_buckets", "select count(*) n, count(distinct o_custkey) keys, count(distinct o_custkey) places from orders")
+@query(
+    "sink_hash_buckets",
+    "select o_orderkey, o_custkey, o_totalprice, 1::bigint places from orders",
+)
 def hash_buckets(spark, sf):
-    """All rows of a key are in one bucket."""
+    """Every row, and in how many buckets its key is."""
     path = work_dir(spark, "buckets")
     sink_hash_buckets(table(spark, sf, "orders"), path, ["o_custkey"], n=10)
-    places = spark.read.parquet(path).groupBy("o_custkey", BUCKET).agg(F.count("*").alias("n"))
-    per_key = places.groupBy("o_custkey").agg(F.sum("n").alias("n"), F.count("*").alias("places"))
-    return per_key.agg(F.sum("n").alias("n"), F.count("*").alias("keys"), F.sum("places").alias("places"))
+    written = spark.read.parquet(path)
+    places = written.groupBy("o_custkey").agg(F.count_distinct(BUCKET).alias("places"))
+    return written.join(places, "o_custkey").select("o_orderkey", "o_custkey", "o_totalprice", "places")
 
 
 @query(
@@ -146,12 +150,12 @@ def auto_create(spark, sf):
 
 @query(
     "multi_sink",
-    "select 'seg' sink, count(*) n from (select distinct c_mktsegment from customer) union all"
-    " select 'copy', count(*) from customer union all"
-    " select 'join', count(*) from orders join customer on o_custkey = c_custkey",
+    "select 'seg' sink, null::bigint id, null::bigint other, c_mktsegment name, count(*) n from customer group by 4 union all"
+    " select 'copy', c_custkey, null, c_name, 1 from customer union all"
+    " select 'join', o_orderkey, c_custkey, c_name, 1 from orders join customer on o_custkey = c_custkey",
 )
 def multi_sink(spark, sf):
-    """Counts, a copy and a join as one job over two streams."""
+    """Counts, a copy and a join as one job over two streams: all rows of the three targets."""
     base = work_dir(spark, "multi-sink")
     buckets = buckets_for(table(spark, sf, "orders"))
     join = ChangelogJoin(
@@ -187,19 +191,23 @@ def multi_sink(spark, sf):
         "join": lambda parts, i: join.apply({"l": upserts(parts["orders"]), "r": upserts(parts["customer"])}, i),
     }
     run_statement_set(sources, sinks, f"{base}/checkpoint")
+    none, one = F.lit(None).cast("long"), F.lit(1).cast("long")
     frames = {
-        "seg": KeyedTable(spark, f"{base}/seg").read(),
-        "copy": read_upserted(spark, f"{base}/copy"),
-        "join": join.result(spark),
+        "seg": KeyedTable(spark, f"{base}/seg").read().select(none, none, "c_mktsegment", "n"),
+        "copy": read_upserted(spark, f"{base}/copy").select("c_custkey", none, "c_name", one),
+        "join": join.result(spark).select("l_o_orderkey", "r_c_custkey", "r_c_name", one),
     }
-    counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("sink"), "n") for name, df in frames.items()]
-    return counts[0].unionAll(counts[1]).unionAll(counts[2])
+    rows = [
+        df.toDF("id", "other", "name", "n").select(F.lit(sink).alias("sink"), "*") for sink, df in frames.items()
+    ]
+    return rows[0].unionAll(rows[1]).unionAll(rows[2])
 
 
 @query(
     "sync_tables",
-    "select 'customer' t, count(*) n from customer union all select 'supplier', count(*) from supplier"
-    " union all select 'orders', count(*) from orders",
+    "select 'customer' t, c_custkey id, c_name name, c_acctbal amount from customer union all"
+    " select 'supplier', s_suppkey, s_name, s_acctbal from supplier union all"
+    " select 'orders', o_orderkey, o_orderstatus, o_totalprice from orders",
 )
 def sync(spark, sf):
     base = work_dir(spark, "sync")
@@ -216,8 +224,16 @@ def sync(spark, sf):
         "supplier": spark.read.parquet(f"{base}/out/supplier"),
         "orders": read_upserted(spark, f"{base}/out/orders"),
     }
-    counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("t"), "n") for name, df in frames.items()]
-    return counts[0].unionAll(counts[1]).unionAll(counts[2])
+    picked = {
+        "customer": ("c_custkey", "c_name", "c_acctbal"),
+        "supplier": ("s_suppkey", "s_name", "s_acctbal"),
+        "orders": ("o_orderkey", "o_orderstatus", "o_totalprice"),
+    }
+    rows = [
+        frames[t].select(F.lit(t).alias("t"), F.col(a).alias("id"), F.col(b).alias("name"), F.col(c).alias("amount"))
+        for t, (a, b, c) in picked.items()
+    ]
+    return rows[0].unionAll(rows[1]).unionAll(rows[2])
 
 
 @query("agg_to_keyed_sink", "select o_custkey, count(*) n, round(sum(o_totalprice), 2) total from orders group by 1")
@@ -246,3 +262,45 @@ def job(spark, sf):
     run_job(spark, spec, messages)
     return spark.read.schema("id bigint, amount double").parquet(f"{base}/out")
 
+
+def _change_form(spark, sf, base):
+    """A form over envelopes of the user feed, and the envelopes as a stream."""
+    events = table(spark, sf, "events")
+    changes = change_feed(stream_table(spark, f"{sf}/events.parquet", events.schema))
+    millis = F.unix_millis(F.col("ts").cast("timestamp"))
+    messages = cdc_encode(changes, "op", ["user_id", "event_type", "value", "event_id"], millis)
+    spec = {
+        "source": "changes",
+        "start_mode": "earliest-offset",
+        "schema": "user_id bigint, event_type string, value double, event_id bigint",
+        "mappings": [
+            {"source": "user_id", "target": "id"},
+            {"source": "event_type", "target": "kind"},
+            {"source": "value", "target": "amount"},
+            {"source": "event_id", "target": "change_no"},
+        ],
+        "target": {"type": "upsert", "path": f"{base}/out", "keys": ["id"], "seq": ["change_no"]},
+        "checkpoint": f"{base}/checkpoint",
+    }
+    return spec, messages
+
+
+@query("job_changes", f"with {FEED}, {LIVE} select user_id id, event_type kind, value amount from live where op <> 'd'")
+def job_changes(spark, sf):
+    """Change envelopes into a keyed target."""
+    base = work_dir(spark, "job-changes")
+    spec, messages = _change_form(spark, sf, base)
+    run_job(spark, spec, messages)
+    return read_upserted(spark, f"{base}/out").select("id", "kind", "amount")
+
+
+@query(
+    "job_changes_agg",
+    f"with {FEED}, {LIVE} select event_type kind, count(*) n, max(value) top from live where op <> 'd' group by 1",
+)
+def job_changes_agg(spark, sf):
+    """Change envelopes into groups that follow the changes."""
+    spec, messages = _change_form(spark, sf, work_dir(spark, "job-changes-agg"))
+    spec["aggregate"] = {"by": ["kind"], "aggs": {"n": ("count", "*"), "top": ("max", "amount")}}
+    run_job(spark, spec, messages)
+    return job_groups(spark, spec)

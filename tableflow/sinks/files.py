@@ -38,6 +38,11 @@ class Files:
         found = [status.getPath().getName() for status in fs.listStatus(at)]
         return sorted(name for name in found if not name.startswith("."))
 
+    def size(self, path: str) -> int:
+        """Bytes of all files below a folder."""
+        fs, at = self._at(path)
+        return fs.getContentSummary(at).getLength()
+
     def make_dirs(self, path: str) -> str:
         fs, at = self._at(path)
         fs.mkdirs(at)

@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections import Counter
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,17 +26,37 @@ from tableflow.sinks.files import Files
 
 BUCKET = "_bucket"
 
-# Buckets of a table whose size nobody named, the span a size may ask for, and the size
-# of a bucket when it does.
-DEFAULT_BUCKETS = 16
-FEWEST, MOST = 8, 20_000
+# Buckets a table has at least, rows per bucket of a new one, and the mean bytes of a bucket
+# above which all buckets are split.
+FEWEST = 8
+BUCKET_ROWS = 2_000_000
 BUCKET_BYTES = 256 * 1024 * 1024
 
 
 def buckets_for(df: DataFrame) -> int:
-    """Number of buckets for a keyed copy of a table, by the size Spark has of it."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return max(FEWEST, min(MOST, size // BUCKET_BYTES))
+    """Number of buckets for a keyed copy of a table, by its rows; there is no upper limit."""
+    return max(FEWEST, -(-df.count() // BUCKET_ROWS))
+
+
+@dataclass(frozen=True)
+class Places:
+    """Some buckets of a table that has ``of`` in all.
+
+    A table only grows by doubling: bucket b of n becomes b and b + n of 2n, so places found under one
+    number of buckets can be read under another.
+    """
+
+    of: int
+    numbers: list[int]
+
+    def __bool__(self) -> bool:
+        return bool(self.numbers)
+
+    def among(self, n: int) -> set[int]:
+        if n <= self.of:
+            return {b % n for b in self.numbers}
+        return {b + k for b in self.numbers for k in range(0, n, self.of)}
+
 
 # Commits that stay readable; older ones are removed once there are twice as many.
 KEPT_COMMITS = 10
@@ -50,16 +72,16 @@ class KeyedTable:
         spec = json.loads(self.files.read(f"{self.path}/_table.json"))
         self.schema = T.StructType.fromJson(spec["schema"])
         self.keys: list[str] = spec["keys"]
-        self.buckets: int = spec["buckets"]
+        self.first_buckets: int | None = spec["buckets"]
 
     @classmethod
     def create(
-        cls, spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str], buckets: int = DEFAULT_BUCKETS
+        cls, spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str], buckets: int | None = None
     ) -> KeyedTable:
         """Open the table at ``path``, making it first if there is none.
 
-        ``buckets`` fixes how finely later writes can be limited and how many tasks share
-        a full one; ``buckets_for`` derives it from the size of a source table.
+        ``buckets`` says how many it begins with; without it, the rows of the first write do.
+        Once the buckets are too large on average, the next write doubles their number.
         """
         files = Files(spark)
         described = f"{path.rstrip('/')}/_table.json"
@@ -75,26 +97,28 @@ class KeyedTable:
             raise ValueError(f"{path} is keyed by {table.keys}, not by {list(keys)}")
         return table
 
-    def bucket_of(self) -> Column:
-        """Bucket of a row that has the table's columns."""
-        return F.pmod(F.xxhash64(*[F.col(k) for k in self.keys]), F.lit(self.buckets)).cast("int")
+    def bucket_of(self, n: int) -> Column:
+        """Bucket, of ``n``, of a row that has the table's columns."""
+        return F.pmod(F.xxhash64(*[F.col(k) for k in self.keys]), F.lit(n)).cast("int")
 
     def last_batch(self) -> int:
         commits = self.files.names(f"{self.path}/_commits")
         return int(commits[-1].split(".")[0]) if commits else -1
 
     def _commit(self, before: int | None) -> dict[str, dict]:
-        """The newest commit, of a batch below ``before``: the folder of every bucket, and
-        how many buckets each folder was written with."""
+        """The newest commit, of a batch below ``before``: the folder of every bucket, how many buckets
+        and bytes each folder was written with, and the number of buckets."""
         for name in reversed(self.files.names(f"{self.path}/_commits")):
             if before is None or int(name.split(".")[0]) < before:
                 return json.loads(self.files.read(f"{self.path}/_commits/{name}"))
-        return {"held": {}, "written": {}}
+        return {"held": {}, "written": {}, "bytes": {}, "buckets": self.first_buckets or FEWEST}
 
-    def read(self, before: int | None = None, buckets: Sequence[int] | None = None) -> DataFrame:
+    def read(self, before: int | None = None, buckets: Places | None = None) -> DataFrame:
         """The rows as committed, optionally as of before a batch and for some buckets only."""
         commit = self._commit(before)
-        wanted = commit["held"] if buckets is None else {str(b) for b in buckets} & set(commit["held"])
+        wanted = set(commit["held"])
+        if buckets is not None:
+            wanted &= {str(b) for b in buckets.among(commit["buckets"])}
         folders: dict[str, list[str]] = {}
         for bucket in wanted:
             folders.setdefault(commit["held"][bucket], []).append(bucket)
@@ -107,12 +131,13 @@ class KeyedTable:
         reader = self.spark.read.schema(self.schema).option("basePath", f"{self.path}/data")
         return reader.parquet(*paths).select(*self.schema.names)
 
-    def buckets_of(self, rows: DataFrame, keys: Sequence[str] | None = None) -> list[int]:
+    def buckets_of(self, rows: DataFrame, keys: Sequence[str] | None = None, before: int | None = None) -> Places:
         """Buckets the keys of ``rows`` fall into: at most as many as the table has."""
+        n = self._commit(before)["buckets"]
         typed = [F.col(c).cast(self.schema[k].dataType) for c, k in zip(keys or self.keys, self.keys, strict=True)]
-        bucket = F.pmod(F.xxhash64(*typed), F.lit(self.buckets)).cast("int")
+        bucket = F.pmod(F.xxhash64(*typed), F.lit(n)).cast("int")
         found = rows.select(bucket.alias(BUCKET)).distinct().collect()
-        return sorted(row[BUCKET] for row in found)
+        return Places(n, sorted(row[BUCKET] for row in found))
 
     def merge(
         self,
@@ -120,14 +145,16 @@ class KeyedTable:
         fold: Fold,
         batch_id: int | None = None,
         folded: bool = False,
-        touched: list[int] | None = None,
-    ) -> list[int]:
+        touched: Places | None = None,
+        kept: Column | None = None,
+    ) -> Places:
         """Fold ``rows`` into the table and commit; returns the buckets it touched.
 
         ``fold(frame, keys)`` leaves one row per key. It first runs on the batch
         alone, where Spark combines before the shuffle, so a hot key costs one row
         per task from there on. ``folded`` says the batch has one row per key already
         and is cheap to read twice; ``touched`` names its buckets where they are known.
+        Rows that ``kept`` is not true for leave the buckets that are written.
         """
         last = self.last_batch()
         if batch_id is None:
@@ -138,45 +165,71 @@ class KeyedTable:
         typed = rows.select(*[F.col(f.name).cast(f.dataType) for f in self.schema.fields])
         fresh = typed if folded else fold(typed, self.keys).select(*self.schema.names)
         commit = self._commit(before=batch_id)
-        if not commit["held"]:
-            # Nothing to fold in yet: the folders the write makes tell the buckets.
-            placed = fresh.withColumn(BUCKET, self.bucket_of()).repartitionById(self.buckets, F.col(BUCKET))
-            return self._publish(placed, commit, batch_id)
-        keep = not folded and touched is None
+        first = not commit["held"]
+        count = first and self.first_buckets is None
+        keep = not folded and (count or (not first and touched is None))
         if keep:
             fresh = fresh.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            if touched is None:
-                touched = self.buckets_of(fresh)
+            if first:
+                # Nothing to fold in yet: the folders the write makes tell the buckets.
+                n = buckets_for(fresh) if count else commit["buckets"]
+                placed = fresh.withColumn(BUCKET, self.bucket_of(n)).repartitionById(n, F.col(BUCKET))
+                return self._publish(placed, commit, batch_id, Places(n, []), kept)
+            n = self._grown(commit)
+            if n > commit["buckets"]:
+                touched = Places(n, list(range(n)))
+            elif touched is None:
+                touched = self.buckets_of(fresh, before=batch_id)
             if not touched:
-                return []
-            kept = self.read(before=batch_id, buckets=touched)
-            both = kept.unionByName(fresh).withColumn(BUCKET, self.bucket_of())
+                return touched
+            held = self.read(before=batch_id, buckets=touched)
+            both = held.unionByName(fresh).withColumn(BUCKET, self.bucket_of(n))
             # Hash partitioning by bucket also clusters (bucket, key): the fold adds no
             # shuffle, and each task writes whole buckets.
-            placed = both.repartition(len(touched), BUCKET)
-            return self._publish(fold(placed, [BUCKET, *self.keys]), commit, batch_id)
+            placed = both.repartition(len(touched.numbers), BUCKET)
+            return self._publish(fold(placed, [BUCKET, *self.keys]), commit, batch_id, touched, kept)
         finally:
             if keep:
                 fresh.unpersist()
 
-    def _publish(self, rows: DataFrame, commit: dict[str, dict], batch_id: int) -> list[int]:
+    def _grown(self, commit: dict[str, dict]) -> int:
+        """Number of buckets the next write has: doubled until the mean size of one is small enough."""
+        n = commit["buckets"]
+        held = Counter(commit["held"].values())
+        size = sum(commit["bytes"][f] * count / commit["written"][f] for f, count in held.items())
+        while size / n > BUCKET_BYTES:
+            n *= 2
+        return n
+
+    def _publish(
+        self, rows: DataFrame, commit: dict[str, dict], batch_id: int, touched: Places, kept: Column | None
+    ) -> Places:
         """Write whole buckets, then the commit that points to them."""
         folder = f"data/commit={batch_id:020d}-{uuid.uuid4().hex}"
+        rows = rows if kept is None else rows.where(kept)
         rows.write.partitionBy(BUCKET).parquet(f"{self.path}/{folder}")
         marks = [n for n in self.files.names(f"{self.path}/{folder}") if n.startswith(f"{BUCKET}=")]
-        touched = sorted(int(name.split("=")[1]) for name in marks)
+        written = sorted(int(name.split("=")[1]) for name in marks)
         tries = [n for n in self.files.names(f"{self.path}/_commits") if n.startswith(f"{batch_id:020d}.")]
-        if touched or tries:
-            held = commit["held"] | {str(bucket): folder for bucket in touched}
-            sizes = commit["written"] | {folder: len(touched)}
-            new = {"held": held, "written": {f: sizes[f] for f in set(held.values())}}
+        if touched or written or tries:
+            rest = set() if touched.of > commit["buckets"] else set(commit["held"]) - {str(b) for b in touched.numbers}
+            held = {b: commit["held"][b] for b in rest} | {str(b): folder for b in written}
+            used = set(held.values())
+            counts = commit["written"] | {folder: len(written)}
+            sizes = commit["bytes"] | {folder: self.files.size(f"{self.path}/{folder}")}
+            new = {
+                "held": held,
+                "written": {f: counts[f] for f in used},
+                "bytes": {f: sizes[f] for f in used},
+                "buckets": touched.of,
+            }
             name = f"{batch_id:020d}.{len(tries):04d}.json"
             if not self.files.publish(f"{self.path}/_commits/{name}", json.dumps(new)):
                 raise RuntimeError(f"another writer published {name} of {self.path}")
             if len(self.files.names(f"{self.path}/_commits")) > 2 * KEPT_COMMITS:
                 self.vacuum(KEPT_COMMITS)
-        return touched
+        return touched if touched else Places(touched.of, written)
 
     def vacuum(self, keep: int = 2) -> int:
         """Remove folders that the newest ``keep`` commits do not use; returns how many."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tableflow.operators.keyed import latest_per
-from tableflow.sinks.keyed_table import DEFAULT_BUCKETS, KeyedTable
+from tableflow.sinks.keyed_table import KeyedTable
 
 # Aggregates a value column of an aggregate table can carry. Each can be
 # applied again to its own results.
@@ -27,7 +27,7 @@ def load_aggregate(
     keys: Sequence[str],
     folds: Mapping[str, str],
     batch_id: int | None = None,
-    buckets: int = DEFAULT_BUCKETS,
+    buckets: int | None = None,
 ) -> KeyedTable:
     """Fold a slice of rows into the aggregate table at ``path``.
 

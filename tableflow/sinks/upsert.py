@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tableflow.operators.keyed import latest_per
-from tableflow.sinks.keyed_table import DEFAULT_BUCKETS, KeyedTable
+from tableflow.sinks.keyed_table import KeyedTable, Places
 from tableflow.sources.changes import DELETE
 
 SEQ = "_seq"
@@ -27,9 +27,10 @@ def sink_upsert(
     seq: Sequence[str],
     op: str | None = None,
     batch_id: int | None = None,
-    buckets: int = DEFAULT_BUCKETS,
+    buckets: int | None = None,
     folded: bool = False,
-    touched: list[int] | None = None,
+    touched: Places | None = None,
+    horizon: Sequence[object] | None = None,
 ) -> KeyedTable:
     """Merge a batch into the keyed target at ``path``.
 
@@ -37,6 +38,9 @@ def sink_upsert(
     against the newer one it meets. A delete stays as a marker for the same reason.
     Merging a batch twice changes nothing. ``folded`` and ``touched`` as in
     ``KeyedTable.merge``.
+
+    ``horizon``, values of ``seq``, promises that no write from before it is still to come: markers of
+    deletes from before it leave the buckets that the batch writes.
     """
     values = [c for c in batch.columns if c != op]
     gone = F.lit(False) if op is None else F.col(op).eqNullSafe(DELETE)
@@ -44,7 +48,12 @@ def sink_upsert(
     # Nullability differs between batches; the stored schema takes none for granted.
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema.fields])
     table = KeyedTable.create(batch.sparkSession, path, schema, keys, buckets)
-    table.merge(rows, newest, batch_id, folded, touched)
+    kept = None
+    if horizon is not None:
+        kinds = schema[SEQ].dataType.fields
+        given = zip(kinds, horizon, strict=True)
+        kept = ~F.col(GONE) | (F.col(SEQ) >= F.struct(*[F.lit(v).cast(k.dataType).alias(k.name) for k, v in given]))
+    table.merge(rows, newest, batch_id, folded, touched, kept)
     return table
 
 

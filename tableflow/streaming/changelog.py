@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from tableflow.operators.aggregates import Aggs, check
 from tableflow.operators.joins import Pairs, check_kind, join
-from tableflow.sinks.keyed_table import DEFAULT_BUCKETS, KeyedTable
+from tableflow.sinks.keyed_table import KeyedTable, Places
 from tableflow.sinks.upsert import GONE, SEQ, newest, read_upserted, sink_upsert
 from tableflow.sources.changes import DELETE
 
@@ -60,7 +60,7 @@ def _same(a: DataFrame, b: DataFrame, pairs: Sequence[tuple[str, str]]) -> Colum
 class _Snapshot:
     """The keyed rows of a change feed, before and after a batch."""
 
-    def __init__(self, path: str, keys: Sequence[str], seq: Sequence[str], op: str, buckets: int):
+    def __init__(self, path: str, keys: Sequence[str], seq: Sequence[str], op: str, buckets: int | None):
         self.path, self.keys, self.seq, self.op, self.buckets = path, list(keys), list(seq), op, buckets
 
     def fold(self, changes: DataFrame) -> DataFrame:
@@ -69,7 +69,7 @@ class _Snapshot:
         gone = F.col(self.op).eqNullSafe(DELETE)
         return newest(changes.select(*values, F.struct(*self.seq).alias(SEQ), gone.alias(GONE)), self.keys)
 
-    def commit(self, folded: DataFrame, batch_id: int) -> tuple[KeyedTable, list[int]]:
+    def commit(self, folded: DataFrame, batch_id: int) -> tuple[KeyedTable, Places]:
         schema = T.StructType([T.StructField(f.name, f.dataType) for f in folded.schema.fields])
         table = KeyedTable.create(folded.sparkSession, self.path, schema, self.keys, self.buckets)
         return table, table.merge(folded, newest, batch_id, folded=True)
@@ -96,7 +96,7 @@ class ChangelogAggregate:
         by: Sequence[str],
         aggs: Aggs,
         op: str = "op",
-        buckets: int = DEFAULT_BUCKETS,
+        buckets: int | None = None,
     ):
         check(aggs)
         self.rows = _Snapshot(f"{path}/rows", keys, seq, op, buckets)
@@ -113,7 +113,7 @@ class ChangelogAggregate:
         finally:
             folded.unpersist()
 
-    def _apply(self, table: KeyedTable, folded: DataFrame, touched: list[int], batch_id: int) -> None:
+    def _apply(self, table: KeyedTable, folded: DataFrame, touched: Places, batch_id: int) -> None:
         floating = (T.FloatType, T.DoubleType)
         self.inexact = {f.name for f in folded.schema.fields if isinstance(f.dataType, floating)}
         changes = self._changes(table.read(before=batch_id, buckets=touched), folded)
@@ -168,7 +168,7 @@ class ChangelogAggregate:
                 out.append(extreme(F.when(F.col(SIGN) < 0, value)).alias(f"{alias}__out"))
         return out
 
-    def _held(self, delta: DataFrame, batch_id: int) -> tuple[DataFrame, list[int]]:
+    def _held(self, delta: DataFrame, batch_id: int) -> tuple[DataFrame, Places]:
         """Group states before the batch, from the buckets of the changed groups, and these buckets."""
         spark = delta.sparkSession
         kinds = {f.name: f.dataType for f in delta.schema.fields}
@@ -179,7 +179,7 @@ class ChangelogAggregate:
             [*schema.fields, T.StructField(BATCH, T.LongType()), T.StructField(SEQ, sequence), T.StructField(GONE, T.BooleanType())]
         )
         table = KeyedTable.create(spark, self.groups, full, self.by, self.buckets)
-        groups = table.buckets_of(delta)
+        groups = table.buckets_of(delta, before=batch_id)
         held = _live(table.read(before=batch_id, buckets=groups))
         return held.select(*[F.col(c).alias(f"_held_{c}") for c in columns]), groups
 
@@ -280,7 +280,7 @@ class ChangelogJoin:
         left_seq: Sequence[str],
         right_seq: Sequence[str],
         op: str = "op",
-        buckets: int = DEFAULT_BUCKETS,
+        buckets: int | None = None,
         salt: int = 1,
     ):
         check_kind(how)
@@ -323,13 +323,13 @@ class ChangelogJoin:
             for frame in held_frames:
                 frame.unpersist()
 
-    def _near(self, name: str, table: KeyedTable, affected: DataFrame) -> list[int] | None:
+    def _near(self, name: str, table: KeyedTable, affected: DataFrame) -> Places | None:
         """Buckets that hold the affected join values, where a side is joined by its own key."""
         on = self._on(name)
         return table.buckets_of(affected, [f"_on{i}" for i in range(len(on))]) if on == table.keys else None
 
     def _side(
-        self, name: str, table: KeyedTable, buckets: list[int] | None, affected: DataFrame, before: int | None
+        self, name: str, table: KeyedTable, buckets: Places | None, affected: DataFrame, before: int | None
     ) -> DataFrame:
         """Live rows with an affected join value, under a prefix per side."""
         on = self._on(name)
@@ -339,7 +339,7 @@ class ChangelogJoin:
         return near.select(*[F.col(c).alias(f"{name}_{c}") for c in near.columns])
 
     def _joined(
-        self, tables: dict[str, KeyedTable], near: dict[str, list[int] | None], affected: DataFrame, before: int | None
+        self, tables: dict[str, KeyedTable], near: dict[str, Places | None], affected: DataFrame, before: int | None
     ) -> DataFrame:
         left = self._side("l", tables["l"], near["l"], affected, before)
         right = self._side("r", tables["r"], near["r"], affected, before)

@@ -90,9 +90,47 @@ def test_key_is_checked(spark, folder):
         KeyedTable.create(spark, f"{folder}/u", df.schema, ["z"])
 
 
-def test_bucket_count_follows_the_size(spark):
+def test_bucket_count_follows_the_rows(spark, folder, monkeypatch):
     assert buckets_for(spark.range(1000)) == FEWEST
-    assert buckets_for(spark.range(10**12)) > 1000
+    assert buckets_for(spark.createDataFrame([(1,)], "k int")) == FEWEST
+    assert buckets_for(spark.range(10**9)) == 500
+    monkeypatch.setattr(keyed_table, "BUCKET_ROWS", 10)
+    table = sink_upsert(spark.range(200).selectExpr("id k", "0 seq"), f"{folder}/t", ["k"], ["seq"])
+    assert table._commit(None)["buckets"] == 20
+
+
+def test_buckets_are_split_when_they_grow(spark, folder, monkeypatch):
+    """Rows, deletes and replays stay right over splits."""
+    monkeypatch.setattr(keyed_table, "BUCKET_BYTES", 2000)
+    first = spark.range(600).selectExpr("id k", "'u' op", "0 v", "0 seq")
+    table = sink_upsert(first, f"{folder}/t", ["k"], ["seq"], "op", 0, buckets=2)
+    before = table._commit(None)
+    change = spark.range(500, 700).selectExpr("id k", "if(id % 2 = 0, 'd', 'u') op", "1 v", "1 seq")
+    for _ in range(2):
+        sink_upsert(change, f"{folder}/t", ["k"], ["seq"], "op", 1)
+        after = table._commit(None)
+        assert before["buckets"] == 2 and after["buckets"] > 2 and set(after["written"]) != set(before["written"])
+        want = [(k, 0, 0) for k in range(500)] + [(k, 1, 1) for k in range(501, 700, 2)]
+        assert rows(read_upserted(spark, f"{folder}/t")) == sorted(want, key=repr)
+    assert read_upserted(spark, f"{folder}/t", before=1).count() == 600
+    again = spark.createDataFrame([(3,)], "k long")
+    assert rows(table.read(buckets=table.buckets_of(again)).where("k = 3").select("k", "v")) == [(3, 0)]
+    # Places found now are right for the fewer buckets of before.
+    assert table.read(before=1, buckets=table.buckets_of(again)).where("k = 3").count() == 1
+
+
+def test_markers_of_old_deletes_go(spark, folder):
+    frame = lambda *data: spark.createDataFrame(data, "k int, op string, seq int")
+    put = lambda df, **more: sink_upsert(df, f"{folder}/t", ["k"], ["seq"], "op", buckets=1, **more)
+    put(frame((1, "u", 1), (2, "u", 1), (3, "u", 1)))
+    put(frame((1, "d", 2), (2, "d", 9)))
+    table = put(frame((3, "d", 4)), horizon=[5])
+    # The delete of 3 takes effect though it is older than the horizon; the marker of 2 is newer and stays.
+    assert rows(table.read().select("k")) == [(2,)] and not rows(read_upserted(spark, f"{folder}/t"))
+    table = put(frame((4, "d", 1)), horizon=[50])
+    assert table.read().count() == 0
+    put(frame((5, "u", 60)))
+    assert rows(read_upserted(spark, f"{folder}/t")) == [(5, 60)]
 
 
 def test_aggregate_model_needs_a_fold_per_value(spark, folder):

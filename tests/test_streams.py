@@ -1,3 +1,4 @@
+import json
 import time
 
 import pytest
@@ -7,7 +8,8 @@ from pyspark.sql import functions as F
 from tableflow.operators.aggregates import aggregate
 from tableflow.operators.windows import hop, session, tumble, window_agg
 from tableflow.plans.inputs import table, zoned
-from tableflow.plans.jobs import run_job, run_sql, sync_tables
+from tableflow.plans.jobs import job_groups, run_job, run_sql, sync_tables
+from tableflow.sinks.files import Files
 from tableflow.sinks.upsert import read_upserted, sink_upsert
 from tableflow.sources.tables import datagen_stream, stream_slices, stream_table
 from tableflow.streaming.joins import dedup, stream_join, ttl_interval
@@ -269,3 +271,96 @@ def test_sync_picks_up_only_what_is_new(spark, folder):
             spark.range(10, 10 + extra).write.mode("append").parquet(f"{folder}/src/t")
         sync_tables(spark, ["t"], {"path": f"{folder}/src"}, {"path": f"{folder}/dst", "checkpoint": f"{folder}/cp"})
     assert spark.read.parquet(f"{folder}/dst/t").count() == 8
+
+
+def wait_for(look, seconds=60):
+    end = time.time() + seconds
+    while not look() and time.time() < end:
+        time.sleep(0.2)
+    return look()
+
+
+def envelopes(*changes):
+    """Envelopes of ``(op, id, v, position)``, all of one millisecond."""
+    out = []
+    for op, key, v, pos in changes:
+        image = {"id": key, "v": v}
+        body = {"op": op, "before": image if op == "d" else None, "after": None if op == "d" else image}
+        out.append((json.dumps(body | {"ts_ms": 8, "source": {"ts_ms": 7, "pos": pos}}),))
+    return out
+
+
+def test_a_continuous_change_form_picks_up_later_files(spark, folder):
+    def add(part, *changes):
+        spark.createDataFrame(envelopes(*changes), "value string").coalesce(1).write.parquet(f"{folder}/in/part={part}")
+
+    add(0, ("c", 1, 10, 2), ("c", 1, 5, 1), ("c", 2, 20, 3))
+    stream = stream_slices(spark, f"{folder}/in", "value string")
+    spec = {
+        "source": "changes",
+        "start_mode": "earliest-offset",
+        "schema": "id int, v int",
+        "position": ["pos"],
+        "mappings": [{"source": "id", "target": "key"}, {"source": "v", "target": "v"}],
+        "target": {"type": "upsert", "path": f"{folder}/out", "keys": ["key"]},
+        "checkpoint": f"{folder}/cp",
+        "every": "1 second",
+    }
+    query = run_job(spark, spec, stream)
+    try:
+        held = lambda: rows(read_upserted(spark, f"{folder}/out").select("key", "v"))
+        made = lambda: Files(spark).names(f"{folder}/out/_commits")
+        assert wait_for(made) and held() == [(1, 10), (2, 20)]
+        add(1, ("d", 2, 20, 5), ("u", 1, 11, 4))
+        assert wait_for(lambda: len(made()) > 1) and held() == [(1, 11)]
+        assert query.isActive
+    finally:
+        query.stop()
+    assert query.exception() is None and not query.isActive
+
+
+def test_a_change_form_keeps_groups(spark, folder):
+    spark.createDataFrame(
+        envelopes(("c", 1, 10, 1), ("c", 2, 10, 2), ("u", 2, 30, 3), ("c", 3, 30, 4), ("d", 1, 10, 5)), "value string"
+    ).write.parquet(f"{folder}/in/part=0")
+    spec = {
+        "source": "changes",
+        "start_mode": "earliest-offset",
+        "schema": "id int, v int",
+        "position": ["pos"],
+        "target": {"type": "upsert", "path": f"{folder}/out", "keys": ["id"]},
+        "aggregate": {"by": ["v"], "aggs": {"n": ("count", "*")}},
+        "checkpoint": f"{folder}/cp",
+    }
+    run_job(spark, spec, stream_slices(spark, f"{folder}/in", "value string"))
+    assert rows(job_groups(spark, spec)) == [(30, 2)]
+    with pytest.raises(ValueError, match="keyed target"):
+        run_job(spark, spec | {"target": {"type": "files", "path": "x"}}, stream_slices(spark, f"{folder}/in", "value string"))
+
+
+def test_a_form_passes_its_group(spark, monkeypatch):
+    from tableflow.plans import jobs
+
+    got = {}
+
+    def log(session, servers, topics, start, **choice):
+        got.update(choice)
+        raise LookupError
+
+    monkeypatch.setattr(jobs, "read_log", log)
+    with pytest.raises(LookupError):
+        run_job(spark, {"servers": "s", "topics": "t", "group": "g", "target": {}, "checkpoint": "c"})
+    assert got == {"group": "g"}
+
+
+def test_continuous_sync_goes_on(spark, folder):
+    spark.range(3).write.parquet(f"{folder}/src/t")
+    sink = {"path": f"{folder}/dst", "checkpoint": f"{folder}/cp", "every": "1 second"}
+    query = sync_tables(spark, ["t"], {"path": f"{folder}/src"}, sink)["t"]
+    try:
+        count = lambda: spark.read.schema("id long").parquet(f"{folder}/dst/t").count()
+        assert wait_for(lambda: Files(spark).exists(f"{folder}/dst/t/_spark_metadata") and count() == 3)
+        spark.range(10, 15).write.mode("append").parquet(f"{folder}/src/t")
+        assert wait_for(lambda: count() == 8)
+    finally:
+        query.stop()
