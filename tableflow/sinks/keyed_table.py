@@ -232,14 +232,19 @@ class KeyedTable:
         return touched if touched else Places(touched.of, written)
 
     def vacuum(self, keep: int = 2) -> int:
-        """Remove folders that the newest ``keep`` commits do not use; returns how many."""
+        """Remove folders that the newest ``keep`` commits do not use; returns how many.
+
+        Folders of the newest batch or a later one stay: a writer may be filling them.
+        """
         commits = self.files.names(f"{self.path}/_commits")
         used = set()
         for name in commits[-keep:]:
             used |= set(json.loads(self.files.read(f"{self.path}/_commits/{name}"))["written"])
         for name in commits[:-keep]:
             self.files.delete(f"{self.path}/_commits/{name}")
-        stale = [f"data/{name}" for name in self.files.names(f"{self.path}/data") if f"data/{name}" not in used]
+        newest = f"commit={self.last_batch():020d}"
+        old = [name for name in self.files.names(f"{self.path}/data") if name.split("-")[0] < newest]
+        stale = [f"data/{name}" for name in old if f"data/{name}" not in used]
         for folder in stale:
             self.files.delete(f"{self.path}/{folder}")
         return len(stale)
