@@ -73,15 +73,26 @@ class KeyedTable:
         self.schema = T.StructType.fromJson(spec["schema"])
         self.keys: list[str] = spec["keys"]
         self.first_buckets: int | None = spec["buckets"]
+        self.place: list[str] = spec.get("place") or self.keys
+        self.spread: int = spec.get("spread", 1)
 
     @classmethod
     def create(
-        cls, spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str], buckets: int | None = None
+        cls,
+        spark: SparkSession,
+        path: str,
+        schema: T.StructType,
+        keys: Sequence[str],
+        buckets: int | None = None,
+        place: Sequence[str] | None = None,
+        spread: int = 1,
     ) -> KeyedTable:
         """Open the table at ``path``, making it first if there is none.
 
         ``buckets`` says how many it begins with; without it, the rows of the first write do.
         Once the buckets are too large on average, the next write doubles their number.
+        ``place`` names the columns, of the key, whose values rows are looked up by: the rows of a value are
+        in ``spread`` buckets, so that a value with many rows makes no large one. Both stay as the table was made.
         """
         files = Files(spark)
         described = f"{path.rstrip('/')}/_table.json"
@@ -89,7 +100,10 @@ class KeyedTable:
             missing = set(keys) - set(schema.names)
             if missing:
                 raise ValueError(f"key columns not in the schema: {sorted(missing)}")
+            if not set(place or ()) <= set(keys):
+                raise ValueError(f"rows are placed by columns of the key, not by {list(place)}")
             spec = {"schema": schema.jsonValue(), "keys": list(keys), "buckets": buckets}
+            spec |= {"place": list(place), "spread": spread} if place else {}
             if not files.publish(described, json.dumps(spec)) and not files.exists(described):
                 raise RuntimeError(f"{described} could not be written")
         table = cls(spark, path)
@@ -99,7 +113,12 @@ class KeyedTable:
 
     def bucket_of(self, n: int) -> Column:
         """Bucket, of ``n``, of a row that has the table's columns."""
-        return F.pmod(F.xxhash64(*[F.col(k) for k in self.keys]), F.lit(n)).cast("int")
+        part = F.pmod(F.xxhash64(*[F.col(k) for k in self.keys]), F.lit(self.spread))
+        return self._bucket([F.col(c) for c in self.place], part, n)
+
+    def _bucket(self, place: Sequence[Column], part: Column, n: int) -> Column:
+        spread = [part.cast("int")] if self.spread > 1 else []
+        return F.pmod(F.xxhash64(*place, *spread), F.lit(n)).cast("int")
 
     def last_batch(self) -> int:
         commits = self.files.names(f"{self.path}/_commits")
@@ -132,11 +151,19 @@ class KeyedTable:
         return reader.parquet(*paths).select(*self.schema.names)
 
     def buckets_of(self, rows: DataFrame, keys: Sequence[str] | None = None, before: int | None = None) -> Places:
-        """Buckets the keys of ``rows`` fall into: at most as many as the table has."""
+        """Buckets that rows with these values of ``place`` fall into: at most as many as the table has.
+
+        ``keys`` names the columns of ``rows`` that hold the values, in the order of ``place``.
+        """
         n = self._commit(before)["buckets"]
-        typed = [F.col(c).cast(self.schema[k].dataType) for c, k in zip(keys or self.keys, self.keys, strict=True)]
-        bucket = F.pmod(F.xxhash64(*typed), F.lit(n)).cast("int")
-        found = rows.select(bucket.alias(BUCKET)).distinct().collect()
+        names = keys or self.place
+        # A value beyond the type of the table's column is in none of its rows.
+        typed = [F.col(c).try_cast(self.schema[k].dataType).alias(k) for c, k in zip(names, self.place, strict=True)]
+        values = rows.select(*typed)
+        if self.spread > 1:
+            values = values.distinct().withColumn(BUCKET, F.explode(F.sequence(F.lit(0), F.lit(self.spread - 1))))
+        bucket = self._bucket([F.col(k) for k in self.place], F.col(BUCKET), n)
+        found = values.select(bucket.alias(BUCKET)).distinct().collect()
         return Places(n, sorted(row[BUCKET] for row in found))
 
     def merge(
@@ -180,7 +207,8 @@ class KeyedTable:
             if n > commit["buckets"]:
                 touched = Places(n, list(range(n)))
             elif touched is None:
-                touched = self.buckets_of(fresh, before=batch_id)
+                found = fresh.select(self.bucket_of(n).alias(BUCKET)).distinct().collect()
+                touched = Places(n, sorted(row[BUCKET] for row in found))
             if not touched:
                 return touched
             held = self.read(before=batch_id, buckets=touched)

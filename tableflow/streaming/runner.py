@@ -27,7 +27,8 @@ def start(
     The checkpoint holds positions and state per micro-batch and the file target keeps
     its own log, so files are exactly once; ``each_batch`` must give the same result
     for the same batch id. ``every`` is the trigger interval; without it the query
-    takes what is there, in bounded batches, and ends.
+    takes what is there and ends: in one batch, unless the source has ``maxFilesPerTrigger`` or
+    ``maxBytesPerTrigger``.
     """
     if (path is None) == (each_batch is None):
         raise ValueError("give either a path or each_batch")

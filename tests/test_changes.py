@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tableflow.operators.changelog import changelog_agg, changelog_join
 from tableflow.session import work_dir
 from tableflow.sources.changes import cdc_decode, cdc_incremental_snapshot, cdc_initial, chunk_of, key_splits
+from tableflow.sinks.keyed_table import KeyedTable
 from tableflow.streaming.changelog import ChangelogAggregate, ChangelogJoin
 
 SLOW = settings(max_examples=3, deadline=None, suppress_health_check=list(HealthCheck))
@@ -173,3 +174,65 @@ def test_floating_sums_forget_what_went_away(spark):
     for number, batch in enumerate(batches):
         target(spark.createDataFrame(batch, "k int, g string, v double, seq int, op string"), number)
     assert rows(target.result(spark)) == [("g", 6.0, 6.0), ("h", 3.0, 1.5), ("i", 1.0, 1.0)]
+
+
+@pytest.fixture
+def reads(monkeypatch):
+    """Reads of keyed tables: folder name, whether as of before a batch, and buckets asked for."""
+    seen, read = [], KeyedTable.read
+
+    def noted(table, before=None, buckets=None):
+        seen.append((table.path.rsplit("/", 1)[-1], before, None if buckets is None else buckets.numbers))
+        return read(table, before, buckets)
+
+    monkeypatch.setattr(KeyedTable, "read", noted)
+    return seen
+
+
+def _feed(spark, *changes):
+    return spark.createDataFrame(list(changes), SCHEMA)
+
+
+def test_a_changed_row_touches_its_buckets_and_result_rows_only(spark, reads):
+    """The left side is joined by a column that is not its key, and most left rows share one value."""
+    lefts = [(k, "u", "g", 3 if k > 9 else k, 1) for k in range(60)]
+    rights = [(k, "u", "h", k, 1) for k in range(8)]
+    path = work_dir(spark, "narrow")
+    target = ChangelogJoin(path, [("v", "k")], "full", ["k"], ["k"], ["seq"], ["seq"], buckets=64, salt=2, spread=2)
+    target.apply({"l": _feed(spark, *lefts), "r": _feed(spark, *rights)}, 0)
+    reads.clear()
+    target.apply({"l": _feed(spark, (30, "u", "g", 4, 2)), "r": _feed(spark)}, 1)
+    assert all(b is not None for _, _, b in reads)
+    assert max(len(b) for name, _, b in reads if name in ("left", "right")) <= 2
+    assert max(len(b) for name, _, b in reads if name == "left-by") <= 4
+    out = KeyedTable(spark, target.out).read()
+    assert rows(out.where("_batch = 1").select("l_k", "r_k")) == [(30, 4)] and out.where("_gone").count() == 0
+    # The last right row goes, then comes back: its left row is alone in between.
+    target.apply({"l": _feed(spark), "r": _feed(spark, (7, "d", None, None, 2))}, 2)
+    found = target.result(spark).where("l_v = 7").select("l_k", "r_k")
+    assert rows(found) == [(7, None)]
+    target.apply({"l": _feed(spark), "r": _feed(spark, (7, "u", "x", 7, 3))}, 3)
+    assert rows(target.result(spark).where("l_v = 7").select("l_k", "r_k")) == [(7, 7)]
+    model = {k: (3 if k > 9 else k) for k in range(60)} | {30: 4}
+    want = [(k, v if v < 8 else None) for k, v in model.items()]
+    assert rows(target.result(spark).select("l_k", "r_k")) == sorted(want, key=repr)
+
+
+def test_extremes_are_read_again_from_their_group_only(spark, reads):
+    target = ChangelogAggregate(
+        work_dir(spark, "extremes"), ["k"], ["seq"], ["g"], {"lo": ("min", "v")}, buckets=64, spread=2
+    )
+    target(_feed(spark, *[(k, "u", f"g{k % 5}", k, 1) for k in range(40)]), 0)
+    reads.clear()
+    target(_feed(spark, (50, "u", "g1", 100, 1)), 1)
+    assert not [r for r in reads if r[0] == "rows-by" and r[1] is None]
+    target(_feed(spark, (1, "d", None, None, 2), (7, "u", "g3", 7, 2)), 2)
+    again = [b for name, before, b in reads if name == "rows-by" and before is None]
+    assert again and max(len(b) for b in again) <= 2
+    assert rows(target.result(spark)) == [("g0", 0), ("g1", 6), ("g2", 2), ("g3", 3), ("g4", 4)]
+
+
+def test_rows_are_placed_by_columns_of_the_key(spark):
+    schema = "a int, b int"
+    with pytest.raises(ValueError, match="columns of the key"):
+        KeyedTable.create(spark, work_dir(spark, "placed"), spark.createDataFrame([], schema).schema, ["a"], 2, ["b"])

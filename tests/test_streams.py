@@ -161,6 +161,8 @@ def test_ttl_bounds_both_ways_and_its_range(spark, folder):
     for wrong in (0, 169):
         with pytest.raises(ValueError):
             ttl_interval(wrong)
+        with pytest.raises(ValueError):
+            stream_join(left.stream, right.stream, [("k", "k")], times=("ts", "ts"), ttl=wrong)
 
 
 def test_stream_join_arguments(spark, folder):
