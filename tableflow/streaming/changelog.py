@@ -171,13 +171,15 @@ class ChangelogAggregate:
         check(aggs)
         self.groups = f"{path}/groups"
         self.by, self.aggs, self.buckets = list(by), dict(aggs), buckets
-        # Only what may be read again needs the rows by their groups.
-        again = any(name != "count" for name, _ in self.aggs.values())
-        self.rows = _Snapshot(f"{path}/rows", keys, seq, op, buckets, self.by if again else (), spread)
+        self.rows = _Snapshot(f"{path}/rows", keys, seq, op, buckets, self.by, spread)
         self.inexact: set[str] = set()
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         folded = self.rows.fold(batch).persist(StorageLevel.MEMORY_AND_DISK)
+        floating = (T.FloatType, T.DoubleType)
+        self.inexact = {f.name for f in folded.schema.fields if isinstance(f.dataType, floating)}
+        # Only what may be read again needs the rows by their groups.
+        self.rows.apart = self.rows.apart and bool(self._reread())
         images = None
         try:
             images = self.rows.take(folded, batch_id)
@@ -189,8 +191,6 @@ class ChangelogAggregate:
                     frame.unpersist()
 
     def _apply(self, images: DataFrame, batch_id: int) -> None:
-        floating = (T.FloatType, T.DoubleType)
-        self.inexact = {f.name for f in images.schema.fields if isinstance(f.dataType, floating)}
         delta = images.groupBy(*self.by).agg(*self._delta()).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             held, groups = self._held(delta, batch_id)
