@@ -1,13 +1,13 @@
 """Scoring texts with a bigram model whose counts lie in a log-frequency Bloom filter.
 
 An n-gram seen ``c`` times is put into the filter under the levels 1 to 1 + floor(log2 c); a reader probes level after
-level until one is missing and takes the middle of the last level's counts. The filter is broadcast; its size is
-bounded by ``MOST_BITS`` whatever the corpus. All counts are exact and cover all training texts; where the n-grams
-would fill the filter too far, the rarest levels, of bigrams first, are left out of the model and count as unseen.
+level until one is missing and takes the middle of the last level's counts. The filter is cut into ranges of hashes, and
+each is as large as its own n-grams need, so the model grows with the corpus and nothing is left out of it but bigrams
+seen less than ``LEAST_PAIR`` times. No task and no driver holds more than one range; their number follows the bytes of text.
 
-Beside the model's score stands an exact unigram score. Its counts are too many for a broadcast: words are dealt by
-hash, and each batch of texts asks the parts for the counts of its different words. The few words that make up more
-than 1 / ``HOT`` of the corpus each, at most ``HOT`` of them, are known to every task, so no word makes a part large.
+Texts are worked on in batches. A batch asks the ranges for the levels, and for the exact counts, of its different words
+and bigrams, each once, so a word that is everywhere weighs no more than any other. Beside the model's score stands an
+exact unigram score from the same answers.
 
 Cases: a null or blank text is the end token alone. Without training texts every token is unknown and both scores are 0.
 Rows with one id are texts of their own; an empty table gives no rows.
@@ -16,6 +16,7 @@ Rows with one id are texts of their own; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -27,7 +28,6 @@ from pyspark.sql import functions as F
 from tableflow.llm import spans
 from tableflow.llm.store import stored
 
-MOST_BITS = 1 << 28
 # Bits of the filter per entry and level, and bits that an entry sets.
 BITS_PER_ENTRY = 8
 PROBES = 3
@@ -39,10 +39,11 @@ LEAST_PAIR = 2
 # Weight of the bigram estimate where the word before is known.
 PAIR_WEIGHT = 0.3
 
-HOT = 20_000
-# Tokens that a task gathers before it passes their counts on, and words of texts before it asks for theirs.
+# Bytes of text for each range of hashes, about.
+PART_BYTES = 32 << 20
+# Tokens that a task gathers before it passes their counts on, or asks for them, and n-grams probed at a time.
 FLUSH = 1 << 20
-ASK = 1 << 19
+PROBE = 1 << 18
 
 END = np.uint64(0x5851F42D4C957F2D)
 ONE, PAIR = 1, 2
@@ -50,7 +51,7 @@ ONE, PAIR = 1, 2
 
 def planes(values: np.ndarray) -> bytes:
     """Numbers byte by byte, highest bytes together: sorted hashes and small counts shrink well in this order."""
-    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
 
 
 def unplaned(data: bytes, kind: str) -> np.ndarray:
@@ -58,6 +59,15 @@ def unplaned(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
+def steps(hashes: np.ndarray) -> bytes:
+    """Ascending hashes as the distances between them, which are shorter."""
+    return planes(np.diff(hashes, prepend=np.uint64(0)))
+
+
+def climbed(data: bytes) -> np.ndarray:
+    return np.cumsum(unplaned(data, "<u8"), dtype=np.uint64)
+
+
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens, the end after each text, and where each text begins."""
     buf, offsets = spans.buffers(texts)
@@ -92,7 +102,7 @@ def counted(texts: DataFrame, text: str, parts: int) -> DataFrame:
         values, counts = np.unique(hashes, return_counts=True)
         cuts = np.searchsorted(part_of(values, parts), np.arange(parts + 1))
         return [
-            {"part": p, "kind": kind, "hashes": planes(values[a:b]), "counts": planes(counts[a:b].astype(np.uint32))}
+            {"part": p, "kind": kind, "hashes": steps(values[a:b]), "counts": planes(counts[a:b].astype(np.uint32))}
             for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:]))
             if a < b
         ]
@@ -113,7 +123,7 @@ def counted(texts: DataFrame, text: str, parts: int) -> DataFrame:
             yield pa.RecordBatch.from_pylist(dealt(ONE, np.concatenate(ones)) + dealt(PAIR, np.concatenate(twos)), schema)
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
-        hashes = np.concatenate([unplaned(x, "<u8") for x in rows["hashes"]])
+        hashes = np.concatenate([climbed(x) for x in rows["hashes"]])
         counts = np.concatenate([unplaned(x, "<u4") for x in rows["counts"]])
         order = np.argsort(hashes)
         hashes, counts = hashes[order], counts[order].astype(np.uint64)
@@ -150,245 +160,233 @@ def middle(level: np.ndarray) -> np.ndarray:
 
 
 def places(hashes: np.ndarray, level: int, blocks: int) -> np.ndarray:
-    """Bits of an entry at a level: in one block, so that a probe touches one cache line."""
-    block = ((hashes >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
+    """Bits of an entry at a level: in one block, so that a probe touches one cache line.
+
+    The block comes from the low bits, since the high ones tell the range that the filter is for.
+    """
+    block = ((hashes & np.uint64(0xFFFFFFFF)) * np.uint64(blocks)) >> np.uint64(32)
     spread = spans.mix(hashes + np.uint64(level * int(spans.INVERSE) % (1 << 64)))
     slots = [(spread >> np.uint64(9 * k)) & np.uint64(BLOCK - 1) for k in range(PROBES)]
     return (block[:, None] * np.uint64(BLOCK) + np.stack(slots, axis=1)).astype(np.int64)
 
 
 class Filter:
-    """The bits, and what the model needs to turn levels into probabilities."""
+    """The bits of n-grams and their levels."""
 
-    def __init__(self, bits: np.ndarray, unknown: float, mass: float):
-        self.bits, self.unknown, self.mass = bits, unknown, mass
+    def __init__(self, entries: int, most_bits: int | None = None):
+        """For so many entries, each level of an n-gram being one; ``most_bits`` is for callers that want less."""
+        size = 1 << max(12, (entries * BITS_PER_ENTRY).bit_length())
+        self.bits = np.zeros(min(size, most_bits or size) // BLOCK * BLOCK // 8, np.uint8)
+
+    def put(self, hashes: np.ndarray, counts: np.ndarray) -> None:
+        blocks, level = len(self.bits) * 8 // BLOCK, levels(counts)
+        for n in range(1, int(level.max(initial=0)) + 1):
+            held = hashes[level >= n]
+            for at in range(0, len(held), PROBE):
+                bit = places(held[at : at + PROBE], n, blocks).ravel()
+                np.bitwise_or.at(self.bits, bit >> 3, (1 << (bit & 7)).astype(np.uint8))
 
     def level(self, hashes: np.ndarray) -> np.ndarray:
         """The highest level up to which all levels of an n-gram are found."""
         blocks = len(self.bits) * 8 // BLOCK
-        out, alive = np.zeros(len(hashes), np.int64), np.arange(len(hashes))
-        for level in range(1, LEVELS + 1):
-            at = places(hashes[alive], level, blocks)
-            alive = alive[((self.bits[at >> 3] >> (at & 7)) & 1).all(axis=1)]
-            if not len(alive):
-                break
-            out[alive] = level
+        out = np.zeros(len(hashes), np.uint8)
+        for begin in range(0, len(hashes), PROBE):
+            alive = np.arange(begin, min(begin + PROBE, len(hashes)))
+            for level in range(1, LEVELS + 1):
+                at = places(hashes[alive], level, blocks)
+                alive = alive[((self.bits[at >> 3] >> (at & 7)) & 1).all(axis=1)]
+                if not len(alive):
+                    break
+                out[alive] = level
         return out
 
-    def log_chances(self, words: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each token after the one before it."""
-        before, both = pairs(words)
-        kinds, of = np.unique(words, return_inverse=True)
-        count = middle(self.level(kinds))
-        alone = np.where(count > 0, (1 - self.unknown) * count / max(self.mass, 1.0), self.unknown)[of]
-        head = np.searchsorted(kinds, before)
-        context = count[np.minimum(head, len(kinds) - 1)]
-        sets, of = np.unique(both, return_inverse=True)
-        joint = middle(self.level(sets))[of]
+
+@dataclass
+class Totals:
+    """Tokens and different tokens of training, and what turns levels into probabilities."""
+
+    tokens: int
+    different: int
+    entries: int
+    unknown: float
+    mass: float
+
+    def log_chances(self, words: np.ndarray, word_level: np.ndarray, both: np.ndarray, both_level: np.ndarray) -> np.ndarray:
+        """log10 of the probability of each token after the one before it.
+
+        ``words`` and ``both`` say which of the levels belongs to each token and to it and the one before.
+        """
+        count = middle(word_level)
+        alone = np.where(count > 0, (1 - self.unknown) * count / max(self.mass, 1.0), self.unknown)[words]
+        # Before a text's first token stands the end of another, which is any text's last token.
+        context = count[np.concatenate((words[-1:], words[:-1]))]
+        joint = middle(both_level)[both]
         follow = np.minimum(joint / np.maximum(np.maximum(context, joint), 1.0), 1.0)
         return np.log10(np.where(context > 0, PAIR_WEIGHT * follow + (1 - PAIR_WEIGHT) * alone, alone))
 
 
-def build(counts: DataFrame, most_bits: int = MOST_BITS) -> tuple[Filter, int, int]:
-    """The filter, and number of tokens and of different tokens in training.
+def totals(counts: DataFrame) -> Totals:
+    """Sums over all ranges; the driver gets a row per order and level."""
+    each = F.posexplode(F.arrays_zip("entries", "mass")).alias("level", "of")
+    sums = counts.select("kind", each).groupBy("kind", "level").agg(F.sum("of.entries").alias("n"), F.sum("of.mass").alias("mass"))
+    entries, mass, bits = np.zeros(LEVELS + 1, np.int64), np.zeros(LEVELS + 1, np.int64), 0
+    for row in sums.collect():
+        bits += row.level * row.n
+        if row.kind == ONE:
+            entries[row.level], mass[row.level] = row.n, row.mass
+    total = int(mass.sum())
+    # The words seen once stand for the words never seen.
+    unknown = min(0.5, max(int(mass[1]), 1) / (total + 1)) if total else 1.0
+    known = float((middle(np.arange(LEVELS + 1)) * entries)[1:].sum())
+    return Totals(total, int(entries.sum()), bits, unknown, known)
+
 
-    Each part sets the bits of its range of blocks; the driver gets these ranges, as large as the filter.
+def build(counts: DataFrame, most_bits: int | None = None) -> tuple[Filter, int, int]:
+    """All ranges in one filter, for one machine, and number of tokens and of different tokens in training.
+
+    ``scored`` has a filter per range instead.
     """
-    sums = {ONE: np.zeros((2, LEVELS + 1), np.int64), PAIR: np.zeros((2, LEVELS + 1), np.int64)}
-    for row in counts.select("kind", "entries", "mass").toLocalIterator():
-        sums[row.kind] += np.array([row.entries, row.mass])
-    entries, mass = sums[ONE]
-    total, different = int(mass.sum()), int(entries.sum())
-    weight = np.arange(LEVELS + 1)
-    least = {ONE: 1, PAIR: int(levels(np.array([LEAST_PAIR]))[0])}
-
-    def needed() -> int:
-        return int(sum((sums[k][0] * weight)[least[k] :].sum() for k in least)) * BITS_PER_ENTRY
-
-    while needed() > most_bits and max(least.values()) < LEVELS:
-        least[PAIR if least[PAIR] <= 2 * least[ONE] else ONE] += 1
-    blocks = min(most_bits, 1 << max(12, needed().bit_length())) // BLOCK
-
-    def fill(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                hashes, level = unplaned(row["hashes"], "<u8"), levels(unplaned(row["counts"], "<u8"))
-                hashes, level = hashes[level >= least[row["kind"]]], level[level >= least[row["kind"]]]
-                if not len(hashes):
-                    continue
-                begin = int(places(hashes[:1], 1, blocks).min()) // BLOCK * BLOCK
-                end = (int(places(hashes[-1:], 1, blocks).max()) // BLOCK + 1) * BLOCK
-                bits = np.zeros(end - begin, bool)
-                for n in range(1, int(level.max()) + 1):
-                    bits[places(hashes[level >= n], n, blocks) - begin] = True
-                data = np.packbits(bits, bitorder="little").tobytes()
-                yield pa.RecordBatch.from_pydict({"begin": pa.array([begin // 8]), "bits": pa.array([data], pa.binary())})
-
-    bits = np.zeros(blocks * BLOCK // 8, np.uint8)
-    filled = counts.select("kind", "hashes", "counts").mapInArrow(fill, "begin long, bits binary")
-    for row in filled.toLocalIterator():
-        bits[row.begin : row.begin + len(row.bits)] |= np.frombuffer(row.bits, np.uint8)
-    # What the model leaves out, and the words seen once, stand for the words never seen.
-    unseen = int(mass[: least[ONE]].sum()) + int(mass[1] if least[ONE] == 1 else 0)
-    unknown = min(0.5, max(unseen, 1) / (total + 1)) if total else 1.0
-    known = float((middle(weight) * entries)[least[ONE] :].sum())
-    return Filter(bits, unknown, known), total, different
-
-
-def hot_words(counts: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and counts of the words that make up more than 1 / ``HOT`` of all tokens each; fewer than ``HOT``."""
+    known = totals(counts)
+    out = Filter(known.entries, most_bits)
+    for row in counts.select("hashes", "counts").toLocalIterator():
+        out.put(unplaned(row["hashes"], "<u8"), unplaned(row["counts"], "<u8"))
+    return out, known.tokens, known.different
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                hashes, n = unplaned(row["hashes"], "<u8"), unplaned(row["counts"], "<u8")
-                often = n * np.uint64(HOT) > total
-                yield pa.RecordBatch.from_pydict({"hash": pa.array(hashes[often].view(np.int64)), "n": pa.array(n[often].view(np.int64))})
 
-    found = counts.where(F.col("kind") == ONE).select("hashes", "counts").mapInArrow(run, "hash long, n long").toPandas()
-    hashes, n = found["hash"].to_numpy().view(np.uint64), found["n"].to_numpy()
-    order = np.argsort(hashes)
-    return hashes[order], n[order]
+def ranges(texts: DataFrame, text: str) -> int:
+    """Number of ranges of hashes: one per ``PART_BYTES`` of text, and no fewer than there are shuffle partitions."""
+    size = texts.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    return max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
 
 
-def scored(texts: DataFrame, train: Column, key: str = "doc_id", text: str = "text", most_bits: int = MOST_BITS) -> DataFrame:
+def scored(texts: DataFrame, train: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Both scores of every text, learnt from those where ``train`` holds.
 
     Returns ``key``, ``train``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``.
     """
-    spark = texts.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = texts.select(F.col(key), F.col(text), train.alias("train"))
+    parts = ranges(rows, text)
     counts = counted(rows.where("train").select(text), text, parts)
-    model, total, different = build(counts, most_bits)
-    shared = spark.sparkContext.broadcast((model, *hot_words(counts, total)))
+    known = totals(counts)
     kind = texts.schema[key].dataType.simpleString()
-    # A row per text, and a row per batch of texts and part that says which texts have which words.
-    schema = (
-        f"`{key}` {kind}, train boolean, batch long, place int, n_tokens long, n_known long, logs double, score double, "
-        "part int, hashes binary, per_hash binary, places binary, times binary"
-    )
+    # A row per text, and a row per batch of texts: its different words, which of them each token is, and where texts begin.
+    schema = f"`{key}` {kind}, train boolean, batch long, place int, n_tokens long, words binary, tokens binary, bounds binary"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, hot, hot_counts = shared.value
         number = TaskContext.get().partitionId() << 32
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        n_texts, n_rows = 0, 0
-
-        def asked() -> Iterator[pa.RecordBatch]:
-            words, of, times = (np.concatenate(x) for x in zip(*held))
-            order = np.lexsort((of, words))
-            words, of, times = words[order], of[order], times[order]
-            values, first, size = np.unique(words, return_index=True, return_counts=True)
-            cuts = np.searchsorted(part_of(values, parts), np.arange(parts + 1))
-            ends = np.concatenate((first, [len(words)]))
-            for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
-                if a < b:
-                    own = slice(ends[a], ends[b])
-                    yield pa.RecordBatch.from_pydict(
-                        {
-                            "batch": pa.array([number]),
-                            "part": pa.array([p], pa.int32()),
-                            "hashes": pa.array([planes(values[a:b])], pa.binary()),
-                            "per_hash": pa.array([planes(size[a:b].astype(np.uint32))], pa.binary()),
-                            "places": pa.array([planes(of[own])], pa.binary()),
-                            "times": pa.array([planes(times[own])], pa.binary()),
-                        }
-                    )
-
-        names = [x.split()[0].strip("`") for x in schema.split(", ")]
-
-        def whole(batch: pa.RecordBatch, kinds: pa.Schema) -> pa.RecordBatch:
-            empty = {f.name: pa.nulls(len(batch), f.type) for f in kinds}
-            return pa.RecordBatch.from_pydict(empty | {n: batch.column(n) for n in batch.schema.names}, kinds)
-
-        kinds = None
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        n_texts, n_tokens, kinds = 0, 0, None
+
+        def whole(columns: dict[str, pa.Array], n: int) -> pa.RecordBatch:
+            empty = {f.name: pa.nulls(n, f.type) for f in kinds}
+            return pa.RecordBatch.from_pydict(empty | columns, kinds)
+
+        def body() -> pa.RecordBatch:
+            words, of = np.unique(np.concatenate([w for w, _ in held]), return_inverse=True)
+            bounds = np.concatenate(([0], np.cumsum(np.concatenate([n for _, n in held]))))
+            data = {"words": words, "tokens": of.astype(np.uint32), "bounds": bounds.astype(np.uint64)}
+            return whole({"batch": pa.array([number])} | {c: pa.array([planes(x)], pa.binary()) for c, x in data.items()}, 1)
+
         for chunk in spans.chunked(batches, text):
             if kinds is None:
-                types = [chunk.schema.field(key).type, pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int32()]
-                kinds = pa.schema(list(zip(names, types + [pa.binary()] * 4)))
+                kinds = pa.schema(
+                    [(key, chunk.schema.field(key).type), ("train", pa.bool_()), ("batch", pa.int64()), ("place", pa.int32())]
+                    + [("n_tokens", pa.int64()), ("words", pa.binary()), ("tokens", pa.binary()), ("bounds", pa.binary())]
+                )
             words, bounds = tokens(chunk.column(text))
-            score = spans.per_text(model.log_chances(words), bounds)
-            at = np.minimum(np.searchsorted(hot, words), max(0, len(hot) - 1))
-            usual = hot[at] == words if len(hot) else np.zeros(len(words), bool)
-            logs = np.where(usual, np.log10(hot_counts[at] + 0.5), 0.0) if len(hot) else np.zeros(len(words))
-            of = np.repeat(np.arange(len(chunk)), np.diff(bounds))
             doc = {
                 key: chunk.column(key),
                 "train": chunk.column("train"),
                 "batch": pa.array(np.full(len(chunk), number)),
                 "place": pa.array(np.arange(n_texts, n_texts + len(chunk)), pa.int32()),
                 "n_tokens": pa.array(np.diff(bounds)),
-                "n_known": pa.array(spans.per_text(usual, bounds)),
-                "logs": pa.array(spans.per_text(logs, bounds)),
-                "score": pa.array(score),
             }
-            yield whole(pa.RecordBatch.from_pydict(doc), kinds)
-            rare, of = words[~usual], of[~usual]
-            order = np.lexsort((of, rare))
-            rare, of = rare[order], of[order]
-            new = np.flatnonzero(np.concatenate(([True], (rare[1:] != rare[:-1]) | (of[1:] != of[:-1])))) if len(rare) else np.zeros(0, np.int64)
-            times = np.diff(np.concatenate((new, [len(rare)]))).astype(np.uint32)
-            held.append((rare[new], (of[new] + n_texts).astype(np.uint32), times))
+            yield whole(doc, len(chunk))
+            held.append((words, np.diff(bounds)))
             n_texts += len(chunk)
-            n_rows += len(new)
-            if n_rows >= ASK:
-                yield from (whole(b, kinds) for b in asked())
-                held, n_texts, n_rows = [], 0, 0
+            n_tokens += len(words)
+            if n_tokens >= FLUSH:
+                yield body()
+                held, n_texts, n_tokens = [], 0, 0
                 number += 1
         if held:
-            yield from (whole(b, kinds) for b in asked())
+            yield body()
 
     both = stored(rows.mapInArrow(run, schema), "scores")
+    bodies = both.where("words is not null").select("batch", "words", "tokens", "bounds")
 
-    def answer(asks: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        """What each batch's texts gain from the words of one part."""
-        hashes = np.concatenate([unplaned(x, "<u8") for x in known["hashes"]] or [np.zeros(0, np.uint64)])
-        n = np.concatenate([unplaned(x, "<u8") for x in known["counts"]] or [np.zeros(0, np.uint64)])
+    def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row per batch of texts and range: the different words and bigrams there."""
+        for batch in batches:
+            for row in batch.to_pylist():
+                words = unplaned(row["words"], "<u8")
+                sets = np.unique(pairs(words[unplaned(row["tokens"], "<u4")])[1])
+                edges = np.arange(parts + 1)
+                cuts = [np.searchsorted(part_of(x, parts), edges) for x in (words, sets)]
+                used = np.flatnonzero((np.diff(cuts[0]) > 0) | (np.diff(cuts[1]) > 0))
+                split = [[steps(x[c[p] : c[p + 1]]) for p in used] for x, c in zip((words, sets), cuts)]
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "batch": pa.array(np.full(len(used), row["batch"])),
+                        "part": pa.array(used.astype(np.int32)),
+                        "ones": pa.array(split[0], pa.binary()),
+                        "twos": pa.array(split[1], pa.binary()),
+                    }
+                )
+
+    def answer(asks: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        """Levels of what each batch asks one range for, and exact counts of its words."""
+        empty = np.zeros(0, np.uint64)
+        held = {k: (unplaned(h, "<u8"), unplaned(n, "<u8")) for k, h, n in zip(own["kind"], own["hashes"], own["counts"])}
+        model = Filter(sum(int(levels(n).sum()) for _, n in held.values()))
+        for hashes, n in held.values():
+            model.put(hashes, n)
+        hashes, n = held.get(ONE, (empty, empty))
         out = []
-        for ask in asks.itertuples():
-            values, size = unplaned(ask.hashes, "<u8"), unplaned(ask.per_hash, "<u4")
-            of, times = unplaned(ask.places, "<u4"), unplaned(ask.times, "<u4")
-            at = np.minimum(np.searchsorted(hashes, values), max(0, len(hashes) - 1))
-            count = np.where(hashes[at] == values, n[at], 0) if len(hashes) else np.zeros(len(values))
-            logs = np.repeat(np.log10(count.astype(np.float64) + 0.5), size) * times
-            seen, back = np.unique(of, return_inverse=True)
-            out.append(
-                {
-                    "batch": ask.batch,
-                    "part": ask.part,
-                    "places": planes(seen),
-                    "logs": np.bincount(back, weights=logs).tobytes(),
-                    "known": planes(np.bincount(back, weights=np.repeat(count > 0, size) * times).astype(np.uint32)),
-                }
-            )
-        return pd.DataFrame(out, columns=["batch", "part", "places", "logs", "known"])
-
-    def total_of(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("part")
-        places = [unplaned(x, "<u4") for x in rows["places"]]
-        size = max(int(x.max()) for x in places) + 1
-        logs, known = np.zeros(size), np.zeros(size, np.int64)
-        for at, a, b in zip(places, rows["logs"], rows["known"]):
-            logs[at] += np.frombuffer(a, np.float64)
-            known[at] += unplaned(b, "<u4")
-        return pd.DataFrame({"batch": rows["batch"].iloc[0], "place": np.arange(size, dtype=np.int32), "more_logs": logs, "more_known": known})
-
-    asks = both.where("part is not null").select("batch", "part", "hashes", "per_hash", "places", "times")
-    known = counts.where(F.col("kind") == ONE).select("part", "hashes", "counts")
-    answers = asks.groupBy("part").cogroup(known.groupBy("part")).applyInPandas(
-        answer, "batch long, part int, places binary, logs binary, known binary"
+        for row in asks.itertuples():
+            ones, twos = climbed(row.ones), climbed(row.twos)
+            level = model.level(np.concatenate((ones, twos)))
+            at = np.minimum(np.searchsorted(hashes, ones), max(0, len(hashes) - 1))
+            count = np.where(hashes[at] == ones, n[at], np.uint64(0)) if len(hashes) else np.zeros(len(ones), np.uint64)
+            out.append((row.batch, row.part, planes(count), level[: len(ones)].tobytes(), level[len(ones) :].tobytes()))
+        return pd.DataFrame(out, columns=["batch", "part", "counts", "ones", "twos"])
+
+    def score(answers: pd.DataFrame, body: pd.DataFrame) -> pd.DataFrame:
+        """Both scores of the texts of one batch. Ranges in order give the answers in the order of the hashes."""
+        answers = answers.sort_values("part")
+        body = body.iloc[0]
+        words, of, bounds = unplaned(body["words"], "<u8"), unplaned(body["tokens"], "<u4"), unplaned(body["bounds"], "<u8")
+        count = np.concatenate([unplaned(x, "<u8") for x in answers["counts"]])
+        ones, twos = (np.frombuffer(b"".join(answers[c]), np.uint8) for c in ("ones", "twos"))
+        pair = np.unique(pairs(words[of])[1], return_inverse=True)[1]
+        chances = known.log_chances(of, ones, pair, twos)
+        begin = bounds[:-1].astype(np.int64)
+        return pd.DataFrame(
+            {
+                "batch": body["batch"],
+                "place": np.arange(len(begin), dtype=np.int32),
+                "n_known": np.add.reduceat((count > 0)[of].astype(np.int64), begin),
+                "logs": np.add.reduceat(np.log10(count.astype(np.float64) + 0.5)[of], begin),
+                "score": np.add.reduceat(chances, begin),
+            }
+        )
+
+    asks = bodies.mapInArrow(ask, "batch long, part int, ones binary, twos binary")
+    own = counts.select("part", "kind", "hashes", "counts")
+    answers = asks.groupBy("part").cogroup(own.groupBy("part")).applyInPandas(
+        answer, "batch long, part int, counts binary, ones binary, twos binary"
+    )
+    sums = answers.groupBy("batch").cogroup(bodies.groupBy("batch")).applyInPandas(
+        score, "batch long, place int, n_known long, logs double, score double"
     )
-    sums = answers.groupBy("batch").applyInPandas(total_of, "batch long, place int, more_logs double, more_known long")
-    docs = both.where("part is null").select(key, "train", "batch", "place", "n_tokens", "n_known", "logs", "score")
-    joined = docs.join(sums, ["batch", "place"], "left")
-    base = np.log10(total + 0.5 * (different + 1))
-    return joined.select(
+    docs = both.where("words is null").select(key, "train", "batch", "place", "n_tokens")
+    base = float(np.log10(known.tokens + 0.5 * (known.different + 1)))
+    return docs.join(sums, ["batch", "place"]).select(
         key,
         "train",
         "n_tokens",
-        (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(base))).alias("base_score"),
+        "n_known",
+        F.lit(known.tokens).cast("long").alias("train_tokens"),
+        (F.col("logs") - F.col("n_tokens") * F.lit(base)).alias("base_score"),
         "score",
     )

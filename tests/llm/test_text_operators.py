@@ -274,3 +274,31 @@ def test_word_hashes_do_not_depend_on_place():
     buf, offsets = spans.buffers(pa.array(["a bc a", "bc"]))
     hashes = spans.span_hashes(buf, *spans.words(buf, offsets)[:2])
     assert hashes[0] == hashes[2] and hashes[1] == hashes[3] and hashes[0] != hashes[1]
+
+
+def test_model_of_many_ranges_keeps_every_level(spark, docs, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(bloom_lm, "PART_BYTES", 1 << 12)
+    size = sum(len((r.text or "").encode()) for r in docs.collect())
+    assert bloom_lm.ranges(docs, "text") == -(-size // (1 << 12)) > 4
+    assert bloom_lm.ranges(docs.union(docs), "text") == -(-2 * size // (1 << 12))
+    texts = {r.doc_id: WORD.findall(lower(r.text)) + [None] for r in docs.collect()}
+    ones = Counter(w for t in texts.values() for w in t)
+    twos = Counter(p for t in texts.values() for p in zip([None] + t, t))
+    total, once = sum(ones.values()), sum(n == 1 for n in ones.values())
+    middle = {n: (3 * 2 ** (n.bit_length() - 1) - 1) / 2 for n in {*ones.values(), *twos.values()}}
+    unknown, mass = min(0.5, max(once, 1) / (total + 1)), sum(middle[n] for n in ones.values())
+
+    def chance(before, word):
+        context, joint = middle[ones[before]], middle[twos[before, word]] if twos[before, word] > 1 else 0
+        return math.log10(0.3 * min(joint / max(context, joint), 1) + 0.7 * (1 - unknown) * middle[ones[word]] / mass)
+
+    off = 0
+    for r in bloom_lm.scored(docs, F.lit(True)).collect():
+        t = texts[r.doc_id]
+        want = sum(chance(b, w) for b, w in zip([None] + t, t))
+        assert r.n_known == r.n_tokens == len(t)
+        off += abs(r.score - want) / len(t)
+    # Only chance hits of the filter part the two.
+    assert off / len(texts) < 0.05
