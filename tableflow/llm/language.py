@@ -18,13 +18,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tableflow.llm import spans
+from tableflow.llm.store import stored
 
 ORDER = 5
-# Labelled texts per language, about: so many train, so many calibrate.
+# Different labelled texts per language, at most: so many train, so many calibrate.
 TRAIN = 400
 CALIBRATE = 200
 UNKNOWN = "und"
@@ -223,28 +224,40 @@ def decide(models: Models, texts: list[str | None]) -> tuple[list[str], np.ndarr
     return [models.names[b] if n else UNKNOWN for b, n in zip(best, size)], score, rejected
 
 
+def sampled(rows: DataFrame, most: int) -> DataFrame:
+    """The ``most`` different texts of each label that have the smallest hashes: ``label``, ``body``, and their ``place`` and number ``n``.
+
+    Copies count as one text and texts without a letter as none. Hashes up to a few times the share of the sample are
+    looked at only, so that one task gets few, and copies are combined inside the map tasks.
+    """
+    drawn = rows.where(F.rlike("body", F.lit(r"\p{L}"))).withColumn("draw", F.xxhash64("body"))
+    kinds = drawn.groupBy("label").agg(F.approx_count_distinct("draw").alias("n")).collect()
+    bounds = [(r.label, int(-(2**63) + min(1.0, 4 * most / max(1, r.n)) * (2**64 - 1025))) for r in kinds]
+    table = rows.sparkSession.createDataFrame(bounds, "label string, bound long")
+    near = drawn.join(F.broadcast(table), "label").where("draw <= bound").select("label", "draw").distinct()
+    own = Window.partitionBy("label")
+    first = near.withColumn("place", F.row_number().over(own.orderBy("draw"))).where(F.col("place") <= most)
+    chosen = first.withColumn("n", F.count(F.lit(1)).over(own))
+    found = drawn.join(F.broadcast(chosen), ["label", "draw"]).groupBy("label", "draw", "place", "n").agg(F.min("body").alias("body"))
+    return stored(found.select("label", "body", "place", "n"), "sample")
+
+
 def learn(docs: DataFrame, text: str = "text", label: str = "lang", train: int = TRAIN, calibration: int = CALIBRATE) -> Models:
-    """Models from labelled texts: about ``train`` and ``calibration`` per language, chosen by the hash of the text.
+    """Models from labelled texts: at most ``train`` and ``calibration`` different ones per language, chosen by the hash of the text.
 
     The sample is the only part of the corpus that the models come from, so their size does not grow with it;
-    the driver gets its word counts.
+    the driver gets its word counts. Every language with a letter in its texts is learnt; of few texts, the same share trains.
     """
     spark = docs.sparkSession
     rows = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).alias("label"), F.col(text).alias("body"))
-    sizes = {r.label: r.n for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    names = sorted(sizes, key=lambda name: name.encode())
+    sample = sampled(rows, train + calibration)
+    low = F.greatest(F.lit(1), F.floor(F.col("n") * train / (train + calibration)))
+    sample = sample.withColumn("trains", F.col("place") <= low)
+    names = sorted((r.label for r in sample.select("label").distinct().collect()), key=lambda name: name.encode())
     if not names:
         return Models([], np.zeros(0))
-    # Up to half a language's texts calibrate, where there are few.
-    shares = []
-    for name in names:
-        all_of = min(1.0, (train + calibration) / sizes[name])
-        shares.append((name, all_of * train / (train + calibration), all_of))
-    table = spark.createDataFrame(shares, "label string, low double, high double")
-    draw = F.pmod(F.xxhash64("body"), F.lit(1 << 20)) / float(1 << 20)
-    sample = rows.join(F.broadcast(table), "label").withColumn("draw", draw).where("draw < high")
     words = F.explode(F.expr(r"regexp_extract_all(lower(body), '(\\p{L}+)', 1)"))
-    counted = sample.where("draw < low").select("label", words.alias("word")).groupBy("label", "word").count().toPandas()
+    counted = sample.where("trains").select("label", words.alias("word")).groupBy("label", "word").count().toPandas()
     counted = counted.sort_values(["label", "word"])
     trained = [name for name in names if (counted["label"] == name).any()]
     parts = [counted[counted["label"] == name] for name in trained]
@@ -258,7 +271,7 @@ def learn(docs: DataFrame, text: str = "text", label: str = "lang", train: int =
             size, bits = entropies(shared.value, part.column("body").to_pylist())
             yield pa.RecordBatch.from_pydict({"label": part.column("label"), "size": pa.array(size), "bits": pa.array(bits.tolist())})
 
-    held = sample.where("draw >= low").select("label", "body").mapInArrow(run, "label string, size long, bits array<double>").toPandas()
+    held = sample.where("not trains").select("label", "body").mapInArrow(run, "label string, size long, bits array<double>").toPandas()
     held = held[held["label"].isin(trained)].sort_values(["label", "size"])
     truth = np.array([trained.index(x) for x in held["label"]], np.int64)
     bits = np.array(held["bits"].tolist(), np.float64).reshape(len(held), len(trained))

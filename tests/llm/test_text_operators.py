@@ -302,3 +302,18 @@ def test_model_of_many_ranges_keeps_every_level(spark, docs, monkeypatch):
         off += abs(r.score - want) / len(t)
     # Only chance hits of the filter part the two.
     assert off / len(texts) < 0.05
+
+
+def test_every_language_learns_from_different_texts(spark):
+    words = ["alpha beta", "gamma delta", "epsilon zeta", "eta theta", "iota kappa", "lambda omega", "sigma tau", "phi chi"]
+    hot = [(f"l{k}", w) for k, w in enumerate(words)] * 3000
+    many = [("many", f"text {chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}") for k in range(2000)] * 2
+    rows = spark.createDataFrame(hot + many + [("none", "12 !?")], "lang string, text string")
+    models = language.learn(rows)
+    assert models.names == [f"l{k}" for k in range(8)] + ["many"]
+    assert language.decide(models, words)[0] == models.names[:8]
+    sample = language.sampled(rows.withColumnsRenamed({"lang": "label", "text": "body"}), 600).collect()
+    taken = Counter(r.label for r in sample)
+    assert taken == {**dict.fromkeys(models.names[:8], 1), "many": 600}
+    assert len({(r.label, r.body) for r in sample}) == 608
+    assert all(r.n == taken[r.label] and 1 <= r.place <= r.n for r in sample)
