@@ -6,7 +6,7 @@ learns from labelled pages: a bounded sample of the table, labelled where a page
 paragraphs dressed in other layouts, where the labels are known. Viterbi decoding picks the blocks of the article.
 
 Cases: a null or empty page, or one without visible text, has an empty text. Broken markup is read as browsers
-read it: unclosed elements end with their parents, stray end tags are passed over. Pages are judged one by
+read it: unclosed elements end with their parents, the head with the first thing that cannot stand in it, stray end tags are passed over. Pages are judged one by
 one and whole; repeated rows get the same text; an empty table gives no rows.
 """
 
@@ -32,6 +32,8 @@ ROUNDS = 6
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = set("script style noscript template head svg iframe object canvas title textarea select math audio video".split())
+# Start tags that leave the head open; any other, or text, ends it.
+IN_HEAD = set("html head base basefont bgsound link meta title noscript noframes style script template".split())
 RAW = set("script style textarea title iframe noscript".split())
 INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike "
@@ -96,10 +98,16 @@ def blocks(page: str | None) -> list[Block]:
             unseen -= tag in UNSEEN
             in_link -= tag == "a"
 
+    def leave_head() -> None:
+        if stack and stack[-1][0] == "head":
+            pop(len(stack) - 1)
+
     end = len(page)
     while at < end:
         found = page.find("<", at)
         to = end if found < 0 else found
+        if unseen and page[at:to].strip(" \t\n\f\r"):
+            leave_head()
         if to > at and not unseen:
             pieces.append(page[at:to])
             if in_link:
@@ -108,6 +116,7 @@ def blocks(page: str | None) -> list[Block]:
             break
         tag = TAG.match(page, found)
         if not tag:
+            leave_head()
             if not unseen:
                 pieces.append("<")
             at = found + 1
@@ -128,7 +137,9 @@ def blocks(page: str | None) -> list[Block]:
                 if name in INLINE and stack[k][0] not in INLINE:
                     break
             continue
-        if name in VOID or tag[3].endswith("/") and name in ("svg", "path"):
+        if name not in IN_HEAD:
+            leave_head()
+        if name in VOID or tag[3].endswith("/") and name in ("svg", "path", "math"):
             continue
         if name not in INLINE:
             for k in range(len(stack) - 1, -1, -1):

@@ -317,3 +317,16 @@ def test_every_language_learns_from_different_texts(spark):
     assert taken == {**dict.fromkeys(models.names[:8], 1), "many": 600}
     assert len({(r.label, r.body) for r in sample}) == 608
     assert all(r.n == taken[r.label] and 1 <= r.place <= r.n for r in sample)
+
+
+def test_head_ends_without_its_end_tag():
+    def texts(page):
+        return [b.text for b in pages.blocks(page)]
+
+    head = "<html><head><meta charset=utf-8><title>t</title><script>a<b</script><template><p>x</p></template>"
+    whole = pages.blocks(f"{head}</head><body><p>a</p>b</body></html>")
+    assert pages.blocks(f"{head}<body><p>a</p>b</body></html>") == whole and [b.text for b in whole] == ["a", "b"]
+    assert texts(f"{head}\n <div>a</div></head>b") == ["a", "b"]
+    assert texts(f"{head}a<p>b") == ["a", "b"]
+    assert texts(f"{head}<img src=x>a") == ["a"] and texts(f"{head}< a") == ["< a"]
+    assert texts("<p>a<math/>b</p>c<math><mi>x</mi></math>") == ["a", "b", "c"]
