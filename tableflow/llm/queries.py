@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableflow.llm import bloom_lm, language, mixing, packing, pages, quality, sharding, simhash, sketch, warc
+from tableflow.llm import (
+    bloom_lm,
+    filter_audit,
+    language,
+    mixing,
+    negatives,
+    packing,
+    pages,
+    quality,
+    sharding,
+    simhash,
+    sketch,
+    urls,
+    warc,
+)
 from tableflow.llm.store import prepare
 from tableflow.session import work_dir
 
@@ -156,3 +170,154 @@ def simhash_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_quality_rules")
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir))
+
+
+NEGATIVES_SQL = """
+with vectors as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    [floor(256 * x::double) for x in embedding] as v
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len([x for x in embedding if x is null or not isfinite(x)]) = 0
+), scored as (
+  select a.vec_id as anchor_id, b.vec_id as id, a.label = b.label as same, list_dot_product(a.v, b.v)::bigint as score
+  from vectors a join vectors b on a.vec_id % 50 = 0
+), positives as (
+  select anchor_id, id as positive_id, score as positive_score from scored where same and anchor_id <> id
+  qualify row_number() over (partition by anchor_id order by score desc, id) <= 5
+)
+select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by score desc, id)::int as rank,
+  id as negative_id, positive_score, score as negative_score
+from positives join scored using (anchor_id)
+where not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+qualify rank <= 3
+"""
+
+
+@query("op11_hard_negatives", NEGATIVES_SQL)
+def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = rows.select("vec_id", label.alias("label"), negatives.quantised(F.col("embedding")).alias("vector"))
+    return negatives.mine(rows, F.col("vec_id") % 50 == 0)
+
+
+AUDIT_SQL = r"""
+with recursive words as (
+  select doc_id, coalesce(source, '') as part, coalesce(text, '') as body,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words,
+    min(doc_id) over (partition by coalesce(text, '')) as first_id
+  from documents
+), flags as (
+  select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels group by doc_id
+), cells as (
+  select part, (len(words) < 50)::int + 2 * (100 * len(list_distinct(words)) < 65 * len(words))::int
+    + 4 * (100 * length(regexp_replace(body, '[^A-Z]', '', 'g')) > 5 * length(body))::int
+    + 8 * regexp_matches(body, '[#$%&*|]')::int + 16 * coalesce(doc_id > first_id, false)::int as mask,
+    count(*) as n, count(*) filter (good = 1) as good, count(*) filter (toxic = 1) as toxic
+  from words left join flags using (doc_id) group by all
+), letters as (
+  select unnest(['A', 'B', 'C', 'D', 'E']) as letter, unnest([1, 2, 4, 8, 16]) as bit
+), prefixes as (
+  select '' as prefix, 0 as applied, 0 as before, 0 as bit, 0 as step
+  union all
+  select prefix || letter, applied | letters.bit, applied, letters.bit, step + 1 from prefixes, letters where applied & letters.bit = 0
+), parts as (
+  select distinct part from cells
+), steps as (
+  select parts.part, prefix, step, right(prefix, 1) as letter,
+    coalesce(sum(n) filter (mask & applied = 0), 0)::bigint as kept,
+    coalesce(sum(n) filter (mask & before = 0 and mask & bit > 0), 0)::bigint as removed,
+    coalesce(sum(n) filter (mask & before > 0 and mask & bit > 0), 0)::bigint as redundant,
+    coalesce(sum(n) filter (mask = bit), 0)::bigint as unique_fails,
+    coalesce(sum(good) filter (mask & before = 0 and mask & bit > 0), 0)::bigint as good_lost,
+    coalesce(sum(toxic) filter (mask & before = 0 and mask & bit > 0), 0)::bigint as toxic_lost
+  from parts cross join prefixes join cells on cells.part = parts.part where step > 0 group by all
+), every as (
+  select steps.part, orders.prefix as filter_order, steps.* exclude (part, prefix)
+  from steps join prefixes orders on orders.step = 5 and starts_with(orders.prefix, steps.prefix)
+)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  sum(removed) over (partition by part, letter)::bigint as shapley
+from every
+"""
+
+
+@query("op12_filter_audit", AUDIT_SQL)
+def filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return filter_audit.audit(filter_audit.cells(documents(spark, sf_dir), labels))
+
+
+RULES = [
+    ("org", "/", urls.ALLOW),
+    ("example.org", "/es/", urls.BLOCK),
+    ("example.org", "/en/1", urls.BLOCK),
+    ("com", "/fr/", urls.ALLOW),
+    ("com", "/de/", urls.BLOCK),
+]
+
+
+URLS_SQL = r"""
+with recursive read as (
+  select page_id, url, lower(regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1)) as origin,
+    regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path, regexp_extract(url, '(?s)^.*?://[^/?#]*(.*)$', 1) as rest,
+    regexp_replace(coalesce(html, ''), '(?is)<!--.*?-->|<script\b.*?</script\s*>', ' ', 'g') as seen
+  from pages
+), tags as (
+  select url, origin, path, unnest(
+    [regexp_extract(x, '(?is)\bhref\s*=\s*(?:"\s*([^"]*)|''\s*([^'']*)|([^\s"''>]+))', 1)
+      || regexp_extract(x, '(?is)\bhref\s*=\s*(?:"\s*([^"]*)|''\s*([^'']*)|([^\s"''>]+))', 2)
+      || regexp_extract(x, '(?is)\bhref\s*=\s*(?:"\s*([^"]*)|''\s*([^'']*)|([^\s"''>]+))', 3)
+      for x in regexp_extract_all(seen, '(?is)<link\b[^>]*\brel\s*=\s*["'']?[^"''>]*\bcanonical\b[^>]*>')]
+    || [regexp_extract(x, '(?is)\bcontent\s*=\s*["'']?\s*[\d.]*\s*[;,]\s*url\s*=\s*["'']?\s*([^"''>]+)', 1)
+      for x in regexp_extract_all(seen, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?\s*refresh\b[^>]*>')]) as raw
+  from read
+), written as (
+  select url, origin, path, replace(trim(raw), '&amp;', '&') as target from tags
+), placed as (
+  select url, case when target = '' or target[1] = '#' then null
+    when contains(target, '://') and regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*:') then target
+    when regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*:') or coalesce(origin, '') = '' then null
+    when starts_with(target, '//') then regexp_extract(url, '^([^:]*:)', 1) || target
+    when target[1] = '/' then origin || target
+    when target[1] = '?' then origin || path || target
+    else origin || coalesce(nullif(regexp_extract(path, '(?s)^(.*/)', 1), ''), '/') || target end as target
+  from written
+), named as (
+  select url, regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) as from_origin,
+    target, regexp_extract(target, '(?s)^(.*?://[^/?#]*)', 1) as to_origin
+  from placed where url is not null and target is not null
+), links as (
+  select distinct lower(from_origin) || regexp_replace(url[length(from_origin) + 1:], '(?s)#.*$', '') as a,
+    lower(to_origin) || regexp_replace(target[length(to_origin) + 1:], '(?s)#.*$', '') as b
+  from named
+), pairs as (
+  select a, b from links union select b, a from links
+), reach as (
+  select a, b from pairs union select reach.a, pairs.b from reach join pairs on pairs.a = reach.b
+), rules as (
+  select unnest(['org', 'example.org', 'example.org', 'com', 'com']) as host, unnest(['/', '/es/', '/en/1', '/fr/', '/de/']) as start,
+    unnest(['allow', 'block', 'block', 'allow', 'block']) as verdict
+), nodes as (
+  select origin || regexp_replace(rest, '(?s)#.*$', '') as node from read where origin <> ''
+  union select regexp_replace(url, '(?s)#.*$', '') from read where origin = ''
+  union select b from links
+), decided as (
+  select node, arg_min(host || start, (-length(host || start), verdict)) as rule, arg_min(verdict, (-length(host || start), verdict)) as verdict
+  from nodes join rules on starts_with(regexp_extract(node, '(?s)^.*?://[^/?#]*([^?#]*)', 1), start) and contains(node, '://')
+    and ends_with('.' || regexp_extract(node, '(?s)^.*?://([^/?#]*)', 1), '.' || host)
+  group by node
+), passed as (
+  select a as node, min(verdict) as verdict from reach join decided on decided.node = b group by a
+)
+select page_id, coalesce(regexp_extract(origin, '(?s)^.*?://(.*)$', 1), '') as host, coalesce(path, '') as path, decided.rule,
+  coalesce(decided.verdict, passed.verdict, 'allow') as verdict
+from read left join decided on decided.node = case when origin = '' then regexp_replace(url, '(?s)#.*$', '') else origin || regexp_replace(rest, '(?s)#.*$', '') end
+  left join passed on passed.node = case when origin = '' then regexp_replace(url, '(?s)#.*$', '') else origin || regexp_replace(rest, '(?s)#.*$', '') end
+"""
+
+
+@query("op13_url_filters", URLS_SQL)
+def url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(spark.read.parquet(f"{sf_dir}/pages.parquet"), RULES)
