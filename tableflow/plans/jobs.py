@@ -14,13 +14,14 @@ from tableflow.operators.project import map_fields
 from tableflow.sinks.bulk import bulk_load
 from tableflow.sinks.jdbc import sink_jdbc
 from tableflow.sinks.models import load_unique
-from tableflow.sinks.upsert import sink_upsert
+from tableflow.sinks.upsert import read_upserted, sink_upsert
 from tableflow.sources.changes import cdc_decode
 from tableflow.sources.decode import decode
 from tableflow.sources.logs import read_log, scan_log
 from tableflow.sources.tables import stream_table
-from tableflow.streaming.changelog import ChangelogAggregate, tagged, untagged
+from tableflow.streaming.changelog import tagged, untagged
 from tableflow.streaming.runner import drain, start
+from tableflow.streaming.signed import as_changes, grouped, signed
 
 Sink = Callable[[dict[str, DataFrame], int], None]
 
@@ -113,12 +114,20 @@ def _changes(messages: DataFrame, spec: Mapping[str, object]) -> DataFrame:
     return map_fields(rows, [*spec["mappings"], *beside] if spec.get("mappings") else None)
 
 
-def _grouped(spec: Mapping[str, object]) -> ChangelogAggregate:
-    """The keyed aggregate of a change form: ``result`` of the same object, in any session, reads it."""
+# What orders the writes of a feed's rows.
+FEED_SEQ = ["_batch", "_step"]
+
+
+def _run_grouped(rows: DataFrame, spec: Mapping[str, object]) -> StreamingQuery:
+    """Groups over a change feed into the form's target, which is keyed by the columns of ``by``."""
     target, group = spec["target"], spec["aggregate"]
-    return ChangelogAggregate(
-        target["path"], target["keys"], target["seq"], group["by"], group["aggs"], CHANGE[0], target.get("buckets")
-    )
+    feed = grouped(signed(rows, target["keys"], target["seq"], CHANGE[0]), group["by"], group["aggs"])
+    into = {**target, "keys": list(group["by"]), "seq": FEED_SEQ, "op": "op"}
+
+    def each_batch(batch: DataFrame, batch_id: int) -> None:
+        _write(into, as_changes(batch, into["keys"], batch_id), batch_id)
+
+    return _launch(feed, spec["checkpoint"], spec.get("every"), each_batch=each_batch)
 
 
 def run_job(spark: SparkSession, spec: Mapping[str, object], messages: DataFrame | None = None) -> StreamingQuery:
@@ -147,7 +156,7 @@ def run_job(spark: SparkSession, spec: Mapping[str, object], messages: DataFrame
         target = {"op": CHANGE[0], "seq": [CHANGE[1], *spec.get("position", ())], **target}
         rows = _changes(messages, spec)
         if spec.get("aggregate"):
-            return _launch(rows, checkpoint, every, each_batch=_grouped({**spec, "target": target}))
+            return _run_grouped(rows, {**spec, "target": target})
     else:
         rows = decode(messages, spec.get("schema"), spec.get("format", "json"))
         rows = map_fields(rows, spec.get("mappings"))
@@ -157,9 +166,8 @@ def run_job(spark: SparkSession, spec: Mapping[str, object], messages: DataFrame
 
 
 def job_groups(spark: SparkSession, spec: Mapping[str, object]) -> DataFrame:
-    """The groups that a change form with ``aggregate`` keeps."""
-    target = {"seq": [CHANGE[1], *spec.get("position", ())], **spec["target"]}
-    return _grouped({**spec, "target": target}).result(spark)
+    """The groups that a change form with ``aggregate`` keeps in an upsert target."""
+    return read_upserted(spark, spec["target"]["path"]).drop(*FEED_SEQ)
 
 
 def aggregate_to_sink(

@@ -16,7 +16,7 @@ from tableflow.sinks.upsert import read_upserted, sink_upsert
 from tableflow.sources.tables import stream_slices, stream_table
 from tableflow.streaming.joins import dedup, stream_join
 from tableflow.streaming.runner import drain, read_output, restore, resume, save_state
-from tableflow.streaming.ttl import lifetime_agg
+from tableflow.streaming.signed import grouped, plain, settled
 
 # Tasks that share the rows of a hot join key.
 SALT = 4
@@ -161,14 +161,26 @@ def stream_outer(spark, sf):
 # State and recovery
 
 
-@query("state_ttl", CLOSED.replace("interval 1 hour", "interval 12 hour").format(SESSIONS.format(gap="12 hour")))
+@query(
+    "state_ttl",
+    "with gaps as (select *, ts - lag(ts) over (partition by user_id order by ts, event_id) > interval 12 hour starts from events),"
+    " lives as (select *, sum(coalesce(starts, false)::int) over (partition by user_id order by ts, event_id) life from gaps),"
+    " sums as (select user_id, life, count(*) n, max(event_id) last_id, round(sum(value), 6) s, min(value) lo, max(value) hi, max(ts) last_ts"
+    " from lives group by 1, 2)"
+    " select user_id, n, last_id, s, lo, hi from sums where last_ts > (select max(ts) from events) - interval 12 hour",
+)
 def state_ttl(spark, sf):
-    """Totals per user that start again after twelve hours without an event."""
+    """Totals per user that are forgotten, and start again, after twelve hours without an event."""
+    events = _events(spark, sf)
     base = work_dir(spark, "state-ttl")
-    out = lifetime_agg(zoned(_events(spark, sf), "ts"), "ts", ["user_id"], WINDOW_AGGS, "12 hours")
-    drain(out, f"{base}/checkpoint", path=f"{base}/out")
-    closed = naive(read_output(spark, f"{base}/out", out), "window_start", "window_end")
-    return closed.withColumn("mean", F.round("mean", 8))
+    stream = stream_slices(spark, f"{base}/in", events.schema)
+    aggs = {"n": ("count", "*"), "last_id": ("max", "event_id"), "s": ("sum", "value"), "lo": ("min", "value"), "hi": ("max", "value")}
+    rows = plain(zoned(stream, "ts").select("user_id", "event_id", "value", "ts"))
+    out = grouped(rows, ["user_id"], aggs, time="ts", lifetime=12)
+    for i, part in enumerate(halves(table(spark, sf, "events"), "ts")):
+        part.write.parquet(f"{base}/in/part={i}")
+        drain(out, f"{base}/checkpoint", path=f"{base}/out")
+    return settled(read_output(spark, f"{base}/out", out)).withColumn("s", F.round("s", 6))
 
 
 def _upsert_totals(path, buckets):

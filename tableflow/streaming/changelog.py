@@ -1,4 +1,4 @@
-"""Aggregates and joins over change feeds, kept up to date batch by batch.
+"""Joins over change feeds in ``foreachBatch``, kept up to date batch by batch.
 
 An update moves a row from its old group or partner to the new one and a delete takes
 it away. Every micro-batch reads and writes only the buckets its keys fall into, and
@@ -15,16 +15,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tableflow.operators.aggregates import Aggs, check
 from tableflow.operators.joins import Pairs, check_kind, condition, salted
-from tableflow.sinks.keyed_table import KeyedTable, Places
+from tableflow.sinks.keyed_table import KeyedTable
 from tableflow.sinks.upsert import GONE, SEQ, newest, read_upserted, sink_upsert
 from tableflow.sources.changes import DELETE
 
 SOURCE = "_source"
 BATCH = "_batch"
 OP = "_op"
-ROWS = "_rows"
 SIGN = "_sign"
 STEP = "_step"
 STAYS = "_stays"
@@ -148,177 +146,6 @@ def _live(rows: DataFrame) -> DataFrame:
     return rows.where(~F.col(GONE)).drop(SEQ, GONE)
 
 
-class ChangelogAggregate:
-    """``foreachBatch`` target that keeps ``GROUP BY by`` over a change feed.
-
-    Counts, and sums and averages of exact types, take the signed difference of old and new row
-    images. A minimum or maximum is read again from the rows of its group only when the value
-    that went away was the extreme itself; a sum of floating numbers, where taking a value away does
-    not undo adding it, whenever a value went away.
-    """
-
-    def __init__(
-        self,
-        path: str,
-        keys: Sequence[str],
-        seq: Sequence[str],
-        by: Sequence[str],
-        aggs: Aggs,
-        op: str = "op",
-        buckets: int | None = None,
-        spread: int = SPREAD,
-    ):
-        check(aggs)
-        self.groups = f"{path}/groups"
-        self.by, self.aggs, self.buckets = list(by), dict(aggs), buckets
-        self.rows = _Snapshot(f"{path}/rows", keys, seq, op, buckets, self.by, spread)
-        self.inexact: set[str] = set()
-
-    def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        folded = self.rows.fold(batch).persist(StorageLevel.MEMORY_AND_DISK)
-        floating = (T.FloatType, T.DoubleType)
-        self.inexact = {f.name for f in folded.schema.fields if isinstance(f.dataType, floating)}
-        # Only what may be read again needs the rows by their groups.
-        self.rows.apart = self.rows.apart and bool(self._reread())
-        images = None
-        try:
-            images = self.rows.take(folded, batch_id)
-            if images is not None:
-                self._apply(images, batch_id)
-        finally:
-            for frame in (folded, images):
-                if frame is not None:
-                    frame.unpersist()
-
-    def _apply(self, images: DataFrame, batch_id: int) -> None:
-        delta = images.groupBy(*self.by).agg(*self._delta()).persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            held, groups = self._held(delta, batch_id)
-            states = delta.join(held, _same(delta, held, [(c, f"_held_{c}") for c in self.by]), "left")
-            merged = states.select(*[delta[c] for c in self.by], *self._merged(), self._dirty().alias("_dirty"))
-            if self._reread():
-                merged = self._afresh(merged)
-            out = merged.drop("_dirty").withColumn(BATCH, F.lit(batch_id).cast("long")).withColumn(
-                OP, F.when(F.col(ROWS) <= 0, DELETE).otherwise("u")
-            )
-            sink_upsert(out, self.groups, self.by, [BATCH], OP, batch_id, self.buckets, folded=True, touched=groups)
-        finally:
-            delta.unpersist()
-
-    def _delta(self) -> list[Column]:
-        out = [F.sum(SIGN).alias(ROWS)]
-        for alias, (name, column) in self.aggs.items():
-            if column == "*":
-                out.append(F.sum(SIGN).alias(f"{alias}__n"))
-                continue
-            value = F.col(f"`{column}`")
-            out.append(F.sum(F.when(value.isNotNull(), F.col(SIGN)).otherwise(0)).alias(f"{alias}__n"))
-            if name in ("sum", "avg"):
-                out.append(F.coalesce(F.sum(value * F.col(SIGN)), F.lit(0)).alias(f"{alias}__sum"))
-                if column in self.inexact:
-                    out.append(F.coalesce(F.max((F.col(SIGN) < 0) & value.isNotNull()), F.lit(False)).alias(f"{alias}__gone"))
-            elif name in ("min", "max"):
-                extreme = F.min if name == "min" else F.max
-                out.append(extreme(F.when(F.col(SIGN) > 0, value)).alias(f"{alias}__in"))
-                out.append(extreme(F.when(F.col(SIGN) < 0, value)).alias(f"{alias}__out"))
-        return out
-
-    def _held(self, delta: DataFrame, batch_id: int) -> tuple[DataFrame, Places]:
-        """Group states before the batch, from the buckets of the changed groups, and these buckets."""
-        spark = delta.sparkSession
-        kinds = {f.name: f.dataType for f in delta.schema.fields}
-        columns = [*self.by, ROWS, *self._state()]
-        schema = T.StructType([T.StructField(c, kinds[c.replace("__best", "__in")]) for c in columns])
-        sequence = T.StructType([T.StructField(BATCH, T.LongType())])
-        full = T.StructType(
-            [*schema.fields, T.StructField(BATCH, T.LongType()), T.StructField(SEQ, sequence), T.StructField(GONE, T.BooleanType())]
-        )
-        table = KeyedTable.create(spark, self.groups, full, self.by, self.buckets)
-        groups = table.buckets_of(delta, before=batch_id)
-        held = _live(table.read(before=batch_id, buckets=groups))
-        return held.select(*[F.col(c).alias(f"_held_{c}") for c in columns]), groups
-
-    def _state(self) -> list[str]:
-        out = []
-        for alias, (name, _) in self.aggs.items():
-            out.append(f"{alias}__n")
-            if name in ("sum", "avg"):
-                out.append(f"{alias}__sum")
-            elif name in ("min", "max"):
-                out.append(f"{alias}__best")
-        return out
-
-    def _merged(self) -> list[Column]:
-        def added(c: str) -> Column:
-            return (F.col(c) + F.coalesce(F.col(f"_held_{c}"), F.lit(0))).alias(c)
-
-        out = [added(ROWS)]
-        for alias, (name, _) in self.aggs.items():
-            out.append(added(f"{alias}__n"))
-            if name in ("sum", "avg"):
-                out.append(added(f"{alias}__sum"))
-            elif name in ("min", "max"):
-                best = F.least if name == "min" else F.greatest
-                out.append(best(F.col(f"{alias}__in"), F.col(f"_held_{alias}__best")).alias(f"{alias}__best"))
-        return out
-
-    def _dirty(self) -> Column:
-        """Whether what went away cannot be taken out of the state: an extreme, or part of a floating sum."""
-        out = F.lit(False)
-        for alias, (name, column) in self.aggs.items():
-            if name in ("sum", "avg") and column in self.inexact:
-                out = out | F.col(f"{alias}__gone")
-            elif name in ("min", "max"):
-                gone, held = F.col(f"{alias}__out"), F.col(f"_held_{alias}__best")
-                out = out | F.coalesce(gone <= held if name == "min" else gone >= held, F.lit(False))
-        return out
-
-    def _reread(self) -> dict[str, Column]:
-        """State columns that groups may need afresh, from their rows."""
-        out = {}
-        for alias, (name, column) in self.aggs.items():
-            if name in ("min", "max"):
-                out[f"{alias}__best"] = (F.min if name == "min" else F.max)(column)
-            elif name in ("sum", "avg") and column in self.inexact:
-                out[f"{alias}__sum"] = F.coalesce(F.sum(column), F.lit(0.0))
-        return out
-
-    def _afresh(self, merged: DataFrame) -> DataFrame:
-        """Dirty groups from their rows; only the buckets of these groups are read, none if no group is dirty."""
-        again_from = self._reread()
-        rows = self.rows.around(merged.where("_dirty").select(*self.by))
-        if rows is None:
-            return merged
-        fresh = rows.groupBy(
-            *[F.col(c).alias(f"_fresh_{c}") for c in self.by]
-        ).agg(*[value.alias(f"_fresh_{c}") for c, value in again_from.items()])
-        joined = merged.join(fresh, _same(merged, fresh, [(c, f"_fresh_{c}") for c in self.by]), "left")
-        return joined.select(
-            *[
-                F.when(F.col("_dirty"), F.col(f"_fresh_{c}")).otherwise(F.col(c)).alias(c)
-                if c in again_from
-                else merged[c]
-                for c in merged.columns
-            ]
-        )
-
-    def result(self, spark: SparkSession) -> DataFrame:
-        """The groups as they stand; a group without rows is gone."""
-        held = read_upserted(spark, self.groups)
-        out = []
-        for alias, (name, _) in self.aggs.items():
-            n = F.col(f"{alias}__n")
-            if name == "count":
-                out.append(n.alias(alias))
-            elif name == "sum":
-                out.append(F.when(n > 0, F.col(f"{alias}__sum")).alias(alias))
-            elif name == "avg":
-                out.append(F.when(n > 0, F.col(f"{alias}__sum") / n).alias(alias))
-            else:
-                out.append(F.col(f"{alias}__best").alias(alias))
-        return held.select(*self.by, *out)
-
-
 OTHER = {"l": "r", "r": "l"}
 
 

@@ -12,6 +12,7 @@ are a group of their own; null join values meet nothing. Batches may be cut anyw
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 from decimal import ROUND_HALF_UP, Decimal, localcontext
 from functools import reduce
@@ -33,6 +34,10 @@ FIRST = "_first"
 
 # Hours that a row or group is kept without being touched.
 LIFETIME = (1, 168)
+# Rows with one join value that are kept in one piece.
+FEW = 64
+# Groups that rows without a join value are spread over.
+ALONE = 1024
 # Best values of a group that are kept at hand for each minimum and maximum.
 BEST = 16
 # Doubles are summed as whole numbers of 2 ** -POINT, the smallest double.
@@ -162,15 +167,51 @@ def images(changes: DataFrame, before: str, after: str) -> DataFrame:
     return rows.select("_image.row.*", f"_image.{WEIGHT}")
 
 
+class _Few:
+    """Rows of one side with their weights, read with the group's state."""
+
+    def __init__(self, rows: Iterable[tuple[Sequence, int]]):
+        self.held = {_same(row): [row, n] for row, n in rows}
+
+    def rows(self) -> Iterator[tuple[Sequence, int]]:
+        return iter(list(self.held.values()))
+
+    def add(self, row: Sequence, weight: int) -> None:
+        entry = self.held.setdefault(_same(row), [row, 0])
+        entry[1] += weight
+        if not entry[1]:
+            del self.held[_same(row)]
+
+
+class _Many:
+    """Rows of one side with their weights, in a state of their own that is read row by row."""
+
+    def __init__(self, state):
+        self.state = state
+
+    def rows(self) -> Iterator[tuple[Sequence, int]]:
+        return ((row, n) for row, (n,) in self.state.iterator())
+
+    def add(self, row: Sequence, weight: int) -> None:
+        n = weight + (self.state.getValue(row) or (0,))[0]
+        if n:
+            self.state.updateValue(row, (n,))
+        else:
+            self.state.removeKey(row)
+
+
 class _Partners(StatefulProcessor):
-    """Rows of both sides with one join value, as weights per row; gives what a batch changes in their join."""
+    """Rows of both sides with one join value, as weights per row; gives what a batch changes in their join.
+
+    Up to ``FEW`` rows lie in one value, read and written at once; a group that has had more keeps them row by row.
+    """
 
-    def __init__(self, schemas: Sequence[T.StructType], outer: Sequence[bool], at: int, names: Sequence[str]):
-        self.schemas, self.outer, self.at, self.names = list(schemas), list(outer), at, list(names)
+    def __init__(self, schemas: Sequence[T.StructType], outer: Sequence[bool], at: int, names: Sequence[str], few: int):
+        self.schemas, self.outer, self.at, self.names, self.limit = list(schemas), list(outer), at, list(names), few
 
     def init(self, handle) -> None:
-        self.held = [handle.getMapState(n, s, "n long") for n, s in zip(("left", "right"), self.schemas, strict=True)]
-        self.total = handle.getValueState("totals", "l long, r long")
+        self.many = [_Many(handle.getMapState(n, s, "n long")) for n, s in zip(("left", "right"), self.schemas, strict=True)]
+        self.group = handle.getValueState("group", "left long, right long, rows binary")
         self.made = Row(*self.names)
 
     def _row(self, side: int, own: Sequence, other: Sequence | None, weight: int) -> Row:
@@ -178,57 +219,54 @@ class _Partners(StatefulProcessor):
         return self.made(*(own, other)[side], *(other, own)[side], weight)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        delta: list[dict[str, list]] = [{}, {}]
+        if None in key:
+            for row in rows:
+                begin = self.at + 2 + row[self.at] * len(self.schemas[0])
+                yield self._row(row[self.at], row[begin : begin + len(self.schemas[row[self.at]])], None, row[self.at + 1])
+            return
+        net = (_Few(()), _Few(()))
         for row in rows:
             side, weight = row[self.at], row[self.at + 1]
             begin = self.at + 2 + side * len(self.schemas[0])
-            of = tuple(row[begin : begin + len(self.schemas[side])])
-            delta[side].setdefault(_same(of), [of, 0])[1] += weight
-        delta = [{k: v for k, v in d.items() if v[1]} for d in delta]
-        before = list(self.total.get() or (0, 0))
-        after = [n + sum(w for _, w in d.values()) for n, d in zip(before, delta)]
+            net[side].add(tuple(row[begin : begin + len(self.schemas[side])]), weight)
+        delta = [list(d.rows()) for d in net]
+        held = self.group.get()
+        before = list(held[:2]) if held else [0, 0]
+        after = [n + sum(w for _, w in d) for n, d in zip(before, delta)]
+        few = held is None or held[2] is not None
+        sides = [_Few(x) for x in (pickle.loads(held[2]) if held else ((), ()))] if few else self.many
         # Changed left rows meet the right rows as they were; changed right rows the left ones as they are now.
-        if delta[0] and before[1]:
-            for row, (n,) in self.held[1].iterator():
-                for own, weight in delta[0].values():
-                    yield self._row(0, own, row, n * weight)
-        yield from self._alone(0, delta[0], before[1], after[1])
-        self._take(0, delta[0])
-        if delta[1] and after[0]:
-            for row, (n,) in self.held[0].iterator():
-                for own, weight in delta[1].values():
-                    yield self._row(1, own, row, n * weight)
-        yield from self._alone(1, delta[1], before[0], after[0])
-        self._take(1, delta[1])
-        if any(after):
-            self.total.update(tuple(after))
+        for side, met in ((0, before[1]), (1, after[0])):
+            if delta[side] and met:
+                for row, n in sides[1 - side].rows():
+                    for own, weight in delta[side]:
+                        yield self._row(side, own, row, n * weight)
+            yield from self._alone(side, sides[side], delta[side], before[1 - side], after[1 - side])
+            for own, weight in delta[side]:
+                sides[side].add(own, weight)
+        if few and sum(len(s.held) for s in sides) > self.limit:
+            for many, side in zip(self.many, sides):
+                for row, n in side.rows():
+                    many.add(row, n)
+            few = False
+        if any(after) or few and any(s.held for s in sides):
+            self.group.update((*after, pickle.dumps([list(s.rows()) for s in sides]) if few else None))
+        elif few:
+            self.group.clear()
         else:
-            self.total.clear()
+            self.group.update((0, 0, None))
 
-    def _alone(self, side: int, delta: dict, before: int, after: int) -> Iterator[Row]:
+    def _alone(self, side: int, held: _Few | _Many, delta: list, before: int, after: int) -> Iterator[Row]:
         """Rows of an outer side that lose or find their partners; ``delta`` is not taken in yet."""
         if not self.outer[side] or before and after:
             return
-        if not (before or after):
-            for own, weight in delta.values():
-                yield self._row(side, own, None, weight)
-            return
-        sign = -1 if after else 1
-        for row, (n,) in self.held[side].iterator():
-            yield self._row(side, row, None, sign * n)
-        if before:
-            for own, weight in delta.values():
+        if before or after:
+            for row, n in held.rows():
+                yield self._row(side, row, None, -n if after else n)
+        if not after:
+            for own, weight in delta:
                 yield self._row(side, own, None, weight)
 
-    def _take(self, side: int, delta: dict) -> None:
-        held = self.held[side]
-        for own, weight in delta.values():
-            n = weight + (held.getValue(own)[0] if held.containsKey(own) else 0)
-            if n:
-                held.updateValue(own, (n,))
-            else:
-                held.removeKey(own)
-
     def close(self) -> None:
         pass
 
@@ -261,7 +299,7 @@ def joined(
         [T.StructField(p + f.name, f.dataType) for p, s in zip(prefixes, schemas) for f in s.fields]
         + [T.StructField(WEIGHT, T.LongType())]
     )
-    parts, lone = [], []
+    parts = []
     for side, frame in enumerate(frames):
         values = [F.col(f"`{pair[side]}`") for pair in pairs]
         known = reduce(lambda a, b: a & b, [v.isNotNull() for v in values])
@@ -270,21 +308,20 @@ def joined(
             for s in (0, 1)
             for i, f in enumerate(schemas[s].fields)
         ]
+        spread = F.xxhash64(*[F.col(f"`{c}`") for c in columns[side]])
         if dealt is None:
-            salts = F.lit(0)
+            salts = F.array(F.lit(0))
         elif dealt == side:
-            salts = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in columns[side]]), F.lit(salt)).cast("int")
+            salts = F.array(F.pmod(spread, F.lit(salt)).cast("int"))
         else:
-            salts = F.explode(F.array(*[F.lit(i) for i in range(salt)]))
-        picked = [*[v.alias(f"_on{i}") for i, v in enumerate(values)], salts.alias("_salt"), F.lit(side).alias(SIDE), WEIGHT, *given]
-        parts.append(frame.where(known).select(*picked))
-        if outer[side]:
-            mine = {prefixes[side] + c: F.col(f"`{c}`") for c in columns[side]}
-            none = [mine.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in out.fields[:-1]]
-            lone.append(frame.where(~known).select(*none, WEIGHT))
+            salts = F.array(*[F.lit(i) for i in range(salt)])
+        # Rows without a join value stay alone, wherever they go; they leave no state.
+        salts = F.when(known, salts).otherwise(F.array(F.pmod(spread, F.lit(ALONE)).cast("int")))
+        picked = [*[v.alias(f"_on{i}") for i, v in enumerate(values)], F.explode(salts).alias("_salt"), F.lit(side).alias(SIDE), WEIGHT, *given]
+        parts.append((frame if outer[side] else frame.where(known)).select(*picked))
     keys = [*[f"_on{i}" for i in range(len(pairs))], "_salt"]
-    met = parts[0].union(parts[1]).groupBy(*keys).transformWithState(_Partners(schemas, outer, len(keys), out.names), out, "Append", "None")
-    return reduce(DataFrame.union, lone, met)
+    processor = _Partners(schemas, outer, len(keys), out.names, FEW)
+    return parts[0].union(parts[1]).groupBy(*keys).transformWithState(processor, out, "Append", "None")
 
 
 class _Summing:
@@ -560,7 +597,7 @@ class _Group(_Timed, StatefulProcessor):
     def _count(self, g: dict, i: int, column: str, value, n: int) -> None:
         """Add to the count of a value; keep the lists of best values right."""
         values, key = self.values[i], (value,)
-        before = values.getValue(key)[0] if values.containsKey(key) else 0
+        before = (values.getValue(key) or (0,))[0]
         if before + n:
             values.updateValue(key, (before + n,))
         else:
@@ -641,6 +678,23 @@ def plain(rows: DataFrame) -> DataFrame:
     return rows.withColumn(WEIGHT, F.lit(1).cast("long"))
 
 
+def as_changes(rows: DataFrame, keys: Sequence[str], batch_id: int) -> DataFrame:
+    """One batch of a feed as changes by key for a keyed target: ``op``, ordered by ``_batch`` and ``_step``.
+
+    ``keys`` must name a row of the feed. A row that goes and comes again with other values is written once.
+    """
+    columns = [c for c in rows.columns if c != WEIGHT]
+    net = rows.groupBy(*columns).agg(F.sum(WEIGHT).alias(WEIGHT)).where(F.col(WEIGHT) != 0)
+    comes = F.col(WEIGHT) > 0
+    changes = net.select(
+        *columns,
+        F.when(comes, "u").otherwise(DELETE).alias("op"),
+        F.lit(batch_id).cast("long").alias("_batch"),
+        comes.cast("int").alias("_step"),
+    )
+    return changes.groupBy(*keys).agg(F.max_by(F.struct(*changes.columns), "_step").alias("_row")).select("_row.*")
+
+
 def settled(rows: DataFrame) -> DataFrame:
     """The rows that stand after all signed rows of a table, each as often as its weights say."""
     columns = [c for c in rows.columns if c != WEIGHT]

@@ -8,7 +8,7 @@ from tableflow.operators.changelog import changelog_agg, changelog_join
 from tableflow.session import work_dir
 from tableflow.sources.changes import cdc_decode, cdc_incremental_snapshot, cdc_initial, chunk_of, key_splits
 from tableflow.sinks.keyed_table import KeyedTable
-from tableflow.streaming.changelog import ChangelogAggregate, ChangelogJoin
+from tableflow.streaming.changelog import ChangelogJoin
 
 SLOW = settings(max_examples=3, deadline=None, suppress_health_check=list(HealthCheck))
 CHANGE = st.tuples(st.integers(0, 4), st.sampled_from("uuud"), st.sampled_from([None, "x", "y"]), st.sampled_from([None, 1, 2, 7]))
@@ -57,20 +57,10 @@ def grouped(model):
 
 @SLOW
 @given(batches=BATCHES)
-def test_aggregate_follows_every_batch(spark, batches):
-    batches = numbered(batches)
-    target = ChangelogAggregate(work_dir(spark, "agg"), ["k"], ["seq"], ["g"], AGGS, buckets=2)
-    seen = []
-    for i, part in enumerate(batches):
-        seen += part
-        target(spark.createDataFrame(part, SCHEMA), i)
-        if seen:
-            if part:
-                target(spark.createDataFrame(part, SCHEMA), i)
-            assert rows(target.result(spark)) == grouped(alive(seen))
-    if seen:
-        table = changelog_agg(spark.createDataFrame(seen, SCHEMA), ["k"], ["seq"], ["g"], AGGS)
-        assert rows(table) == grouped(alive(seen))
+def test_aggregate_over_the_rows_a_feed_leaves(spark, batches):
+    seen = [change for part in numbered(batches) for change in part]
+    table = changelog_agg(spark.createDataFrame(seen, SCHEMA), ["k"], ["seq"], ["g"], AGGS)
+    assert rows(table) == grouped(alive(seen))
 
 
 @SLOW
@@ -163,19 +153,6 @@ def test_source_time_position_and_truncate(spark):
         cdc_decode(spark.createDataFrame([(body % "t",)], "value string"), "id int").collect()
 
 
-def test_floating_sums_forget_what_went_away(spark):
-    nan, inf = float("nan"), float("inf")
-    batches = [
-        [(1, "g", nan, 1, "c"), (2, "g", 6.0, 1, "c"), (3, "h", 1e17, 1, "c"), (4, "h", 1.0, 1, "c"), (5, "i", inf, 1, "c")],
-        [(1, "g", None, 2, "d"), (3, "h", 2.0, 2, "u"), (5, "i", 1.0, 2, "u")],
-    ]
-    aggs = {"s": ("sum", "v"), "a": ("avg", "v")}
-    target = ChangelogAggregate(work_dir(spark, "floating"), ["k"], ["seq"], ["g"], aggs, buckets=2)
-    for number, batch in enumerate(batches):
-        target(spark.createDataFrame(batch, "k int, g string, v double, seq int, op string"), number)
-    assert rows(target.result(spark)) == [("g", 6.0, 6.0), ("h", 3.0, 1.5), ("i", 1.0, 1.0)]
-
-
 @pytest.fixture
 def reads(monkeypatch):
     """Reads of keyed tables: folder name, whether as of before a batch, and buckets asked for."""
@@ -218,20 +195,6 @@ def test_a_changed_row_touches_its_buckets_and_result_rows_only(spark, reads):
     assert rows(target.result(spark).select("l_k", "r_k")) == sorted(want, key=repr)
 
 
-def test_extremes_are_read_again_from_their_group_only(spark, reads):
-    target = ChangelogAggregate(
-        work_dir(spark, "extremes"), ["k"], ["seq"], ["g"], {"lo": ("min", "v")}, buckets=64, spread=2
-    )
-    target(_feed(spark, *[(k, "u", f"g{k % 5}", k, 1) for k in range(40)]), 0)
-    reads.clear()
-    target(_feed(spark, (50, "u", "g1", 100, 1)), 1)
-    assert not [r for r in reads if r[0] == "rows-by" and r[1] is None]
-    target(_feed(spark, (1, "d", None, None, 2), (7, "u", "g3", 7, 2)), 2)
-    again = [b for name, before, b in reads if name == "rows-by" and before is None]
-    assert again and max(len(b) for b in again) <= 2
-    assert rows(target.result(spark)) == [("g0", 0), ("g1", 6), ("g2", 2), ("g3", 3), ("g4", 4)]
-
-
 def test_rows_are_placed_by_columns_of_the_key(spark):
     schema = "a int, b int"
     with pytest.raises(ValueError, match="columns of the key"):

@@ -14,7 +14,6 @@ from tableflow.sinks.upsert import read_upserted, sink_upsert
 from tableflow.sources.tables import datagen_stream, stream_slices, stream_table
 from tableflow.streaming.joins import dedup, stream_join, ttl_interval
 from tableflow.streaming.runner import batch_folders, drain, dropped_late, read_output, restore, resume, save_state
-from tableflow.streaming.ttl import running_agg
 
 EVENT = "id long, k string, ts timestamp"
 
@@ -198,33 +197,6 @@ def test_restored_state_knows_what_it_saw(spark, folder):
         resume(out, f"{folder}/nowhere", each_batch=target)
 
 
-def test_state_is_forgotten_on_the_wall_clock(spark, folder):
-    """The query does not end by itself in this time mode: it is stopped once it is idle."""
-    schema = "k string, v double"
-    feed = Feed(spark, folder, "in", schema)
-    aggs = {"n": ("count", "*"), "s": ("sum", "v"), "m": ("max", "v")}
-    out = running_agg(feed.stream, ["k"], aggs, ttl_millis=12000)
-    seen = []
-    query = (
-        out.writeStream.outputMode("update")
-        .option("checkpointLocation", f"{folder}/cp")
-        .foreachBatch(lambda batch, i: seen.extend(tuple(r) for r in batch.collect()))
-        .trigger(processingTime="200 milliseconds")
-        .start()
-    )
-    try:
-        for data, wait in (([("a", 1.0), ("a", 2.0)], 0), ([("a", 5.0)], 16), ([("a", 7.0)], 0)):
-            have = len(seen)
-            feed.add(spark.createDataFrame(data, schema).coalesce(1))
-            end = time.time() + 60
-            while len(seen) == have and time.time() < end:
-                time.sleep(0.2)
-            time.sleep(wait)
-    finally:
-        query.stop()
-    assert seen == [("a", 2, 3.0, 2.0), ("a", 3, 8.0, 5.0), ("a", 1, 7.0, 7.0)]
-
-
 def test_datagen_stream_runs(spark, folder):
     out = datagen_stream(spark, "id bigint, name string", rows_per_second=50, sequences={"id": 0})
     query = out.writeStream.format("memory").queryName("generated").start()
