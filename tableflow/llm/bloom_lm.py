@@ -1,16 +1,21 @@
-"""Scoring texts with a bigram model whose counts lie in a log-frequency Bloom filter.
+"""Scoring texts with a bigram model whose counts lie in a log-frequency Bloom filter that is broadcast.
 
 An n-gram seen ``c`` times is put into the filter under the levels 1 to 1 + floor(log2 c); a reader probes level after
-level until one is missing and takes the middle of the last level's counts. The filter is cut into ranges of hashes, and
-each is as large as its own n-grams need, so the model grows with the corpus and nothing is left out of it but bigrams
-seen less than ``LEAST_PAIR`` times. No task and no driver holds more than one range; their number follows the bytes of text.
+level until one is missing. Counts of words and bigrams are summed by Spark, rows in proportion to the text; they become filters per
+shard (a range of hashes), each as large as its own n-grams need, and nothing else is kept of the bigrams. All are in,
+also those seen once.
 
-Texts are worked on in batches. A batch asks the ranges for the levels, and for the exact counts, of its different words
-and bigrams, each once, so a word that is everywhere weighs no more than any other. Beside the model's score stands an
-exact unigram score from the same answers.
+The filters are broadcast in rounds of at most about ``ROUND_BYTES``, one for half a gigabyte of text. The model grows with the corpus, and so does
+the number of rounds; each n-gram of a text is probed in one round, but every round reads the hashed texts again.
+
+A batch of about ``FLUSH`` tokens asks for each of its different words once, so a word that is everywhere weighs no more than any
+other. Beside the model's score stands an exact unigram score: the exact counts of words are joined by hash.
+
+The bigram part takes the least count of a bigram's level over the most of its context's, so it sums to at most one, but for
+chance hits; so does the whole, with the unigram part.
 
 Cases: a null or blank text is the end token alone. Without training texts every token is unknown and both scores are 0.
-Rows with one id are texts of their own; an empty table gives no rows.
+Rows with one id are texts of their own; an empty table gives no rows. A null ``train`` counts as no. Of other columns none is read.
 """
 
 from __future__ import annotations
@@ -34,14 +39,13 @@ PROBES = 3
 BLOCK = 512
 LEVELS = 64
 
-# Bigrams seen less often are no evidence.
-LEAST_PAIR = 2
 # Weight of the bigram estimate where the word before is known.
 PAIR_WEIGHT = 0.3
 
-# Bytes of text for each range of hashes, about.
-PART_BYTES = 32 << 20
-# Tokens that a task gathers before it passes their counts on, or asks for them, and n-grams probed at a time.
+# Tokens of training for each shard, about, and bytes of filters that are broadcast at a time.
+SHARD_TOKENS = 1 << 20
+ROUND_BYTES = 96 << 20
+# Tokens of a batch of texts, and n-grams probed at a time.
 FLUSH = 1 << 20
 PROBE = 1 << 18
 
@@ -59,15 +63,6 @@ def unplaned(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
-def steps(hashes: np.ndarray) -> bytes:
-    """Ascending hashes as the distances between them, which are shorter."""
-    return planes(np.diff(hashes, prepend=np.uint64(0)))
-
-
-def climbed(data: bytes) -> np.ndarray:
-    return np.cumsum(unplaned(data, "<u8"), dtype=np.uint64)
-
-
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens, the end after each text, and where each text begins."""
     buf, offsets = spans.buffers(texts)
@@ -87,66 +82,9 @@ def pairs(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return before, spans.mix(before * spans.BASE + words)
 
 
-def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
-    """Number of the part of each hash; parts are ranges of hashes in order."""
-    return ((hashes >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-
-
-def counted(texts: DataFrame, text: str, parts: int) -> DataFrame:
-    """Counts of all words and of bigrams with ``LEAST_PAIR``: a row per part and order, its hashes ascending.
-
-    Each task adds up what it reads before anything is shuffled.
-    """
-
-    def dealt(kind: int, hashes: np.ndarray) -> list[dict]:
-        values, counts = np.unique(hashes, return_counts=True)
-        cuts = np.searchsorted(part_of(values, parts), np.arange(parts + 1))
-        return [
-            {"part": p, "kind": kind, "hashes": steps(values[a:b]), "counts": planes(counts[a:b].astype(np.uint32))}
-            for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:]))
-            if a < b
-        ]
-
-    def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ones, twos, held = [], [], 0
-        schema = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
-        for chunk in spans.chunked(batches, text):
-            words, bounds = tokens(chunk.column(text))
-            ones.append(words)
-            twos.append(pairs(words)[1])
-            held += len(words)
-            if held >= FLUSH:
-                yield pa.RecordBatch.from_pylist(dealt(ONE, np.concatenate(ones)), schema)
-                yield pa.RecordBatch.from_pylist(dealt(PAIR, np.concatenate(twos)), schema)
-                ones, twos, held = [], [], 0
-        if held:
-            yield pa.RecordBatch.from_pylist(dealt(ONE, np.concatenate(ones)) + dealt(PAIR, np.concatenate(twos)), schema)
-
-    def add(rows: pd.DataFrame) -> pd.DataFrame:
-        hashes = np.concatenate([climbed(x) for x in rows["hashes"]])
-        counts = np.concatenate([unplaned(x, "<u4") for x in rows["counts"]])
-        order = np.argsort(hashes)
-        hashes, counts = hashes[order], counts[order].astype(np.uint64)
-        first = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
-        hashes, counts = hashes[first], np.add.reduceat(counts, first)
-        kind = int(rows["kind"].iloc[0])
-        if kind == PAIR:
-            hashes, counts = hashes[counts >= LEAST_PAIR], counts[counts >= LEAST_PAIR]
-        level = levels(counts)
-        return pd.DataFrame(
-            {
-                "part": rows["part"].iloc[:1],
-                "kind": kind,
-                "hashes": [planes(hashes)],
-                "counts": [planes(counts)],
-                "entries": [np.bincount(level, minlength=LEVELS + 1).tolist()],
-                "mass": [np.bincount(level, weights=counts, minlength=LEVELS + 1).astype(np.int64).tolist()],
-            }
-        )
-
-    rows = texts.select(text).mapInArrow(gather, "part int, kind int, hashes binary, counts binary")
-    schema = "part int, kind int, hashes binary, counts binary, entries array<long>, mass array<long>"
-    return stored(rows.groupBy("part", "kind").applyInPandas(add, schema), "counts")
+def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
+    """Number of the shard of each hash; shards are ranges of hashes in order."""
+    return (((hashes >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
@@ -159,45 +97,58 @@ def middle(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, (3 * 2.0 ** (level - 1) - 1) / 2, 0.0)
 
 
-def places(hashes: np.ndarray, level: int, blocks: int) -> np.ndarray:
-    """Bits of an entry at a level: in one block, so that a probe touches one cache line.
+def bits_of(hashes: np.ndarray, level: int, blocks: np.ndarray, first: np.ndarray | int = 0) -> np.ndarray:
+    """Bits of an entry at a level: in one of so many blocks from ``first`` on, so that a probe touches one cache line.
 
-    The block comes from the low bits, since the high ones tell the range that the filter is for.
+    The block comes from the low bits of the hash, since the high ones tell the shard.
     """
-    block = ((hashes & np.uint64(0xFFFFFFFF)) * np.uint64(blocks)) >> np.uint64(32)
+    block = (((hashes & np.uint64(0xFFFFFFFF)) * blocks.astype(np.uint64)) >> np.uint64(32)).astype(np.int64) + first
     spread = spans.mix(hashes + np.uint64(level * int(spans.INVERSE) % (1 << 64)))
     slots = [(spread >> np.uint64(9 * k)) & np.uint64(BLOCK - 1) for k in range(PROBES)]
-    return (block[:, None] * np.uint64(BLOCK) + np.stack(slots, axis=1)).astype(np.int64)
+    return block[:, None] * BLOCK + np.stack(slots, axis=1).astype(np.int64)
+
+
+def shard_filter(hashes: np.ndarray, counts: np.ndarray) -> bytes:
+    """The bits of the n-grams of one shard and their levels."""
+    level = levels(counts)
+    blocks = np.array([max(1, -(-int(level.sum()) * BITS_PER_ENTRY // BLOCK))])
+    bits = np.zeros(int(blocks[0]) * BLOCK // 8, np.uint8)
+    for n in range(1, int(level.max(initial=0)) + 1):
+        held = hashes[level >= n]
+        for at in range(0, len(held), PROBE):
+            bit = bits_of(held[at : at + PROBE], n, blocks).ravel()
+            np.bitwise_or.at(bits, bit >> 3, (1 << (bit & 7)).astype(np.uint8))
+    return bits.tobytes()
 
 
-class Filter:
-    """The bits of n-grams and their levels."""
+class Filters:
+    """The filters of the shards from ``begin`` on, one after another; a shard without n-grams has none."""
 
-    def __init__(self, entries: int, most_bits: int | None = None):
-        """For so many entries, each level of an n-gram being one; ``most_bits`` is for callers that want less."""
-        size = 1 << max(12, (entries * BITS_PER_ENTRY).bit_length())
-        self.bits = np.zeros(min(size, most_bits or size) // BLOCK * BLOCK // 8, np.uint8)
+    def __init__(self, shards: int, begin: int, end: int, found: dict[int, bytes]):
+        self.shards, self.begin, self.end = shards, begin, end
+        parts = [found.get(s, b"") for s in range(begin, end)]
+        self.blocks = np.array([len(x) * 8 // BLOCK for x in parts], np.int64)
+        self.first = np.cumsum(self.blocks) - self.blocks
+        # A byte more, for the probes of a shard that has none.
+        self.bits = np.frombuffer(b"".join(parts) + bytes(BLOCK // 8), np.uint8)
 
-    def put(self, hashes: np.ndarray, counts: np.ndarray) -> None:
-        blocks, level = len(self.bits) * 8 // BLOCK, levels(counts)
-        for n in range(1, int(level.max(initial=0)) + 1):
-            held = hashes[level >= n]
-            for at in range(0, len(held), PROBE):
-                bit = places(held[at : at + PROBE], n, blocks).ravel()
-                np.bitwise_or.at(self.bits, bit >> 3, (1 << (bit & 7)).astype(np.uint8))
+    def mine(self, hashes: np.ndarray) -> np.ndarray:
+        shard = shard_of(hashes, self.shards)
+        return (shard >= self.begin) & (shard < self.end)
 
     def level(self, hashes: np.ndarray) -> np.ndarray:
-        """The highest level up to which all levels of an n-gram are found."""
-        blocks = len(self.bits) * 8 // BLOCK
+        """The highest level up to which all levels of an n-gram of these shards are found."""
         out = np.zeros(len(hashes), np.uint8)
         for begin in range(0, len(hashes), PROBE):
-            alive = np.arange(begin, min(begin + PROBE, len(hashes)))
+            part = hashes[begin : begin + PROBE]
+            shard = shard_of(part, self.shards) - self.begin
+            alive = np.flatnonzero(self.blocks[shard] > 0)
             for level in range(1, LEVELS + 1):
-                at = places(hashes[alive], level, blocks)
+                at = bits_of(part[alive], level, self.blocks[shard[alive]], self.first[shard[alive]])
                 alive = alive[((self.bits[at >> 3] >> (at & 7)) & 1).all(axis=1)]
                 if not len(alive):
                     break
-                out[alive] = level
+                out[begin + alive] = level
         return out
 
 
@@ -207,92 +158,58 @@ class Totals:
 
     tokens: int
     different: int
-    entries: int
     unknown: float
     mass: float
 
-    def log_chances(self, words: np.ndarray, word_level: np.ndarray, both: np.ndarray, both_level: np.ndarray) -> np.ndarray:
+    def log_chances(self, words: np.ndarray, word_level: np.ndarray, pair_level: np.ndarray) -> np.ndarray:
         """log10 of the probability of each token after the one before it.
 
-        ``words`` and ``both`` say which of the levels belongs to each token and to it and the one before.
+        ``words`` says which of the words' levels belongs to each token; ``pair_level`` is of it and the one before.
         """
         count = middle(word_level)
         alone = np.where(count > 0, (1 - self.unknown) * count / max(self.mass, 1.0), self.unknown)[words]
         # Before a text's first token stands the end of another, which is any text's last token.
-        context = count[np.concatenate((words[-1:], words[:-1]))]
-        joint = middle(both_level)[both]
-        follow = np.minimum(joint / np.maximum(np.maximum(context, joint), 1.0), 1.0)
+        context = (2.0 ** word_level.astype(np.float64) - 1)[np.concatenate((words[-1:], words[:-1]))]
+        joint = np.where(pair_level > 0, 2.0 ** (pair_level.astype(np.float64) - 1), 0.0)
+        follow = np.minimum(joint / np.maximum(context, 1.0), 1.0)
         return np.log10(np.where(context > 0, PAIR_WEIGHT * follow + (1 - PAIR_WEIGHT) * alone, alone))
 
 
-def totals(counts: DataFrame) -> Totals:
-    """Sums over all ranges; the driver gets a row per order and level."""
-    each = F.posexplode(F.arrays_zip("entries", "mass")).alias("level", "of")
-    sums = counts.select("kind", each).groupBy("kind", "level").agg(F.sum("of.entries").alias("n"), F.sum("of.mass").alias("mass"))
-    entries, mass, bits = np.zeros(LEVELS + 1, np.int64), np.zeros(LEVELS + 1, np.int64), 0
-    for row in sums.collect():
-        bits += row.level * row.n
-        if row.kind == ONE:
-            entries[row.level], mass[row.level] = row.n, row.mass
-    total = int(mass.sum())
-    # The words seen once stand for the words never seen.
-    unknown = min(0.5, max(int(mass[1]), 1) / (total + 1)) if total else 1.0
-    known = float((middle(np.arange(LEVELS + 1)) * entries)[1:].sum())
-    return Totals(total, int(entries.sum()), bits, unknown, known)
-
-
-def build(counts: DataFrame, most_bits: int | None = None) -> tuple[Filter, int, int]:
-    """All ranges in one filter, for one machine, and number of tokens and of different tokens in training.
-
-    ``scored`` has a filter per range instead.
-    """
-    known = totals(counts)
-    out = Filter(known.entries, most_bits)
-    for row in counts.select("hashes", "counts").toLocalIterator():
-        out.put(unplaned(row["hashes"], "<u8"), unplaned(row["counts"], "<u8"))
-    return out, known.tokens, known.different
-
+def body(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch of texts: its different words, which of them each token is, where texts begin, which are for training."""
+    kinds = {"words": "<u8", "tokens": "<u4", "bounds": "<u8"}
+    words, of, bounds = (unplaned(row[c], k) for c, k in kinds.items())
+    return words, of, bounds.astype(np.int64), np.frombuffer(row["training"], np.uint8).astype(bool)
 
-def ranges(texts: DataFrame, text: str) -> int:
-    """Number of ranges of hashes: one per ``PART_BYTES`` of text, and no fewer than there are shuffle partitions."""
-    size = texts.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
-    return max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
 
+BODY = ("batch", "words", "tokens", "bounds", "training")
 
-def scored(texts: DataFrame, train: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Both scores of every text, learnt from those where ``train`` holds.
 
-    Returns ``key``, ``train``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``.
-    """
-    rows = texts.select(F.col(key), F.col(text), train.alias("train"))
-    parts = ranges(rows, text)
-    counts = counted(rows.where("train").select(text), text, parts)
-    known = totals(counts)
-    kind = texts.schema[key].dataType.simpleString()
-    # A row per text, and a row per batch of texts: its different words, which of them each token is, and where texts begin.
-    schema = f"`{key}` {kind}, train boolean, batch long, place int, n_tokens long, words binary, tokens binary, bounds binary"
+def hashed(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """A row per text (``key``, ``train``, ``batch``, ``place``, ``n_tokens``), and a row per batch of texts (``BODY``)."""
+    kind = rows.schema[key].dataType.simpleString()
+    schema = f"`{key}` {kind}, train boolean, batch long, place int, n_tokens long, words binary, tokens binary, bounds binary, training binary"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple] = []
         n_texts, n_tokens, kinds = 0, 0, None
 
         def whole(columns: dict[str, pa.Array], n: int) -> pa.RecordBatch:
             empty = {f.name: pa.nulls(n, f.type) for f in kinds}
             return pa.RecordBatch.from_pydict(empty | columns, kinds)
 
-        def body() -> pa.RecordBatch:
-            words, of = np.unique(np.concatenate([w for w, _ in held]), return_inverse=True)
-            bounds = np.concatenate(([0], np.cumsum(np.concatenate([n for _, n in held]))))
-            data = {"words": words, "tokens": of.astype(np.uint32), "bounds": bounds.astype(np.uint64)}
-            return whole({"batch": pa.array([number])} | {c: pa.array([planes(x)], pa.binary()) for c, x in data.items()}, 1)
+        def flush() -> pa.RecordBatch:
+            words, of = np.unique(np.concatenate([w for w, *_ in held]), return_inverse=True)
+            bounds = np.concatenate(([0], np.cumsum(np.concatenate([n for _, n, _ in held]))))
+            data = {"words": planes(words), "tokens": planes(of.astype(np.uint32)), "bounds": planes(bounds.astype(np.uint64))}
+            data["training"] = np.concatenate([x for *_, x in held]).astype(np.uint8).tobytes()
+            return whole({"batch": pa.array([number])} | {c: pa.array([x], pa.binary()) for c, x in data.items()}, 1)
 
         for chunk in spans.chunked(batches, text):
             if kinds is None:
-                kinds = pa.schema(
-                    [(key, chunk.schema.field(key).type), ("train", pa.bool_()), ("batch", pa.int64()), ("place", pa.int32())]
-                    + [("n_tokens", pa.int64()), ("words", pa.binary()), ("tokens", pa.binary()), ("bounds", pa.binary())]
-                )
+                first = [(key, chunk.schema.field(key).type), ("train", pa.bool_()), ("batch", pa.int64()), ("place", pa.int32()), ("n_tokens", pa.int64())]
+                kinds = pa.schema([*first, *[(c, pa.binary()) for c in BODY[1:]]])
             words, bounds = tokens(chunk.column(text))
             doc = {
                 key: chunk.column(key),
@@ -302,68 +219,177 @@ def scored(texts: DataFrame, train: Column, key: str = "doc_id", text: str = "te
                 "n_tokens": pa.array(np.diff(bounds)),
             }
             yield whole(doc, len(chunk))
-            held.append((words, np.diff(bounds)))
+            held.append((words, np.diff(bounds), chunk.column("train").to_numpy(zero_copy_only=False).astype(bool)))
             n_texts += len(chunk)
             n_tokens += len(words)
             if n_tokens >= FLUSH:
-                yield body()
+                yield flush()
                 held, n_texts, n_tokens = [], 0, 0
                 number += 1
         if held:
-            yield body()
+            yield flush()
 
-    both = stored(rows.mapInArrow(run, schema), "scores")
-    bodies = both.where("words is not null").select("batch", "words", "tokens", "bounds")
+    return stored(rows.mapInArrow(run, schema), "hashed-texts")
 
-    def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row per batch of texts and range: the different words and bigrams there."""
+
+def summed(bodies: DataFrame, shards: int) -> DataFrame:
+    """``shard``, ``kind``, ``hash`` and ``n`` of all different n-grams of training, in a partition per shard or more."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                words = unplaned(row["words"], "<u8")
-                sets = np.unique(pairs(words[unplaned(row["tokens"], "<u4")])[1])
-                edges = np.arange(parts + 1)
-                cuts = [np.searchsorted(part_of(x, parts), edges) for x in (words, sets)]
-                used = np.flatnonzero((np.diff(cuts[0]) > 0) | (np.diff(cuts[1]) > 0))
-                split = [[steps(x[c[p] : c[p + 1]]) for p in used] for x, c in zip((words, sets), cuts)]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "batch": pa.array(np.full(len(used), row["batch"])),
-                        "part": pa.array(used.astype(np.int32)),
-                        "ones": pa.array(split[0], pa.binary()),
-                        "twos": pa.array(split[1], pa.binary()),
-                    }
+                words, of, bounds, training = body(row)
+                learnt = np.repeat(training, np.diff(bounds))
+                both = pairs(words[of])[1][learnt]
+                for kind, values in ((ONE, words[of[learnt]]), (PAIR, both)):
+                    values, n = np.unique(values, return_counts=True)
+                    for at in range(0, len(values), PROBE):
+                        h = values[at : at + PROBE]
+                        columns = [shard_of(h, shards).astype(np.int32), np.full(len(h), kind, np.int32), h.view(np.int64), n[at : at + PROBE]]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shard", "kind", "hash", "n"])
+
+    parts = max(shards, int(bodies.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = bodies.mapInArrow(run, "shard int, kind int, hash long, n long").repartition(parts, "shard")
+    return rows.groupBy("shard", "kind", "hash").agg(F.sum("n").alias("n"))
+
+
+def model(counts: DataFrame) -> DataFrame:
+    """A row per shard with its filter (``bits``) and its words per level (``entries``, ``mass``), and a row per word (``hash``, ``n``).
+
+    Each task holds the n-grams of a few shards, which are bounded by ``SHARD_TOKENS``.
+    """
+    schema = "shard int, bits binary, entries array<long>, mass array<long>, hash long, n long"
+    kinds = pa.schema(
+        [("shard", pa.int32()), ("bits", pa.binary()), ("entries", pa.list_(pa.int64())), ("mass", pa.list_(pa.int64())), ("hash", pa.int64()), ("n", pa.int64())]
+    )
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [tuple(b.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "kind", "hash", "n")) for b in batches]
+        if not held:
+            return
+        shard, kind, hashes, n = (np.concatenate(x) for x in zip(*held))
+        del held
+        for s in np.unique(shard):
+            own = shard == s
+            words = own & (kind == ONE)
+            level = levels(n[words].astype(np.uint64))
+            row = {
+                "shard": [s],
+                "bits": [shard_filter(hashes[own].view(np.uint64), n[own].astype(np.uint64))],
+                "entries": [np.bincount(level, minlength=LEVELS + 1)],
+                "mass": [np.bincount(level, weights=n[words], minlength=LEVELS + 1).astype(np.int64)],
+                "hash": [None],
+                "n": [None],
+            }
+            yield pa.RecordBatch.from_pydict(row, kinds)
+            found = np.flatnonzero(words)
+            for at in range(0, len(found), PROBE):
+                part = found[at : at + PROBE]
+                none = {c: pa.nulls(len(part), kinds.field(c).type) for c in ("shard", "bits", "entries", "mass")}
+                yield pa.RecordBatch.from_pydict(none | {"hash": hashes[part], "n": n[part]}, kinds)
+
+    return stored(counts.mapInArrow(run, schema), "shard-filters")
+
+
+def totals(known: DataFrame) -> Totals:
+    """Sums over all shards; the driver gets a row per level."""
+    each = F.posexplode(F.arrays_zip("entries", "mass")).alias("level", "of")
+    sums = known.where("bits is not null").select(each).groupBy("level").agg(F.sum("of.entries").alias("n"), F.sum("of.mass").alias("mass"))
+    entries, mass = np.zeros(LEVELS + 1, np.int64), np.zeros(LEVELS + 1, np.int64)
+    for row in sums.collect():
+        entries[row.level], mass[row.level] = row.n, row.mass
+    total = int(mass.sum())
+    # The words seen once stand for the words never seen.
+    unknown = min(0.5, max(int(mass[1]), 1) / (total + 1)) if total else 1.0
+    return Totals(total, int(entries.sum()), unknown, float((middle(np.arange(LEVELS + 1)) * entries)[1:].sum()))
+
+
+def rounds(known: DataFrame, shards: int) -> Iterator[tuple[int, Filters]]:
+    """The filters in rounds of about ``ROUND_BYTES``; shards are about equal, so a round is a run of them."""
+    held = known.where("bits is not null").select("shard", "bits")
+    size = held.agg(F.sum(F.octet_length("bits").cast("long"))).first()[0] or 0
+    count = max(1, min(shards, -(-size // ROUND_BYTES)))
+    for number in range(count):
+        begin, end = number * shards // count, (number + 1) * shards // count
+        rows = held.where(F.col("shard").between(begin, end - 1)).toArrow()
+        yield number, Filters(shards, begin, end, dict(zip(rows["shard"].to_pylist(), rows["bits"].to_pylist())))
+
+
+def probed(bodies: DataFrame, shared) -> DataFrame:
+    """``batch``, ``begin``, ``end`` and the levels of the words (``ones``) and token pairs (``twos``) of the round's shards, in order."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filters = shared.value
+        for batch in batches:
+            for row in batch.to_pylist():
+                words, of, _, _ = body(row)
+                both = pairs(words[of])[1]
+                found = [filters.level(h[filters.mine(h)]).tobytes() for h in (words, both)]
+                data = [[row["batch"]], [filters.begin], [filters.end], [found[0]], [found[1]]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x, k) for x, k in zip(data, (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))],
+                    ["batch", "begin", "end", "ones", "twos"],
                 )
 
-    def answer(asks: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        """Levels of what each batch asks one range for, and exact counts of its words."""
-        empty = np.zeros(0, np.uint64)
-        held = {k: (unplaned(h, "<u8"), unplaned(n, "<u8")) for k, h, n in zip(own["kind"], own["hashes"], own["counts"])}
-        model = Filter(sum(int(levels(n).sum()) for _, n in held.values()))
-        for hashes, n in held.values():
-            model.put(hashes, n)
-        hashes, n = held.get(ONE, (empty, empty))
-        out = []
-        for row in asks.itertuples():
-            ones, twos = climbed(row.ones), climbed(row.twos)
-            level = model.level(np.concatenate((ones, twos)))
-            at = np.minimum(np.searchsorted(hashes, ones), max(0, len(hashes) - 1))
-            count = np.where(hashes[at] == ones, n[at], np.uint64(0)) if len(hashes) else np.zeros(len(ones), np.uint64)
-            out.append((row.batch, row.part, planes(count), level[: len(ones)].tobytes(), level[len(ones) :].tobytes()))
-        return pd.DataFrame(out, columns=["batch", "part", "counts", "ones", "twos"])
-
-    def score(answers: pd.DataFrame, body: pd.DataFrame) -> pd.DataFrame:
-        """Both scores of the texts of one batch. Ranges in order give the answers in the order of the hashes."""
-        answers = answers.sort_values("part")
-        body = body.iloc[0]
-        words, of, bounds = unplaned(body["words"], "<u8"), unplaned(body["tokens"], "<u4"), unplaned(body["bounds"], "<u8")
-        count = np.concatenate([unplaned(x, "<u8") for x in answers["counts"]])
-        ones, twos = (np.frombuffer(b"".join(answers[c]), np.uint8) for c in ("ones", "twos"))
-        pair = np.unique(pairs(words[of])[1], return_inverse=True)[1]
-        chances = known.log_chances(of, ones, pair, twos)
-        begin = bounds[:-1].astype(np.int64)
+    return stored(bodies.mapInArrow(run, "batch long, begin int, end int, ones binary, twos binary"), "levels")
+
+
+def asked(bodies: DataFrame) -> DataFrame:
+    """``batch``, ``word`` (place in the batch's different words) and ``hash``."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                words = body(row)[0]
+                for at in range(0, len(words), PROBE):
+                    h = words[at : at + PROBE]
+                    columns = [np.full(len(h), row["batch"]), np.arange(at, at + len(h), dtype=np.int32), h.view(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["batch", "word", "hash"])
+
+    return bodies.mapInArrow(run, "batch long, word int, hash long")
+
+
+def scored(texts: DataFrame, train: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Both scores of every text, learnt from those where ``train`` holds.
+
+    Returns ``key``, ``train``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``.
+    """
+    rows = texts.select(F.col(key), F.col(text), F.coalesce(train, F.lit(False)).alias("train"))
+    both = hashed(rows, key, text)
+    docs = both.where("words is null").select(key, "train", "batch", "place", "n_tokens")
+    bodies = both.where("words is not null").select(*BODY)
+    learnt = docs.where("train").agg(F.sum("n_tokens")).first()[0] or 0
+    shards = max(1, -(-learnt // SHARD_TOKENS))
+    known = model(summed(bodies, shards))
+    sums = totals(known)
+    found = None
+    for _, filters in rounds(known, shards):
+        shared = texts.sparkSession.sparkContext.broadcast(filters)
+        part = probed(bodies, shared)
+        shared.unpersist()
+        found = part if found is None else found.union(part)
+    counts = known.where("hash is not null").select("hash", "n")
+    exact = asked(bodies).join(counts, "hash").select("batch", "word", "n")
+    none = [F.lit(None).cast(k).alias(c) for c, k in (("begin", "int"), ("end", "int"), ("ones", "binary"), ("twos", "binary"))]
+    facts = found.select("batch", F.lit(None).cast("int").alias("word"), F.lit(None).cast("long").alias("n"), "begin", "end", "ones", "twos")
+    facts = facts.union(exact.select("batch", "word", "n", *none))
+
+    def score(facts: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        """Both scores of the texts of one batch."""
+        words, of, bounds, _ = body(own.iloc[0])
+        pair = pairs(words[of])[1]
+        count, ones, twos = np.zeros(len(words), np.int64), np.zeros(len(words), np.uint8), np.zeros(len(of), np.uint8)
+        given = facts["word"].notna()
+        count[facts["word"][given].to_numpy(np.int64)] = facts["n"][given].to_numpy(np.int64)
+        for hashes, out, column in ((words, ones, "ones"), (pair, twos, "twos")):
+            shard = shard_of(hashes, shards)
+            for row in facts[~given].itertuples():
+                out[(shard >= row.begin) & (shard < row.end)] = np.frombuffer(getattr(row, column), np.uint8)
+        chances = sums.log_chances(of, ones, twos)
+        begin = bounds[:-1]
         return pd.DataFrame(
             {
-                "batch": body["batch"],
+                "batch": own["batch"].iloc[0],
                 "place": np.arange(len(begin), dtype=np.int32),
                 "n_known": np.add.reduceat((count > 0)[of].astype(np.int64), begin),
                 "logs": np.add.reduceat(np.log10(count.astype(np.float64) + 0.5)[of], begin),
@@ -371,22 +397,16 @@ def scored(texts: DataFrame, train: Column, key: str = "doc_id", text: str = "te
             }
         )
 
-    asks = bodies.mapInArrow(ask, "batch long, part int, ones binary, twos binary")
-    own = counts.select("part", "kind", "hashes", "counts")
-    answers = asks.groupBy("part").cogroup(own.groupBy("part")).applyInPandas(
-        answer, "batch long, part int, counts binary, ones binary, twos binary"
-    )
-    sums = answers.groupBy("batch").cogroup(bodies.groupBy("batch")).applyInPandas(
+    done = facts.groupBy("batch").cogroup(bodies.groupBy("batch")).applyInPandas(
         score, "batch long, place int, n_known long, logs double, score double"
     )
-    docs = both.where("words is null").select(key, "train", "batch", "place", "n_tokens")
-    base = float(np.log10(known.tokens + 0.5 * (known.different + 1)))
-    return docs.join(sums, ["batch", "place"]).select(
+    base = float(np.log10(sums.tokens + 0.5 * (sums.different + 1)))
+    return docs.join(done, ["batch", "place"]).select(
         key,
         "train",
         "n_tokens",
         "n_known",
-        F.lit(known.tokens).cast("long").alias("train_tokens"),
+        F.lit(sums.tokens).cast("long").alias("train_tokens"),
         (F.col("logs") - F.col("n_tokens") * F.lit(base)).alias("base_score"),
         "score",
     )

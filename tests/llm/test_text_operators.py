@@ -12,6 +12,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tableflow.llm import bloom_lm, language, pages, quality, queries, simhash, sketch, spans
 from tests.conftest import SF
@@ -204,8 +205,6 @@ def test_scores(spark, docs):
 
 
 def test_scores_of_odd_rows(spark, odd):
-    from pyspark.sql import functions as F
-
     got = bloom_lm.scored(odd, F.lit(True)).collect()
     assert sorted((r.doc_id or 0, r.n_tokens) for r in got) == sorted((i or 0, len(WORD.findall(t or "")) + 1) for i, t in ODD)
     assert all(r.n_known == r.n_tokens for r in got)
@@ -213,16 +212,33 @@ def test_scores_of_odd_rows(spark, odd):
     assert bloom_lm.scored(odd.limit(0), F.lit(True)).count() == 0
 
 
-def test_filter_gives_back_levels(spark, docs):
-    counts = bloom_lm.counted(docs, "text", 4)
-    model, total, different = bloom_lm.build(counts)
-    for row in counts.collect():
-        hashes, n = bloom_lm.unplaned(row.hashes, "<u8"), bloom_lm.unplaned(row.counts, "<u8")
-        level = bloom_lm.levels(n)
-        found = model.level(hashes)
-        assert (found >= level).all() and (found > level).mean() < 0.1
-    small, *_ = bloom_lm.build(counts, 1 << 14)
-    assert len(small.bits) <= (1 << 14) // 8
+def test_filters_give_back_levels():
+    pick = np.random.default_rng(5)
+    hashes = pick.integers(0, 1 << 64, 40_000, np.uint64)
+    counts = (pick.pareto(1.0, len(hashes)) + 1).astype(np.uint64)
+    shard = bloom_lm.shard_of(hashes, 7)
+    found = {s: bloom_lm.shard_filter(hashes[shard == s], counts[shard == s]) for s in range(2, 6) if s != 4}
+    filters = bloom_lm.Filters(7, 2, 6, found)
+    mine = filters.mine(hashes)
+    assert (mine == (shard >= 2) & (shard < 6)).all()
+    level = filters.level(hashes[mine])
+    want = np.where(shard[mine] == 4, 0, bloom_lm.levels(counts[mine]))
+    assert (level >= want).all() and (level > want).mean() < 0.1 and not level[shard[mine] == 4].any()
+    unseen = pick.integers(0, 1 << 64, 20_000, np.uint64)
+    assert (filters.level(unseen[filters.mine(unseen)]) > 0).mean() < 0.1
+
+
+def test_rows_of_the_counts_grow_with_the_text(spark, monkeypatch):
+    monkeypatch.setattr(bloom_lm, "FLUSH", 1 << 10)
+    monkeypatch.setattr(bloom_lm, "SHARD_TOKENS", 1 << 10)
+
+    def rows(n):
+        texts = spark.createDataFrame([(i, " ".join(f"w{(i * 37 + k) % 997}" for k in range(200))) for i in range(n)], "doc_id long, text string")
+        bodies = bloom_lm.hashed(texts.repartition(n // 10).withColumn("train", F.lit(True)), "doc_id", "text").where("words is not null").select(*bloom_lm.BODY)
+        return bodies.count(), bloom_lm.asked(bodies).count()
+
+    (small, few), (large, many) = rows(100), rows(400)
+    assert 3 <= large / small <= 5 and 3 <= many / few <= 5
 
 
 def test_blocks_of_broken_pages():
@@ -276,32 +292,34 @@ def test_word_hashes_do_not_depend_on_place():
     assert hashes[0] == hashes[2] and hashes[1] == hashes[3] and hashes[0] != hashes[1]
 
 
-def test_model_of_many_ranges_keeps_every_level(spark, docs, monkeypatch):
-    from pyspark.sql import functions as F
-
-    monkeypatch.setattr(bloom_lm, "PART_BYTES", 1 << 12)
-    size = sum(len((r.text or "").encode()) for r in docs.collect())
-    assert bloom_lm.ranges(docs, "text") == -(-size // (1 << 12)) > 4
-    assert bloom_lm.ranges(docs.union(docs), "text") == -(-2 * size // (1 << 12))
+def test_model_of_many_shards_and_rounds_keeps_every_level(spark, docs, monkeypatch):
+    monkeypatch.setattr(bloom_lm, "SHARD_TOKENS", 1 << 12)
+    monkeypatch.setattr(bloom_lm, "ROUND_BYTES", 1 << 13)
+    monkeypatch.setattr(bloom_lm, "FLUSH", 1 << 13)
     texts = {r.doc_id: WORD.findall(lower(r.text)) + [None] for r in docs.collect()}
     ones = Counter(w for t in texts.values() for w in t)
     twos = Counter(p for t in texts.values() for p in zip([None] + t, t))
     total, once = sum(ones.values()), sum(n == 1 for n in ones.values())
-    middle = {n: (3 * 2 ** (n.bit_length() - 1) - 1) / 2 for n in {*ones.values(), *twos.values()}}
+    middle = {n: (3 * 2 ** (n.bit_length() - 1) - 1) / 2 for n in ones.values()}
     unknown, mass = min(0.5, max(once, 1) / (total + 1)), sum(middle[n] for n in ones.values())
 
     def chance(before, word):
-        context, joint = middle[ones[before]], middle[twos[before, word]] if twos[before, word] > 1 else 0
-        return math.log10(0.3 * min(joint / max(context, joint), 1) + 0.7 * (1 - unknown) * middle[ones[word]] / mass)
+        # The least count of the pair's level over the most of its context's.
+        follow = 2 ** (twos[before, word].bit_length() - 1) / (2 ** ones[before].bit_length() - 1)
+        return math.log10(0.3 * follow + 0.7 * (1 - unknown) * middle[ones[word]] / mass)
 
     off = 0
     for r in bloom_lm.scored(docs, F.lit(True)).collect():
         t = texts[r.doc_id]
         want = sum(chance(b, w) for b, w in zip([None] + t, t))
-        assert r.n_known == r.n_tokens == len(t)
+        assert r.n_known == r.n_tokens == len(t) and r.train_tokens == total
         off += abs(r.score - want) / len(t)
     # Only chance hits of the filter part the two.
     assert off / len(texts) < 0.05
+    after = Counter()
+    for (before, word), n in twos.items():
+        after[before] += 2 ** (n.bit_length() - 1) / (2 ** ones[before].bit_length() - 1)
+    assert max(after.values()) <= 1
 
 
 def test_every_language_learns_from_different_texts(spark):
