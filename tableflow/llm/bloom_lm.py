@@ -49,8 +49,9 @@ ROUND_BYTES = 96 << 20
 FLUSH = 1 << 20
 PROBE = 1 << 18
 
-END = np.uint64(0x5851F42D4C957F2D)
-ONE, PAIR = 1, 2
+END = np.uint64(0x5851F42D4C957F2C)
+# The lowest bit of a hash tells bigrams from words.
+PAIR = np.uint64(1)
 
 
 def planes(values: np.ndarray) -> bytes:
@@ -72,14 +73,14 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     out = np.full(bounds[-1], END)
     inside = np.ones(bounds[-1], bool)
     inside[bounds[1:] - 1] = False
-    out[inside] = spans.span_hashes(buf, starts, ends)
+    out[inside] = spans.span_hashes(buf, starts, ends) & ~PAIR
     return out, bounds
 
 
 def pairs(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The token before each token and the hash of both. Before a text's first token stands the end of another."""
     before = np.concatenate(([END], words[:-1])) if len(words) else words
-    return before, spans.mix(before * spans.BASE + words)
+    return before, spans.mix(before * spans.BASE + words) | PAIR
 
 
 def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
@@ -233,7 +234,7 @@ def hashed(rows: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def summed(bodies: DataFrame, shards: int) -> DataFrame:
-    """``shard``, ``kind``, ``hash`` and ``n`` of all different n-grams of training, in a partition per shard or more."""
+    """``shard``, ``hash`` and ``n`` of all different n-grams of training; a shard lies in one partition."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,16 +242,16 @@ def summed(bodies: DataFrame, shards: int) -> DataFrame:
                 words, of, bounds, training = body(row)
                 learnt = np.repeat(training, np.diff(bounds))
                 both = pairs(words[of])[1][learnt]
-                for kind, values in ((ONE, words[of[learnt]]), (PAIR, both)):
+                for values in (words[of[learnt]], both):
                     values, n = np.unique(values, return_counts=True)
                     for at in range(0, len(values), PROBE):
                         h = values[at : at + PROBE]
-                        columns = [shard_of(h, shards).astype(np.int32), np.full(len(h), kind, np.int32), h.view(np.int64), n[at : at + PROBE]]
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shard", "kind", "hash", "n"])
+                        columns = [shard_of(h, shards).astype(np.int32), h.view(np.int64), n[at : at + PROBE]]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shard", "hash", "n"])
 
     parts = max(shards, int(bodies.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = bodies.mapInArrow(run, "shard int, kind int, hash long, n long").repartition(parts, "shard")
-    return rows.groupBy("shard", "kind", "hash").agg(F.sum("n").alias("n"))
+    rows = bodies.mapInArrow(run, "shard int, hash long, n long").repartition(parts, "shard")
+    return rows.groupBy("shard", "hash").agg(F.sum("n").alias("n"))
 
 
 def model(counts: DataFrame) -> DataFrame:
@@ -264,14 +265,14 @@ def model(counts: DataFrame) -> DataFrame:
     )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [tuple(b.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "kind", "hash", "n")) for b in batches]
+        held = [tuple(b.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "hash", "n")) for b in batches]
         if not held:
             return
-        shard, kind, hashes, n = (np.concatenate(x) for x in zip(*held))
+        shard, hashes, n = (np.concatenate(x) for x in zip(*held))
         del held
         for s in np.unique(shard):
             own = shard == s
-            words = own & (kind == ONE)
+            words = own & (hashes & 1 == 0)
             level = levels(n[words].astype(np.uint64))
             row = {
                 "shard": [s],
@@ -371,16 +372,20 @@ def scored(texts: DataFrame, train: Column, key: str = "doc_id", text: str = "te
     counts = known.where("hash is not null").select("hash", "n")
     exact = asked(bodies).join(counts, "hash").select("batch", "word", "n")
     none = [F.lit(None).cast(k).alias(c) for c, k in (("begin", "int"), ("end", "int"), ("ones", "binary"), ("twos", "binary"))]
-    facts = found.select("batch", F.lit(None).cast("int").alias("word"), F.lit(None).cast("long").alias("n"), "begin", "end", "ones", "twos")
-    facts = facts.union(exact.select("batch", "word", "n", *none))
+    # Each task of the join puts its counts of a batch together before they are shuffled.
+    lists = exact.groupBy("batch").agg(F.collect_list(F.struct("word", "n")).alias("counts"))
+    lists = lists.select("batch", F.col("counts.word").alias("places"), F.col("counts.n").alias("counts"), *none)
+    no_list = [F.lit(None).cast(f"array<{k}>").alias(c) for c, k in (("places", "int"), ("counts", "long"))]
+    facts = found.select("batch", *no_list, "begin", "end", "ones", "twos").union(lists)
 
     def score(facts: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         """Both scores of the texts of one batch."""
         words, of, bounds, _ = body(own.iloc[0])
         pair = pairs(words[of])[1]
         count, ones, twos = np.zeros(len(words), np.int64), np.zeros(len(words), np.uint8), np.zeros(len(of), np.uint8)
-        given = facts["word"].notna()
-        count[facts["word"][given].to_numpy(np.int64)] = facts["n"][given].to_numpy(np.int64)
+        given = facts["places"].notna()
+        for row in facts[given].itertuples():
+            count[np.asarray(row.places, np.int64)] = np.asarray(row.counts, np.int64)
         for hashes, out, column in ((words, ones, "ones"), (pair, twos, "twos")):
             shard = shard_of(hashes, shards)
             for row in facts[~given].itertuples():
