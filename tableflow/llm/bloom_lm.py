@@ -9,7 +9,7 @@ The filters are broadcast in rounds of at most about ``ROUND_BYTES``, one for ha
 the number of rounds; each n-gram of a text is probed in one round, but every round reads the hashed texts again.
 
 A batch of about ``FLUSH`` tokens asks for each of its different words once, so a word that is everywhere weighs no more than any
-other. Beside the model's score stands an exact unigram score: the exact counts of words are joined by hash.
+other. Beside the model's score stands an exact unigram score; the exact counts of a round's words go with its filters.
 
 The bigram part takes the least count of a bigram's level over the most of its context's, so it sums to at most one, but for
 chance hits; so does the whole, with the unigram part.
@@ -44,7 +44,9 @@ PAIR_WEIGHT = 0.3
 
 # Tokens of training for each shard, about, and bytes of filters that are broadcast at a time.
 SHARD_TOKENS = 1 << 20
-ROUND_BYTES = 96 << 20
+ROUND_BYTES = 64 << 20
+# Tokens that a task counts before it passes the counts on.
+COUNTED = 3 << 20
 # Tokens of a batch of texts, and n-grams probed at a time.
 FLUSH = 1 << 20
 PROBE = 1 << 18
@@ -123,9 +125,13 @@ def shard_filter(hashes: np.ndarray, counts: np.ndarray) -> bytes:
 
 
 class Filters:
-    """The filters of the shards from ``begin`` on, one after another; a shard without n-grams has none."""
+    """The filters of the shards from ``begin`` on, one after another, and their words with exact counts.
 
-    def __init__(self, shards: int, begin: int, end: int, found: dict[int, bytes]):
+    A shard without n-grams has no filter.
+    """
+
+    def __init__(self, shards: int, begin: int, end: int, found: dict[int, bytes], words: np.ndarray, counts: np.ndarray):
+        self.words, self.counts = words, counts
         self.shards, self.begin, self.end = shards, begin, end
         parts = [found.get(s, b"") for s in range(begin, end)]
         self.blocks = np.array([len(x) * 8 // BLOCK for x in parts], np.int64)
@@ -153,6 +159,14 @@ class Filters:
         return out
 
 
+    def exact(self, hashes: np.ndarray) -> np.ndarray:
+        """Exact counts of words of these shards; 0 for others."""
+        if not len(self.words):
+            return np.zeros(len(hashes), np.uint64)
+        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        return np.where(self.words[at] == hashes, self.counts[at], np.uint64(0))
+
+
 @dataclass
 class Totals:
     """Tokens and different tokens of training, and what turns levels into probabilities."""
@@ -237,17 +251,29 @@ def summed(bodies: DataFrame, shards: int) -> DataFrame:
     """``shard``, ``hash`` and ``n`` of all different n-grams of training; a shard lies in one partition."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ones, twos, held = [], [], 0
+
+        def dealt() -> Iterator[pa.RecordBatch]:
+            for gathered in (ones, twos):
+                values, n = np.unique(np.concatenate(gathered), return_counts=True)
+                gathered.clear()
+                for at in range(0, len(values), PROBE):
+                    h = values[at : at + PROBE]
+                    columns = [shard_of(h, shards).astype(np.int32), h.view(np.int64), n[at : at + PROBE]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shard", "hash", "n"])
+
         for batch in batches:
             for row in batch.to_pylist():
                 words, of, bounds, training = body(row)
                 learnt = np.repeat(training, np.diff(bounds))
-                both = pairs(words[of])[1][learnt]
-                for values in (words[of[learnt]], both):
-                    values, n = np.unique(values, return_counts=True)
-                    for at in range(0, len(values), PROBE):
-                        h = values[at : at + PROBE]
-                        columns = [shard_of(h, shards).astype(np.int32), h.view(np.int64), n[at : at + PROBE]]
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shard", "hash", "n"])
+                ones.append(words[of[learnt]])
+                twos.append(pairs(words[of])[1][learnt])
+                held += len(ones[-1])
+                if held >= COUNTED:
+                    yield from dealt()
+                    held = 0
+        if held:
+            yield from dealt()
 
     parts = max(shards, int(bodies.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = bodies.mapInArrow(run, "shard int, hash long, n long").repartition(parts, "shard")
@@ -255,14 +281,13 @@ def summed(bodies: DataFrame, shards: int) -> DataFrame:
 
 
 def model(counts: DataFrame) -> DataFrame:
-    """A row per shard with its filter (``bits``) and its words per level (``entries``, ``mass``), and a row per word (``hash``, ``n``).
+    """A row per shard: its filter, its words in ascending order with their counts, and its words per level (``entries``, ``mass``).
 
     Each task holds the n-grams of a few shards, which are bounded by ``SHARD_TOKENS``.
     """
-    schema = "shard int, bits binary, entries array<long>, mass array<long>, hash long, n long"
-    kinds = pa.schema(
-        [("shard", pa.int32()), ("bits", pa.binary()), ("entries", pa.list_(pa.int64())), ("mass", pa.list_(pa.int64())), ("hash", pa.int64()), ("n", pa.int64())]
-    )
+    schema = "shard int, bits binary, words binary, counts binary, entries array<long>, mass array<long>"
+    longs = pa.list_(pa.int64())
+    kinds = pa.schema([("shard", pa.int32()), *[(c, pa.binary()) for c in ("bits", "words", "counts")], ("entries", longs), ("mass", longs)])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [tuple(b.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "hash", "n")) for b in batches]
@@ -270,24 +295,21 @@ def model(counts: DataFrame) -> DataFrame:
             return
         shard, hashes, n = (np.concatenate(x) for x in zip(*held))
         del held
+        hashes, n = hashes.view(np.uint64), n.astype(np.uint64)
         for s in np.unique(shard):
-            own = shard == s
-            words = own & (hashes & 1 == 0)
-            level = levels(n[words].astype(np.uint64))
+            own = np.flatnonzero(shard == s)
+            words = own[hashes[own] & PAIR == 0]
+            words = words[np.argsort(hashes[words])]
+            level = levels(n[words])
             row = {
                 "shard": [s],
-                "bits": [shard_filter(hashes[own].view(np.uint64), n[own].astype(np.uint64))],
+                "bits": [shard_filter(hashes[own], n[own])],
+                "words": [hashes[words].tobytes()],
+                "counts": [n[words].tobytes()],
                 "entries": [np.bincount(level, minlength=LEVELS + 1)],
                 "mass": [np.bincount(level, weights=n[words], minlength=LEVELS + 1).astype(np.int64)],
-                "hash": [None],
-                "n": [None],
             }
             yield pa.RecordBatch.from_pydict(row, kinds)
-            found = np.flatnonzero(words)
-            for at in range(0, len(found), PROBE):
-                part = found[at : at + PROBE]
-                none = {c: pa.nulls(len(part), kinds.field(c).type) for c in ("shard", "bits", "entries", "mass")}
-                yield pa.RecordBatch.from_pydict(none | {"hash": hashes[part], "n": n[part]}, kinds)
 
     return stored(counts.mapInArrow(run, schema), "shard-filters")
 
@@ -295,7 +317,7 @@ def model(counts: DataFrame) -> DataFrame:
 def totals(known: DataFrame) -> Totals:
     """Sums over all shards; the driver gets a row per level."""
     each = F.posexplode(F.arrays_zip("entries", "mass")).alias("level", "of")
-    sums = known.where("bits is not null").select(each).groupBy("level").agg(F.sum("of.entries").alias("n"), F.sum("of.mass").alias("mass"))
+    sums = known.select(each).groupBy("level").agg(F.sum("of.entries").alias("n"), F.sum("of.mass").alias("mass"))
     entries, mass = np.zeros(LEVELS + 1, np.int64), np.zeros(LEVELS + 1, np.int64)
     for row in sums.collect():
         entries[row.level], mass[row.level] = row.n, row.mass
@@ -305,49 +327,36 @@ def totals(known: DataFrame) -> Totals:
     return Totals(total, int(entries.sum()), unknown, float((middle(np.arange(LEVELS + 1)) * entries)[1:].sum()))
 
 
-def rounds(known: DataFrame, shards: int) -> Iterator[tuple[int, Filters]]:
+def rounds(known: DataFrame, shards: int) -> Iterator[Filters]:
     """The filters in rounds of about ``ROUND_BYTES``; shards are about equal, so a round is a run of them."""
-    held = known.where("bits is not null").select("shard", "bits")
-    size = held.agg(F.sum(F.octet_length("bits").cast("long"))).first()[0] or 0
+    held = known.select("shard", "bits", "words", "counts")
+    size = held.agg(F.sum((F.octet_length("bits") + F.octet_length("words") + F.octet_length("counts")).cast("long"))).first()[0] or 0
     count = max(1, min(shards, -(-size // ROUND_BYTES)))
     for number in range(count):
         begin, end = number * shards // count, (number + 1) * shards // count
-        rows = held.where(F.col("shard").between(begin, end - 1)).toArrow()
-        yield number, Filters(shards, begin, end, dict(zip(rows["shard"].to_pylist(), rows["bits"].to_pylist())))
+        rows = held.where(F.col("shard").between(begin, end - 1)).orderBy("shard").toArrow()
+        found = dict(zip(rows["shard"].to_pylist(), rows["bits"].to_pylist()))
+        words, counts = (np.frombuffer(b"".join(rows[c].to_pylist()), "<u8") for c in ("words", "counts"))
+        del rows
+        yield Filters(shards, begin, end, found, words, counts)
 
 
 def probed(bodies: DataFrame, shared) -> DataFrame:
-    """``batch``, ``begin``, ``end`` and the levels of the words (``ones``) and token pairs (``twos``) of the round's shards, in order."""
+    """What the round's shards know of each batch, in order: ``counts`` and levels of its words (``ones``), levels of its token pairs (``twos``)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = shared.value
+        kinds = pa.schema([("batch", pa.int64()), ("begin", pa.int32()), ("end", pa.int32()), *[(c, pa.binary()) for c in ("counts", "ones", "twos")]])
         for batch in batches:
             for row in batch.to_pylist():
                 words, of, _, _ = body(row)
                 both = pairs(words[of])[1]
-                found = [filters.level(h[filters.mine(h)]).tobytes() for h in (words, both)]
-                data = [[row["batch"]], [filters.begin], [filters.end], [found[0]], [found[1]]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, k) for x, k in zip(data, (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))],
-                    ["batch", "begin", "end", "ones", "twos"],
-                )
-
-    return stored(bodies.mapInArrow(run, "batch long, begin int, end int, ones binary, twos binary"), "levels")
-
-
-def asked(bodies: DataFrame) -> DataFrame:
-    """``batch``, ``word`` (place in the batch's different words) and ``hash``."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                words = body(row)[0]
-                for at in range(0, len(words), PROBE):
-                    h = words[at : at + PROBE]
-                    columns = [np.full(len(h), row["batch"]), np.arange(at, at + len(h), dtype=np.int32), h.view(np.int64)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["batch", "word", "hash"])
+                ones, twos = (h[filters.mine(h)] for h in (words, both))
+                found = [planes(filters.exact(ones)), filters.level(ones).tobytes(), filters.level(twos).tobytes()]
+                data = [row["batch"], filters.begin, filters.end, *found]
+                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(data, kinds)], schema=kinds)
 
-    return bodies.mapInArrow(run, "batch long, word int, hash long")
+    return stored(bodies.mapInArrow(run, "batch long, begin int, end int, counts binary, ones binary, twos binary"), "levels")
 
 
 def scored(texts: DataFrame, train: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -364,32 +373,23 @@ def scored(texts: DataFrame, train: Column, key: str = "doc_id", text: str = "te
     known = model(summed(bodies, shards))
     sums = totals(known)
     found = None
-    for _, filters in rounds(known, shards):
+    for filters in rounds(known, shards):
         shared = texts.sparkSession.sparkContext.broadcast(filters)
         part = probed(bodies, shared)
         shared.unpersist()
         found = part if found is None else found.union(part)
-    counts = known.where("hash is not null").select("hash", "n")
-    exact = asked(bodies).join(counts, "hash").select("batch", "word", "n")
-    none = [F.lit(None).cast(k).alias(c) for c, k in (("begin", "int"), ("end", "int"), ("ones", "binary"), ("twos", "binary"))]
-    # Each task of the join puts its counts of a batch together before they are shuffled.
-    lists = exact.groupBy("batch").agg(F.collect_list(F.struct("word", "n")).alias("counts"))
-    lists = lists.select("batch", F.col("counts.word").alias("places"), F.col("counts.n").alias("counts"), *none)
-    no_list = [F.lit(None).cast(f"array<{k}>").alias(c) for c, k in (("places", "int"), ("counts", "long"))]
-    facts = found.select("batch", *no_list, "begin", "end", "ones", "twos").union(lists)
 
     def score(facts: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         """Both scores of the texts of one batch."""
         words, of, bounds, _ = body(own.iloc[0])
         pair = pairs(words[of])[1]
-        count, ones, twos = np.zeros(len(words), np.int64), np.zeros(len(words), np.uint8), np.zeros(len(of), np.uint8)
-        given = facts["places"].notna()
-        for row in facts[given].itertuples():
-            count[np.asarray(row.places, np.int64)] = np.asarray(row.counts, np.int64)
-        for hashes, out, column in ((words, ones, "ones"), (pair, twos, "twos")):
-            shard = shard_of(hashes, shards)
-            for row in facts[~given].itertuples():
-                out[(shard >= row.begin) & (shard < row.end)] = np.frombuffer(getattr(row, column), np.uint8)
+        count, ones, twos = np.zeros(len(words), np.uint64), np.zeros(len(words), np.uint8), np.zeros(len(of), np.uint8)
+        word_shard, pair_shard = shard_of(words, shards), shard_of(pair, shards)
+        for row in facts.itertuples():
+            mine = (word_shard >= row.begin) & (word_shard < row.end)
+            count[mine] = unplaned(row.counts, "<u8")
+            ones[mine] = np.frombuffer(row.ones, np.uint8)
+            twos[(pair_shard >= row.begin) & (pair_shard < row.end)] = np.frombuffer(row.twos, np.uint8)
         chances = sums.log_chances(of, ones, twos)
         begin = bounds[:-1]
         return pd.DataFrame(
@@ -402,7 +402,7 @@ def scored(texts: DataFrame, train: Column, key: str = "doc_id", text: str = "te
             }
         )
 
-    done = facts.groupBy("batch").cogroup(bodies.groupBy("batch")).applyInPandas(
+    done = found.groupBy("batch").cogroup(bodies.groupBy("batch")).applyInPandas(
         score, "batch long, place int, n_known long, logs double, score double"
     )
     base = float(np.log10(sums.tokens + 0.5 * (sums.different + 1)))
