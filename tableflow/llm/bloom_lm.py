@@ -44,7 +44,7 @@ PAIR_WEIGHT = 0.3
 
 # Tokens of training for each shard, about, and bytes of filters that are broadcast at a time.
 SHARD_TOKENS = 1 << 20
-ROUND_BYTES = 64 << 20
+ROUND_BYTES = 48 << 20
 # Tokens that a task counts before it passes the counts on.
 COUNTED = 3 << 20
 # Tokens of a batch of texts, and n-grams probed at a time.
@@ -334,11 +334,14 @@ def rounds(known: DataFrame, shards: int) -> Iterator[Filters]:
     count = max(1, min(shards, -(-size // ROUND_BYTES)))
     for number in range(count):
         begin, end = number * shards // count, (number + 1) * shards // count
-        rows = held.where(F.col("shard").between(begin, end - 1)).orderBy("shard").toArrow()
-        found = dict(zip(rows["shard"].to_pylist(), rows["bits"].to_pylist()))
-        words, counts = (np.frombuffer(b"".join(rows[c].to_pylist()), "<u8") for c in ("words", "counts"))
-        del rows
-        yield Filters(shards, begin, end, found, words, counts)
+        yield gathered(held.where(F.col("shard").between(begin, end - 1)), shards, begin, end)
+
+
+def gathered(held: DataFrame, shards: int, begin: int, end: int) -> Filters:
+    """One round on the driver, shard by shard."""
+    rows = {row["shard"]: (bytes(row["bits"]), bytes(row["words"]), bytes(row["counts"])) for row in held.toLocalIterator()}
+    words, counts = (np.frombuffer(b"".join(rows[s][i] for s in sorted(rows)), "<u8") for i in (1, 2))
+    return Filters(shards, begin, end, {s: bits for s, (bits, *_) in rows.items()}, words, counts)
 
 
 def probed(bodies: DataFrame, shared) -> DataFrame:
@@ -376,7 +379,9 @@ def scored(texts: DataFrame, train: Column, key: str = "doc_id", text: str = "te
     for filters in rounds(known, shards):
         shared = texts.sparkSession.sparkContext.broadcast(filters)
         part = probed(bodies, shared)
-        shared.unpersist()
+        shared.destroy()
+        # The next round is gathered when this one has left the driver.
+        del shared, filters
         found = part if found is None else found.union(part)
 
     def score(facts: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
