@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 
 from tableflow.plans.inputs import LOG_SCHEMA, log, table
 from tableflow.plans.registry import query
+from tableflow.session import work_dir
 from tableflow.sources.changes import key_splits
 from tableflow.sources.decode import decode, encode_csv, infer_schema
+from tableflow.sources.group_offsets import GroupOffsets
 from tableflow.sources.logs import end_positions, scan_log, topic_list
-from tableflow.sources.tables import key_ranges
+from tableflow.sources.tables import key_ranges, stream_slices
+from tableflow.streaming.runner import batch_folders
 
 LOG = (
     "log as (select event_type topic, cast(user_id % 3 as int) part, event_id off, ts, event_id, user_id, event_type,"
@@ -49,9 +52,19 @@ def latest(spark, sf):
     " group by 1, 2) select topic, part, off from log left join c using (topic, part) where off >= coalesce(n, 0)",
 )
 def group(spark, sf):
+    """A job of the group reads and commits; another one goes on where it ended."""
     messages = _log(spark, sf)
-    committed = end_positions(messages.where("timestamp < timestamp_ntz'2024-01-10' and topic <> 'view'"))
-    return _positions(scan_log(messages, "group-offsets", committed=committed))
+    base = work_dir(spark, "log-group")
+    ledger = GroupOffsets(spark, f"{base}/offsets", "readers")
+    stream = stream_slices(spark, f"{base}/in", messages.schema)
+    early = messages.where("timestamp < timestamp_ntz'2024-01-10' and topic <> 'view'")
+    early.write.parquet(f"{base}/in/part=0")
+    ledger.run(stream, "first", f"{base}/checkpoint-first", batch_folders(f"{base}/first"))
+    second = stream_slices(spark, f"{base}/all", messages.schema)
+    messages.write.parquet(f"{base}/all/part=0")
+    rest = scan_log(second, "group-offsets", committed=ledger.committed())
+    ledger.run(rest, "second", f"{base}/checkpoint-second", batch_folders(f"{base}/second"))
+    return _positions(spark.read.schema(messages.schema).parquet(f"{base}/second"))
 
 
 @query(

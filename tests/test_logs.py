@@ -1,8 +1,9 @@
 import pytest
 from tests.conftest import rows
 
+from tableflow.sources.group_offsets import GroupOffsets
 from tableflow.sources.logs import end_positions, reader_options, scan_log, start_mode, topic_list
-from tableflow.sources.tables import datagen, key_ranges
+from tableflow.sources.tables import datagen, key_ranges, stream_slices
 
 DATA = [("a", 0, i, i * 10) for i in range(6)] + [("a", 1, i, i * 10) for i in range(4)] + [("__x", 0, 0, 5)]
 
@@ -92,3 +93,39 @@ def test_datagen_repeats_for_a_seed(spark):
     assert sorted(r["id"] for r in a.collect()) == list(range(10, 60))
     assert rows(a.drop("id")) != rows(datagen(spark, schema, 50, seed=2).drop("id"))
     assert not [r for r in a.collect() if None in r or len(r["s"]) != 100]
+
+
+def test_a_group_goes_on_where_it_committed(spark, log, folder):
+    ledger = GroupOffsets(spark, f"{folder}/offsets", "g")
+    assert ledger.committed().count() == 0
+    stream, seen = stream_slices(spark, f"{folder}/in", log.schema), []
+
+    def job(name, start=None, fails=False):
+        def take(batch, batch_id):
+            seen.append((name, batch_id, offsets(batch)))
+            if fails:
+                raise RuntimeError("stopped before the commit")
+
+        rows_from = stream if start is None else scan_log(stream, "group-offsets", committed=start)
+        return ledger.run(rows_from, name, f"{folder}/checkpoint-{name}", take)
+
+    log.where("offset < 2").coalesce(1).write.parquet(f"{folder}/in/part=0")
+    job("one")
+    assert offsets(ledger.committed()) == [("__x", 0, 1), ("a", 0, 2), ("a", 1, 2)]
+    log.where("offset between 2 and 3 and partition = 0").coalesce(1).write.parquet(f"{folder}/in/part=1")
+    with pytest.raises(Exception, match="stopped"):
+        job("one", fails=True)
+    assert ("a", 0, 2) in offsets(ledger.committed())
+    # The batch runs again under its id, then counts once.
+    job("one")
+    assert [s[1] for s in seen] == [0, 1, 1] and seen[1][2] == seen[2][2]
+    assert offsets(ledger.committed()) == [("__x", 0, 1), ("a", 0, 4), ("a", 1, 2)]
+    # Another job of the group, and one of another group.
+    log.where("offset > 3 or partition = 1 and offset > 1").coalesce(1).write.parquet(f"{folder}/in/part=2")
+    job("two", ledger.committed())
+    assert seen[-1][2] == [("a", 0, 4), ("a", 0, 5), ("a", 1, 2), ("a", 1, 3)]
+    ledger.commit(log.where("offset < 1"), "two", 0)
+    assert ("a", 0, 4) in offsets(ledger.committed())
+    assert GroupOffsets(spark, f"{folder}/offsets", "other").committed().count() == 0
+    with pytest.raises(ValueError, match="group"):
+        GroupOffsets(spark, folder, "a/b")
