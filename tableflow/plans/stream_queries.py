@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tableflow.operators.aggregates import aggregate
@@ -15,7 +19,8 @@ from tableflow.sinks.keyed_table import buckets_for
 from tableflow.sinks.upsert import read_upserted, sink_upsert
 from tableflow.sources.tables import stream_slices, stream_table
 from tableflow.streaming.joins import dedup, stream_join
-from tableflow.streaming.runner import drain, read_output, restore, resume, save_state
+from tableflow.streaming.run_log import RunLog, chains, runs
+from tableflow.streaming.runner import batch_folders, drain, read_output, restore, resume, save_state
 from tableflow.streaming.signed import grouped, plain, settled
 
 # Tasks that share the rows of a hot join key.
@@ -254,3 +259,37 @@ def deduplicated(spark, sf):
     out = dedup(twice, ["event_id"], "ts", "2 hours").select("event_id", "user_id")
     drain(out, f"{base}/checkpoint", path=f"{base}/out")
     return read_output(spark, f"{base}/out", out)
+
+
+@query(
+    "run_records",
+    "select 1 run, 'FAILED' state, 0::bigint batches, 0::bigint n, null::int parent, 1 root, 0 depth"
+    " union all select 2, 'FINISHED', 1, count(*), 1, 1, 1 from events",
+)
+def run_records(spark, sf):
+    """A job that fails and is resumed, as its log has it, with the chain that the log gives."""
+    base = work_dir(spark, "run-records")
+
+    def fails(rows, batch_id):
+        raise _Interrupted
+
+    with RunLog(spark, f"{base}/log"):
+        for target in (fails, batch_folders(f"{base}/out")):
+            with contextlib.suppress(StreamingQueryException):
+                drain(_events(spark, sf), f"{base}/checkpoint", each_batch=target, name="events")
+    found = runs(spark, f"{base}/log").join(chains(spark, f"{base}/log").withColumnRenamed("id", "run_id"), "run_id")
+    number = found.select("run_id", F.row_number().over(Window.partitionBy("job_id").orderBy("started")).alias("run"))
+    named = [
+        number.select(F.col("run_id").alias(c), F.col("run").alias(f"{c}_run")) for c in ("run_id", "parent", "root")
+    ]
+    for names in named:
+        found = found.join(names, names.columns[0], "left")
+    return found.select(
+        F.col("run_id_run").alias("run"),
+        "state",
+        "batches",
+        F.col("input_rows").alias("n"),
+        F.col("parent_run").alias("parent"),
+        F.col("root_run").alias("root"),
+        F.col("depth").cast("int").alias("depth"),
+    )

@@ -13,6 +13,7 @@ from tableflow.sinks.files import Files
 from tableflow.sinks.upsert import read_upserted, sink_upsert
 from tableflow.sources.tables import datagen_stream, stream_slices, stream_table
 from tableflow.streaming.joins import dedup, stream_join, ttl_interval
+from tableflow.streaming.run_log import RunLog, chains, runs
 from tableflow.streaming.runner import batch_folders, drain, dropped_late, read_output, restore, resume, save_state
 
 EVENT = "id long, k string, ts timestamp"
@@ -338,3 +339,35 @@ def test_continuous_sync_goes_on(spark, folder):
         assert wait_for(lambda: count() == 8)
     finally:
         query.stop()
+
+
+def test_runs_are_recorded_as_they_start_go_on_and_end(spark, folder):
+    feed = Feed(spark, folder, "in", "k int")
+    feed.add(spark.createDataFrame([(1,), (2,)], "k int").coalesce(1))
+
+    def fails(batch, batch_id):
+        raise RuntimeError("no room")
+
+    def reads(batch, batch_id):
+        batch.collect()
+
+    def run(target, name="copy"):
+        drain(feed.stream, f"{folder}/checkpoint-{name}", each_batch=target, name=name)
+
+    with RunLog(spark, f"{folder}/log"):
+        with pytest.raises(Exception, match="no room"):
+            run(fails)
+        run(reads)
+        feed.add(spark.createDataFrame([(3,)], "k int").coalesce(1))
+        run(reads)
+        run(reads, "other")
+    run(reads, "unseen")
+    found = runs(spark, f"{folder}/log").orderBy("started").collect()
+    assert [(r["name"], r["state"], r["batches"], r["input_rows"]) for r in found] == [
+        ("copy", "FAILED", 0, 0), ("copy", "FINISHED", 1, 2), ("copy", "FINISHED", 1, 1), ("other", "FINISHED", 1, 3)
+    ]
+    assert "no room" in found[0]["error"] and found[1]["error"] is None
+    ids = [r["run_id"] for r in found]
+    assert [r["parent"] for r in found] == [None, ids[0], ids[1], None] and len({r["job_id"] for r in found}) == 2
+    depths = {r["id"]: (r["root"], r["depth"]) for r in chains(spark, f"{folder}/log").collect()}
+    assert depths == {ids[0]: (ids[0], 0), ids[1]: (ids[0], 1), ids[2]: (ids[0], 2), ids[3]: (ids[3], 0)}
