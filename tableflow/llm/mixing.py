@@ -77,22 +77,29 @@ def planned(
     Only the table of sources is aggregated; the documents are shuffled only if there are too
     many sources for a broadcast.
     """
-    sized = docs.withColumn("size", n_words(text))
-    sizes = sized.groupBy(F.col(source).alias("source_key")).agg(F.sum("size").alias("source_size"))
+    packed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in PLAN]).alias("row"),
+        n_words(text).alias("size"),
+        draw(key, seed).alias("draw"),
+        F.col(f"`{source}`").alias("of"),
+    )
+    sizes = packed.groupBy(F.col("of").alias("source_key")).agg(F.sum("size").alias("source_size"))
     rates = cut_lineage(targets(sizes, weights, budget, most))
     if rates.count() <= BROADCAST_ROWS:
         rates = F.broadcast(rates)
-    joined = sized.drop("source_size", "target", "copies").join(rates, F.col(source).eqNullSafe(F.col("source_key")), "left")
+    joined = packed.join(rates, F.col("of").eqNullSafe(F.col("source_key")), "left")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(rate)
-    copies = whole + (draw(key, seed) < rate - whole).cast("long")
-    return joined.withColumn("copies", copies).drop("source_key")
+    copies = whole + (F.col("draw") < rate - whole).cast("long")
+    kept = [F.col(f"row.`{c}`") for c in docs.columns if c not in PLAN]
+    return joined.select(*kept, "size", "source_size", "target", copies.alias("copies"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """Every document as often as the mix takes it, with the columns of ``docs``."""
     kept = [F.col(f"kept.`{c}`") for c in docs.columns]
-    packed = docs.withColumn("kept_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
-    rows = planned(packed, **options).select("kept_row", "copies").where("copies > 0")
-    rows = rows.select(F.col("kept_row").alias("kept"), F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
+    used = {options.get(name, name) for name in ("text", "source")} | {options.get("key", "doc_id")}
+    packed = docs.select(*[F.col(f"`{c}`") for c in used], F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("kept whole"))
+    rows = planned(packed, **options).select(F.col("kept whole").alias("kept"), "copies").where("copies > 0")
+    rows = rows.select("kept", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
     return rows.select(*kept)

@@ -6,7 +6,8 @@ of rows. Rows of one grid cell are told apart by further columns, so a cell with
 is cut like the rest.
 
 A null is a value of its own, before the others. Equal rows keep any order among themselves,
-one row each. An empty table gives no rows.
+one row each. An empty table gives no rows. Columns named like the added ones (curve, shard, slot) are replaced in the
+result, though they may serve as categories, sizes or ties; all others stay as they are.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from tableflow.session import cut_lineage
 # Values of a column up to which their table is sent to every executor.
 BROADCAST_ROWS = 100_000
 
+ADDED = ("curve", "shard", "slot")
+
 
 def _ranked(df: DataFrame, column: str, axis: str, bits: int) -> DataFrame:
     """``df`` with the place of the column's value, counted in rows, on a scale of 2**bits steps.
@@ -56,12 +59,19 @@ def sharded(
     should tell all rows apart. One range shuffle; ranks come from the counts of the sorted parts.
     """
     axes = [f"axis_{i}" for i in range(len(categories) + len(sizes))]
-    placed = df
-    for column, axis in zip(categories, axes):
-        placed = _ranked(placed, column, axis, bits)
-    for column, axis in zip(sizes, axes[len(categories) :]):
-        placed = placed.withColumn(axis, scaled(F.col(column), bits))
-    placed = placed.withColumn("curve", hilbert_index([F.col(a) for a in axes], bits)).drop(*axes)
+    inputs = [*categories, *sizes, *ties]
+    # The row in one struct, so that its names meet none of those used here.
+    placed = df.select(
+        F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in ADDED]).alias("row"),
+        *[F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(inputs)],
+    )
+    for i, axis in enumerate(axes):
+        if i < len(categories):
+            placed = _ranked(placed, f"in_{i}", axis, bits)
+        else:
+            placed = placed.withColumn(axis, scaled(F.col(f"in_{i}"), bits))
+    ties = [f"in_{i}" for i in range(len(axes), len(inputs))]
+    placed = placed.select("row", *ties, hilbert_index([F.col(a) for a in axes], bits).alias("curve"))
     parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     order = ["curve", *ties]
     # The ids below hold the number of the part and the place in it; the parts must not change between their uses.
@@ -80,9 +90,7 @@ def sharded(
     ranked = numbered.join(F.broadcast(offsets), part == F.col("part")).withColumn("rank_in_all", rank)
     shard = F.expr(f"(rank_in_all * {shards}) div rows_in_all")
     first = F.expr(f"(shard * rows_in_all + {shards - 1}) div {shards}")
-    return (
-        ranked.withColumn("shard", shard)
-        .withColumn("slot", F.col("rank_in_all") - first)
-        .withColumn("shard", F.col("shard").cast("int"))
-        .drop("row_at", "part", "rows_before", "rows_in_all", "rank_in_all")
+    kept = [F.col(f"row.`{c}`") for c in df.columns if c not in ADDED]
+    return ranked.withColumn("shard", shard).select(
+        *kept, "curve", F.col("shard").cast("int").alias("shard"), (F.col("rank_in_all") - first).alias("slot")
     )

@@ -270,20 +270,32 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", budget
     return grouped(prints, key, budget).select(key, hexed, "component_id")
 
 
+def marked(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Each row whole as ``row``, its text as ``body``, and ``mark``: id (null last) and a hash over the columns, which order the rows."""
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    mark = F.struct(F.col(f"`{key}`").isNull().alias("no_id"), F.col(f"`{key}`").alias("id"), F.xxhash64(*hashed).alias("hash"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.select(row.alias("row"), F.col(f"`{text}`").alias("body"), mark.alias("mark"))
+
+
+def kept_rows(rows: DataFrame, first: DataFrame, marks: DataFrame) -> DataFrame:
+    """The rows of ``marked`` documents whose mark is in ``first``, one of those alike; ``marks`` has the mark of every row."""
+    chosen = stored(marks.join(first, "mark", "left_semi").groupBy("mark").agg(F.count(F.lit(1)).alias("alike")), "chosen")
+    columns = [F.col(f"row.`{f.name}`") for f in rows.schema["row"].dataType.fields]
+    once = rows.join(chosen.where("alike = 1").select("mark"), "mark", "left_semi").select(*columns)
+    # Rows alike in every column share a mark; the first of them is kept.
+    again = rows.join(chosen.where("alike > 1").select("mark"), "mark", "left_semi")
+    return once.union(again.groupBy("mark").agg(F.first("row").alias("row")).select(*columns))
+
+
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", budget: int = MAX_BITS) -> DataFrame:
     """One row of each component, with the columns of ``docs``: that with the smallest id.
 
-    Of rows with that id, or if all ids are null, the one with the smallest hash over its columns stays.
+    Of rows with that id, or if all ids are null, the one with the smallest hash over its columns stays. Columns named
+    like those used here are kept as they are.
     """
-    columns = docs.columns
-    hashed = [f.name for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    row = F.struct(F.col(key).isNull().alias("no_id"), F.col(key).alias("id"), F.xxhash64(*hashed).alias("hash"))
-    marked = docs.withColumn("row_mark", row)
-    prints = stored(fingerprints(marked.select("row_mark", text), "row_mark", text), "simhash")
-    groups = grouped(prints, "row_mark", budget)
-    # Rows alike in every column share a mark; the first of them is kept.
-    chosen = groups.where("row_mark = component_id").groupBy("row_mark").agg(F.count(F.lit(1)).alias("alike"))
-    kept = marked.join(chosen, "row_mark")
-    once = kept.where("alike = 1").select(*columns)
-    again = kept.where("alike > 1").dropDuplicates(["row_mark"]).select(*columns)
-    return once.union(again)
+    rows = marked(docs, key, text)
+    prints = stored(fingerprints(rows, "mark", "body"), "simhash")
+    groups = grouped(prints, "mark", budget)
+    first = groups.where("mark = component_id").select("mark").distinct()
+    return kept_rows(rows, first, prints.select("mark"))
