@@ -6,9 +6,9 @@ a trie of its first ``KEY`` bits, joined with itself down from the root within `
 stay within ``BUDGET`` bits over all 128. Similarity of each pair that matters is then taken from the
 two sets of shingles, and only pairs of 0.8 or more are links.
 
-A task gives back no more links than hold its texts together, nearest first (a forest). Where one of them turns out not to
-be similar, the task looks again without it, with four times as many forests a round, until every candidate pair either
-lies within one component or was compared. So a group of thousands of near copies costs one comparison a text, and no
+A task gives back no more links than hold its texts together a few times over, nearest first (forests). Where one of them turns out not to
+be similar, the task looks again without it, with more forests a round, until every candidate pair either
+lies within one component or was compared. So a group of thousands of near copies costs a few comparisons a text and order, and no
 candidate is lost. Texts with one key, however many, are cut into blocks, and pairs of blocks meet in a task.
 
 Shingles are sets of 64-bit hashes of lower-cased (A-Z) words ``[^\\x20\\x09-\\x0D]+``. A text of fewer words is one shingle, a
@@ -41,12 +41,16 @@ SIMILARITY = 0.8
 ORDERS = 12
 KEY = 20
 KEY_BUDGET = 1
-BUDGET = 28
+BUDGET = 24
 
 # Texts of a leaf of the tries, and leaves at which they grow instead.
 PART = 1 << 16
 PARTS = 1 << 16
 
+# Forests of links that a task gives back in the first round, and how many times as many in each further one.
+FORESTS = 4
+MORE = 8
+
 # Pairs that a task looks at together.
 PAIRS = 1 << 20
 
@@ -343,7 +347,7 @@ def linked(
     """
     dealt = stored(deal(nodes, orders, key_bits, key_budget), "dealt")
     none = dealt.sparkSession.createDataFrame([], "a long, b long, alike boolean")
-    tested, seen, roots, number = none, None, None, 1
+    tested, seen, roots, number = none, None, None, FORESTS
     todo = dealt
     while True:
         rows = todo.withColumn("root", F.col("node"))
@@ -356,11 +360,15 @@ def linked(
             lambda rows: forests(rows, key_bits, key_budget, budget, orders, number), "pair int, a long, b long"
         )
         found = stored(found, "found")
+        if roots is not None and found.isEmpty():
+            return roots
         new = stored(found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "links")
         used = new.select(F.col("a").alias("node")).union(new.select("b")).distinct().join(nodes.select("node", "mark"), "node")
         bodies = texts.join(used, "mark").groupBy("node").agg(F.first("body").alias("body"))
-        tested = stored(tested.union(compare(new, stored(bodies, "bodies"), shingle, similarity)), "tested")
-        roots = stored(components(tested.where("alike").select("a", "b")), "roots")
+        fresh = stored(compare(new, stored(bodies, "bodies"), shingle, similarity), "fresh")
+        tested = stored(tested.union(fresh), "tested")
+        if roots is None or not fresh.where("alike").isEmpty():
+            roots = stored(components(tested.where("alike").select("a", "b")), "roots")
         vain = stored(found.join(tested.where("not alike"), ["a", "b"], "left_semi").select("pair", "a", "b"), "vain")
         if vain.isEmpty():
             return roots
@@ -368,7 +376,7 @@ def linked(
         seen = vain if seen is None else stored(seen.union(vain), "seen")
         todo = dealt.join(again, "pair", "left_semi")
         seen = seen.join(again, "pair", "left_semi")
-        number *= 4
+        number *= MORE
 
 
 def keep_one(
