@@ -38,6 +38,8 @@ LIFETIME = (1, 168)
 FEW = 64
 # Groups that rows without a join value are spread over.
 ALONE = 1024
+# Different values of a group that are kept in one piece with it.
+FEW_VALUES = 64
 # Best values of a group that are kept at hand for each minimum and maximum.
 BEST = 16
 # Doubles are summed as whole numbers of 2 ** -POINT, the smallest double.
@@ -74,12 +76,15 @@ def _at(time) -> int:
 
 
 class _Timed:
-    """One event-time timer per key."""
+    """One event-time timer per key, whose time follows from the state."""
 
-    def _set(self, millis: int) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(millis)
+    def _move(self, old: int | None, new: int | None) -> None:
+        if old == new:
+            return
+        if old is not None:
+            self.handle.deleteTimer(old)
+        if new is not None:
+            self.handle.registerTimer(new)
 
 
 class _Versions(_Timed, StatefulProcessor):
@@ -114,7 +119,7 @@ class _Versions(_Timed, StatefulProcessor):
             return
         self.held.update(newest)
         if self.millis:
-            self._set(_at(newest[self.time]) + self.millis)
+            self._move(_at(held[self.time]) + self.millis if held else None, _at(newest[self.time]) + self.millis)
         old, new = list(self._image(held, -1)), list(self._image(newest, 1))
         if not (old and new and _same(old[0][:-1]) == _same(new[0][:-1])):
             yield from old
@@ -324,6 +329,18 @@ def joined(
     return parts[0].union(parts[1]).groupBy(*keys).transformWithState(processor, out, "Append", "None")
 
 
+def _text(units: int) -> str:
+    """A whole number as text, without the zeros at its end: a sum of doubles has hundreds."""
+    digits = f"{units:x}"
+    short = digits.rstrip("0")
+    return f"{short}.{len(digits) - len(short)}"
+
+
+def _units(text: str) -> int:
+    digits, zeros = text.split(".")
+    return int(digits or "0", 16) << 4 * int(zeros)
+
+
 class _Summing:
     """Exact sums of a column: whole numbers of its smallest unit, in text, with NaN and infinities counted apart."""
 
@@ -432,7 +449,7 @@ class _Plan:
             else:
                 at = 2 + 2 * list(self.sums).index(column)
                 units, odd = core[at : at + 2]
-                total = self.sums[column].total(int(units, 16), odd)
+                total = self.sums[column].total(units, odd)
                 out.append(total if name == "sum" else self.sums[column].mean(total, n))
         return out
 
@@ -476,7 +493,7 @@ def _pieces(plan: _Plan, first: str | None, last: str | None, millis: int | None
             for g in groups.values():
                 sums, values = g.pop("sums"), g.pop("values")
                 for i, (units, odd) in enumerate(sums.values()):
-                    g |= {f"units{i}": hex(units), f"odd{i}": odd}
+                    g |= {f"units{i}": _text(units), f"odd{i}": odd}
                 for i, of in enumerate(values.values()):
                     left = [(v, n) for v, n in of.values() if n]
                     g |= {f"values{i}": [v for v, _ in left], f"times{i}": [n for _, n in left]}
@@ -499,10 +516,14 @@ def _pieces(plan: _Plan, first: str | None, last: str | None, millis: int | None
 
 
 class _Group(_Timed, StatefulProcessor):
-    """State of one group: counts, exact sums, and the values under a minimum or maximum with the best ones at hand."""
+    """State of one group: counts, exact sums, and the values under a minimum or maximum with the best ones at hand.
 
-    def __init__(self, plan: _Plan, millis: int | None, until: str | None):
-        self.plan, self.millis = plan, millis
+    Up to ``FEW_VALUES`` different values of a column lie with the group, read and written at once; a group that has had
+    more keeps them one by one.
+    """
+
+    def __init__(self, plan: _Plan, millis: int | None, until: str | None, few: int):
+        self.plan, self.millis, self.few = plan, millis, few
         names = plan.piece().names
         self.n_by = len(plan.by)
         self.lists = len(names) - 2 * len(plan.values)
@@ -515,8 +536,10 @@ class _Group(_Timed, StatefulProcessor):
         for i, (_, column) in enumerate(self.extremes.values()):
             core.append(T.StructField(f"best{i}", T.ArrayType(self.plan.kinds[column])))
         self.made = Row(*self.plan.out().names)
-        distinct = T.StructField("distinct", T.ArrayType(T.LongType()))
-        self.state = handle.getValueState("group", T.StructType([*core, distinct]))
+        longs = T.ArrayType(T.LongType())
+        for i, c in enumerate(self.plan.values):
+            core += [T.StructField(f"few{i}", T.ArrayType(self.plan.kinds[c])), T.StructField(f"times{i}", longs)]
+        self.state = handle.getValueState("group", T.StructType([*core, T.StructField("distinct", longs)]))
         self.values = [
             handle.getMapState(f"values{i}", T.StructType([T.StructField("v", self.plan.kinds[c])]), "n long")
             for i, c in enumerate(self.plan.values)
@@ -526,7 +549,7 @@ class _Group(_Timed, StatefulProcessor):
         plan = self.plan
         return {
             "rows": 0, "counts": [0] * len(plan.counts), "sums": [[0, [0, 0, 0]] for _ in plan.sums], "touched": None,
-            "refills": 0, "best": [[] for _ in self.extremes], "distinct": [0] * len(plan.values),
+            "refills": 0, "best": [[] for _ in self.extremes], "distinct": [0] * len(plan.values), "few": [{} for _ in plan.values],
         }
 
     def _load(self) -> dict | None:
@@ -534,24 +557,46 @@ class _Group(_Timed, StatefulProcessor):
         if held is None:
             return None
         n = len(self.plan.core)
-        sums = [[int(units, 16), list(odd)] for units, odd in zip(held[2:n:2], held[3:n:2])]
-        best = [list(x) for x in held[n + 2 : -1]]
-        return {"rows": held[0], "counts": list(held[1]), "sums": sums, "touched": held[n], "refills": held[n + 1], "best": best, "distinct": list(held[-1])}
+        sums = [[_units(units), list(odd)] for units, odd in zip(held[2:n:2], held[3:n:2])]
+        lists = n + 2 + len(self.extremes)
+        best = [list(x) for x in held[n + 2 : lists]]
+        few = [
+            None if values is None else {_same((v,)): [v, times] for v, times in zip(values, counts)}
+            for values, counts in zip(held[lists:-1:2], held[lists + 1 : -1 : 2])
+        ]
+        return {
+            "rows": held[0], "counts": list(held[1]), "sums": sums, "touched": held[n], "refills": held[n + 1], "best": best,
+            "distinct": list(held[-1]), "few": few,
+        }
 
     def _save(self, g: dict) -> None:
-        sums = [x for units, odd in g["sums"] for x in (hex(units), odd)]
-        self.state.update((g["rows"], g["counts"], *sums, g["touched"], g["refills"], *g["best"], g["distinct"]))
-
-    def _drop(self) -> None:
-        self.state.clear()
-        for values in self.values:
-            values.clear()
+        sums = [x for units, odd in g["sums"] for x in (_text(units), odd)]
+        lists = []
+        for values, few in zip(self.values, g["few"]):
+            if few is not None and len(few) > self.few:
+                for value, n in few.values():
+                    values.updateValue((value,), (n,))
+                few = None
+            lists += [None, None] if few is None else [[v for v, _ in few.values()], [n for _, n in few.values()]]
+        self.state.update((g["rows"], g["counts"], *sums, g["touched"], g["refills"], *g["best"], *lists, g["distinct"]))
+
+    def _forget(self, g: dict) -> None:
+        """Values that are kept one by one."""
+        for values, few in zip(self.values, g["few"]):
+            if few is None:
+                values.clear()
+
+    def _timer(self, key: Sequence, g: dict | None) -> int | None:
+        """When the timer of a group with this state is due."""
+        if g is None or not (self.millis or self.until is not None):
+            return None
+        return g["touched"] + self.millis if self.millis else _at(key[self.until])
 
     def _result(self, key: Sequence, g: dict | None, weight: int) -> list[Row]:
         if g is None or g["rows"] <= 0:
             return []
         best = {a: b[0] if b else None for a, b in zip(self.extremes, g["best"])}
-        core = (g["rows"], g["counts"], *[x for units, odd in g["sums"] for x in (hex(units), odd)])
+        core = (g["rows"], g["counts"], *[x for sums in g["sums"] for x in sums])
         return [self.made(*key, *self.plan.result(core, best), weight)]
 
     def _change(self, key: Sequence, old: list[Row], new: list[Row]) -> Iterator[Row]:
@@ -561,11 +606,12 @@ class _Group(_Timed, StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         g = self._load()
+        known, due = g is not None, self._timer(key, g)
         old = self._result(key, g, -1)
         pieces = sorted(rows, key=lambda r: r[FIRST]) if self.millis else rows
         for piece in pieces:
             if self.millis and g is not None and _at(piece[FIRST]) > g["touched"] + self.millis:
-                self._drop()
+                self._forget(g)
                 g = None
             if g is None:
                 g = self._empty()
@@ -573,20 +619,20 @@ class _Group(_Timed, StatefulProcessor):
         self._settle(g)
         yield from self._change(key, old, self._result(key, g, 1))
         if not g["rows"] and not any(g["counts"]) and not any(g["distinct"]):
-            self._drop()
+            self._forget(g)
+            if known:
+                self.state.clear()
+                self._move(due, None)
             return
         self._save(g)
-        if self.millis:
-            self._set(g["touched"] + self.millis)
-        elif self.until is not None:
-            self._set(_at(key[self.until]))
+        self._move(due, self._timer(key, g))
 
     def _add(self, g: dict, piece: Row) -> None:
         at = self.n_by
         g["rows"] += piece[at]
         g["counts"] = [a + b for a, b in zip(g["counts"], piece[at + 1])]
         for held, units, odd in zip(g["sums"], piece[at + 2 : self.lists : 2], piece[at + 3 : self.lists : 2]):
-            held[0] += int(units, 16)
+            held[0] += _units(units)
             held[1] = [a + b for a, b in zip(held[1], odd)]
         for i, column in enumerate(self.plan.values):
             for value, n in zip(piece[self.lists + 2 * i], piece[self.lists + 2 * i + 1]):
@@ -596,9 +642,13 @@ class _Group(_Timed, StatefulProcessor):
 
     def _count(self, g: dict, i: int, column: str, value, n: int) -> None:
         """Add to the count of a value; keep the lists of best values right."""
-        values, key = self.values[i], (value,)
-        before = (values.getValue(key) or (0,))[0]
-        if before + n:
+        values, key, few = self.values[i], (value,), g["few"][i]
+        before = ((values.getValue(key) or (0,))[0]) if few is None else few.get(_same(key), (value, 0))[1]
+        if few is not None:
+            few[_same(key)] = [value, before + n]
+            if not before + n:
+                del few[_same(key)]
+        elif before + n:
             values.updateValue(key, (before + n,))
         else:
             values.removeKey(key)
@@ -623,15 +673,20 @@ class _Group(_Timed, StatefulProcessor):
         for best, (largest, column) in zip(g["best"], self.extremes.values()):
             i = self.plan.values.index(column)
             if not best and g["distinct"][i]:
-                held = (key[0] for key, (n,) in self.values[i].iterator() if n > 0)
+                few = g["few"][i]
+                every = few.values() if few is not None else ((key[0], n) for key, (n,) in self.values[i].iterator())
+                held = (value for value, n in every if n > 0)
                 best[:] = (heapq.nlargest if largest else heapq.nsmallest)(BEST, held, key=_rank)
                 g["refills"] += 1
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         """A lifetime that ends takes the group back; a window that ends leaves its result as it is."""
-        old = self._result(key, self._load(), -1) if self.millis else []
-        self._drop()
-        yield from old
+        g = self._load()
+        if g is not None:
+            self._forget(g)
+            self.state.clear()
+        if self.millis:
+            yield from self._result(key, g, -1)
 
     def close(self) -> None:
         pass
@@ -670,7 +725,7 @@ def grouped(
     if timed:
         pieces = pieces.withWatermark(TOUCHED, delay)
     mode = "EventTime" if timed else "None"
-    return pieces.groupBy(*by).transformWithState(_Group(plan, millis, until), plan.out(), "Append", mode)
+    return pieces.groupBy(*by).transformWithState(_Group(plan, millis, until, FEW_VALUES), plan.out(), "Append", mode)
 
 
 def plain(rows: DataFrame) -> DataFrame:

@@ -185,6 +185,22 @@ def test_values_are_read_again_only_when_the_best_have_gone(spark):
     assert rows(feeds.settled(fed.give([(k, "u", "g", -k, 3) for k in range(40, 99)]))) == [("g", -98, 99)] and refills() == 1
 
 
+def test_values_lie_with_their_group_until_they_are_many(spark):
+    fed = Fed(spark, "k int, v double, ts timestamp")
+    fed.into(feeds.grouped(feeds.plain(fed.stream), ["k"], {"lo": ("min", "v"), "hi": ("max", "v")}, time="ts", lifetime=12))
+
+    def give(*given):
+        return rows(feeds.settled(fed.give([(k, float(v), START + hour * HOUR) for k, v, hour in given])))
+
+    def apart():
+        state = spark.read.format("statestore").option("operatorId", 0).option("stateVarName", "values0")
+        return state.load(f"{fed.base}/checkpoint").count()
+
+    assert give(*[(1, v, v / 100) for v in range(100)], (2, 5, 0)) == [(1, 0.0, 99.0), (2, 5.0, 5.0)] and apart() == 100
+    # The life of key 1 has ended and its values go; key 2 lives on.
+    assert give((1, 7, 14), (2, 6, 11)) == [(1, 7.0, 7.0), (2, 5.0, 6.0)] and apart() == 0
+
+
 def stamped(*given):
     return [(k, op, v, START + hour * HOUR, n) for n, (k, op, v, hour) in enumerate(given)]
 
