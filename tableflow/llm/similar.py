@@ -51,8 +51,11 @@ PARTS = 1 << 16
 FORESTS = 4
 MORE = 8
 
+# Entries of all forests of a task together, beyond which it has no more than ``FORESTS``.
+ROOM = 1 << 24
+
 # Pairs that a task looks at together.
-PAIRS = 1 << 20
+PAIRS = 1 << 18
 
 WORDS = 2
 SEEDS = (spans.BASE, spans.INVERSE)
@@ -286,7 +289,9 @@ def forests(rows: pd.DataFrame, key: int, key_budget: int, budget: int, orders:
     _, group = np.unique(rows["root"].to_numpy()[by], return_inverse=True)
     start = np.zeros(group.max() + 1, np.int64)
     start[group[::-1]] = np.arange(len(group))[::-1]
-    roots = [start[group] for _ in range(number)]
+    # A forest is made when a link is left for it.
+    bare, roots = start[group].astype(np.int32), []
+    number = min(number, max(FORESTS, ROOM // len(node)))
     ids, places = np.unique(node, return_index=True)
     compared = np.zeros(0, np.int64)
     if len(seen):
@@ -295,7 +300,8 @@ def forests(rows: pd.DataFrame, key: int, key_budget: int, budget: int, orders:
     ones, others = [], []
     for i, j in candidates(path if same else path[:half], path if same else path[half:], key, key_budget, same):
         j = j + half
-        open_ = roots[-1][i] != roots[-1][j]
+        last = roots[-1] if len(roots) == number else bare
+        open_ = last[i] != last[j]
         i, j = i[open_], j[open_]
         bits = sum(np.bitwise_count(p[i] ^ p[j]).astype(np.int16) for p in prints) if len(i) else np.zeros(0, np.int16)
         near = bits <= budget
@@ -305,13 +311,15 @@ def forests(rows: pd.DataFrame, key: int, key_budget: int, budget: int, orders:
             i, j, bits = i[new], j[new], bits[new]
         by = np.argsort(bits, kind="stable")
         i, j = i[by], j[by]
-        for root in roots:
-            at = grow(root, i, j)
+        for k in range(number):
+            if not len(i):
+                break
+            if k == len(roots):
+                roots.append(bare.copy())
+            at = grow(roots[k], i, j)
             ones.append(node[i[at]])
             others.append(node[j[at]])
             i, j = np.delete(i, at), np.delete(j, at)
-            if not len(i):
-                break
     a, b = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (ones, others))
     return pd.DataFrame({"pair": np.full(len(a), pair, np.int32), "a": np.minimum(a, b), "b": np.maximum(a, b)})
 
@@ -321,7 +329,7 @@ def compare(links: DataFrame, texts: DataFrame, shingle: int, similarity: float)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in spans.chunked([batch], "one"):
+            for part in spans.chunked(spans.chunked([batch], "one"), "other"):
                 alike = similarities(part.column("one"), part.column("other"), shingle) >= similarity
                 yield pa.RecordBatch.from_pydict({"a": part.column("a"), "b": part.column("b"), "alike": pa.array(alike)})
 

@@ -2,8 +2,10 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -98,6 +100,21 @@ def test_planted_copies_are_caught(spark):
     assert want <= kept and len(kept - want) <= 0.1 * (len(rows) - len(want))
 
 
+def test_memory_of_a_task_does_not_grow_with_the_forests_of_a_round():
+    """A late round asks for thousands of forests; only those with a link are made."""
+    n = 4000
+    columns = {"pair": np.zeros(n, np.int32), "side": np.zeros(n, np.int8), "bits": np.zeros(n, np.int8)}
+    prints = {w: np.random.default_rng(1).integers(0, 2**62, n) for w in ("w0", "w1")}
+    prints["w0"][1], prints["w1"][1] = prints["w0"][0], prints["w1"][0]
+    node = np.arange(n)
+    given = pd.DataFrame(columns | prints | {"node": node, "root": node})
+    tracemalloc.start()
+    found = similar.forests(given, 20, 1, 24, 1, 4 * 8**4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (found["a"].tolist(), found["b"].tolist()) == ([0], [1]) and peak < 100e6
+
+
 NAMES = (
     "row mark body node root w0 w1 whole print pair side bits a b alike one other hash id no_id first_id component_id row_mark size kept_row "
     "source_key source_size target copies kept n weight bound total level part axis_value axis_0 axis_1 row_at rows_before rows_in_all "
