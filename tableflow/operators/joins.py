@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Pairs = Sequence[tuple[str, str]]
 SALT = "_salt"
+# Rows of a key from which on it is spread over tasks.
+HOT = 10_000
 
 # The join kinds of a job form.
 KINDS = ("inner", "left", "right", "full")
@@ -39,6 +42,31 @@ def salted(left: DataFrame, right: DataFrame, on: Pairs, salt: int) -> tuple[Dat
     return left.withColumn(SALT, part), right.withColumn(SALT, F.explode(every)), [*on, (SALT, SALT)]
 
 
+def salted_hot(
+    left: DataFrame, right: DataFrame, on: Pairs, salt: int, hot: int = HOT
+) -> tuple[DataFrame, DataFrame, list]:
+    """As ``salted`` on tables, but only keys of ``left`` with ``hot`` rows or more are spread and only their ``right`` rows repeated.
+
+    These keys are at most one in ``hot`` rows, so they are broadcast. Left rows without a key meet nothing and are spread as well.
+    """
+    keys = [F.col(f"`{a}`") for a, _ in on]
+    names = [f"{SALT}_{i}" for i in range(len(on))]
+    known = reduce(lambda a, b: a & b, [k.isNotNull() for k in keys])
+    many = left.where(known).groupBy(*[k.alias(n) for k, n in zip(keys, names)]).agg(F.count(F.lit(1)).alias(SALT))
+    many = F.broadcast(many.where(F.col(SALT) >= hot).select(*names, F.lit(True).alias(f"{SALT}_hot")))
+
+    def marked(side: DataFrame, at: int) -> DataFrame:
+        match = reduce(lambda a, b: a & b, [F.col(f"s.`{pair[at]}`") == F.col(n) for pair, n in zip(on, names)])
+        return side.alias("s").join(many, match, "left").select("s.*", F.coalesce(f"{SALT}_hot", F.lit(False)).alias(f"{SALT}_hot"))
+
+    is_hot, none = F.col(f"{SALT}_hot"), F.lit(0).cast("long")
+    part = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(salt))
+    every = F.sequence(none, F.lit(salt - 1).cast("long"))
+    spread = marked(left, 0).withColumn(SALT, F.when(is_hot | ~known, part).otherwise(none)).drop(f"{SALT}_hot")
+    copies = marked(right, 1).withColumn(SALT, F.explode(F.when(is_hot, every).otherwise(F.array(none)))).drop(f"{SALT}_hot")
+    return spread, copies, [*on, (SALT, SALT)]
+
+
 def join(
     left: DataFrame,
     right: DataFrame,
@@ -54,8 +82,8 @@ def join(
     The side with many rows per key goes left. Adaptive execution splits a hot key of the
     left side in inner and left joins, but not in right and full joins: these are run as
     an inner or left join and the right rows without partner. ``salt`` spreads left keys
-    over that many tasks by hand, where adaptive execution is off, at the price of as many
-    copies of the right side. ``unique`` says a key has one left row at most,
+    with many rows over that many tasks by hand, where adaptive execution is off, at the price of
+    a count of the left keys and as many copies of the right rows of these keys. ``unique`` says a key has one left row at most,
     so that there is nothing to split.
     """
     check_kind(how)
@@ -66,7 +94,7 @@ def join(
     picked = [F.col(f"l.`{c}`") for c in left_columns] + [F.col(f"r.`{c}`") for c in right_columns]
     if unique:
         return left.alias("l").join(right.alias("r"), condition(on), how).select(*picked)
-    spread, copies, keys = (left, right, on) if salt <= 1 else salted(left, right, on, salt)
+    spread, copies, keys = (left, right, on) if salt <= 1 else salted_hot(left, right, on, salt)
     kind = "inner" if how in ("inner", "right") else "left"
     matched = spread.alias("l").join(copies.alias("r"), condition(keys), kind).select(*picked)
     if how in ("inner", "left"):

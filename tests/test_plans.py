@@ -3,9 +3,11 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 from tests.conftest import SF, rows
 
 import __spark_entry__ as registered
+from tableflow.operators import joins
 from tableflow.operators.joins import join
 from tableflow.plans.inputs import table
 
@@ -118,3 +120,15 @@ def test_hot_key_is_split(spark, no_broadcast):
 
 def test_tables_are_read_whole(spark):
     assert QUERIES["log_earliest"](spark, SF).count() == table(spark, SF, "events").count()
+
+
+def test_only_keys_with_many_rows_are_copied(spark, no_broadcast):
+    n = F.col("id")
+    left = spark.range(10_050).select(n.alias("a"), F.when(n < 10_010, 1).when(n < 10_030, 2).alias("k"))
+    right = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z"), (None, "w")], "k int, t string")
+    spread, copies, on = joins.salted_hot(left, right, [("k", "k")], 8)
+    assert copies.count() == 8 + 3 and spread.where("k = 1").select("_salt").distinct().count() == 8
+    assert spread.where("k = 2").select("_salt").distinct().count() == 1 and on[-1] == ("_salt", "_salt")
+    for how in ("inner", "left", "right", "full"):
+        got, want = (joins.join(left, right, [("k", "k")], how, ["a"], ["t"], salt=s) for s in (8, 1))
+        assert rows(got) == rows(want)
