@@ -376,7 +376,9 @@ def linked(
         fresh = stored(compare(new, stored(bodies, "bodies"), shingle, similarity), "fresh")
         tested = stored(tested.union(fresh), "tested")
         if roots is None or not fresh.where("alike").isEmpty():
-            roots = stored(components(tested.where("alike").select("a", "b")), "roots")
+            # What earlier rounds hold together stays so: a row per text stands for all their links.
+            links = fresh.where("alike").select("a", "b")
+            roots = stored(components(links if roots is None else links.union(roots.select("node", "root"))), "roots")
         vain = stored(found.join(tested.where("not alike"), ["a", "b"], "left_semi").select("pair", "a", "b"), "vain")
         if vain.isEmpty():
             return roots

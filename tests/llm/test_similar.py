@@ -91,6 +91,18 @@ def test_every_pair_a_candidate_equals_brute_force(spark, monkeypatch, part):
     assert sorted(r.doc_id for r in kept.collect()) == plain_kept(rows)
 
 
+def test_later_rounds_do_not_join_all_links_again(spark, monkeypatch):
+    """Components of a later round come from one row per text and the links of that round."""
+    given, whole = [], similar.components
+    monkeypatch.setattr(similar, "components", lambda links: given.append(links.count()) or whole(links))
+    pick = random.Random(11)
+    rows = list(enumerate(t for _ in range(4) for t in family(pick, 60, edits=2)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = similar.keep_one(docs, orders=1, key_bits=6, key_budget=6, budget=128)
+    assert sorted(r.doc_id for r in kept.collect()) == plain_kept(rows)
+    assert len(given) > 1 and all(n < given[0] for n in given[1:])
+
+
 def test_planted_copies_are_caught(spark):
     pick = random.Random(5)
     texts = [t for _ in range(40) for t in family(pick, 3, words=150, edits=3)]
