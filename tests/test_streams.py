@@ -150,6 +150,16 @@ def test_a_key_that_becomes_hot_keeps_all_its_matches(spark, folder):
     assert sorted(rows(read_output(spark, f"{folder}/out", out))) == [(0, 100)] + [(i, 101) for i in range(1, 21)]
 
 
+def test_writes_to_join_state_do_not_count_its_rows(spark, folder):
+    left, right = (Feed(spark, folder, n, EVENT) for n in ("l", "r"))
+    out = stream_join(left.stream, right.stream, [("k", "k")], "inner", ["id"], ["id"]).toDF("l", "r")
+    left.add(frame(spark, LEFT))
+    right.add(frame(spark, RIGHT))
+    state = drain(out, f"{folder}/cp", path=f"{folder}/out").lastProgress["stateOperators"][0]
+    assert (state["numRowsUpdated"], state["numRowsTotal"]) == (6, 0)
+    assert rows(read_output(spark, f"{folder}/out", out)) == [(1, 11), (2, 12)]
+
+
 def test_ttl_bounds_both_ways_and_its_range(spark, folder):
     left, right = (Feed(spark, folder, n, EVENT) for n in ("l", "r"))
     left.add(frame(spark, [event(1, "a", "12:00:00")]))
