@@ -123,6 +123,15 @@ def bit_orders(orders: int, key: int) -> np.ndarray:
     return np.stack([draw.permutation(64 * WORDS)[:key] for _ in range(orders)])
 
 
+def met_before(apart: list[np.ndarray], order: int, orders: int, key: int, key_budget: int) -> np.ndarray:
+    """Whether texts whose fingerprints are that far apart (bits set where they differ) meet in an order before this one."""
+    out = np.zeros(len(apart[0]), bool)
+    for bits in bit_orders(orders, key)[:order].tolist():
+        masks = [np.uint64(sum(1 << bit % 64 for bit in bits if bit // 64 == word)) for word in range(WORDS)]
+        out |= sum(np.bitwise_count(x & m).astype(np.int16) for x, m in zip(apart, masks, strict=True)) <= key_budget
+    return out
+
+
 def paths(prints: list[np.ndarray], nodes: np.ndarray, order: int, orders: int, key: int) -> np.ndarray:
     """The way of each text down the trie of an order: its key, then a hash of the node that cuts texts of one key into blocks."""
     out = spans.mix(nodes.astype(np.uint64) + np.uint64(1)) >> np.uint64(key)
@@ -281,7 +290,8 @@ def forests(rows: pd.DataFrame, key: int, key_budget: int, budget: int, orders:
         return pd.DataFrame({"pair": [], "a": [], "b": []}).astype({"pair": np.int32, "a": np.int64, "b": np.int64})
     prints = [rows[f"w{i}"].to_numpy().view(np.uint64) for i in range(WORDS)]
     node, side = rows["node"].to_numpy(), rows["side"].to_numpy()
-    path = paths(prints, node, int(rows["bits"].iloc[0]), orders, key) >> np.uint64(64 - key)
+    order = int(rows["bits"].iloc[0])
+    path = paths(prints, node, order, orders, key) >> np.uint64(64 - key)
     by = np.lexsort((node, path, side))
     prints, node, side, path = [p[by] for p in prints], node[by], side[by], path[by]
     same = bool((side == 0).all())
@@ -303,8 +313,11 @@ def forests(rows: pd.DataFrame, key: int, key_budget: int, budget: int, orders:
         last = roots[-1] if len(roots) == number else bare
         open_ = last[i] != last[j]
         i, j = i[open_], j[open_]
-        bits = sum(np.bitwise_count(p[i] ^ p[j]).astype(np.int16) for p in prints) if len(i) else np.zeros(0, np.int16)
-        near = bits <= budget
+        apart = [p[i] ^ p[j] for p in prints]
+        bits = sum(np.bitwise_count(x).astype(np.int16) for x in apart)
+        # A pair belongs to the first order it meets in: no other task looks at it.
+        near = np.flatnonzero(bits <= budget)
+        near = near[~met_before([x[near] for x in apart], order, orders, key, key_budget)]
         i, j, bits = i[near], j[near], bits[near]
         if len(compared):
             new = ~np.isin(np.minimum(i, j) * len(node) + np.maximum(i, j), compared)

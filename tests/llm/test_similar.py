@@ -103,6 +103,15 @@ def test_later_rounds_do_not_join_all_links_again(spark, monkeypatch):
     assert len(given) > 1 and all(n < given[0] for n in given[1:])
 
 
+def test_a_pair_is_linked_in_the_first_order_it_meets_in():
+    """Tasks of all orders see the same near pair; one gives it back."""
+    given = {w: np.array([5, 4, 7, 2**60], np.int64) for w in ("w0", "w1")}
+    given = pd.DataFrame({"pair": 0, "side": np.int8(0), **given, "node": np.arange(4), "root": np.arange(4)}).astype({"pair": np.int32})
+    found = [similar.forests(given.assign(bits=np.int8(k)), 20, 1, 24, 12, 8) for k in range(12)]
+    pairs = [p for f in found for p in zip(f["a"].tolist(), f["b"].tolist())]
+    assert len(pairs) == len(set(pairs)) == 6
+
+
 def test_planted_copies_are_caught(spark):
     pick = random.Random(5)
     texts = [t for _ in range(40) for t in family(pick, 3, words=150, edits=3)]
