@@ -38,6 +38,11 @@ def buckets_for(df: DataFrame) -> int:
     return max(FEWEST, -(-df.count() // BUCKET_ROWS))
 
 
+def no_rows(spark: SparkSession, schema: T.StructType) -> DataFrame:
+    """A frame that the optimizer knows to be empty: joins with it fall away."""
+    return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]).where(F.lit(False))
+
+
 @dataclass(frozen=True)
 class Places:
     """Some buckets of a table that has ``of`` in all.
@@ -146,7 +151,7 @@ class KeyedTable:
             whole = len(members) == commit["written"][folder]
             paths += [f"{self.path}/{folder}"] if whole else [f"{self.path}/{folder}/{BUCKET}={b}" for b in members]
         if not paths:
-            return self.spark.createDataFrame([], self.schema)
+            return no_rows(self.spark, self.schema)
         reader = self.spark.read.schema(self.schema).option("basePath", f"{self.path}/data")
         return reader.parquet(*paths).select(*self.schema.names)
 

@@ -7,8 +7,9 @@ every state is committed under the batch id, so a replayed batch gives the same
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tableflow.operators.joins import Pairs, check_kind, condition, salted
-from tableflow.sinks.keyed_table import KeyedTable
+from tableflow.sinks.keyed_table import KeyedTable, no_rows
 from tableflow.sinks.upsert import GONE, SEQ, newest, read_upserted, sink_upsert
 from tableflow.sources.changes import DELETE
 
@@ -32,6 +33,9 @@ IS = "_is"
 # Buckets that the rows of one value (a group, a join value) are spread over.
 SPREAD = 64
 
+# Whether adaptive execution merges small shuffle partitions of frames that are kept, too.
+MERGED = "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning"
+
 
 def tagged(sources: dict[str, DataFrame]) -> DataFrame:
     """Several sources as one frame: a source name and one struct column per source."""
@@ -149,6 +153,17 @@ def _live(rows: DataFrame) -> DataFrame:
 OTHER = {"l": "r", "r": "l"}
 
 
+@contextmanager
+def _merged(spark: SparkSession) -> Iterator[None]:
+    """Frames persisted meanwhile have as many partitions as their bytes ask for: each is read again and again."""
+    before = spark.conf.get(MERGED)
+    spark.conf.set(MERGED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(MERGED, before)
+
+
 class ChangelogJoin:
     """``foreachBatch`` target over ``tagged({"l": ..., "r": ...})`` that keeps a join of two feeds.
 
@@ -191,6 +206,10 @@ class ChangelogJoin:
 
     def apply(self, changes: dict[str, DataFrame], batch_id: int) -> None:
         """Take in the changes of both sides, ``{"l": ..., "r": ...}``."""
+        with _merged(changes["l"].sparkSession):
+            self._take_in(changes, batch_id)
+
+    def _take_in(self, changes: dict[str, DataFrame], batch_id: int) -> None:
         folded = {n: side.fold(changes[n]).persist(StorageLevel.MEMORY_AND_DISK) for n, side in self.sides.items()}
         images: dict[str, DataFrame | None] = {}
         rows: dict[str, DataFrame] = {}
@@ -218,7 +237,7 @@ class ChangelogJoin:
         """The images of a side that nothing changed on."""
         values = [f for f in folded.schema.fields if f.name not in (SEQ, GONE)]
         beside = [T.StructField(SIGN, T.IntegerType()), T.StructField(STAYS, T.BooleanType()), folded.schema[SEQ]]
-        return folded.sparkSession.createDataFrame([], T.StructType([*beside, *values]))
+        return no_rows(folded.sparkSession, T.StructType([*beside, *values]))
 
     def _values(self, images: dict[str, DataFrame], names: Sequence[str], side: str) -> DataFrame:
         """Join values of changed rows of the named sides, under the column names of ``side``."""

@@ -8,7 +8,7 @@ from tableflow.operators.changelog import changelog_agg, changelog_join
 from tableflow.session import work_dir
 from tableflow.sources.changes import cdc_decode, cdc_incremental_snapshot, cdc_initial, chunk_of, key_splits
 from tableflow.sinks.keyed_table import KeyedTable
-from tableflow.streaming.changelog import ChangelogJoin
+from tableflow.streaming.changelog import MERGED, ChangelogJoin, _Snapshot
 
 SLOW = settings(max_examples=3, deadline=None, suppress_health_check=list(HealthCheck))
 CHANGE = st.tuples(st.integers(0, 4), st.sampled_from("uuud"), st.sampled_from([None, "x", "y"]), st.sampled_from([None, 1, 2, 7]))
@@ -199,3 +199,35 @@ def test_rows_are_placed_by_columns_of_the_key(spark):
     schema = "a int, b int"
     with pytest.raises(ValueError, match="columns of the key"):
         KeyedTable.create(spark, work_dir(spark, "placed"), spark.createDataFrame([], schema).schema, ["a"], 2, ["b"])
+
+
+def test_small_frames_of_a_join_are_kept_in_few_partitions(spark, monkeypatch):
+    """Each kept frame is read several times, so its number of partitions is a number of tasks several times."""
+    seen, take, partitions = [], _Snapshot.take, spark.conf.get("spark.sql.shuffle.partitions")
+
+    def noted(side, folded, batch_id):
+        seen.append(folded.rdd.getNumPartitions())
+        return take(side, folded, batch_id)
+
+    monkeypatch.setattr(_Snapshot, "take", noted)
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        target = ChangelogJoin(work_dir(spark, "few"), [("v", "k")], "full", ["k"], ["k"], ["seq"], ["seq"], buckets=2)
+        kept_before = spark.conf.get(MERGED)
+        target.apply({"l": _feed(spark, *[(k, "u", "g", k, 1) for k in range(30)]), "r": _feed(spark)}, 0)
+        target.apply({"l": _feed(spark), "r": _feed(spark, (7, "u", "h", 7, 1))}, 1)
+        assert spark.conf.get(MERGED) == kept_before
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    assert len(seen) == 4 and max(seen) == 1
+    found = target.result(spark).select("l_k", "r_k")
+    assert rows(found) == sorted([(k, 7 if k == 7 else None) for k in range(30)], key=repr)
+
+
+def test_an_empty_table_is_known_to_be_empty(spark):
+    """The first batch joins what it brings with nothing."""
+    feed = _feed(spark, (1, "u", "g", 3, 1))
+    empty = KeyedTable.create(spark, work_dir(spark, "empty"), feed.schema, ["k"], 2).read()
+    assert empty.dtypes == feed.dtypes and empty.count() == 0
+    plan = feed.join(empty.select(F.col("k").alias("other")), F.col("k").eqNullSafe(F.col("other")), "left")
+    assert "Join" not in plan._jdf.queryExecution().optimizedPlan().toString() and rows(plan) == [(1, "u", "g", 3, 1, None)]
